@@ -113,13 +113,13 @@ def chunks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np
             first, held = end, 0
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word in order, first word of each text with the total at the end)."""
-    word = _IS_WORD[data]
+def hash_words(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word in order, A-Z in lower case; first word of each text, with the total at the end)."""
+    word = is_word[data]
     edges = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     begins, ends = edges[::2], edges[1::2]
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[_LOWER[data] if lower else data] * powers(_ROOT, len(data)), out=prefix[1:])
+    np.cumsum(_VALUES[_LOWER[data]] * powers(_ROOT, len(data)), out=prefix[1:])
     hashes = (prefix[ends] - prefix[begins]) * powers(_INVERSE, len(data) + 1)[begins]
     hashes = mix(hashes + (ends - begins).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
     return hashes, np.searchsorted(begins, starts)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, mixing
+from inkledger.llm import exact_dedup, mixing, near_dup, toxicity
 from inkledger.llm.common import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -19,8 +23,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.quality_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_mix_sources)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op7_mix_sources, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
