@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, mixing, near_dup, toxicity
+from inkledger.llm import exact_dedup, mixing, near_dup, packing, toxicity
 from inkledger.llm.common import documents
 
 
@@ -18,6 +18,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mixing.mix_sources(docs, mixing.quality_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -29,7 +35,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op7_mix_sources, op8_toxicity)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op5_packing, op7_mix_sources, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
