@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, mixing, near_dup, packing, toxicity
+from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, toxicity
 from inkledger.llm.common import documents
 
 
@@ -24,6 +24,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mixing.mix_sources(docs, mixing.quality_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -35,7 +40,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op5_packing, op7_mix_sources, op8_toxicity)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
