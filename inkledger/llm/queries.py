@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, toxicity
+from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, secret_scan, token_counts, toxicity
 from inkledger.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,8 +43,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
