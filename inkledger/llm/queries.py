@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, secret_scan, token_counts, toxicity
+from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, quality_rules, secret_scan, token_counts, toxicity
 from inkledger.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_quality_rules, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
