@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, quality_rules, secret_scan, token_counts, toxicity
+from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from inkledger.llm.common import documents
 
 
@@ -53,8 +53,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_quality_rules, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_quality_rules, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
