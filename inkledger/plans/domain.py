@@ -31,6 +31,10 @@ FROM lineitem""",
 SELECT cheque_id, name, ocr_text, ocr_conf, loc_conf, parse_ok, corrected FROM (
  SELECT *, row_number() OVER (PARTITION BY cheque_id, name ORDER BY ocr_conf DESC, loc_conf DESC, ocr_text, parse_ok, corrected) AS nth FROM v_field) x
 WHERE nth = 1""",
+    "v_full": """
+SELECT cheque_id, name, ocr_text, CASE WHEN parse_ok THEN upper(ocr_text) WHEN cheque_id % 3 = 0 THEN '' END AS parse_norm,
+ ocr_conf, loc_conf, ocr_conf * loc_conf * CASE WHEN parse_ok THEN 1.0 ELSE 0.97 END AS field_conf, parse_ok, corrected, ocr_conf * loc_conf >= 0.985 AS valid
+FROM v_one""",
     "v_token": f"""
 SELECT l_orderkey AS doc_id, {BANK_OF.format("l_orderkey")} AS bank_code,
  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS BIGINT) AS line_idx,
@@ -49,7 +53,7 @@ FROM v_token""",
     "v_correction": """
 SELECT event_id AS correction_id, user_id AS cheque_id,
  CASE event_type WHEN 'click' THEN 'date' WHEN 'view' THEN 'cheque_number' WHEN 'purchase' THEN 'amount_numeric' WHEN 'signup' THEN 'name' ELSE 'bank_name' END AS field,
- CAST(CAST(round(value * 100) AS BIGINT) AS STRING) AS after, CAST(event_id % 7 AS STRING) AS reviewer_id, ts AS at
+ CAST(CAST(round(value * 100) AS BIGINT) AS STRING) AS after, CAST(event_id % 7 AS STRING) AS reviewer_id, ts AS made_at
 FROM events""",
     "v_session": """
 SELECT CASE user_id % 5 WHEN 0 THEN 'QNB' WHEN 1 THEN 'FABMISR' WHEN 2 THEN 'CIB' WHEN 3 THEN 'AAIB' ELSE 'NBE' END AS bank,
