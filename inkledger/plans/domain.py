@@ -67,6 +67,29 @@ SELECT bank_code, batch_date, min(created_at) AS created_at, max(created_at) AS
  CAST(row_number() OVER (PARTITION BY bank_code, batch_date ORDER BY min(created_at)) AS BIGINT) AS seq
 FROM v_cheque GROUP BY bank_code, batch_date""",
 }
+
+
+def _pixels(x: float, y: float, w: float, h: float) -> str:
+    width, height = 1677, 677
+    return ",".join(str(v) for v in (max(0, min(round(x * width), width - 1)), max(0, min(round(y * height), height - 1)), min(round((x + w) * width), width), min(round((y + h) * height), height)))
+
+
+#: Our templates: by field its own rectangle, the region to search and the pattern; by anchor the region and the pattern.
+TEMPLATE_FIELDS = [
+    ("bank_name", (0.0, 0.0, 0.20, 0.10), (0.0, 0.0, 0.30, 0.20), None),
+    ("date", (0.65, 0.05, 0.30, 0.12), (0.40, 0.0, 0.55, 0.50), "(?i)[0-9]{2}/[A-Z]{3}/[0-9]{4}"),
+    ("cheque_number", (0.35, 0.05, 0.30, 0.10), (0.10, 0.0, 0.80, 0.55), "(?i)[0-9]{8,}"),
+    ("amount_numeric", (0.70, 0.30, 0.28, 0.12), (0.50, 0.20, 0.50, 0.60), "(?i)[0-9],[0-9]{3}[.][0-9]{2}"),
+    ("name", (0.10, 0.30, 0.60, 0.12), (0.05, 0.20, 0.80, 0.40), None),
+]
+TEMPLATE_ANCHORS = [
+    ("cheque_label", (0.0, 0.0, 1.0, 0.60), "(?i)cheque"), ("cheque_label", (0.0, 0.0, 0.50, 0.50), "(?i)^cheque$"), ("date_label", (0.0, 0.0, 1.0, 0.70), "(?i)date"),
+    ("egp_label", (0.0, 0.0, 1.0, 1.0), "(?i)egp"), ("pay_to_label", (0.0, 0.0, 1.0, 0.80), "(?i)pay to"),
+]
+TEMPLATE_BANKS = ["QNB", "FABMISR", "BANQUE_MISR", "CIB", "NBE"]
+_null = lambda p: "NULL" if p is None else f"'{p}'"
+VIEWS["v_tfield"] = "SELECT * FROM (VALUES " + ", ".join(f"('{b}',{i},'{n}',{_pixels(*roi)},{_pixels(*reg)},{_null(None if b == 'NBE' and n in ('date', 'amount_numeric') else p)})" for b in TEMPLATE_BANKS for i, (n, roi, reg, p) in enumerate(TEMPLATE_FIELDS)) + ") AS t(bank_code, pos, name, rx1, ry1, rx2, ry2, x1, y1, x2, y2, pattern)"
+VIEWS["v_anchor"] = "SELECT * FROM (VALUES " + ", ".join(f"('{b}',{i},'{n}',{_pixels(*reg)},'{p}')" for b in TEMPLATE_BANKS for i, (n, reg, p) in enumerate(TEMPLATE_ANCHORS)) + ") AS t(bank_code, pos, name, x1, y1, x2, y2, pattern)"
 NEEDS = {k: sorted(set(re.findall(r"\bv_\w+", v)) - {k}) for k, v in VIEWS.items()}
 
 
