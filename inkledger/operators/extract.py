@@ -96,28 +96,29 @@ def pixel(share: Column, full: int) -> Column:
     return F.least(F.lit(full), F.rint(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * full)).cast("int")
 
 
-def right_of(points: DataFrame, anchor: str, wide: float, up: float, high: float) -> DataFrame:
-    """doc_id and the rectangle to the right of an anchor, in shares of the page and rounded as regions are."""
+#: A way to find a field: field, stage, method, when a line (joined with its document's anchors) is a candidate, its score.
+Way = tuple[str, int, str, Column, Column]
+
+
+def right_of_label(name: str, anchor: str, pattern: str, wide: float, up: float, high: float, method: str) -> Way:
+    """Lines of a pattern in a rectangle to the right of an anchor, given in shares of the page and rounded as regions are."""
     at = F.col("at")[anchor]
     x, y = F.least(F.lit(1.0), at["px"] / WIDTH), F.greatest(F.lit(0.0), (at["py"] - up * HEIGHT) / HEIGHT)
     w = F.least(F.lit(wide), 1.0 - at["px"] / WIDTH)
-    return points.filter(at.isNotNull()).select("doc_id", pixel(x, WIDTH).alias("x1"), pixel(y, HEIGHT).alias("y1"), F.rint((x + w) * WIDTH).cast("int").alias("x2"), F.least(F.lit(HEIGHT), F.rint((y + high) * HEIGHT).cast("int")).alias("y2"))
-
+    inside_x = F.col("px").between(pixel(x, WIDTH), F.rint((x + w) * WIDTH).cast("int"))
+    inside_y = F.col("py").between(pixel(y, HEIGHT), F.least(F.lit(HEIGHT), F.rint((y + high) * HEIGHT).cast("int")))
+    return name, 3, method, inside_x & inside_y & F.col("text").rlike(pattern), F.col("confidence")
 
-def locate_right_of_label(lines: DataFrame, points: DataFrame, name: str, anchor: str, pattern: str, wide: float, up: float, high: float, method: str) -> DataFrame:
-    hits = lines.join(right_of(points, anchor, wide, up, high), "doc_id").filter(inside("x1", "y1", "x2", "y2") & F.col("text").rlike(pattern))
-    return _located(best(hits, ["doc_id"], F.col("confidence")).withColumn("name", F.lit(name)), 3, method)
 
+def date_way() -> Way:
+    return right_of_label("date", "date_label", txt.DATE_ANCHOR, 0.35, 0.10, 0.22, "anchor_date_right")
 
-def locate_dates(lines: DataFrame, points: DataFrame) -> DataFrame:
-    return locate_right_of_label(lines, points, "date", "date_label", txt.DATE_ANCHOR, 0.35, 0.10, 0.22, "anchor_date_right")
 
+def amount_way() -> Way:
+    return right_of_label("amount_numeric", "egp_label", txt.AMOUNT_PLAIN, 0.40, 0.10, 0.25, "anchor_egp_right")
 
-def locate_amounts(lines: DataFrame, points: DataFrame) -> DataFrame:
-    return locate_right_of_label(lines, points, "amount_numeric", "egp_label", txt.AMOUNT_PLAIN, 0.40, 0.10, 0.25, "anchor_egp_right")
 
-
-def locate_payee(lines: DataFrame, points: DataFrame) -> DataFrame:
+def payee_way() -> Way:
     """Best line beside the pay-to anchors: between both, right of the one, left of the other. Score: confidence, less
     distance from the anchors' row, plus cues of a company name, less shortness and distance from the middle."""
     en, ar, total = F.col("at")["pay_to_label"], F.col("at")["pay_to_label_ar"], F.col("at")["sum_label"]
@@ -128,18 +129,17 @@ def locate_payee(lines: DataFrame, points: DataFrame) -> DataFrame:
     right = F.when(both, F.greatest(en["px"], ar["px"]) - margin).when(en.isNotNull(), WIDTH).otherwise(ar["px"] - margin - 1)
     top = F.greatest(F.lit(0), row - F.when(both, int(0.10 * HEIGHT)).otherwise(int(0.08 * HEIGHT)))
     high = F.when(both, int(0.22 * HEIGHT)).otherwise(int(0.20 * HEIGHT))
-    area = points.filter(en.isNotNull() | ar.isNotNull()).select("doc_id", row.alias("row"), left.alias("x1"), top.alias("y1"), right.alias("x2"), (top + high).alias("y2"), both.alias("both"), total["py"].alias("sum_y"))
     t, n = F.col("text"), F.length("text")
-    arabic = F.length(F.regexp_replace(t, "[^؀-ۿ]", ""))
+    arabic = F.length(F.regexp_replace(t, "[^\u0600-\u06ff]", ""))
     label = t.rlike(r"(?i)\bthe\s+sum\s+of\b|\begp\b|pay\s+.*this\s+cheque\s+.*order\s+of|\bagainst\s+this\s+cheque\b|\bpay\s*to\b|\bpayto\b") | t.rlike(r"شيك|دفع|بموجب|هذا|لا\s*مر|لٱمر|لآمر|ل\s*أ\s*مر")
-    keep = (F.col("confidence") >= 0.6) & ~label & (txt.digit_ratio(t) <= 0.3) & ((arabic >= 6) | ((arabic == 0) & (n >= 6))) & (F.col("sum_y").isNull() | (F.col("py") <= F.col("sum_y") - int(0.02 * HEIGHT)))
-    score = F.col("confidence") - 0.6 * F.abs(F.col("py") - F.col("row")) / HEIGHT + F.when(arabic > 0, 0.1).otherwise(0.0) + F.when(t.rlike("شركة|شركه"), 0.2).otherwise(0.0)
-    score = score + F.when(t.rlike(r"(?i)\bcompany\b|\bco\.?\b"), 0.1).otherwise(0.0) - F.when(n < 10, 0.2).otherwise(0.0) - F.when(F.col("both"), 0.4 * F.abs(F.col("px") - (F.col("x1") + F.col("x2")) / 2) / WIDTH).otherwise(0.0)
-    hits = lines.join(area, "doc_id").filter(inside("x1", "y1", "x2", "y2") & keep)
-    return _located(best(hits, ["doc_id"], score).withColumn("name", F.lit("name")), 1, "anchor_payee_scored")
+    place = F.col("px").between(left, right) & F.col("py").between(top, top + high) & (total["py"].isNull() | (F.col("py") <= total["py"] - int(0.02 * HEIGHT)))
+    shape = (F.col("confidence") >= 0.6) & ~label & (txt.digit_ratio(t) <= 0.3) & ((arabic >= 6) | ((arabic == 0) & (n >= 6)))
+    score = F.col("confidence") - 0.6 * F.abs(F.col("py") - row) / HEIGHT + F.when(arabic > 0, 0.1).otherwise(0.0) + F.when(t.rlike("شركة|شركه"), 0.2).otherwise(0.0)
+    score = score + F.when(t.rlike(r"(?i)\bcompany\b|\bco\.?\b"), 0.1).otherwise(0.0) - F.when(n < 10, 0.2).otherwise(0.0) - F.when(both, 0.4 * F.abs(F.col("px") - (left + right) / 2) / WIDTH).otherwise(0.0)
+    return "name", 1, "anchor_payee_scored", (en.isNotNull() | ar.isNotNull()) & place & shape, score
 
 
-def locate_cheque(lines: DataFrame, points: DataFrame, fixed: tuple[str, ...] = ("BANQUE_MISR", "CIB", "AAIB")) -> DataFrame:
+def cheque_way(fixed: tuple[str, ...] = ("BANQUE_MISR", "CIB", "AAIB")) -> Way:
     """Best number between the cheque labels, or beside the one there is. Banks with a fixed place are left to their region.
     Score: confidence, plus half the share of digits over 0.6, less 0.3 for each digit away from the bank's length."""
     en, ar = F.col("at")["cheque_label"], F.col("at")["cheque_label_ar"]
@@ -148,16 +148,26 @@ def locate_cheque(lines: DataFrame, points: DataFrame, fixed: tuple[str, ...] =
     top = F.when(both, F.least(F.greatest(F.lit(0), middle - up), F.lit(int(0.40 * HEIGHT)))).otherwise(F.greatest(F.lit(0), F.coalesce(en["py"], ar["py"]) - up))
     left = F.when(both, F.least(en["px"], ar["px"]) + margin).when(en.isNotNull(), en["px"]).otherwise(0)
     right = F.when(both, F.greatest(en["px"], ar["px"]) - margin).when(en.isNotNull(), F.least(F.lit(WIDTH), en["px"] + int(0.45 * WIDTH))).otherwise(F.least(ar["px"], F.lit(int(0.48 * WIDTH))))
-    area = points.filter(en.isNotNull() | ar.isNotNull()).select("doc_id", left.alias("x1"), top.alias("y1"), right.alias("x2"), (top + int(0.14 * HEIGHT)).alias("y2"))
     t = F.col("text")
     long = F.regexp_extract_all(t, F.lit(r"(\d{10,16})"), 1)
     groups = F.when(F.size(long) > 0, long).otherwise(F.regexp_extract_all(t, F.lit(r"(\d{6,})"), 1))
     target = F.when(F.col("bank_code") == "NBE", 14).otherwise(12)
     away = F.array_min(F.transform(groups, lambda g: F.abs(F.length(g) - target)))
     share = F.length(txt.digits_of(t)) / F.greatest(F.length(F.regexp_replace(t, r"\s+", "")), F.lit(1))
-    rows = lines.filter(~F.col("bank_code").isin(*fixed)).join(area, "doc_id").filter(inside("x1", "y1", "x2", "y2") & ~t.rlike(r'[A-Za-z:"]') & (F.size(groups) > 0))
-    chosen = best(rows, ["doc_id"], F.col("confidence") + 0.5 * F.greatest(F.lit(0.0), share - 0.6) - 0.3 * away)
-    return _located(chosen.filter(F.col("py") <= int(0.55 * HEIGHT)).withColumn("name", F.lit("cheque_number")), 1, "anchor_cheque_band")
+    place = ~F.col("bank_code").isin(*fixed) & (en.isNotNull() | ar.isNotNull()) & F.col("px").between(left, right) & F.col("py").between(top, top + int(0.14 * HEIGHT))
+    return "cheque_number", 1, "anchor_cheque_band", place & ~t.rlike('[A-Za-z:"]') & (F.size(groups) > 0), F.col("confidence") + 0.5 * F.greatest(F.lit(0.0), share - 0.6) - 0.3 * away
+
+
+def too_low(name: Column, line: Column) -> Column:
+    """A number beside a label counts in the upper 55 % of the page only."""
+    return (name == "cheque_number") & (line["py"] > int(0.55 * HEIGHT))
+
+
+def locate_by(lines: DataFrame, points: DataFrame, way: Way) -> DataFrame:
+    """The best line of one way."""
+    name, stage, method, when, score = way
+    found = best(lines.join(points, "doc_id").filter(when), ["doc_id"], score).withColumn("name", F.lit(name))
+    return _located(found.filter(~too_low(F.col("name"), F.struct("py"))) if stage == 1 else found, stage, method)
 
 
 def locate_fallback(documents: DataFrame, fields: DataFrame, located: DataFrame) -> DataFrame:
@@ -171,13 +181,26 @@ BOX = {"region_regex": (0.20, 0.08), "anchor_date_right": (0.20, 0.08), "anchor_
 
 
 def locate_fields(lines: DataFrame, fields: DataFrame, anchor_rules: DataFrame) -> DataFrame:
-    """doc_id, name, method, confidence, text and box of every template field, from the first of the ways that finds it."""
+    """doc_id, name, method, confidence, text and box of every template field, from the first of the ways that finds it.
+
+    One pass: a line meets its document's anchors and its bank's patterns once, yields a candidate for each way that
+    fits, and one aggregate per field keeps the best line of every stage."""
     points = anchor_points(anchors(lines, anchor_rules))
-    ways = [locate_payee(lines, points), locate_cheque(lines, points), locate_pattern(lines, fields), locate_dates(lines, points), locate_amounts(lines, points)]
-    found = ways[0]
-    for way in ways[1:]:
-        found = found.unionByName(way)
-    won = best_staged(found, ["doc_id", "name"], ["line_idx", "text", "px", "py", "confidence", "method"])
+    rule = F.struct("name", "x1", "y1", "x2", "y2", "pattern")
+    rules = fields.filter("pattern is not null").groupBy("bank_code").agg(F.collect_list(rule).alias("rules"))
+    rows = lines.join(points, "doc_id", "left").join(rules, "bank_code", "left")
+
+    def candidate(name: Column, stage: int, method: str, score: Column) -> Column:
+        return F.struct(name.alias("name"), F.lit(stage).alias("stage"), F.lit(method).alias("method"), score.cast("double").alias("score"))
+
+    hits = F.filter("rules", lambda r: F.col("px").between(r["x1"], r["x2"]) & F.col("py").between(r["y1"], r["y2"]) & F.rlike("text", r["pattern"]))
+    by_rule = F.transform(hits, lambda r: candidate(r["name"], 2, "region_regex", F.col("confidence")))
+    by_anchor = F.array_compact(F.array(*(F.when(when, candidate(F.lit(name), stage, method, score)) for name, stage, method, when, score in (payee_way(), cheque_way(), date_way(), amount_way()))))
+    none = F.array().cast("array<struct<name:string,stage:int,method:string,score:double>>")
+    found = rows.select("doc_id", *LINE, F.explode(F.concat(F.coalesce(by_rule, none), by_anchor)).alias("c")).select("doc_id", *LINE, "c.*")
+    order = F.struct(F.col("score").alias("s"), (-F.col("line_idx")).alias("i"))
+    per_stage = found.groupBy("doc_id", "name").agg(*(F.max_by(F.struct(*LINE, "method"), F.when(F.col("stage") == n, order)).alias(f"s{n}") for n in (1, 2, 3)))
+    won = per_stage.select("doc_id", "name", F.coalesce(F.when(~too_low(F.col("name"), F.col("s1")), F.col("s1")), "s2", "s3").alias("w")).filter("w is not null").select("doc_id", "name", "w.*")
     box = [F.coalesce(*(F.when(F.col("method") == m, bbox_around(F.col("px"), F.col("py"), w, h)[i]) for m, (w, h) in BOX.items())) for i in range(4)]
     boxed = won.select("doc_id", "name", "method", "confidence", "text", *(b.cast("int").alias(n) for b, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True)))
     rest = locate_fallback(lines.select("doc_id", "bank_code").distinct(), fields, won)

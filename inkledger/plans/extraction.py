@@ -73,10 +73,10 @@ def _right_sql(anchor: str, name: str, rx: str, wide: float, high: float) -> str
     return pick_sql(f"SELECT t.*, '{name}' AS name FROM v_token t JOIN ({area}) a ON t.doc_id = a.d WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AND regexp_matches(text, '{rx}')", "doc_id, name", "confidence DESC, line_idx", "line_idx, text")
 
 
-REG.add("locate_date_label", lambda s, d: ex.locate_dates(tok(s, d), POINTS(s, d)).select(*PICK), _right_sql("date_label", "date", r"(?i)(?:^|[^0-9])[0-9]{1,2}\s*[/.\-]?\s*(?:0ct|0ec|[A-Za-z]{3})\s*[/.\-]?\s*[0-9]{2,4}\b", 0.35, 0.22))
-REG.add("locate_amount_label", lambda s, d: ex.locate_amounts(tok(s, d), POINTS(s, d)).select(*PICK), _right_sql("egp_label", "amount_numeric", r"\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", 0.40, 0.25))
-REG.add("locate_payee", lambda s, d: ex.locate_payee(tok(s, d), POINTS(s, d)).select(*PICK, "method"))
-REG.add("locate_cheque", lambda s, d: ex.locate_cheque(tok(s, d), POINTS(s, d)).select(*PICK, "method"))
+REG.add("locate_date_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.date_way()).select(*PICK), _right_sql("date_label", "date", r"(?i)(?:^|[^0-9])[0-9]{1,2}\s*[/.\-]?\s*(?:0ct|0ec|[A-Za-z]{3})\s*[/.\-]?\s*[0-9]{2,4}\b", 0.35, 0.22))
+REG.add("locate_amount_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.amount_way()).select(*PICK), _right_sql("egp_label", "amount_numeric", r"\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", 0.40, 0.25))
+REG.add("locate_payee", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.payee_way()).select(*PICK, "method"))
+REG.add("locate_cheque", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.cheque_way()).select(*PICK, "method"))
 _DOCS = "SELECT DISTINCT doc_id, bank_code FROM v_token"
 REG.add(
     "locate_fallback", lambda s, d: ex.locate_fallback(tok(s, d).select("doc_id", "bank_code").distinct(), fields(s, d), ex.locate_pattern(tok(s, d), fields(s, d))),
