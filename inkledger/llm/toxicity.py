@@ -136,6 +136,8 @@ def score_texts(texts: pa.Array, model: Model, table: np.ndarray) -> np.ndarray:
         if hits:
             pairs = np.unique(np.concatenate(hits))
             out[first:end] += np.bincount(pairs >> model.bits, table[pairs & ((1 << model.bits) - 1)], end - first)
+    if np.isneginf(model.bias):  # nothing was learned
+        return np.zeros(len(texts))
     return 1 / (1 + np.exp(-np.clip(out + model.bias, -500, 500)))
 
 

@@ -154,13 +154,13 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edges(spark):
-    docs = spark.createDataFrame([*EDGE, *((100 + i, "you are vile" if i % 2 else "a fine day", "en", "s", 0) for i in range(200))], DOCS)
-    labels = labels_of(spark, [(100 + i, 1, i % 2) for i in range(200)] + [(None, 1, 1), (100, 1, None), (4, 1, 0)])
+    docs = spark.createDataFrame([*EDGE, *((100 + i, "you are vile" if i % 4 == 1 else "a fine day", "en", "s", 0) for i in range(200))], DOCS)
+    labels = labels_of(spark, [(100 + i, 1, int(i % 4 == 1)) for i in range(200)] + [(None, 1, 1), (100, 1, None), (4, 1, 0)])
     model = toxicity.train(docs, labels)
     got = {r.doc_id: r for r in toxicity.score(docs.withColumn("score", F.lit("clash")), model).collect()}
     assert got[101].predicted == 1 and got[100].predicted == 0 and got[1].score == got[2].score
     kept = toxicity.drop_toxic(docs, model)
-    assert kept.columns == docs.columns and kept.filter("text = 'you are vile'").count() == 0 and kept.count() == len(EDGE) + 100
+    assert kept.columns == docs.columns and kept.filter("text = 'you are vile'").count() == 0 and kept.count() == len(EDGE) + 150
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
