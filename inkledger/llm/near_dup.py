@@ -9,7 +9,9 @@ sets is at least 3/4. Equal sets are one class and enter the search once, throug
   on tokens drawn from the node's own path, and leaves are compared exhaustively;
 * larger nodes branch on by shuffles, level by level, so no node is ever gathered whole;
 * in a large node all are first compared with a common centre, and those nearly equal to it leave the node: a crowd of
-  near copies becomes a star instead of all its pairs;
+  near copies becomes a star instead of all its pairs. Estimates obey the triangle inequality, so whatever may be similar to
+  one that leaves lies in a band around the centre; those of the band that are not in the centre's component are compared
+  with all that leave, in blocks where the node is larger than a task;
 * ``trees`` independent trees repeat the search to raise recall.
 
 Signatures only nominate pairs. A link counts once the full sets, computed from whole texts, confirm it. The nodes are
@@ -57,6 +59,11 @@ class Join:
     def least(self) -> float:
         return self.percent / 100 - self.slack
 
+    @property
+    def band(self) -> float:
+        """The estimate with a centre below which nothing can reach ``least`` with a class that leaves for the centre."""
+        return self.least - (1 - self.near) - 1e-9
+
     def branches(self, node: int) -> np.ndarray:
         """The tokens a node branches on: 1 / similarity of them on average, fixed by the node's path."""
         rng = np.random.default_rng([self.seed, int(node) & (1 << 64) - 1])
@@ -156,13 +163,28 @@ class Node:
                 self.parent[x] = y
                 self.found.append((int(a[k]), int(b[k])))
 
-    def star(self, rows: np.ndarray) -> np.ndarray:
-        """Compares all with one centre; returns those that stay in the node."""
-        centre = rows[np.argmin(mix(self.ids[rows].view(np.uint64)))]
+    def star(self, rows: np.ndarray, node: int = 0) -> np.ndarray:
+        """Compares all with one centre of the node's own; returns those that stay in the node. In the second pass only
+        members of the centre's component leave, and not before they met all that may be similar and are of another."""
+        centre = rows[np.argmin(mix(self.ids[rows].view(np.uint64) ^ np.uint64(int(node) & (1 << 64) - 1)))]
         same = (self.sig[rows] == self.sig[centre]).mean(1)
         rest = np.flatnonzero(rows != centre)
         self.nominate(np.full(len(rest), centre), rows[rest], same[rest])
-        return rows[(same < self.p.near) | (rows == centre)]
+        leave = (same >= self.p.near) & (rows != centre)
+        if self.root is not None:
+            other = self.root[rows] != self.root[centre]
+            leave &= ~other
+            self.cross(rows[leave], rows[other & (same >= self.p.band)])
+        return rows[~leave]
+
+    def cross(self, left: np.ndarray, right: np.ndarray, block: int = 256) -> None:
+        """All pairs of the two sides, in blocks."""
+        for i in range(0, len(left), block):
+            for j in range(0, len(right), block):
+                x, y = left[i : i + block], right[j : j + block]
+                same = (self.sig[x][:, None, :] == self.sig[y][None, :, :]).mean(2)
+                m, n = np.nonzero(same >= self.p.least)
+                self.nominate(x[m], y[n], same[m, n])
 
     def exhaust(self, rows: np.ndarray, block: int = 256) -> None:
         """All pairs, in blocks."""
@@ -176,7 +198,7 @@ class Node:
 
     def settle(self, node: int, rows: np.ndarray, level: int = 0) -> None:
         if len(rows) > self.p.leaf:
-            rows = self.star(rows)
+            rows = self.star(rows, node)
         if len(rows) <= self.p.leaf or level >= self.p.max_levels:
             return self.exhaust(rows)
         for token in self.p.branches(node):
@@ -187,7 +209,8 @@ class Node:
 
 
 def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
-    """Pairs (a, b) nominated by nodes. rows: node, id, sig, root, with all rows of a node together."""
+    """Pairs (a, b) nominated by nodes. rows: node, id, sig, root, side, with all rows of a node together. Where side is not
+    0, the rows of side 1 are compared with those of side 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -195,10 +218,13 @@ def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
 
         def close() -> None:
             if held:
-                node, ids, sig, root = held[0][0], *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+                node, ids, sig, root, side = held[0][0], *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
                 if not second or (root != root[0]).any():
                     work = Node(p, ids, sig, root if second else None)
-                    work.settle(int(node), np.arange(len(ids)))
+                    if side.any():
+                        work.cross(np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+                    else:
+                        work.settle(int(node), np.arange(len(ids)))
                     if work.found:
                         pairs.append(np.unique(np.sort(ids[np.array(work.found)], axis=1), axis=0) if len(work.found) > 1 else np.sort(ids[np.array(work.found)], axis=1))
                 held.clear()
@@ -210,13 +236,13 @@ def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for b in batches:
-            node, ids, sig, root = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), p.tokens), b.column(3).to_numpy()
+            node, ids, sig, root, side = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), p.tokens), b.column(3).to_numpy(), b.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(node)) + 1), len(node)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and y > x and held[0][0] != node[x]:
                     close()
                 if y > x:
-                    held.append((node[x], ids[x:y], sig[x:y], root[x:y]))
+                    held.append((node[x], ids[x:y], sig[x:y], root[x:y], side[x:y]))
             yield from take()
         close()
         yield from take()
@@ -225,15 +251,15 @@ def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
 
 
 def branch_nodes(rows: DataFrame, p: Join) -> DataFrame:
-    """One level for nodes too large for a task. rows: node, id, sig, centre, centre_sig. Gives pairs with the centre
-    and the rows of child nodes (b null)."""
+    """One level for nodes too large for a task. rows: node, id, sig, centre, centre_sig. Gives the classes a of the band
+    around the centre b and the rows of child nodes (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, ids, sig, centre, centres = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), p.tokens), b.column(3).to_numpy(), matrix(b.column(4), p.tokens)
             same = (sig == centres).mean(1)
-            near = np.flatnonzero((same >= p.least) & (ids != centre))
-            yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(np.minimum(ids, centre)[near]), pa.array(np.maximum(ids, centre)[near]), pa.array(same[near])], ["node", "a", "b", "same"])
+            near = np.flatnonzero((same >= p.band) & (ids != centre))
+            yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(ids[near]), pa.array(centre[near]), pa.array(same[near])], ["node", "a", "b", "same"])
             for n in np.unique(node):
                 stay = np.flatnonzero((node == n) & ((same < p.near) | (ids == centre)))
                 for token in p.branches(int(n)):
@@ -244,8 +270,8 @@ def branch_nodes(rows: DataFrame, p: Join) -> DataFrame:
 
 
 def grow_trees(reps: DataFrame, p: Join, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of the nodes that fit in a task, and (node, a, b, same) of the pairs with the centres of larger ones.
-    reps: id, sig, nodes."""
+    """(node, id) of the nodes that fit in a task, and (node, a, b, same) of the classes a in the band around the centre b of
+    larger ones. reps: id, sig, nodes."""
     sigs = reps.select("id", "sig")
     now, small, stars = reps.select(F.explode("nodes").alias("node"), "id"), [], []
     for level in range(p.max_levels + 1):
@@ -270,10 +296,23 @@ def grow_trees(reps: DataFrame, p: Join, scratch: Scratch) -> tuple[DataFrame, D
     return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, stars, none)
 
 
+def band_blocks(stars: DataFrame, p: Join) -> DataFrame:
+    """(node, id, side): blocks in which those that left a large node (side 1) meet those of the band that are not in the
+    centre's component (side 2). stars: node, a, same, root_a, root_b."""
+    gone, other, half = stars.filter(F.col("same") >= p.near), stars.filter("root_a <> root_b"), max(1, p.node_rows // 2)
+    many = lambda side, name: side.groupBy("node").agg(F.ceil(F.count("*") / half).cast("int").alias(name))
+    sizes = many(gone, "m").join(many(other, "n"), "node")
+    sides = []
+    for side, (rows, own, across) in enumerate(((gone, "m", "n"), (other, "n", "m")), 1):
+        cut = rows.join(sizes, "node").select("node", F.col("a").alias("id"), F.pmod(F.xxhash64("a"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(across) - 1)).alias(across))
+        sides.append(cut.select(F.xxhash64("node", "m", "n").alias("node"), "id", F.lit(side).alias("side")))
+    return sides[0].union(sides[1])
+
+
 def nominate(trees: tuple[DataFrame, DataFrame], reps: DataFrame, roots: DataFrame | None, p: Join) -> DataFrame:
     """Distinct candidate pairs (a, b): without roots a forest, with roots (node, root) all between components."""
     nodes, stars = trees
-    sigs = reps.select("id", "sig")
+    nodes, sigs = nodes.withColumn("side", F.lit(0)), reps.select("id", "sig")
     if roots is None:
         odd = F.col("node").bitwiseAND(F.lit(1)) == 1
         nodes, sigs, stars = nodes.filter(odd), sigs.withColumn("root", F.col("id")), stars.filter(odd & (F.col("same") >= p.percent / 100))
@@ -281,9 +320,10 @@ def nominate(trees: tuple[DataFrame, DataFrame], reps: DataFrame, roots: DataFra
         sigs = sigs.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         for end in ("a", "b"):
             stars = stars.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        stars = stars.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    rows = nodes.join(sigs, "id").select("node", "id", "sig", "root").repartition("node").sortWithinPartitions("node", "id")
-    return settle_nodes(rows, p, roots is not None).union(stars.select("a", "b")).distinct()
+        stars = stars.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+        nodes, stars = nodes.unionByName(band_blocks(stars, p)), stars.filter((F.col("root_a") != F.col("root_b")) & (F.col("same") >= p.least))
+    rows = nodes.join(sigs, "id").select("node", "id", "sig", "root", "side").repartition("node").sortWithinPartitions("node", "id")
+    return settle_nodes(rows, p, roots is not None).union(stars.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, p: Join) -> DataFrame:

@@ -119,6 +119,50 @@ def test_near_crowd_is_one_component(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def hanging(rng, copies, edited):
+    """A crowd of near copies, and texts that are similar to one of its members only."""
+    base = prose(rng, 400).split()
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        for k in range(5):  # about 0.88 with the base
+            w[i % 40 * 5 + k * 40 % 200] = f"c{i}x{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(edited):
+        w = rows[i * 7][1].split()
+        for k in range(10):  # about 0.78 with the member
+            w[205 + 19 * k] = f"y{i}x{k}"
+        rows.append((copies + i, " ".join(w)))
+    return rows
+
+
+def test_near_star_loses_no_pair():
+    """What leaves for the centre has met all of other components that may be similar to it."""
+    rng, p = np.random.default_rng(5), near_dup.Join()
+    core = rng.integers(0, 1 << 16, p.tokens)
+
+    def edit(sig, share):
+        out = sig.copy()
+        at = rng.choice(p.tokens, round(share * p.tokens), replace=False)
+        out[at] = rng.integers(0, 1 << 16, len(at))
+        return out
+
+    crowd = [edit(core, 0.05) for _ in range(60)]
+    sig = np.array([*crowd, *(edit(crowd[i], 0.24) for i in range(20))]).astype(np.uint16)
+    root = np.array([0] * 60 + list(range(60, 80)))
+    work = near_dup.Node(p, np.arange(80), sig, root)
+    stay = set(work.star(np.arange(80)).tolist())
+    assert len(stay) < 60
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if root[a] != root[b] and (sig[a] == sig[b]).mean() >= p.least and not {a, b} <= stay}
+    assert want and want <= {tuple(sorted(x)) for x in work.found}
+
+
+def test_near_large_node_keeps_what_hangs_on_a_member(spark):
+    rows = hanging(random.Random(8), 80, 6)
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.near_groups(frame(spark, rows), near_dup.Join(node_rows=16, leaf=8, near=0.8)).collect())
+    assert got == sorted((i, c) for i, _, c in near_brute(rows))
+
+
 def test_near_empty(spark):
     assert near_dup.near_groups(frame(spark, [])).count() == 0
 
