@@ -7,7 +7,9 @@ sets is at least 3/4. Equal sets are one class and enter the search once, throug
   branches on average, which keeps a similar pair together in one node in expectation however deep the tree goes);
 * a node of at most ``node_rows`` classes is settled within one task: while it is larger than ``leaf`` it branches again
   on tokens drawn from the node's own path, and leaves are compared exhaustively;
-* larger nodes branch on by shuffles, level by level, so no node is ever gathered whole;
+* larger nodes branch on by shuffles, level by level, so no node is ever gathered whole; those of a few tasks' size meet in
+  all pairs of blocks instead;
+* below the roots nodes branch more often, by as much as keeps the stated recall at the threshold down to the deepest level;
 * in a large node all are first compared with a common centre, and those nearly equal to it leave the node: a crowd of
   near copies becomes a star instead of all its pairs. Estimates obey the triangle inequality, so whatever may be similar to
   one that leaves lies in a band around the centre; those of the band that are not in the centre's component are compared
@@ -27,7 +29,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +44,25 @@ from inkledger.llm.components import components
 @dataclass(frozen=True)
 class Join:
     """width: words in a shingle; percent: least similarity; tokens: length of a signature; early: trees that nominate the
-    forest (their nodes have odd numbers); slack: how far the estimate may lie below the threshold; near: estimated similarity at which a class leaves a large node."""
+    forest (their nodes have odd numbers); slack: how far the estimate may lie below the threshold, 3 standard errors; near:
+    estimated similarity at which a class leaves a large node; recall: of pairs at the threshold whose estimate is within the slack, at
+    any depth; pairs: comparisons that a part of a node may take without branching; blocks: into how many a node is cut at
+    most before it rather branches."""
 
     width: int = 5
     percent: int = 75
     trees: int = 8
     early: int = 8
-    tokens: int = 192
+    tokens: int = 256
     leaf: int = 24
     node_rows: int = 4096
-    slack: float = 0.08
+    slack: float = 0.0812
     near: float = 0.9
     max_levels: int = 16
     seed: int = 11
+    recall: float = 0.999
+    pairs: int = 1 << 17
+    blocks: int = 16
 
     @property
     def least(self) -> float:
@@ -64,13 +73,36 @@ class Join:
         """The estimate with a centre below which nothing can reach ``least`` with a class that leaves for the centre."""
         return self.least - (1 - self.near) - 1e-9
 
-    def branches(self, node: int) -> np.ndarray:
-        """The tokens a node branches on: 1 / similarity of them on average, fixed by the node's path."""
+    def branches(self, node: int, many: float | None = None) -> np.ndarray:
+        """The tokens a node branches on: ``many``, or 1 / similarity of them, on average, fixed by the node's path."""
         rng = np.random.default_rng([self.seed, int(node) & (1 << 64) - 1])
-        many = 100 / self.percent
+        many = many or 100 / self.percent
         return rng.choice(self.tokens, int(many) + int(rng.random() < many % 1), replace=False)
 
 
+def missed(p: Join, many: float, levels: int) -> float:
+    """The share of pairs at the threshold, with an estimate of ``least`` or more, that no tree brings together when nodes
+    branch on ``many`` tokens below the roots. All trees share the signature, so the share is averaged over its agreement."""
+    roots, least, total, lost = sum(len(p.branches(tree)) for tree in range(p.trees)), ceil(p.least * p.tokens - 1e-9), 0.0, 0.0
+    for k in range(least, p.tokens + 1):
+        share, gone = k / p.tokens, 0.0
+        for _ in range(levels - 1):
+            none = 1 - share * (1 - gone)
+            gone = none ** int(many) * (1 - many % 1 + many % 1 * none)
+        weight = comb(p.tokens, k) * (p.percent / 100) ** k * (1 - p.percent / 100) ** (p.tokens - k)
+        total, lost = total + weight, lost + weight * (1 - share * (1 - gone)) ** roots
+    return lost / total
+
+
+@cache
+def deep_branches(p: Join) -> float:
+    """The fewest branches below the roots that keep the recall through all shuffled levels and all levels within a task."""
+    many = 100 / p.percent
+    while missed(p, many, 1 + 2 * p.max_levels) > 1 - p.recall:
+        many += 0.02
+    return many
+
+
 def shingles(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes with repeats, bounds of each text)."""
     words, bounds = hash_words(data, starts)
@@ -145,6 +177,7 @@ class Node:
     def __init__(self, p: Join, ids: np.ndarray, sig: np.ndarray, root: np.ndarray | None):
         self.p, self.ids, self.sig, self.root = p, ids, sig, root
         self.parent, self.found = list(range(len(ids))), []
+        self.many = None if root is None else deep_branches(p)
 
     def top(self, x: int) -> int:
         while self.parent[x] != x:
@@ -177,12 +210,19 @@ class Node:
             self.cross(rows[leave], rows[other & (same >= self.p.band)])
         return rows[~leave]
 
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Estimates of all pairs of two sides, token by token."""
+        count = np.zeros((len(x), len(y)), np.uint16)
+        for a, b in zip(self.sig[x].T, self.sig[y].T, strict=True):
+            count += a[:, None] == b
+        return count / self.p.tokens
+
     def cross(self, left: np.ndarray, right: np.ndarray, block: int = 256) -> None:
         """All pairs of the two sides, in blocks."""
         for i in range(0, len(left), block):
             for j in range(0, len(right), block):
                 x, y = left[i : i + block], right[j : j + block]
-                same = (self.sig[x][:, None, :] == self.sig[y][None, :, :]).mean(2)
+                same = self.alike(x, y)
                 m, n = np.nonzero(same >= self.p.least)
                 self.nominate(x[m], y[n], same[m, n])
 
@@ -191,17 +231,24 @@ class Node:
         for i in range(0, len(rows), block):
             for j in range(i, len(rows), block):
                 x, y = rows[i : i + block], rows[j : j + block]
-                same = (self.sig[x][:, None, :] == self.sig[y][None, :, :]).mean(2)
+                same = self.alike(x, y)
                 m, n = np.nonzero(same >= self.p.least)
                 keep = m + i < n + j
                 self.nominate(x[m[keep]], y[n[keep]], same[m[keep], n[keep]])
 
     def settle(self, node: int, rows: np.ndarray, level: int = 0) -> None:
+        if self.root is not None:  # only pairs of different components count
+            _, which, sizes = np.unique(self.root[rows], return_inverse=True, return_counts=True)
+            rest = rows[which != sizes.argmax()]
+            a, b = np.random.default_rng(len(rows)).choice(rows, (2, 128))
+            flat = self.many * (self.sig[a] == self.sig[b]).mean() > 0.8  # branching would save few comparisons
+            if len(rest) * len(rows) <= self.p.pairs or (flat and len(rows) <= 2 * self.p.node_rows):
+                return self.exhaust(rows) if 2 * len(rest) > len(rows) else self.cross(rest, rows)
         if len(rows) > self.p.leaf:
             rows = self.star(rows, node)
         if len(rows) <= self.p.leaf or level >= self.p.max_levels:
             return self.exhaust(rows)
-        for token in self.p.branches(node):
+        for token in self.p.branches(node, self.many):
             order = rows[np.argsort(self.sig[rows, token], kind="stable")]
             for part in np.split(order, np.flatnonzero(np.diff(self.sig[order, token])) + 1):
                 if len(part) > 1:
@@ -253,6 +300,7 @@ def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
 def branch_nodes(rows: DataFrame, p: Join) -> DataFrame:
     """One level for nodes too large for a task. rows: node, id, sig, centre, centre_sig. Gives the classes a of the band
     around the centre b and the rows of child nodes (b null)."""
+    many = deep_branches(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,7 +310,7 @@ def branch_nodes(rows: DataFrame, p: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(ids[near]), pa.array(centre[near]), pa.array(same[near])], ["node", "a", "b", "same"])
             for n in np.unique(node):
                 stay = np.flatnonzero((node == n) & ((same < p.near) | (ids == centre)))
-                for token in p.branches(int(n)):
+                for token in p.branches(int(n), many):
                     child = mark(mix(sig[stay, token].astype(np.uint64) + mix(np.array([n], dtype=np.int64).view(np.uint64) + np.uint64(token + 1))), n & 1).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(ids[stay]), pa.nulls(len(stay), pa.int64()), pa.nulls(len(stay), pa.float64())], ["node", "a", "b", "same"])
 
@@ -281,12 +329,14 @@ def grow_trees(reps: DataFrame, p: Join, scratch: Scratch) -> tuple[DataFrame, D
         large = now.filter(F.col("n") > p.node_rows)
         if large.isEmpty():
             break
-        if level == p.max_levels:  # all pairs of blocks: exact, and bounded in memory
-            blocks = F.ceil(F.col("n") * 2 / p.node_rows).cast("int")
-            mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            block = large.select("node", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            number = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))
-            small.append(block.select(number.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("node").bitwiseAND(F.lit(1))).alias("node"), "id"))
+        # all pairs of blocks: exact, and bounded in memory; those with the first block nominate the forest
+        blocks = F.ceil(F.col("n") * 2 / p.node_rows).cast("int")
+        mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        block = (large if level == p.max_levels else large.filter(blocks <= p.blocks)).select("node", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        number, early = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")), F.when(F.least("mine", "other") == 0, F.col("node").bitwiseAND(F.lit(1))).otherwise(F.lit(0))
+        small.append(block.select(number.bitwiseAND(F.lit(-2)).bitwiseOR(early).alias("node"), "id"))
+        large = large.filter(blocks > p.blocks)
+        if level == p.max_levels or large.isEmpty():
             break
         centres = large.select("node", "centre").distinct().join(sigs.withColumnsRenamed({"id": "centre", "sig": "centre_sig"}), "centre")
         stepped = scratch.write(branch_nodes(large.select("node", "id").join(sigs, "id").join(centres, "node").select("node", "id", "sig", "centre", "centre_sig"), p), f"branch-{level}")

@@ -159,10 +159,28 @@ def test_near_star_loses_no_pair():
 
 def test_near_large_node_keeps_what_hangs_on_a_member(spark):
     rows = hanging(random.Random(8), 80, 6)
-    got = sorted((r.doc_id, r.component_id) for r in near_dup.near_groups(frame(spark, rows), near_dup.Join(node_rows=16, leaf=8, near=0.8)).collect())
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.near_groups(frame(spark, rows), near_dup.Join(node_rows=16, leaf=8, near=0.8, blocks=1)).collect())
     assert got == sorted((i, c) for i, _, c in near_brute(rows))
 
 
+def test_near_recall_holds_at_depth():
+    """A crowd of pairs at 0.6 in one node, and pairs at 0.75 within it: none but the stated share is lost."""
+    rng, p = np.random.default_rng(6), near_dup.Join()
+    core = rng.integers(0, 1 << 16, p.tokens)
+    own = rng.integers(0, 1 << 16, (3000, p.tokens))
+    sig = np.where(rng.random(own.shape) < 0.6**0.5, core, own).astype(np.uint16)
+    other = np.where(rng.random((300, p.tokens)) < 0.75, sig[:300], rng.integers(0, 1 << 16, (300, p.tokens))).astype(np.uint16)
+    sig = np.concatenate([sig, other])
+    work = near_dup.Node(p, np.arange(len(sig)), sig, np.arange(len(sig)))
+    for node in range(3):
+        work.settle(node, np.arange(len(sig)))
+    want = {(i, 3000 + i) for i in range(300) if (sig[i] == sig[3000 + i]).mean() >= p.least}
+    assert len(want) >= 297
+    assert len(want - {tuple(sorted(x)) for x in work.found}) <= 3
+    error = (0.75 * 0.25 / p.tokens) ** 0.5
+    assert p.slack >= 2.99 * error and near_dup.missed(p, near_dup.deep_branches(p), 1 + 2 * p.max_levels) <= 0.001
+
+
 def test_near_empty(spark):
     assert near_dup.near_groups(frame(spark, [])).count() == 0
 
