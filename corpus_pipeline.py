@@ -30,7 +30,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document appears as often as it was taken, the last time perhaps in part."""
     weights = mixing.quality_weights(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.take_mix(docs, mixing.mix_sources(docs, weights))
+    return mixing.take_mix(docs, mixing.mix_sources(docs, weights, keyed=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Members find their group again by (digest, salt), so a hot text is split on the
 
 Defined results: a null text counts as empty; empty texts form one group; a null id loses every tie; rows that
 repeat an id with an equal text belong to one group and count one each in group_size; other columns of the input
-are ignored; an empty table gives an empty result.
+are ignored; an empty table gives an empty result. ``drop_exact_copies`` keeps one row of every group, whatever its id:
+rows are told apart by id and whole text, so repeated and null ids with different texts all stay.
 """
 
 from __future__ import annotations
@@ -58,9 +59,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that stay, one for each group, with all their columns."""
-    winners = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(winners, docs[id_col].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    winners = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_own": sha256(without_spaces(F.coalesce(F.col(text_col), F.lit("")))), "_points": F.length(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = keyed.join(winners, keyed["_id"].eqNullSafe(F.col("_keep")) & (keyed["_own"] == F.col("_sha")), "left_semi")
+    # rows that share an id and a content: one of the longest, as the winner is
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    best = kept.groupBy("_id", "_own").agg(F.max_by(row, "_points").alias("_row"))
+    return best.select("_row.*")
 
 
 ORACLE = r"""

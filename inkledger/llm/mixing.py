@@ -10,6 +10,8 @@ Prefix sums are two-level, so a source with a third of all rows is no single tas
 Defined results: a null text has size 0, and a document or source of size 0 is never taken from; a null source is
 a source of its own, last in order; a null id is hashed as such; rows that repeat an id are documents of their own;
 other columns are ignored; an empty table gives an empty result. Reruns agree, as keys depend on ids and weights only.
+``take_mix`` finds the rows by id, source and text where the takes are ``keyed``, and by id and size where they are not;
+rows that are equal in these are dealt their takes one by one.
 """
 
 from __future__ import annotations
@@ -37,6 +39,16 @@ def uniform(doc_id: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def source_key(source: Column) -> Column:
+    return F.when(source.isNull(), "null").otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
+def row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """A digest of id, source and text."""
+    src = source_key(source)
+    return F.sha2(F.concat_ws("|", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), F.length(src), src, F.coalesce(text, F.lit(""))), 256)
+
+
 def source_targets(totals: DataFrame, share: float, limit: float) -> DataFrame:
     """src, source_size, target. Sources weigh 5, 2, 1, repeating; together they get ``share`` of all words; a target
     stops at ``limit`` times its source. Sources that reach their limit come first in order of limit / weight, so the
@@ -52,13 +64,14 @@ def source_targets(totals: DataFrame, share: float, limit: float) -> DataFrame:
     return t.select("src", "source_size", F.least(F.lit(limit) * F.col("source_size"), F.coalesce(F.col("level") * F.col("w"), F.lit(limit) * F.col("source_size"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, limit: float = 2.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, limit: float = 2.0, bucket_rows: int = BUCKET_ROWS, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, and the row's key if ``keyed``."""
+    own = ["row_key"] if keyed else []
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"), *(row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias(k) for k in own))
     sized = sized.join(weights.select(F.col("doc_id").alias("_w_id"), "weight"), F.col("doc_id") == F.col("_w_id"), "left")
     weight = F.coalesce("weight", F.lit(PLAIN))
-    sized = sized.select("doc_id", "size", "source", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("src"), (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"))
+    sized = sized.select("doc_id", "size", "source", source_key(F.col("source")).alias("src"), (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"), *own)
     sized = scratch.write(sized, "sized")
 
     totals = scratch.write(sized.groupBy("src", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "totals")
@@ -78,14 +91,20 @@ def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, limit:
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *own)
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed corpus: each document once for each whole time it was taken, and its first words for the rest."""
-    takes = mixed.filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    takes = takes.select(F.col("doc_id").alias("_id"), F.expr("cast(_taken div _size as int)").alias("_whole"), (F.col("_taken") % F.col("_size")).cast("int").alias("_part"))
-    rows = docs.join(takes, docs["doc_id"].cast("long") == F.col("_id"))
+    id_and_size = lambda size: F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), size.cast("long"))
+    if "row_key" in mixed.columns:
+        theirs, own = F.col("row_key"), row_key(F.col("doc_id"), F.col("source"), F.col("text"))
+    else:
+        theirs, own = id_and_size(F.col("size")), id_and_size(F.size(words_of(F.col("text"))))
+    nth = lambda order: F.row_number().over(Window.partitionBy("_key").orderBy(order))
+    takes = mixed.filter("taken > 0").withColumn("_key", theirs).withColumn("_nth", nth(F.desc("taken")))
+    takes = takes.select("_key", "_nth", F.expr("cast(taken div size as int)").alias("_whole"), (F.col("taken") % F.col("size")).cast("int").alias("_part"))
+    rows = docs.withColumn("_key", own).withColumn("_nth", nth(F.col("_key"))).join(takes, ["_key", "_nth"])
     copies = F.flatten(F.array(F.array_repeat(F.lit(-1), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>"))))
     rows = rows.withColumn("_words", F.explode(copies))
     text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.col("_words"), F.lit(0))), " "))

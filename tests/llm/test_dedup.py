@@ -56,6 +56,14 @@ def test_exact_keeps_one_row_of_repeats(spark):
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(frame(spark, rows).withColumn("salt", F.lit(1))).collect()) == [2, 3]
 
 
+def test_exact_keeps_different_texts_of_one_id(spark):
+    rows = [(None, f"text {i}") for i in range(30)] + [(None, "text3"), (9, "a b"), (9, "c d"), (9, "cd"), (9, "ab c"), (8, "abc")]
+    got = exact_dedup.drop_exact_copies(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    want = [(None, f"text {i}") for i in range(30)] + [(9, "a b"), (9, "c d"), (9, "ab c")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 # ---------------------------------------------------------------- near
 
 

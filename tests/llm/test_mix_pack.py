@@ -68,6 +68,22 @@ def test_take_repeats_and_cuts(spark):
     assert got == [(1, "a  b\nc", 6), (1, "a b", 3), (2, "d", 1)]
 
 
+def test_take_keeps_rows_without_an_id_of_their_own(spark):
+    rows = [(None, " ".join(f"t{i}w{k}" for k in range(i % 4 + 1)), "en", "a", 0) for i in range(30)] + [(5, "one two three", "en", "a", 0), (5, "four", "en", "b", 0), (5, "four", "en", "b", 0), (5, "six seven", "en", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix_sources(docs, mixing.quality_weights(docs, labels_of(spark)), keyed=True).collect()
+    got = mixing.take_mix(docs, spark.createDataFrame(mixed)).collect()
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in mixed)
+    sizes = {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    wanted = {}
+    for r in mixed:
+        source = next(s for _, t, _, s, _ in rows if len(t.split()) == r.size and sum(len(x.split()) for _, x, _, y, _ in rows if y == s) == r.source_size)
+        wanted[source] = wanted.get(source, 0) + r.taken
+    assert sizes == {k: v for k, v in wanted.items() if v}
+
+
 # ---------------------------------------------------------------- packing
 
 
