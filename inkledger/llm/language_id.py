@@ -5,7 +5,7 @@ it). Languages in which the word's script is not written are ruled out first. Vi
 of labels where every change of language costs ``switch``; runs of one label are the spans of a mixed text, and the
 language with most letters is the text's. The score is that language's share of the letters.
 
-The model is a table of 2^bits entries for each of at most ``max_langs`` languages, learned from at most ``per_lang``
+The model is a table of 2^bits entries for every language (0.26 MB each), learned from at most ``per_lang``
 training documents of each language (those with the smallest hash of their id), whatever the size of the corpus.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without training documents all is ``und``;
@@ -39,7 +39,6 @@ SCRIPTS = 21
 class Params:
     bits: int = 16
     per_lang: int = 2000
-    max_langs: int = 64
     switch: float = 8.0
     smooth: float = 0.5
     worst: float = -12.0
@@ -128,24 +127,27 @@ def gram_words(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, params: Params = Params()) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_fold(F.col("_id"), FOLDS) != HELD))
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect())
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rows.filter(F.col("lang").isin(langs)).select("_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= params.per_lang)
+    chosen = rows.select("_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= params.per_lang)
     sample = rows.join(F.broadcast(chosen.select("_id").distinct()), "_id").select("lang", "text")
     bits, number = params.bits, {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, scripts = np.zeros((len(langs), 1 << bits), np.int64), np.zeros((len(langs), SCRIPTS), np.int64)
+        width = (1 << bits) + SCRIPTS
         for b in batches:
+            seen, letters = [], []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = read_words([text], bits)
                 for k in range(2):
                     at, _ = gram_words(w, k)
-                    grams[number[lang]] += np.bincount(w.grams[k][at], minlength=1 << bits)
-                scripts[number[lang]] += np.bincount(w.script, w.letters, SCRIPTS).astype(np.int64)
-        both = np.concatenate([grams, scripts], 1)
-        lang, at = np.nonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(at), pa.array(both[lang, at])], ["l", "i", "n"])
+                    seen.append(w.grams[k][at].astype(np.int64) + number[lang] * width)
+                scripts = np.bincount(w.script, w.letters, SCRIPTS).astype(np.int64)
+                letters += [(number[lang] * width + (1 << bits) + x, scripts[x]) for x in np.flatnonzero(scripts)]
+            key, n = np.unique(np.concatenate(seen or [np.zeros(0, np.int64)]), return_counts=True)
+            key = np.concatenate([key, np.array([x for x, _ in letters], np.int64)])
+            n = np.concatenate([n, np.array([x for _, x in letters], np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(key // width), pa.array(key % width), pa.array(n)], ["l", "i", "n"])
 
     if not langs:
         return Model(params, [], np.zeros((1 << bits, 0), np.float32), np.zeros((SCRIPTS, 0), bool))
@@ -224,12 +226,14 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                     runs[doc[x]].append({"start": int(w.begin[x] - o), "end": int(w.end[y - 1] - o), "lang": model.langs[labels[x]]})
         return name, letters[np.arange(len(texts)), top] / np.maximum(total, 1), runs
 
+    limit = 2_000_000 * 64 // max(64, len(model.langs))  # scores are words x languages
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, at = b.column(2).to_pylist(), 0
             while at < len(texts):
                 end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end] or "") < 2_000_000):
+                while end < len(texts) and (end == at or held + len(texts[end] or "") < limit):
                     held += len(texts[end] or "")
                     end += 1
                 name, score, runs = some(texts[at:end])

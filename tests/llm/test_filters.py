@@ -129,6 +129,15 @@ def test_language_spans_and_edges(spark, sf):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(80)]
+    rows = [(1000 * i + k, " ".join(rng.choice(vocabulary[i], 30)), f"l{i:02}", "s", 0) for i in range(80) for k in range(12 if i < 64 else 8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert sum(got[i] == lang for i, _, lang, *_ in rows) == len(rows)
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(4)
     first = np.array([0, 0, 5, 6, 12])
