@@ -2,10 +2,11 @@
 
 Every source is a queue of tokens. A window of ``window`` sequences gives each queue a quantum in proportion to its
 weight; what a quantum leaves over (the fraction of a token, or everything once the queue is empty) is carried to the next
-window, so after w windows a queue has been served floor(w * quantum) tokens. That closed form lets every task place its
+window, so after w windows a queue has been served floor(share * v) tokens, v growing by the same step in every window
+until a queue runs dry. That closed form lets every task place its
 own documents: a document's place in its queue follows from the tokens before it in its partition plus a small table of
 tokens per (partition, source), which is how deficits pass from one partition to the next. When a queue runs dry, the
-others share its quantum from the following window on. Documents are cut where a quantum or a sequence ends, so only the
+others share its quantum from the following window on. Every source has a queue of its own, however many there are. Documents are cut where a quantum or a sequence ends, so only the
 last sequence has padding.
 
 The text is tokenised once; token ids are written as a table, and pieces come from a narrow pass over it.
@@ -19,7 +20,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 
 from inkledger.llm.common import Scratch
 
-#: More sources than this share queues by hash; all are packed all the same.
-MAX_QUEUES = 1024
+#: Up to so many queues are summed one by one; with more, the starts of all queues in a window are kept, in so many numbers.
+FEW_QUEUES, KEPT_STARTS = 64, 1 << 23
 #: ASCII punctuation.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -104,38 +104,38 @@ def word_tokens(path: str) -> WordTokens:
     return _tokens[path]
 
 
-@dataclass
-class Phase:
-    """From window ``first`` on, with ``served`` tokens of each queue before it, a window takes ``quantum`` more."""
-
-    first: int
-    served: np.ndarray
-    quantum: np.ndarray
-
-
 class Rounds:
-    """How many tokens of each queue the first w windows hold, and the reverse."""
+    """How many tokens of each queue the first w windows hold, and the reverse. Queues without a weight are served alike
+    once all others are dry. Phases are pairs of numbers, so memory is in proportion to the queues."""
 
     def __init__(self, totals: list[int], weights: list[float], window: int):
-        self.totals = np.array(totals, dtype=np.int64)
-        self.phases: list[Phase] = []
-        share, first, served = np.array(weights, dtype=float), 0, np.zeros(len(totals), dtype=np.int64)
-        while (left := self.totals - served).any():
-            active = np.where(left > 0, share, 0.0)
-            quantum = window * active / active.sum() if active.sum() else window * (left > 0) / (left > 0).sum()
-            self.phases.append(Phase(first, served, quantum))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                lasts = np.where((left > 0) & (quantum > 0), np.ceil(left / quantum), np.inf)
-            first += max(1, int(lasts.min()))
-            served = self.served(np.arange(len(totals)), np.full(len(totals), first))
+        self.totals, share = np.array(totals, dtype=np.int64), np.array(weights, dtype=float)
+        self.late = ~(share > 0)
+        self.share = np.where(self.late, 1.0, share)
+        first, self.starts = 0, {}
+        self.phases: list[np.ndarray] = []  # for queues with and without a weight: first window, v there, step of v
+        for late in (False, True):
+            mine = np.flatnonzero((self.late == late) & (self.totals > 0))
+            v, phases = 0.0, [(0, 0.0, 0.0)]
+            while len(mine):
+                step = window / self.share[mine].sum()
+                phases.append((first, v, step))
+                ahead = max(1, int(np.ceil(((self.totals[mine] / self.share[mine]).min() - v) / step - 1e-9)))
+                first, v = first + ahead, v + ahead * step
+                mine = mine[self.reached(mine, np.full(len(mine), v)) < self.totals[mine]]
+            phases.append((first, v, 0.0))
+            self.phases.append(np.array(phases))
         self.windows = first
 
+    def reached(self, queue: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.minimum(np.floor(self.share[queue] * v * (1 + 1e-13) + 1e-9).astype(np.int64), self.totals[queue])
+
     def served(self, queue: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(windows), dtype=np.int64)
-        for p in self.phases:
-            here = windows >= p.first
-            out[here] = np.minimum(p.served[queue] + np.floor((windows - p.first) * p.quantum[queue]).astype(np.int64), self.totals[queue])[here]
-        return out
+        v = np.zeros(len(windows))
+        for late, phases in enumerate(self.phases):
+            at = np.searchsorted(phases[:, 0], windows, side="right") - 1
+            v = np.where(self.late[queue] == bool(late), phases[at, 1] + (windows - phases[at, 0]) * phases[at, 2], v)
+        return self.reached(queue, v)
 
     def window_of(self, queue: int, place: np.ndarray) -> np.ndarray:
         """The last window that starts at or before a place in the queue."""
@@ -148,7 +148,21 @@ class Rounds:
 
     def before(self, queue: int, windows: np.ndarray) -> np.ndarray:
         """Where the queue's part of a window starts in the packed stream."""
-        return sum((self.served(np.full(len(windows), j), windows + (j < queue)) for j in range(len(self.totals))), np.zeros(len(windows), dtype=np.int64))
+        if len(self.totals) <= FEW_QUEUES:
+            return sum((self.served(np.full(len(windows), j), windows + (j < queue)) for j in range(len(self.totals))), np.zeros(len(windows), dtype=np.int64))
+        each, which = np.unique(windows, return_inverse=True)
+        return np.array([self.starts_of(w)[queue] for w in each.tolist()], dtype=np.int64)[which]
+
+    def starts_of(self, window: int) -> np.ndarray:
+        """Where each queue's part of a window starts."""
+        if window not in self.starts:
+            if len(self.starts) * len(self.totals) > KEPT_STARTS:
+                self.starts.clear()
+            every = np.arange(len(self.totals))
+            opens, ends = (self.served(every, np.full(len(every), w)) for w in (window, window + 1))
+            part = ends - opens
+            self.starts[window] = opens.sum() + np.cumsum(part) - part
+        return self.starts[window]
 
 
 def cut(rounds: Rounds, queue: int, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -195,12 +209,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16,
 
     encoded = scratch.write(rows.mapInArrow(encode, "doc_id long, queue string, part int, ahead long, n long, ids binary"), "encoded")
     counts = encoded.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    names = counts.select("queue").distinct().limit(MAX_QUEUES + 1).count()
-    lane = F.col("queue") if names <= MAX_QUEUES else F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-    # queues that share a lane follow each other within a partition
-    order = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = scratch.write(counts.withColumn("lane", lane).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))), "offsets")
-    lanes = sorted((r[0], r[1]) for r in offsets.groupBy("lane").agg(F.sum("n")).collect())
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch.write(counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))), "offsets")
+    lanes = sorted((r[0], r[1]) for r in offsets.groupBy("queue").agg(F.sum("n")).collect())
     totals = [n for _, n in lanes]
     named = {("null" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
     rounds = Rounds(totals, [float(named.get(k, 0.0)) for k, _ in lanes] if weights else [float(n) for n in totals], window * length)
@@ -209,9 +220,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc_id, lane_of, start, n, blobs = b.column(0), b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4)
-            for k in sorted(set(lane_of)):
-                mine = np.flatnonzero([x == k for x in lane_of])
-                doc, first, end, at = cut(rounds, number[k], start[mine], start[mine] + n[mine], length)
+            own = np.array([number[x] for x in lane_of], dtype=np.int64)
+            by_queue = np.argsort(own, kind="stable")
+            for mine in np.split(by_queue, np.flatnonzero(np.diff(own[by_queue])) + 1) if len(own) else []:
+                doc, first, end, at = cut(rounds, int(own[mine[0]]), start[mine], start[mine] + n[mine], length)
                 doc, crc, last, ids = mine[doc], [], -1, None
                 for d, x, y in zip(doc.tolist(), first.tolist(), end.tolist(), strict=True):
                     if d != last:
@@ -223,6 +235,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16,
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    placed = encoded.join(offsets.select("part", "queue", "lane", "before"), ["part", "queue"])
-    placed = placed.select("doc_id", "lane", (F.col("before") + F.col("ahead")).alias("start"), "n", "ids")
+    placed = encoded.join(offsets.select("part", "queue", "before"), ["part", "queue"])
+    placed = placed.select("doc_id", "queue", (F.col("before") + F.col("ahead")).alias("start"), "n", "ids")
     return placed.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

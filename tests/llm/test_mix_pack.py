@@ -124,6 +124,20 @@ def test_windows_hold_the_proportions():
     assert dry.served(np.array([1, 1]), np.array([2, 3])).tolist() == [100, 200]
 
 
+def test_many_sources_keep_their_weights(spark):
+    """1,100 sources with weights 1 and 3: while none is dry, every window holds a quarter and three quarters."""
+    rows = [(i, " ".join(["and"] * 119), "en", f"s{i}", 0) for i in range(1100)]
+    weights = {f"s{i}": 3.0 if i % 2 else 1.0 for i in range(1100)}
+    pieces = packing.pack(spark.createDataFrame(rows, DOCS), tokenizer_path(), 550, 4, weights=weights).collect()
+    layout(pieces, 550)
+    tokens = {p.doc_id: p.doc_tokens for p in pieces}
+    assert len(tokens) == 1100 and sum(p.length for p in pieces) == sum(tokens.values())
+    for w in range(1, 30):
+        heavy = sum(p.length for p in pieces if p.sequence_id < 4 * w and p.doc_id % 2)
+        assert abs(heavy - 0.75 * 2200 * w) <= 1100
+    assert all(abs(sum(p.length for p in pieces if p.doc_id == i and p.sequence_id < 80) - (60 if i % 2 else 20)) <= 2 for i in range(1100))
+
+
 # ---------------------------------------------------------------- pipeline
 
 
