@@ -3,7 +3,8 @@
 Three base kinds (assign, access, hex) are always reported. Further kinds (key files, signed tokens, credentials in
 addresses, provider tokens, dense blobs) are candidates: each candidate value is hashed, and for every hash the corpus
 tells how many repositories and how many owners hold it. A value of many owners is a widely copied example; a value
-of few owners that looks live (long, dense, no placeholder) is a credential, and its span is added.
+of few owners that looks live (by its kind's rule; mostly long, dense, no placeholder) is a credential, and its span is
+added. Owners alone decide: however often one owner repeats a value, it stays a credential.
 
 A document is a repository; its owner is the owner column, by default the source. Counts are exact: distinct (hash, owner,
 repository) first, then per (hash, owner), then per hash, each with map-side combining, so no copied example is a hot group.
@@ -51,6 +52,15 @@ def dense(value: str) -> bool:
     return entropy >= 3.0 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
+def looks_live(kind: int, value: str) -> bool:
+    """Each kind by its own rule: what stands as a password in an address or as a key file needs no length or mixture."""
+    if KINDS[kind] == "pem":
+        return len(set(value)) >= 4
+    if KINDS[kind] == "url":
+        return len(set(value)) >= 4 and not PLACEHOLDERS.search(value)
+    return dense(value)
+
+
 def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     """(base spans, candidate spans), each (kind, start, end, value)."""
     base, low = [], text.lower()
@@ -85,7 +95,7 @@ def find(docs: DataFrame, owner: Column) -> DataFrame:
             for text in b.column(2).to_pylist():
                 base, more = scan(text or "")
                 joined = written(base)
-                found = [(k, s, e, hashlib.sha256(v.encode("utf-8", "replace")).hexdigest()[:32], dense(v)) for k, s, e, v in base + more]
+                found = [(k, s, e, hashlib.sha256(v.encode("utf-8", "replace")).hexdigest()[:32], looks_live(k, v)) for k, s, e, v in base + more]
                 values = [row, *(sum(x[0] == k for x in base) for k in range(3)), hashlib.sha256(joined.encode()).hexdigest(), joined, [dict(zip(("kind", "start", "end", "hash", "dense"), x, strict=True)) for x in found]]
                 for column, v in zip(out, values, strict=True):
                     column.append(v)

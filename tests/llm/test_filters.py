@@ -103,6 +103,13 @@ def test_ownership_separates_examples(spark):
     assert secret_scan.scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passwords_in_addresses_are_live(spark):
+    rows = [(1, "at db://user:Passw0rd9@host now", "en", "a", 0), (2, "at db://user:changeme@host now", "en", "a", 0)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].n_live == 1 and got[1].spans.startswith("url:")
+    assert got[2].n_live == 0 and got[2].spans == ""
+
+
 # ---------------------------------------------------------------- language
 
 
