@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def result(norm: Column, err: Column) -> Column:
     return F.struct(F.when(err.isNull(), norm).alias("norm"), err.isNull().alias("ok"), err.alias("err"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank(text: Column) -> Column:
     return text.isNull() | (text == "")
 
@@ -31,12 +38,16 @@ def month_number(name: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """First day-month-year of the text as YYYY-MM-DD. The calendar is not consulted: 31/Feb passes."""
     s = norm_digits(text)
-    day, name, year = (F.regexp_extract(s, DATE, i) for i in (1, 2, 3))
-    month, number = month_number(name), year.try_cast("int")
-    number = F.when(number < 100, number + 2000).otherwise(number)
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    err = F.when(blank(text), "EMPTY").when(name == "", "NO_MATCH").when(month.isNull(), "BAD_MONTH")
-    return result(F.concat_ws("-", pad(number, 4), pad(month, 2), pad(day.try_cast("int"), 2)), err)
+
+    def read(g: Column) -> Column:
+        number = g["year"].try_cast("int")
+        number = F.when(number < 100, number + 2000).otherwise(number)
+        err = F.when(blank(text), "EMPTY").when(g["name"] == "", "NO_MATCH").when(g["month"].isNull(), "BAD_MONTH")
+        return result(F.concat_ws("-", pad(number, 4), pad(g["month"], 2), pad(g["day"].try_cast("int"), 2)), err)
+
+    groups = F.struct(*(F.regexp_extract(s, DATE, i).alias(n) for i, n in enumerate(("day", "name", "year"), 1)))
+    return once(groups, lambda g: once(F.struct(g["day"].alias("day"), g["name"].alias("name"), g["year"].alias("year"), month_number(g["name"]).alias("month")), read))
 
 
 def parse_amount(text: Column) -> Column:
@@ -44,19 +55,19 @@ def parse_amount(text: Column) -> Column:
     "1,234" reads 1.23 and an ungrouped "31149.00" reads 0.00, since a token holds three digits at most before a group."""
     s = norm_digits(text)
     token = F.coalesce(F.nullif(F.regexp_extract(s, AMOUNT, 0), F.lit("")), F.regexp_replace(s, r"[^0-9.,]", ""))
-    whole, tail = (F.regexp_extract(token, r"^(.*)[.,](.*)$", i) for i in (1, 2))
-    whole = F.translate(whole, ".,", "")
-    split = whole.rlike("^[0-9]+$") & tail.rlike("^[0-9]{2}")
-    digits = F.regexp_replace(token, r"\D", "")
-    value = F.when(split, F.concat(whole, F.lit("."), F.substring(tail, 1, 2))).when(digits != "", F.concat(digits, F.lit(".00")))
-    err = F.when(blank(text), "EMPTY").when(token == "", "NO_MATCH").when(value.isNull(), "BAD_NUMBER")
-    return result(value.try_cast("double").try_cast("decimal(38,2)").cast("string"), err)
+
+    def read(t: Column) -> Column:
+        whole, tail = F.translate(F.regexp_extract(t, r"^(.*)[.,](.*)$", 1), ".,", ""), F.regexp_extract(t, r"^(.*)[.,](.*)$", 2)
+        digits = F.translate(t, ".,", "")
+        value = F.when(whole.rlike("^[0-9]+$") & tail.rlike("^[0-9]{2}"), F.concat(whole, F.lit("."), F.substring(tail, 1, 2))).when(digits != "", F.concat(digits, F.lit(".00")))
+        return once(value, lambda v: result(v.try_cast("double").try_cast("decimal(38,2)").cast("string"), F.when(blank(text), "EMPTY").when(t == "", "NO_MATCH").when(v.isNull(), "BAD_NUMBER")))
+
+    return once(token, read)
 
 
 def parse_cheque_number(text: Column) -> Column:
     """First word of six or more digits."""
-    number = F.regexp_extract(norm_digits(text), NUMBER, 0)
-    return result(number, F.when(blank(text), "EMPTY").when(number == "", "NO_MATCH"))
+    return once(F.regexp_extract(norm_digits(text), NUMBER, 0), lambda n: result(n, F.when(blank(text), "EMPTY").when(n == "", "NO_MATCH")))
 
 
 def normalize_name(text: Column) -> Column:

@@ -130,8 +130,8 @@ def payee_noisy(text: Column) -> Column:
 
 
 def payee_clean(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(text, r"(?i)\bname\b", ""), r"فرع\s*\S+", "")
-    return collapse_ws(out)
+    """A payee without the words around it (fixed values: name, account label, branch)."""
+    return collapse_ws(repair(text, [(r"(?i)\bname\b", ""), (r"بحاسلا\s*مس", ""), (r"فرع\s*\S+", "")]))
 
 
 def file_ext(name: Column) -> Column:

@@ -17,6 +17,9 @@ from inkledger.functions.parse import parse_field
 from inkledger.functions.validate import THRESHOLD, field_confidence
 
 LINE = ["line_idx", "text", "px", "py", "confidence"]
+# What a payee's line does not hold (labels of sums and payees, the words for cheque, pay, by, this, order and to).
+PAYEE_NOT = r"(?i)\bthe\s+sum\s+of\b|\begp\b|pay\s+.*this\s+cheque\s+.*order\s+of|\bagainst\s+this\s+cheque\b|\bpay\s*to\b|\bpayto\b"
+PAYEE_NOT_AR = r"(?U)شيك|ادفع|دفع|بموجب|هذا|الشيك|ل\s*أ\s*مر|لا\s*مر|لٱمر|لآمر|\bالى\b|\bالي\b"
 
 
 def best(rows: DataFrame, keys: list[str], score: Column, keep: list[str] = LINE) -> DataFrame:
@@ -25,12 +28,6 @@ def best(rows: DataFrame, keys: list[str], score: Column, keep: list[str] = LINE
     return rows.groupBy(*keys).agg(top.alias("w")).select(*keys, "w.*")
 
 
-def best_staged(rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """The row of each key from the earliest stage that has any; within it the highest score, then the first line."""
-    top = F.max_by(F.struct("stage", *keep), F.struct((-F.col("stage")).alias("g"), F.col("score").alias("s"), (-F.col("line_idx")).alias("i")))
-    return rows.groupBy(*keys).agg(top.alias("w")).select(*keys, "w.*")
-
-
 def inside(x1: str, y1: str, x2: str, y2: str) -> Column:
     return F.col("px").between(F.col(x1), F.col(x2)) & F.col("py").between(F.col(y1), F.col(y2))
 
@@ -131,7 +128,7 @@ def payee_way() -> Way:
     high = F.when(both, int(0.22 * HEIGHT)).otherwise(int(0.20 * HEIGHT))
     t, n = F.col("text"), F.length("text")
     arabic = F.length(F.regexp_replace(t, "[^\u0600-\u06ff]", ""))
-    label = t.rlike(r"(?i)\bthe\s+sum\s+of\b|\begp\b|pay\s+.*this\s+cheque\s+.*order\s+of|\bagainst\s+this\s+cheque\b|\bpay\s*to\b|\bpayto\b") | t.rlike(r"شيك|دفع|بموجب|هذا|لا\s*مر|لٱمر|لآمر|ل\s*أ\s*مر")
+    label = t.rlike(PAYEE_NOT) | t.rlike(PAYEE_NOT_AR)
     place = F.col("px").between(left, right) & F.col("py").between(top, top + high) & (total["py"].isNull() | (F.col("py") <= total["py"] - int(0.02 * HEIGHT)))
     shape = (F.col("confidence") >= 0.6) & ~label & (txt.digit_ratio(t) <= 0.3) & ((arabic >= 6) | ((arabic == 0) & (n >= 6)))
     score = F.col("confidence") - 0.6 * F.abs(F.col("py") - row) / HEIGHT + F.when(arabic > 0, 0.1).otherwise(0.0) + F.when(t.rlike("شركة|شركه"), 0.2).otherwise(0.0)
@@ -207,6 +204,11 @@ def locate_fields(lines: DataFrame, fields: DataFrame, anchor_rules: DataFrame)
     return boxed.unionByName(rest.select("doc_id", "name", "method", "confidence", F.lit(None).cast("string").alias("text"), *(F.col(f"r{n}").cast("int").alias(n) for n in ("x1", "y1", "x2", "y2"))))
 
 
+def without_template(lines: DataFrame, fields: DataFrame) -> DataFrame:
+    """Lines of documents whose bank has no template. The table of templates is small; the planner broadcasts it by its size."""
+    return lines.join(fields.select("bank_code").distinct(), "bank_code", "left_anti")
+
+
 def locate_unknown(lines: DataFrame) -> DataFrame:
     """Fields of documents without a template: three by pattern, the payee by score, the bank unknown."""
     t, n = F.col("text"), F.length("text")
@@ -245,61 +247,7 @@ def near_label(lines: DataFrame, label: str = txt.NO_LABEL) -> DataFrame:
     return lines.join(near, ["doc_id", "line_idx"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-# ---------------------------------------------------------------- rule sets of banks
-
-
-def tokens(rows: DataFrame, stage: Column | int, token: Column, score: Column, when: Column, bank: str, field: str = "cheque_number") -> DataFrame:
-    """Candidates of a stage: doc_id, name, stage, score, line_idx, token, confidence, px, py."""
-    stage = stage if isinstance(stage, Column) else F.lit(stage)
-    out = rows.filter((F.col("bank_code") == bank) & when).withColumn("token", token).filter("token is not null and token <> ''")
-    return out.select("doc_id", F.lit(field).alias("name"), stage.cast("int").alias("stage"), score.alias("score"), "line_idx", "token", "confidence", "px", "py")
-
-
-def exact(n: int) -> Column:
-    return F.nullif(F.regexp_extract("text", rf"(?<!\d)\d{{{n}}}(?!\d)", 0), F.lit(""))
-
-
-def winner(candidates: list[DataFrame]) -> DataFrame:
-    rows = candidates[0]
-    for more in candidates[1:]:
-        rows = rows.unionByName(more)
-    return best_staged(rows, ["doc_id", "name"], ["line_idx", "token", "confidence", "px", "py"])
-
-
-def rule_bm(lines: DataFrame, amount_boxes: DataFrame) -> DataFrame:
-    """Eight digits alone on their line and outside the amount: beside a label, then in the middle band, a broad band, anywhere."""
-    t = F.col("text")
-    clean = ~txt.micr_like(t, ':"', 12) & ~txt.amount_like(t)
-    token = F.coalesce(exact(8), txt.digit_join(t, (4, 4)))
-    rows = outside_boxes(lines.filter(clean), amount_boxes)
-    own = txt.token_isolated(exact(8), t) | exact(8).isNull()
-    band = F.when(F.col("py").between(0.30 * HEIGHT, 0.55 * HEIGHT), 1).when(F.col("py").between(0.01 * HEIGHT, 0.60 * HEIGHT), 2).otherwise(3)
-    beside = beside_label(lines, r"(?i)\bcheque\b", r"\d{8}|\d{4}\D{1,3}\d{4}", 0.05, 0.3).filter(clean & (F.col("px") <= 0.68 * WIDTH))
-    return winner([tokens(beside, 0, token, F.col("score"), own, "BANQUE_MISR"), tokens(rows, band, token, F.col("confidence"), own, "BANQUE_MISR")])
-
-
-def rule_nbe(lines: DataFrame) -> DataFrame:
-    """Fourteen digits: near a label (less for distance, and for joined halves), else the best of the document."""
-    t = F.col("text")
-    token, joined = F.coalesce(exact(14), txt.digit_join(t, (7, 7))), exact(14).isNull()
-    quiet = ~txt.micr_like(t, ":", 16)
-    penalty = F.when(joined, 0.10).otherwise(0.0)
-    beside = beside_label(lines, r"(?i)\bcheque\b", r"\d{7}", 0.25, 0.25).filter(quiet)
-    near = F.col("score") - 0.35 * F.abs(F.col("py") - F.col("ly")) / (0.25 * HEIGHT) - penalty
-    return winner([tokens(beside, 0, token, near, F.lit(True), "NBE"), tokens(lines.filter(quiet), 1, token, F.col("confidence") - penalty, F.lit(True), "NBE")])
-
-
-def rule_aaib(lines: DataFrame, denied: DataFrame) -> DataFrame:
-    """Nine digits that are not denied, with bonuses for place, a label near by and a leading zero. denied: token."""
-    t = F.col("text")
-    score = F.col("confidence") + F.when(F.col("py") <= 0.40 * HEIGHT, 0.15).otherwise(0.0) + F.when(F.col("px") <= 0.50 * WIDTH, 0.10).otherwise(0.0) + F.when(F.col("near"), 0.10).otherwise(0.0) + F.when(t.startswith("0"), 0.05).otherwise(0.0)
-    found = tokens(near_label(lines.filter("bank_code = 'AAIB'"), r"(?i)\bcheque\b"), 0, exact(9), score, ~txt.micr_like(t, ":", 16), "AAIB")
-    return winner([found.join(denied, "token", "left_anti")])
-
-
-def rule_fab(lines: DataFrame, prefix: str = "44139") -> DataFrame:
-    """Eight digits, those with the usual prefix first."""
-    return winner([tokens(lines, 0, exact(8), F.col("confidence") + F.when(exact(8).startswith(prefix), 1.0).otherwise(0.0), ~txt.micr_like(F.col("text"), ":", 16), "FABMISR")])
+# ---------------------------------------------------------------- ranked numbers
 
 
 def cib_rank(lines: DataFrame) -> DataFrame:
@@ -310,53 +258,6 @@ def cib_rank(lines: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by(F.struct("line_idx", "token", "confidence", "px", "py"), key).alias("w")).select("doc_id", "w.*")
 
 
-def rule_cib(lines: DataFrame) -> DataFrame:
-    """Twelve digits in the upper band by score, then any exact twelve, then the ranked fallback."""
-    t = F.col("text")
-    token, joined = F.coalesce(exact(12), txt.digit_join(t, (4, 4, 4)), txt.digit_join(t, (6, 6))), exact(12).isNull()
-    dist, vdist = F.abs(F.col("px") - 0.5 * WIDTH) / (0.5 * WIDTH), F.abs(F.col("py") - 0.25 * HEIGHT) / (0.25 * HEIGHT)
-    score = F.col("confidence") - 0.3 * dist - 0.2 * vdist - 0.05 * txt.leading_zeros(token) - F.when(joined, 0.10).otherwise(0.0)
-    plain = ~t.rlike('[A-Za-z:"]')
-    own = lines.filter("bank_code = 'CIB'")
-    ranked = cib_rank(own).select("doc_id", F.lit("cheque_number").alias("name"), F.lit(2).alias("stage"), F.lit(0.0).alias("score"), "line_idx", "token", "confidence", "px", "py")
-    return winner([tokens(own, 0, token, score, plain & F.col("px").between(0.2 * WIDTH, 0.8 * WIDTH) & (F.col("py") <= 0.45 * HEIGHT), "CIB"), tokens(own, 1, exact(12), F.col("confidence"), F.lit(True), "CIB"), ranked])
-
-
-def rule_date(lines: DataFrame) -> DataFrame:
-    """Dates of two banks: in the region, beside the label, anywhere; months repaired."""
-    t = F.col("text")
-    fixed = F.when(F.col("bank_code") == "AAIB", txt.repair(t, txt.REPAIR_A)).otherwise(txt.repair(t, txt.REPAIR_B))
-    rows = lines.filter(F.col("bank_code").isin("AAIB", "NBE")).withColumn("text", fixed)
-    token = F.nullif(F.regexp_extract("text", txt.DATE_LOOSE, 0), F.lit(""))
-    beside = beside_label(lines.filter(F.col("bank_code").isin("AAIB", "NBE")).withColumn("text", F.when(t.rlike(r"(?i)^dat[ce]$"), t).otherwise(fixed)), r"(?i)\bdat[ce]\b", txt.DATE_LOOSE, 0.05, 0.15)
-    region = (F.col("px") >= 0.55 * WIDTH) & (F.col("py") <= 0.35 * HEIGHT)
-    parts = [tokens(rows, 0, token, F.col("confidence"), region, "AAIB", "date")]
-    for bank in ("AAIB", "NBE"):
-        parts += [tokens(beside, 1, token, F.col("score"), F.lit(True), bank, "date"), tokens(rows, 2, token, F.col("confidence"), F.lit(True), bank, "date")]
-    return winner(parts)
-
-
-def rule_amount(lines: DataFrame) -> DataFrame:
-    """Amounts of two banks: a decimal amount in the right band, then anywhere; contaminated lines never."""
-    token = F.nullif(F.regexp_extract("text", txt.AMOUNT_DECIMAL, 0), F.lit(""))
-    clean = ~txt.amount_noise(F.col("text"))
-    parts = [tokens(lines, 0, token, F.col("confidence"), clean & (F.col("px") >= 0.60 * WIDTH), "NBE", "amount_numeric"), tokens(lines, 1, token, F.col("confidence"), clean, "NBE", "amount_numeric"), tokens(lines, 0, token, F.col("confidence"), clean, "FABMISR", "amount_numeric")]
-    return winner(parts)
-
-
-def rule_payee(lines: DataFrame) -> DataFrame:
-    """Payees of two banks: a clean Arabic line in the name box, then one right of the pay-to label."""
-    t = F.col("text")
-    fine = txt.has_arabic(t) & ~txt.payee_noisy(t)
-    box = F.col("px").between(0.05 * WIDTH, 0.85 * WIDTH) & F.col("py").between(0.25 * HEIGHT, 0.55 * HEIGHT)
-    labels = lines.filter(t.rlike(r"(?i)\bpay\s*to\b")).select("doc_id", F.col("px").alias("lx"), F.col("py").alias("ly"))
-    beside = lines.join(labels, "doc_id").filter((F.abs(F.col("py") - F.col("ly")) <= 0.08 * HEIGHT) & (F.col("px") >= F.col("lx")))
-    parts = []
-    for bank in ("NBE", "AAIB"):
-        parts += [tokens(lines, 0, txt.payee_clean(t), F.col("confidence"), fine & box, bank, "name"), tokens(beside, 1, txt.payee_clean(t), F.col("confidence") - 0.15 * (F.col("px") - F.col("lx")) / (0.5 * WIDTH), fine, bank, "name")]
-    return winner(parts)
-
-
 def tail_cib(text: Column) -> Column:
     """The first group of twelve digits, else of ten to thirteen the one nearest to twelve (the longer on ties), else the text."""
     groups = F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit(r"(\d+)"), 1)
@@ -368,11 +269,11 @@ def tail_cib(text: Column) -> Column:
 # ---------------------------------------------------------------- records
 
 
-def field_records(chosen: DataFrame) -> DataFrame:
+def field_records(chosen: DataFrame, names: bool = False, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Parsed and scored records. chosen: doc_id, name, text, ocr_conf, loc_conf. A field is valid when it meets the threshold."""
-    parsed = chosen.withColumn("p", parse_field(F.col("name"), F.col("text")))
+    parsed = chosen.withColumn("p", parse_field(F.col("name"), F.col("text"), names))
     conf = F.round(field_confidence(F.col("ocr_conf"), F.col("loc_conf"), F.col("p.ok")), 6)
-    return parsed.select("doc_id", "name", F.col("text").alias("ocr_text"), F.col("p.norm").alias("parse_norm"), F.col("p.ok").alias("parse_ok"), conf.alias("field_conf"), (conf >= THRESHOLD).alias("meets_threshold"))
+    return parsed.select("doc_id", *keep, "name", F.col("text").alias("ocr_text"), F.col("p.norm").alias("parse_norm"), F.col("p.ok").alias("parse_ok"), conf.alias("field_conf"), (conf >= THRESHOLD).alias("meets_threshold"))
 
 
 def assemble_rtl(lines: DataFrame) -> DataFrame:

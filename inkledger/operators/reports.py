@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkledger.functions.geometry import normalized
 from inkledger.functions.text import DATE_STRICT
+from inkledger.operators.extract import best, preference
 
 
 def ocr_summary(lines: DataFrame) -> DataFrame:
@@ -53,3 +54,25 @@ def roi_vote(lines: DataFrame) -> DataFrame:
 def span_rollup(spans: DataFrame) -> DataFrame:
     """Top-level spans with a duration, by name: count and milliseconds. spans: name, dur (seconds), parent."""
     return spans.filter("parent is null and dur > 0").groupBy("name").agg(F.count("*").alias("n"), F.sum(F.expr("cast(dur * 1000 as bigint)")).alias("ms"))
+
+
+def locator_report(located: DataFrame, errors: DataFrame) -> DataFrame:
+    """The locator's evaluation with a row for every document that has none. located: file, bank, field, method, confidence,
+    bbox_*, pattern_text, roi_text, match_flag; errors: file, bank, error."""
+    empty = [F.lit("").alias(c) for c in ("method", "confidence", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")]
+    failed = errors.select("file", "bank", F.lit("<error>").alias("field"), *empty, F.col("error").alias("pattern_text"), F.lit("").alias("roi_text"), F.lit("0").alias("match_flag"))
+    shown = located.withColumns({"confidence": F.round("confidence", 3).cast("decimal(12,3)"), "match_flag": F.col("match_flag").cast("int")})
+    return shown.select("file", "bank", "field", "method", *(F.col(c).cast("string").alias(c) for c in ("confidence", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")), "pattern_text", "roi_text", F.col("match_flag").cast("string").alias("match_flag")).unionByName(failed)
+
+
+def field_ocr_report(lines: DataFrame, boxes: DataFrame) -> DataFrame:
+    """For every document and field of its template the text read in the field's own rectangle: payees on Arabic lines, all else
+    on English ones, empty where there is none. boxes: bank_code, name, rx1, ry1, rx2, ry2."""
+    pages = lines.groupBy("doc_id").agg(F.first("bank_code").alias("bank_code"))
+    wanted = F.when(F.col("name") == "name", "ar").otherwise("en")
+    inside = F.col("px").between(F.col("rx1"), F.col("rx2")) & F.col("py").between(F.col("ry1"), F.col("ry2"))
+    hits = lines.join(boxes.select("bank_code", "name", "rx1", "ry1", "rx2", "ry2"), "bank_code").filter(inside & (F.col("lang") == wanted)).withColumn("rank", preference(F.col("name"), F.col("text"), False))
+    chosen = best(hits, ["doc_id", "name"], F.struct((-F.col("rank")).alias("r"), F.col("confidence").alias("c")), ["text", "confidence", "lang"])
+    rows = pages.join(boxes, "bank_code").join(chosen, ["doc_id", "name"], "left")
+    conf = F.round(F.coalesce("confidence", F.lit(0.0)), 3).cast("decimal(12,3)").cast("string")
+    return rows.select(F.col("doc_id").cast("string").alias("file"), F.col("bank_code").alias("bank"), F.col("name").alias("field"), F.coalesce("text", F.lit("")).alias("text"), conf.alias("confidence"), F.coalesce("lang", F.lit("")).alias("lang"), *(F.col(f"r{c}").alias(f"roi_{c}") for c in ("x1", "y1", "x2", "y2")))

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as txt
-from inkledger.functions.validate import similarity, validate_payee
+from inkledger.functions.geometry import bbox_around
+from inkledger.functions.validate import validate_payee
+from inkledger.operators import bank_rules as rules
 from inkledger.operators import extract as ex
-from inkledger.operators import reports, route
+from inkledger.operators import match, pipeline, reports
 from inkledger.plans.domain import Registry, view
+from inkledger.plans.scalars import parsed_sql
+from inkledger.sources import readers, work, writers
 
 REG = Registry()
 PICK = ["doc_id", "name", "line_idx", "text"]
@@ -46,8 +50,8 @@ REG.add("union_langs", lambda s, d: tok(s, d).filter("lang = 'en'").withColumn("
 # ---------------------------------------------------------------- choosing a text
 NAMES = ["date", "cheque_number", "amount_numeric"]
 _LOOSE = r"(?i)(?:^|[^0-9])[0-9]{1,2}\s*[/\-.]?\s*(?:0ct|0ec|[A-Za-z]{3})\s*[/\-.]?\s*[0-9]{2,4}(?:[-.][0-9]{1,2})?(?:[^0-9]|$)"
-_RANK_LIVE = rf"CASE name WHEN 'amount_numeric' THEN CASE WHEN regexp_matches(text, '\b\d{{1,3}}(?:[.,]\d{{3}})*[.,]\d{{2}}\b') THEN 0 WHEN regexp_matches(text, '\b\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}})?\b') THEN 1 ELSE 2 END WHEN 'date' THEN CASE WHEN regexp_matches(text, '{_LOOSE}') THEN 0 ELSE 1 END ELSE CASE WHEN regexp_matches(text, '\b\d{{6,}}\b') THEN 0 ELSE 1 END END"
-_RANK_EVAL = r"CASE name WHEN 'amount_numeric' THEN CASE WHEN regexp_matches(text, '\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b') THEN 0 ELSE 1 END WHEN 'date' THEN CASE WHEN regexp_matches(text, '\b\d{1,2}[/-][A-Za-z0-9]{3}[/-]\d{2,4}\b') THEN 0 ELSE 1 END ELSE CASE WHEN regexp_matches(text, '\b\d{6,}\b') THEN 0 ELSE 1 END END"
+_RANK_LIVE = rf"CASE name WHEN 'amount_numeric' THEN CASE WHEN regexp_matches(text, '\b\d{{1,3}}(?:[.,]\d{{3}})*[.,]\d{{2}}\b') THEN 0 WHEN regexp_matches(text, '\b\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}})?\b') THEN 1 ELSE 2 END WHEN 'date' THEN CASE WHEN regexp_matches(text, '{_LOOSE}') THEN 0 ELSE 1 END WHEN 'cheque_number' THEN CASE WHEN regexp_matches(text, '\b\d{{6,}}\b') THEN 0 ELSE 1 END ELSE 0 END"
+_RANK_EVAL = r"CASE name WHEN 'amount_numeric' THEN CASE WHEN regexp_matches(text, '\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b') THEN 0 ELSE 1 END WHEN 'date' THEN CASE WHEN regexp_matches(text, '\b\d{1,2}[/-][A-Za-z0-9]{3}[/-]\d{2,4}\b') THEN 0 ELSE 1 END WHEN 'cheque_number' THEN CASE WHEN regexp_matches(text, '\b\d{6,}\b') THEN 0 ELSE 1 END ELSE 0 END"
 _EVERY = "SELECT t.*, n.name FROM v_token t CROSS JOIN (VALUES ('date'), ('cheque_number'), ('amount_numeric')) n(name)"
 
 
@@ -75,8 +79,40 @@ def _right_sql(anchor: str, name: str, rx: str, wide: float, high: float) -> str
 
 REG.add("locate_date_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.date_way()).select(*PICK), _right_sql("date_label", "date", r"(?i)(?:^|[^0-9])[0-9]{1,2}\s*[/.\-]?\s*(?:0ct|0ec|[A-Za-z]{3})\s*[/.\-]?\s*[0-9]{2,4}\b", 0.35, 0.22))
 REG.add("locate_amount_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.amount_way()).select(*PICK), _right_sql("egp_label", "amount_numeric", r"\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", 0.40, 0.25))
-REG.add("locate_payee", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.payee_way()).select(*PICK, "method"))
-REG.add("locate_cheque", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.cheque_way()).select(*PICK, "method"))
+def scan(s: SparkSession, d: str) -> DataFrame:
+    return view(s, d, "v_scan")
+
+
+def scan_points(s: SparkSession, d: str) -> DataFrame:
+    return ex.anchor_points(ex.anchors(scan(s, d), view(s, d, "v_anchor")))
+
+
+def between_anchors_sql(en: str, ar: str, top: str, left: str, right: str, score: str, when: str, method: str, name: str) -> str:
+    """Lines with the points of two anchors (ex, ey, ax, ay, NULL where missing), a region of its own for both, one or the other."""
+    found = ANCHORS.replace("v_token", "v_scan")
+    area = f"a AS ({found}), e AS (SELECT doc_id AS de, px AS ex, py AS ey FROM a WHERE name = '{en}'), r AS (SELECT doc_id AS da, px AS ax, py AS ay FROM a WHERE name = '{ar}'), q AS (SELECT *, de IS NOT NULL AND da IS NOT NULL AS two FROM v_scan LEFT JOIN e ON doc_id = de LEFT JOIN r ON doc_id = da WHERE de IS NOT NULL OR da IS NOT NULL), w AS (SELECT *, {top} AS top, {left} AS lo, {right} AS hi FROM q)"
+    return f"WITH {area} SELECT doc_id, '{name}' AS name, line_idx, text, '{method}' AS method, py FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {score} DESC, line_idx) AS nth FROM w WHERE px BETWEEN lo AND hi AND {when}) WHERE nth = 1"
+
+
+_MID = "CAST(floor((ey + ay) / 2) AS INT)"
+_ARABIC, _DIGIT = "length(regexp_replace(text, '[^؀-ۿ]', '', 'g'))", "length(regexp_replace(text, '[^0-9]', '', 'g'))"
+PAYEE_SQL = between_anchors_sql(
+    "pay_to_label", "pay_to_label_ar", f"greatest(0, CASE WHEN two THEN {_MID} - 67 ELSE coalesce(ey, ay) - 54 END)",
+    "CASE WHEN two THEN least(ex, ax) + 33 WHEN ex IS NOT NULL THEN ex + 34 ELSE 0 END", "CASE WHEN two THEN greatest(ex, ax) - 33 WHEN ex IS NOT NULL THEN 1677 ELSE ax - 34 END",
+    f"confidence - 0.6 * abs(py - CASE WHEN two THEN {_MID} ELSE coalesce(ey, ay) END) / 677 + CASE WHEN {_ARABIC} > 0 THEN 0.1 ELSE 0 END + CASE WHEN contains(text, 'شركة') THEN 0.2 ELSE 0 END - CASE WHEN length(text) < 10 THEN 0.2 ELSE 0 END - CASE WHEN two THEN 0.4 * abs(px - (lo + hi) / 2) / 1677 ELSE 0 END",
+    rf"py BETWEEN top AND top + CASE WHEN two THEN 148 ELSE 135 END AND confidence >= 0.6 AND NOT regexp_matches(text, '(?i)\begp\b|pay to|شيك') AND {_DIGIT} <= 0.3 * length(text) AND ({_ARABIC} >= 6 OR ({_ARABIC} = 0 AND length(text) >= 6))",
+    "anchor_payee_scored", "name",
+)
+REG.add("locate_payee", lambda s, d: ex.locate_by(scan(s, d), scan_points(s, d), ex.payee_way()).select(*PICK, "method"), f"SELECT doc_id, name, line_idx, text, method FROM ({PAYEE_SQL})")
+_LONG = r"CASE WHEN regexp_matches(text, '\d{10,}') THEN regexp_extract_all(text, '\d{10,16}') ELSE regexp_extract_all(text, '\d{6,}') END"
+CHEQUE_SQL = between_anchors_sql(
+    "cheque_label", "cheque_label_ar", f"CASE WHEN two THEN least(greatest(0, {_MID} - 40), 270) ELSE greatest(0, coalesce(ey, ay) - 40) END",
+    "CASE WHEN two THEN least(ex, ax) + 33 WHEN ex IS NOT NULL THEN ex ELSE 0 END", "CASE WHEN two THEN greatest(ex, ax) - 33 WHEN ex IS NOT NULL THEN least(1677, ex + 754) ELSE least(ax, 804) END",
+    f"round(confidence + 0.5 * greatest(0.0, {_DIGIT} / length(regexp_replace(text, '\\s+', '', 'g')) - 0.6) - 0.3 * list_min(list_transform({_LONG}, lambda g: abs(length(g) - CASE WHEN bank_code = 'NBE' THEN 14 ELSE 12 END))), 9)",
+    rf"py BETWEEN top AND top + 94 AND bank_code NOT IN ('BANQUE_MISR', 'CIB', 'AAIB') AND NOT regexp_matches(text, '[A-Za-z:\"]') AND regexp_matches(text, '\d{{6,}}')",
+    "anchor_cheque_band", "cheque_number",
+)
+REG.add("locate_cheque", lambda s, d: ex.locate_by(scan(s, d), scan_points(s, d), ex.cheque_way()).select(*PICK, "method"), f"SELECT doc_id, name, line_idx, text, method FROM ({CHEQUE_SQL}) WHERE py <= 372")
 _DOCS = "SELECT DISTINCT doc_id, bank_code FROM v_token"
 REG.add(
     "locate_fallback", lambda s, d: ex.locate_fallback(tok(s, d).select("doc_id", "bank_code").distinct(), fields(s, d), ex.locate_pattern(tok(s, d), fields(s, d))),
@@ -84,7 +120,7 @@ REG.add(
 )
 REG.add("locate_fields", lambda s, d: ex.locate_fields(tok(s, d), fields(s, d), view(s, d, "v_anchor")))
 _UNKNOWN = r"SELECT t.*, 'date' AS name FROM v_token t WHERE regexp_matches(text, '(?i)\b\d{1,2}[/\-][A-Za-z]{3}[/\-]\d{2,4}\b') UNION ALL SELECT t.*, 'amount_numeric' AS name FROM v_token t WHERE regexp_matches(text, '\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b') UNION ALL SELECT t.*, 'cheque_number' AS name FROM v_token t WHERE regexp_matches(text, '\b\d{6,}\b')"
-REG.add("locate_unknown", lambda s, d: ex.locate_unknown(tok(s, d).filter("bank_code = 'AAIB'")), f"SELECT doc_id, name, text, confidence, 'unknown_regex' AS method FROM ({pick_sql(_UNKNOWN, 'doc_id, name, bank_code', 'confidence DESC, line_idx', 'text, confidence')}) WHERE bank_code = 'AAIB' UNION ALL SELECT DISTINCT doc_id, 'bank_name' AS name, 'UNKNOWN' AS text, 0.5::DOUBLE AS confidence, 'unknown_bank' AS method FROM v_token WHERE bank_code = 'AAIB'")
+REG.add("locate_unknown", lambda s, d: ex.locate_unknown(ex.without_template(tok(s, d), fields(s, d))), f"SELECT doc_id, name, text, confidence, 'unknown_regex' AS method FROM ({pick_sql(_UNKNOWN, 'doc_id, name, bank_code', 'confidence DESC, line_idx', 'text, confidence')}) WHERE bank_code = 'AAIB' UNION ALL SELECT DISTINCT doc_id, 'bank_name' AS name, 'UNKNOWN' AS text, 0.5::DOUBLE AS confidence, 'unknown_bank' AS method FROM v_token WHERE bank_code = 'AAIB'")
 
 
 def locator_eval(s: SparkSession, d: str) -> DataFrame:
@@ -96,21 +132,126 @@ def locator_eval(s: SparkSession, d: str) -> DataFrame:
 
 
 _FP = lambda c: rf"lower(substr(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g'), 1, 128))"
-REG.add("locator_eval", locator_eval, f"SELECT l.doc_id, l.name, l.text AS pattern_text, coalesce(r.text, '') AS roi_text, {_FP('l.text')} = {_FP('coalesce(r.text, chr(32))')} AND {_FP('l.text')} <> '' AS match_flag FROM ({pick_sql(_HIT.format('v_tfield'), 'doc_id, name', 'confidence DESC, line_idx', 'line_idx, text')}) l LEFT JOIN ({pick_sql('SELECT t.*, name FROM v_token t JOIN v_tfield r ON t.bank_code = r.bank_code WHERE px BETWEEN rx1 AND rx2 AND py BETWEEN ry1 AND ry2', 'doc_id, name', 'confidence DESC, line_idx', 'line_idx, text')}) r ON l.doc_id = r.doc_id AND l.name = r.name")
+LOCATOR_SQL = f"SELECT l.doc_id, l.name, l.text AS pattern_text, coalesce(r.text, '') AS roi_text, {_FP('l.text')} = {_FP('coalesce(r.text, chr(32))')} AND {_FP('l.text')} <> '' AS match_flag FROM ({pick_sql(_HIT.format('v_tfield'), 'doc_id, name', 'confidence DESC, line_idx', 'line_idx, text')}) l LEFT JOIN ({pick_sql('SELECT t.*, name FROM v_token t JOIN v_tfield r ON t.bank_code = r.bank_code WHERE px BETWEEN rx1 AND rx2 AND py BETWEEN ry1 AND ry2', 'doc_id, name', 'confidence DESC, line_idx', 'line_idx, text')}) r ON l.doc_id = r.doc_id AND l.name = r.name"
+REG.add("locator_eval", locator_eval, LOCATOR_SQL)
 
 # ---------------------------------------------------------------- rule sets
-RULE = ["doc_id", "name", "stage", "line_idx", "token"]
-REG.add("rule_bm", lambda s, d: ex.rule_bm(tok(s, d), boxes(s, d)).select(*RULE))
-REG.add("rule_nbe", lambda s, d: ex.rule_nbe(tok(s, d)).select(*RULE))
-REG.add("rule_aaib", lambda s, d: ex.rule_aaib(tok(s, d), tok(s, d).filter("bank_code = 'AAIB' and line_idx = 0").select(F.regexp_extract("text", r"(\d{9})", 1).alias("token")).distinct()).select(*RULE))
+RULE = ["doc_id", "name", "source", "line_idx", "token"]
+
+
+def amount_boxes(s: SparkSession, d: str) -> DataFrame:
+    return scan(s, d).filter("text = 'EGP'").select("doc_id", F.col("px").alias("x1"), F.col("py").alias("y1"), (F.col("px") + 200).alias("x2"), (F.col("py") + 60).alias("y2"))
+
+
+def payee_boxes(s: SparkSession, d: str) -> DataFrame:
+    banks = scan(s, d).select("doc_id", "bank_code").distinct()
+    return banks.join(fields(s, d).filter("name = 'name'"), "bank_code").select("doc_id", F.col("rx1").alias("x1"), F.col("ry1").alias("y1"), F.col("rx2").alias("x2"), F.col("ry2").alias("y2"))
+
+
+def page_sql(bank: str, more: str = "") -> str:
+    return f"SELECT *, line_idx + CASE WHEN lang = 'en' THEN 0 ELSE 1099511627776 END AS ord, regexp_replace(text, '[^0-9]', '', 'g') AS dg{more} FROM v_scan WHERE bank_code = '{bank}'"
+
+
+def run_sql(n: int) -> str:
+    return f"nullif(regexp_extract(text, '(?:^|[^0-9])([0-9]{{{n}}})(?:[^0-9]|$)', 1), '')"
+
+
+def join_sql(n: int) -> str:
+    return rf"nullif(concat(regexp_extract(text, '(?:^|[^0-9])([0-9]{{{n}}})[^0-9]{{1,3}}([0-9]{{{n}}})(?:[^0-9]|$)', 1), regexp_extract(text, '(?:^|[^0-9])([0-9]{{{n}}})[^0-9]{{1,3}}([0-9]{{{n}}})(?:[^0-9]|$)', 2)), '')"
+
+
+def point_sql(when: str, a: str, b: str) -> str:
+    """The most confident line of a document that is a label."""
+    return f"SELECT doc_id AS d_{a}, px AS {a}, py AS {b} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, ord) AS nth FROM p WHERE {when}) WHERE nth = 1"
+
+
+def staged_sql(name: str, head: str, parts: list[tuple[str, int, str, str]], keep: str = "true") -> str:
+    """Of candidates (source, group, score, FROM ...) the best of the first group that has any; earlier parts win ties."""
+    found = " UNION ALL ".join(f"SELECT doc_id, '{src}' AS source, {g} AS g, {i} AS part, round({score}, 9) AS score, ord, line_idx, token FROM {rest}" for i, (src, g, score, rest) in enumerate(parts))
+    return f"WITH {head}, c AS ({found}) SELECT doc_id, '{name}' AS name, source, line_idx, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g, score DESC, part, ord) AS nth FROM c WHERE token IS NOT NULL AND {keep}) WHERE nth = 1"
+
+
+_ZONE = "NOT EXISTS (SELECT 1 FROM v_scan e WHERE e.text = 'EGP' AND e.doc_id = p.doc_id AND p.px BETWEEN greatest(0, e.px - 100) AND least(1676, e.px + 300) AND p.py BETWEEN greatest(0, e.py - 33) AND least(676, e.py + 93))"
+_LESS = "confidence - 0.10 * abs(px - {0}) / (0.5 * 1677)"
+_EN_CHEQUE, _AR_CHEQUE = r"lang = 'en' AND regexp_matches(text, '(?i)\bcheque\b')", "contains(text, 'شيك')"
+_LABELS = f"en AS ({point_sql(_EN_CHEQUE, 'ex', 'ey')}), ar AS ({point_sql(_AR_CHEQUE, 'ax', 'ay')})"
+_POINTS = "p LEFT JOIN en ON doc_id = d_ex LEFT JOIN ar ON doc_id = d_ax"
+REG.add(
+    "rule_bm", lambda s, d: rules.number_bm(scan(s, d), amount_boxes(s, d)).select(*RULE),
+    staged_sql(
+        "cheque_number", f"p AS ({page_sql('BANQUE_MISR', f', {run_sql(8)} AS token')}), {_LABELS}, q AS (SELECT * FROM {_POINTS} WHERE NOT regexp_matches(text, '[:\"]') AND length(dg) < 12 AND {_ZONE})",
+        [
+            ("bm_label_row", 0, _LESS.format("ex"), "q WHERE abs(py - ey) <= 0.08 * 677 AND px >= ex AND px < 0.68 * 1677"), ("bm_label_row_ar", 0, _LESS.format("ax"), "q WHERE abs(py - ay) <= 0.08 * 677 AND px <= ax AND px < 0.78 * 1677"),
+            ("bm_fullband_mid", 0, "confidence", "q WHERE py BETWEEN 0.30 * 677 AND 0.55 * 677 AND px < 0.78 * 1677"), ("bm_fullband", 1, "confidence", "q WHERE py BETWEEN 0.01 * 677 AND 0.60 * 677 AND px < 0.78 * 1677"), ("bm_global_8", 2, "confidence", "q WHERE px < 0.90 * 1677"),
+        ],
+        "NOT (part = 1 AND EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.part = 0 AND o.token IS NOT NULL))",
+    ),
+)
+_NBE = f"p AS ({page_sql('NBE', f', coalesce({run_sql(14)}, {join_sql(7)}) AS token, CASE WHEN {run_sql(14)} IS NULL THEN 0.10 ELSE 0.0 END AS less')}), l AS (SELECT doc_id AS ld, min(px) AS lx, min(py) AS ly FROM p WHERE {_EN_CHEQUE} GROUP BY doc_id), q AS (SELECT * FROM p LEFT JOIN l ON doc_id = ld WHERE lang = 'en' AND NOT contains(text, ':') AND length(dg) < 16)"
+_NBE_NEAR = staged_sql("cheque_number", _NBE, [("nbe_preselect_cheque", 0, "confidence - 0.25 * abs(px - lx) / (0.5 * 1677) - 0.35 * abs(py - ly) / (0.06 * 677) - less", "q WHERE px BETWEEN lx AND least(1677, lx + 0.68 * 1677) AND NOT regexp_matches(text, '[A-Za-z]')")])
+_NBE_ALL = staged_sql("cheque_number", _NBE, [("nbe_final_full_image", 0, "confidence - less", "q")])
+REG.add("rule_nbe", lambda s, d: rules.number_nbe(scan(s, d)).select(*RULE), f"SELECT a.doc_id, a.name, coalesce(n.source, a.source) AS source, a.line_idx, a.token FROM ({_NBE_ALL}) a LEFT JOIN ({_NBE_NEAR}) n ON a.doc_id = n.doc_id")
+_DENIED = ", ".join(f"'{x}'" for x in rules.DENIED)
 REG.add(
-    "rule_fab", lambda s, d: ex.rule_fab(tok(s, d), "0000").select(*RULE),
-    rf"""SELECT doc_id, 'cheque_number' AS name, 0 AS stage, line_idx, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence + CASE WHEN starts_with(token, '0000') THEN 1.0 ELSE 0.0 END DESC, line_idx) AS nth FROM (SELECT *, regexp_extract(text, '(?:^|[^0-9])([0-9]{{8}})(?:[^0-9]|$)', 1) AS token FROM v_token WHERE bank_code = 'FABMISR' AND NOT contains(text, ':') AND length(regexp_replace(text, '[^0-9]', '', 'g')) < 16) WHERE token <> '') WHERE nth = 1""",
+    "rule_aaib", lambda s, d: rules.number_aaib(scan(s, d)).select(*RULE),
+    staged_sql(
+        "cheque_number", f"p AS ({page_sql('AAIB', f', {run_sql(9)} AS token')}), q AS (SELECT *, EXISTS (SELECT 1 FROM p n WHERE n.doc_id = p.doc_id AND n.text = 'Cheque No.' AND abs(n.py - p.py) <= 0.05 * 677 AND n.px <= p.px) AS near FROM p WHERE lang = 'en' AND trim(text) NOT IN ({_DENIED}) AND NOT contains(text, ':') AND length(dg) < 16)",
+        [("aaib_fullimage", 0, "confidence + CASE WHEN py <= 0.22 * 677 THEN 0.2 ELSE 0 END + CASE WHEN px <= 0.55 * 1677 THEN 0.15 ELSE 0 END + CASE WHEN near THEN 0.2 ELSE 0 END + CASE WHEN substr(token, 1, 3) IN ('942', '943', '944', '945') THEN 0.3 ELSE 0 END", "q")],
+    ),
 )
-REG.add("rule_cib", lambda s, d: ex.rule_cib(tok(s, d)).select(*RULE))
-REG.add("rule_date", lambda s, d: ex.rule_date(tok(s, d)).select(*RULE))
-REG.add("rule_amount", lambda s, d: ex.rule_amount(tok(s, d)).select(*RULE))
-REG.add("rule_payee", lambda s, d: ex.rule_payee(tok(s, d).withColumn("text", F.when(F.col("line_idx") % 4 == 3, "شركة النيل للتجارة").otherwise(F.col("text")))).select(*RULE))
+REG.add(
+    "rule_fab", lambda s, d: rules.number_fab(scan(s, d)).select(*RULE),
+    staged_sql(
+        "cheque_number", f"p AS ({page_sql('FABMISR', f', {run_sql(8)} AS token')}), q AS (SELECT *, starts_with(token, '44139') AS usual FROM p WHERE lang = 'en' AND NOT contains(text, ':') AND length(dg) < 16 AND NOT regexp_matches(text, '[A-Za-z]') AND token IS NOT NULL), h AS (SELECT doc_id AS hd, min(ord) AS head FROM q GROUP BY doc_id)",
+        [("fabmisr_cheque_clean", 0, "confidence", "q JOIN h ON doc_id = hd WHERE ord = head AND NOT usual"), ("fabmisr_cheque_clean", 0, "confidence + 1.0", "q WHERE usual")],
+    ),
+)
+_SIDE = "CASE WHEN ex IS NOT NULL AND ax IS NOT NULL THEN {both} WHEN ex IS NOT NULL THEN {en} ELSE {ar} END"
+_LEFT, _RIGHT = _SIDE.format(both="greatest(0.0, least(ex, ax) + 0.02 * 1677)", en="ex", ar="greatest(0.0, ax - 0.5 * 1677)"), _SIDE.format(both="least(1677.0, greatest(ex, ax) - 0.02 * 1677)", en="least(1677.0, ex + 0.5 * 1677)", ar="ax")
+_ZEROS = "(length(token) - length(ltrim(token, '0')))"
+_CIB_BAND = f"confidence - (0.3 * abs(px - 0.5 * (lx + rx)) / greatest(1.0, 0.5 * (rx - lx)) + 0.2 * abs(py - 0.60 * 677) / (0.25 * 677)) - 0.05 * {_ZEROS}"
+_CIB = staged_sql(
+    "cheque_number",
+    f"p AS ({page_sql('CIB', f', coalesce({run_sql(12)}, {join_sql(6)}) AS token, {run_sql(12)} IS NOT NULL AS whole')}), {_LABELS}, b AS (SELECT *, {_LEFT} AS lx, {_RIGHT} AS rx FROM {_POINTS}), q AS (SELECT * FROM b WHERE px BETWEEN lx AND rx AND NOT regexp_matches(text, '[A-Za-z:\"]') AND token IS NOT NULL), h AS (SELECT doc_id AS hd, min(ord) AS head FROM q GROUP BY doc_id)",
+    [("bm_preselect_band", 0, f"{_CIB_BAND} - 0.10", "q JOIN h ON doc_id = hd WHERE ord = head AND NOT whole"), ("bm_preselect_band", 0, _CIB_BAND, "q WHERE whole"), ("bm_final_full_image", 1, f"confidence - 0.2 * abs(py - 0.60 * 677) / (0.30 * 677) - 0.05 * {_ZEROS}", "p WHERE regexp_matches(text, '^[0-9]{12}$')")],
+)
+_NO = r"(regexp_matches(t.text, '\b[nN][oO0]\b') OR EXISTS (SELECT 1 FROM v_scan n WHERE n.bank_code = 'CIB' AND n.doc_id = t.doc_id AND regexp_matches(n.text, '\b[nN][oO0]\b') AND abs(n.py - t.py) <= 0.05 * 677 AND t.px BETWEEN n.px - 0.10 * 1677 AND n.px + 0.40 * 1677))"
+_CIB_REST = rf"SELECT doc_id, line_idx, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN bad THEN 1 ELSE 0 END, CASE WHEN py <= 0.45 * 677 THEN 0 ELSE 1 END, abs(length(token) - 12), round(abs(px - 0.5 * 1677) / (0.5 * 1677), 9), -confidence, line_idx) AS nth FROM (SELECT *, regexp_extract(text, '\b\d{{6,}}\b', 0) AS token, {_NO} AS bad FROM v_scan t WHERE bank_code = 'CIB') WHERE token <> '') WHERE nth = 1"
+REG.add("rule_cib", lambda s, d: rules.number_cib(scan(s, d)).select(*RULE), f"WITH w AS ({_CIB}) SELECT doc_id, name, source, line_idx, token FROM w UNION ALL SELECT doc_id, 'cheque_number' AS name, 'fallback_candidates' AS source, line_idx, token FROM ({_CIB_REST}) r WHERE doc_id NOT IN (SELECT doc_id FROM w)")
+
+
+def repaired_sql(text: str, pairs: list[tuple[str, str]]) -> str:
+    for pattern, put in pairs:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+_DATE_IN = r"nullif(regexp_extract({0}, '(?i)(?:^|[^0-9])([0-9]{{1,2}}\s*[/\-.]?\s*(?:0ct|0ec|[A-Za-z]{{3}})\s*[/\-.]?\s*[0-9]{{2,4}}(?:[-.][0-9]{{1,2}})?)(?:[^0-9]|$)', 1), '')"
+_BESIDE = "confidence - {0} * (px - lx) / (0.5 * 1677)"
+_DATES_A = staged_sql(
+    "date", f"p AS ({page_sql('AAIB', ', ' + repaired_sql(_DATE_IN.format('text'), txt.REPAIR_A) + ' AS token')}), l AS (SELECT doc_id AS ld, px AS lx, py AS ly FROM p WHERE text = 'Date')",
+    [("aaib_date_region", 0, "confidence", "p WHERE px >= 0.50 * 1677 AND py BETWEEN 0.04 * 677 AND 0.40 * 677"), ("aaib_date_label", 1, _BESIDE.format(0.15), "p JOIN l ON doc_id = ld WHERE abs(py - ly) <= 0.05 * 677 AND px >= lx"), ("aaib_date_global", 2, "confidence", "p")],
+)
+_DATES_B = staged_sql(
+    "date", f"p AS ({page_sql('NBE', ', ' + repaired_sql(_DATE_IN.format(repaired_sql('text', txt.REPAIR_B)), txt.REPAIR_B) + ' AS token')}), l AS (SELECT doc_id AS ld, px AS lx, py AS ly FROM p WHERE text = 'Date')",
+    [("nbe_date_label", 0, _BESIDE.format(0.12), "p JOIN l ON doc_id = ld WHERE abs(py - ly) <= 0.06 * 677 AND px >= lx"), ("nbe_date_global", 1, "confidence", "p")],
+)
+REG.add("rule_date", lambda s, d: rules.date_rules(scan(s, d)).select(*RULE), f"SELECT * FROM ({_DATES_A}) UNION ALL SELECT * FROM ({_DATES_B})")
+_DECIMAL = r", nullif(regexp_extract(text, '\b\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b', 0), '') AS token"
+_AMOUNT_NBE = staged_sql("amount_numeric", f"p AS ({page_sql('NBE', _DECIMAL)})", [("nbe_amount_dec_band", 0, "confidence + 0.2 * (px - 0.62 * 1677) / (0.38 * 1677) + 0.1 * (1.0 - abs(py - 0.40 * 677) / (0.20 * 677))", "p WHERE lang = 'en' AND px >= 0.62 * 1677 AND py BETWEEN 0.22 * 677 AND 0.60 * 677"), ("nbe_amount_dec_global", 1, "confidence", "p WHERE lang = 'en'")])
+_AMOUNT_FAB = staged_sql("amount_numeric", f"p AS ({page_sql('FABMISR', _DECIMAL)})", [("fabmisr_amount_clean", 0, "confidence", "p WHERE lang = 'en' AND NOT regexp_matches(text, '(?i)CAIN|EGP|CASH')")])
+REG.add("rule_amount", lambda s, d: rules.amount_rules(scan(s, d)).select(*RULE), f"SELECT * FROM ({_AMOUNT_NBE}) UNION ALL SELECT * FROM ({_AMOUNT_FAB})")
+
+
+def payee_sql(bank: str, box: str, label: str) -> str:
+    fine = r"NOT regexp_matches(text, '[A-Za-z0-9]') AND NOT contains(text, 'فرع')"
+    return staged_sql(
+        "name", f"p AS ({page_sql(bank, ', text AS token')}), l AS (SELECT doc_id AS ld, px AS lx, py AS ly FROM p WHERE text = 'اسم الحساب'), b AS (SELECT rx1 - 33 AS x1, ry1 - 13 AS y1, rx2 + 33 AS x2, ry2 + 13 AS y2 FROM v_tfield WHERE bank_code = '{bank}' AND name = 'name')",
+        [(box, 0, "confidence", f"p, b WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AND {fine}"), (label, 1, _BESIDE.format("0.10"), f"p JOIN l ON doc_id = ld WHERE abs(py - ly) <= 0.06 * 677 AND px >= lx AND {fine}")],
+    )
+
+
+REG.add("rule_payee", lambda s, d: rules.payee_rules(scan(s, d), payee_boxes(s, d)).select(*RULE), f"SELECT * FROM ({payee_sql('NBE', 'nbe_name_roi', 'nbe_name_label')}) UNION ALL SELECT * FROM ({payee_sql('AAIB', 'aaib_name_fallback', 'aaib_name_label')})")
 REG.add(
     "candidate_rank", lambda s, d: ex.cib_rank(tok(s, d)).select("doc_id", "line_idx", "token"),
     r"SELECT doc_id, line_idx, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN py <= 0.45 * 677 THEN 0 ELSE 1 END, abs(length(token) - 12), round(abs(px - 0.5 * 1677) / (0.5 * 1677), 9), -confidence, line_idx) AS nth FROM (SELECT *, regexp_extract(text, '\b\d{6,}\b', 0) AS token FROM v_token) WHERE token <> '') WHERE nth = 1",
@@ -124,20 +265,40 @@ def records(s: SparkSession, d: str) -> DataFrame:
     return ex.field_records(chosen)
 
 
-REG.add("field_records", records)
+RECORDS_SQL = parsed_sql(f"SELECT doc_id, name, CASE WHEN {_FITS} THEN text ELSE '' END AS text, CASE WHEN {_FITS} THEN confidence ELSE 0.0 END AS ocr_conf FROM ({_choice(_RANK_LIVE)})")
+_CONF = "round(ocr_conf * CASE WHEN err IS NULL THEN 1.0 ELSE 0.97 END, 6)"
+REG.add("field_records", records, f"SELECT doc_id, name, text AS ocr_text, norm AS parse_norm, err IS NULL AS parse_ok, {_CONF} AS field_conf, {_CONF} >= 0.995 AS meets_threshold FROM ({RECORDS_SQL})")
+
+
+def written(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Rows that several steps read, computed once and kept in the shared folder."""
+    path = work.folder(s, name)
+    rows.write.parquet(path)
+    return s.read.schema(rows.schema).parquet(path)
+
+
+def extracted(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.extract_fields(written(s, scan(s, d), "lines"), fields(s, d), view(s, d, "v_anchor"))
 
 
 def extract_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Lines to decisions: locate, choose, parse, score, route."""
-    lines = tok(s, d)
-    located = ex.locate_fields(lines, fields(s, d), view(s, d, "v_anchor")).select("doc_id", "name", F.col("confidence").alias("loc_conf"), F.col("text").alias("loc_text"))
-    chosen = ex.accepted(ex.best_text(lines, NAMES, True)).select("doc_id", "name", "text", F.col("confidence").alias("ocr_conf"))
-    both = located.join(chosen, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("loc_text", "text", F.lit("")).alias("text"), F.coalesce("ocr_conf", F.lit(0.0)).alias("ocr_conf"), "loc_conf")
-    coded = ex.field_records(both).select("doc_id", "name", F.col("field_conf").alias("conf"), route.threshold_code(F.col("field_conf")).alias("code"))
-    return route.route(lines.select("doc_id").distinct(), coded, required=NAMES, key="doc_id")
+    """Lines to decisions: locate, choose, apply the bank's rules, parse, score, route."""
+    return pipeline.decisions(extracted(s, d))
 
 
 REG.add("extract_pipeline", extract_pipeline)
+
+
+def extract_audit(s: SparkSession, d: str) -> DataFrame:
+    """The same pages as audit documents, written and read back: one row for every field."""
+    records = written(s, extracted(s, d), "records")
+    path = work.folder(s, "extracted")
+    writers.write_audit(pipeline.audit_documents(records, pipeline.decisions(records)), path)
+    back = readers.scan_audit(s, path).select("bank", "file", "decision.decision", "decision.stp", F.explode("fields").alias("name", "r"))
+    return back.select("bank", "file", "decision", "stp", "name", "r.ocr_text", "r.parse_norm", "r.parse_ok", "r.field_conf", "r.source")
+
+
+REG.add("extract_audit", extract_audit)
 REG.add("rtl_assembly", lambda s, d: ex.assemble_rtl(tok(s, d).select("doc_id", "line_idx", "text", "px", "py", (F.length("text") * 11.0).alias("width"))))
 
 # ---------------------------------------------------------------- reports
@@ -165,25 +326,56 @@ REG.add(
     "span_rollup", lambda s, d: reports.span_rollup(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), F.col("value").alias("dur"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("parent"))),
     "SELECT event_type AS name, count(*) AS n, sum(CAST(trunc(value * 1000) AS BIGINT))::BIGINT AS ms FROM events WHERE event_id % 3 <> 0 AND value > 0 GROUP BY 1",
 )
+def raw_results(s: SparkSession, d: str) -> DataFrame:
+    """Recognition results of pages in both layouts, by document."""
+    lines = tok(s, d).withColumn("poly", F.array(*(F.array(F.col("px") + i, F.col("py") + j) for i, j in ((-9.0, -4.0), (9.0, -4.0), (9.0, 4.0), (-9.0, 4.0)))))
+    pages = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text", "confidence", "poly"))).alias("l"))
+    newer = F.to_json(F.array(F.struct(F.col("l.text").alias("rec_texts"), F.col("l.confidence").alias("rec_scores"), F.col("l.poly").alias("rec_polys"))))
+    pair = lambda x: F.concat(F.lit("["), F.to_json(x["poly"]), F.lit(',["'), x["text"], F.lit('",'), x["confidence"].cast("string"), F.lit("]]"))
+    older = F.concat(F.lit("[["), F.array_join(F.transform("l", pair), ","), F.lit("]]"))
+    return pages.select("doc_id", F.lit("en").alias("lang"), F.when(F.col("doc_id") % 2 == 0, newer).otherwise(older).alias("results"))
+
+
+REG.add(
+    "ocr_results_to_lines", lambda s, d: readers.results_to_lines(raw_results(s, d), 0.95).select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), "text", "confidence", "px", "py", F.size("bbox").cast("long").alias("corners")),
+    "SELECT doc_id, line_idx, text, confidence, px::DOUBLE AS px, py::DOUBLE AS py, 4::BIGINT AS corners FROM v_token WHERE confidence >= 0.95",
+)
+
+
+def locator_report(s: SparkSession, d: str) -> DataFrame:
+    """Located text against the field's own rectangle, with an error row for every page whose bank has no template."""
+    lines = tok(s, d)
+    hits = ex.locate_pattern(lines, fields(s, d)).select("doc_id", "name", "method", "confidence", "px", "py", F.col("text").alias("pattern_text"))
+    both = hits.join(locator_eval(s, d).select("doc_id", "name", "roi_text", "match_flag"), ["doc_id", "name"]).join(lines.groupBy("doc_id").agg(F.first("bank_code").alias("bank")), "doc_id")
+    box = [b.cast("int").alias(f"bbox_{n}") for b, n in zip(bbox_around(F.col("px"), F.col("py"), *ex.BOX["region_regex"]), ("x1", "y1", "x2", "y2"), strict=True)]
+    located = both.select(F.col("doc_id").cast("string").alias("file"), "bank", F.col("name").alias("field"), "method", "confidence", *box, "pattern_text", "roi_text", "match_flag")
+    errors = ex.without_template(lines, fields(s, d)).select(F.col("doc_id").cast("string").alias("file"), F.col("bank_code").alias("bank"), F.lit("template missing").alias("error")).distinct()
+    return reports.locator_report(located, errors)
+
+
+REG.add(
+    "locator_report", locator_report,
+    f"""SELECT h.doc_id::VARCHAR AS file, bank_code AS bank, h.name AS field, 'region_regex' AS method, CAST(CAST(round(confidence, 3) AS DECIMAL(12,3)) AS VARCHAR) AS confidence,
+ greatest(0, px - 167)::VARCHAR AS bbox_x1, greatest(0, py - 27)::VARCHAR AS bbox_y1, least(1677, greatest(0, px - 167) + 335)::VARCHAR AS bbox_x2, least(677, greatest(0, py - 27) + 54)::VARCHAR AS bbox_y2, text AS pattern_text, roi_text, CAST(match_flag AS INT)::VARCHAR AS match_flag
+FROM ({pick_sql(_HIT.format("v_tfield"), "doc_id, name", "confidence DESC, line_idx", "bank_code, text, confidence, px, py")}) h JOIN ({LOCATOR_SQL}) e ON h.doc_id = e.doc_id AND h.name = e.name
+UNION ALL SELECT DISTINCT doc_id::VARCHAR, bank_code, '<error>', '', '', '', '', '', '', 'template missing', '', '0' FROM v_token WHERE bank_code NOT IN (SELECT bank_code FROM v_tfield)""",
+)
+_BY_FIELD = f"SELECT t.*, r.name, {_RANK_EVAL} AS rank FROM v_scan t JOIN v_tfield r ON t.bank_code = r.bank_code WHERE px BETWEEN rx1 AND rx2 AND py BETWEEN ry1 AND ry2 AND lang = CASE r.name WHEN 'name' THEN 'ar' ELSE 'en' END"
 REG.add(
-    "ocr_results_to_lines", lambda s, d: tok(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text", "confidence"))).alias("r")).select("doc_id", F.inline(F.arrays_zip(F.col("r.line_idx").alias("line_idx"), F.col("r.text").alias("text"), F.col("r.confidence").alias("confidence")))).filter("confidence >= 0.95"),
-    "SELECT doc_id, line_idx, text, confidence FROM v_token WHERE confidence >= 0.95",
+    "field_ocr_report", lambda s, d: reports.field_ocr_report(scan(s, d), fields(s, d)),
+    f"SELECT p.doc_id::VARCHAR AS file, p.bank_code AS bank, f.name AS field, coalesce(text, '') AS text, CAST(CAST(round(coalesce(confidence, 0), 3) AS DECIMAL(12,3)) AS VARCHAR) AS confidence, coalesce(lang, '') AS lang, rx1 AS roi_x1, ry1 AS roi_y1, rx2 AS roi_x2, ry2 AS roi_y2 FROM (SELECT DISTINCT doc_id, bank_code FROM v_scan) p JOIN v_tfield f ON p.bank_code = f.bank_code LEFT JOIN ({pick_sql(_BY_FIELD, 'doc_id, name', 'rank, confidence DESC, line_idx', 'text, confidence, lang')}) c ON c.doc_id = p.doc_id AND c.name = f.name",
 )
 
 
 def payee_match(s: SparkSession, d: str) -> DataFrame:
-    """Payees against the master list by similarity, the first best of at least the threshold. The list meets each payee only
-    where the lengths allow the threshold: a ratio of t needs min / max of the lengths of at least t / (2 - t); both sides
-    are keyed by length, so this is an equi-join on length and not a product."""
-    master = s.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_name").alias("master")).agg(F.min("p_partkey").alias("master_pos")).withColumn("len", F.length("master"))
-    least = 0.85 / (2 - 0.85)
-    size = F.length("payee")
-    payees = s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.substring("p_name", 1, 3), F.expr("substring(p_name, 5)")).alias("payee"))
-    spread = payees.select("payee").distinct().withColumn("len", F.explode(F.sequence(F.ceil(size * least).cast("int"), F.floor(size / least).cast("int"))))
-    scored = spread.join(master, "len").withColumn("ratio", F.round(similarity(F.col("payee"), F.col("master")), 6))
-    top = scored.groupBy("payee").agg(F.max_by(F.struct("master", "ratio"), F.struct("ratio", (-F.col("master_pos")).alias("p"))).alias("b"))
-    code = F.when(validate_payee(F.col("payee")) != "OK", validate_payee(F.col("payee"))).when(F.col("b.ratio") >= 0.85, "OK").otherwise("PAYEE_NOT_IN_MASTER")
-    return payees.join(top, "payee", "left").select("p_partkey", "payee", F.col("b.master").alias("match"), F.col("b.ratio").alias("ratio"), code.alias("code"))
+    """Payees against the master list by similarity, the first best of at least the threshold."""
+    parts = s.read.parquet(f"{d}/part.parquet")
+    master = parts.groupBy(F.col("p_name").alias("master")).agg(F.min("p_partkey").alias("master_pos"))
+    payees = parts.select("p_partkey", F.concat(F.substring("p_name", 1, 3), F.expr("substring(p_name, 5)")).alias("payee"))
+    top = match.best_matches(payees.select("payee").distinct(), master)
+    own = validate_payee(F.col("payee"))
+    code = F.when(own != "OK", own).when(F.col("ratio").isNotNull(), "OK").otherwise("PAYEE_NOT_IN_MASTER")
+    return payees.join(top, "payee", "left").select("p_partkey", "payee", F.col("master").alias("match"), "ratio", code.alias("code"))
 
 
 REG.add("payee_match", payee_match)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkledger.functions.text import sanitize_key
+from inkledger.operators import extract
 from inkledger.plans.domain import TEMPLATE_BANKS, Registry, table, view
 from inkledger.plans.tables import KPI_IN, docs
 from inkledger.sources import readers, work, writers
@@ -77,6 +78,29 @@ def template_rules(s: SparkSession, d: str) -> DataFrame:
     return rules.join(per_bank, "bank_id").select("bank_id", "name", "lines")
 
 
+LOCATED_SQL = "SELECT doc_id::VARCHAR AS file, bank_code AS bank, name, method, text, px::BIGINT AS x1 FROM (SELECT t.*, f.name, 'region_regex' AS method, row_number() OVER (PARTITION BY doc_id, f.name ORDER BY confidence DESC, line_idx) AS nth FROM v_token t JOIN v_tfield f ON t.bank_code = f.bank_code WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AND regexp_matches(text, pattern)) WHERE nth = 1"
+
+
+@REG.query("scan_located", LOCATED_SQL)
+def scan_located(s: SparkSession, d: str) -> DataFrame:
+    """Locator results, one document for each page with a map of its fields, written and read back."""
+    lines = view(s, d, "v_token")
+    hits = extract.locate_pattern(lines, view(s, d, "v_tfield")).join(lines.groupBy("doc_id").agg(F.first("bank_code").alias("bank")), "doc_id")
+    record = F.struct(F.array("px", "py", F.col("px") + 335, F.col("py") + 54).alias("bbox"), "confidence", "method", "text")
+    path = work.folder(s, "located")
+    hits.groupBy("bank", F.col("doc_id").cast("string").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("name", record))).alias("results")).write.json(path)
+    return readers.scan_located(s, path).select("bank", "file", "name", "method", "text", F.col("bbox")[0].cast("long").alias("x1"))
+
+
+@REG.query("scan_spans", "SELECT concat('u', user_id::VARCHAR) AS image, event_type AS name, round(value, 6) AS dur, (event_id % 3)::BIGINT AS parent FROM events")
+def scan_spans(s: SparkSession, d: str) -> DataFrame:
+    """Profiles, one document for each user with its spans, written and read back."""
+    span = F.struct(F.col("event_type").alias("name"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.col("value").alias("dur"), (F.col("event_id") % 3).cast("int").alias("parent"))
+    path = work.folder(s, "spans")
+    table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(span), lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).otherwise(0)).alias("spans")).select(F.create_map(F.lit("image"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("meta"), "spans").write.json(path)
+    return readers.scan_spans(s, path).select(F.col("meta")["image"].alias("image"), "name", F.round("dur", 6).alias("dur"), F.col("parent").cast("long").alias("parent"))
+
+
 # ---------------------------------------------------------------- streams
 def events(s: SparkSession, d: str) -> DataFrame:
     return jobs.stream_of(s, f"{d}/events*.parquet", table(s, d, "events").schema)

@@ -39,7 +39,7 @@ scalar("clean_text", "v_noisy", lambda: {"out": txt.clean_text(c("text"))}, None
 _RX = r"(?i)\b(\d{1,2})\s*[\-/.]\s*([A-Za-z0-9]{3})\s*[\-/.]\s*(\d{2,4})\b"
 _MONTHS = "[" + ",".join(f"'{m}'" for m in prs.MONTHS) + "]"
 _M = lambda x: f"nullif(list_position({_MONTHS}, {x}), 0)"
-_MONTH = f"coalesce({_M('m')}, CASE m WHEN '0CT' THEN 10 WHEN '0EC' THEN 12 WHEN 'N0V' THEN 11 END, {_M(chr(114) + 'eplace(m,chr(48),chr(79))')}, {_M(chr(114) + 'eplace(m,chr(48),chr(68))')})"
+_MONTH = f"coalesce({_M('m')}, CASE m WHEN '0CT' THEN 10 WHEN '0EC' THEN 12 WHEN 'N0V' THEN 11 END, {_M("replace(m, '0', 'O')")}, {_M("replace(m, '0', 'D')")})"
 DATE_SQL = f"""SELECT *, CASE WHEN text IS NULL OR text = '' THEN 'EMPTY' WHEN m = '' THEN 'NO_MATCH' WHEN mon IS NULL THEN 'BAD_MONTH' END AS err,
  concat(lpad(CAST(CASE WHEN y < 100 THEN y + 2000 ELSE y END AS VARCHAR), 4, '0'), '-', lpad(CAST(mon AS VARCHAR), 2, '0'), '-', lpad(CAST(d AS VARCHAR), 2, '0')) AS n
  FROM (SELECT *, {_MONTH} AS mon FROM (SELECT *, TRY_CAST(regexp_extract({S}, '{_RX}', 1) AS INT) AS d, upper(regexp_extract({S}, '{_RX}', 2)) AS m, TRY_CAST(regexp_extract({S}, '{_RX}', 3) AS INT) AS y FROM @src))"""
@@ -55,11 +55,19 @@ for _key, _f, _sql in (("parse_date", prs.parse_date, DATE_SQL), ("parse_amount"
     )
 scalar("normalize_name", "v_noisy", lambda: struct_of(prs.normalize_name(c("text"))), None)
 
-PARSED_SQL = " UNION ALL ".join(
-    f"SELECT cheque_id, line_no, name, text, CASE WHEN err IS NULL THEN n END AS norm, err IS NULL AS ok, err FROM ({q.replace('@src', '(SELECT cheque_id, line_no, name, ocr_text AS text FROM v_field WHERE name = ' + chr(39) + f + chr(39) + ')')})"
-    for f, q in (("date", DATE_SQL), ("amount_numeric", AMOUNT_SQL), ("cheque_number", NUMBER_SQL))
-) + " UNION ALL SELECT cheque_id, line_no, name, ocr_text AS text, NULL AS norm, FALSE AS ok, CASE WHEN ocr_text IS NULL OR ocr_text = '' THEN 'EMPTY' END AS err FROM v_field WHERE name NOT IN ('date','amount_numeric','cheque_number')"
-REG.add("parse_fields", lambda spark, d: view(spark, d, "v_field").select("cheque_id", "line_no", "name", *(x.alias(n) for n, x in struct_of(prs.parse_field(c("name"), c("ocr_text"))).items())), f"SELECT cheque_id, line_no, name, norm, ok, err FROM ({PARSED_SQL})")
+
+
+def parsed_sql(rows: str) -> str:
+    """The rows (name, text and more) with norm and err by the parser of their field; fields without one are never parsed."""
+    parts = [f"SELECT * EXCLUDE (n), CASE WHEN err IS NULL THEN n END AS norm FROM ({{0}})", "SELECT *, CASE WHEN text IS NULL OR text = '' THEN 'EMPTY' END AS err, CAST(NULL AS VARCHAR) AS norm"]
+    own = {f: q.replace("@src", f"(SELECT * FROM ({rows}) WHERE name = '{f}')") for f, q in (("date", DATE_SQL), ("amount_numeric", AMOUNT_SQL), ("cheque_number", NUMBER_SQL))}
+    done = [parts[0].format(q) for q in own.values()]
+    names = ", ".join(f"'{f}'" for f in own)
+    return " UNION ALL BY NAME ".join([*done, f"{parts[1]} FROM ({rows}) WHERE name NOT IN ({names})"])
+
+
+PARSED_SQL = parsed_sql("SELECT cheque_id, line_no, name, ocr_text AS text FROM v_field")
+REG.add("parse_fields", lambda spark, d: view(spark, d, "v_field").select("cheque_id", "line_no", "name", *(x.alias(n) for n, x in struct_of(prs.parse_field(c("name"), c("ocr_text"))).items())), f"SELECT cheque_id, line_no, name, norm, err IS NULL AND name IN ('date', 'amount_numeric', 'cheque_number') AS ok, err FROM ({PARSED_SQL})")
 
 # ---------------------------------------------------------------- validators
 _DATES = "CASE doc_id % 4 WHEN 0 THEN concat(CAST(1990 + doc_id % 40 AS STRING), '-02-', lpad(CAST(1 + line_idx % 31 AS STRING), 2, '0')) WHEN 1 THEN '2026/01/01' WHEN 2 THEN '' ELSE concat('20', lpad(CAST(doc_id % 100 AS STRING), 2, '0'), '-', lpad(CAST(1 + line_idx % 13 AS STRING), 2, '0'), '-28') END"

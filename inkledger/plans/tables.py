@@ -10,6 +10,7 @@ from inkledger.functions.text import best_value, sanitize_key
 from inkledger.functions.validate import BANKS, KPI_FIELDS, THRESHOLD
 from inkledger.operators import audit, kpi, route
 from inkledger.plans.domain import Registry, view
+from inkledger.plans.scalars import parsed_sql
 
 REG = Registry()
 KPI_IN = "('date','cheque_number','amount_numeric')"
@@ -70,6 +71,16 @@ FROM (SELECT c.cheque_id, {per} FROM v_cheque c LEFT JOIN ({coded}) x ON c.chequ
 ROUTE_SQL = _route_sql(f"SELECT cheque_id, name, field_conf AS conf, CASE WHEN round(field_conf, 6) >= {THRESHOLD} THEN 'OK' ELSE 'VALIDATION_FAIL' END AS code FROM v_full")
 
 
+_DIGITS = r"regexp_replace(norm, '[^0-9]', '', 'g')"
+VALIDATED_SQL = rf"""SELECT cheque_id, name, conf, CASE
+ WHEN name = 'name' THEN CASE WHEN length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) < 3 THEN 'PAYEE_TOO_SHORT' ELSE 'OK' END
+ WHEN coalesce(norm, '') = '' THEN NULL
+ WHEN name = 'date' THEN CASE WHEN CAST(substr(norm, 1, 4) AS INT) NOT BETWEEN 2000 AND 2100 THEN 'DATE_RANGE' WHEN TRY_CAST(norm AS DATE) IS NULL THEN 'DATE_INVALID' ELSE 'OK' END
+ WHEN name = 'amount_numeric' THEN CASE WHEN norm::DOUBLE <= 0 THEN 'AMOUNT_NONPOS' WHEN norm::DOUBLE NOT BETWEEN 0.01 AND 1e9 THEN 'AMOUNT_RANGE' ELSE 'OK' END
+ WHEN name = 'cheque_number' THEN CASE WHEN regexp_full_match({_DIGITS}, CASE bank_code WHEN 'BANQUE_MISR' THEN '\d{{6,}}' WHEN 'CIB' THEN '\d{{12}}' WHEN 'AAIB' THEN '\d{{9,10}}' WHEN 'NBE' THEN '\d{{14}}' ELSE '\d{{8,12}}' END) THEN 'OK' ELSE 'CHEQUE_PATTERN' END END AS code
+FROM ({parsed_sql("SELECT f.cheque_id, bank_code, name, ocr_text AS text, field_conf AS conf FROM v_full f JOIN v_cheque b ON f.cheque_id = b.cheque_id")})"""
+
+
 def decisions(s: SparkSession, d: str) -> DataFrame:
     f = view(s, d, "v_full").select("cheque_id", "name", F.col("field_conf").alias("conf"), route.threshold_code(F.col("field_conf")).alias("code"))
     return route.route(view(s, d, "v_cheque"), f)
@@ -77,7 +88,7 @@ def decisions(s: SparkSession, d: str) -> DataFrame:
 
 REG.add("route_decision", decisions, ROUTE_SQL)
 REG.add("decisions_report", lambda s, d: decisions(s, d).withColumns({"overall_conf": route.three_places(F.col("overall_conf")), "stp": F.lower(F.col("stp").cast("string"))}), f"SELECT cheque_id, decision, lower(stp::VARCHAR) AS stp, {_C3('overall_conf')} AS overall_conf, low_conf_fields, reasons FROM ({ROUTE_SQL})")
-REG.add("route_summary", lambda s, d: route.route_summary(view(s, d, "v_cheque"), view(s, d, "v_full").withColumn("conf", F.col("field_conf"))), None)
+REG.add("route_summary", lambda s, d: route.route_summary(view(s, d, "v_cheque"), view(s, d, "v_full").withColumn("conf", F.col("field_conf"))), _route_sql(VALIDATED_SQL))
 REG.add(
     "decision_json", lambda s, d: view(s, d, "v_cheque").select("cheque_id", F.to_json(F.struct("decision", "stp")).alias("js")).select("cheque_id", "js", F.from_json("js", "decision string, stp boolean").alias("x")).select("cheque_id", "js", "x.decision", "x.stp"),
     """SELECT cheque_id, concat('{"decision":"', decision, '","stp":', stp::VARCHAR, '}') AS js, decision, stp FROM v_cheque""",

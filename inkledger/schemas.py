@@ -10,6 +10,6 @@ OCR_LINE = f"struct<text:string,raw_text:string,confidence:double,lang:string,en
 OCR_DOCUMENT = f"bank string, file string, count int, image_metadata struct<height:int,width:int>, image_height int, image_width int, lines array<{OCR_LINE}>, raw_ocr_results array<{OCR_LINE}>, _corrupt string"
 FIELD_CSV = "file string, bank string, field string, method string, loc_conf string, ocr_text string, ocr_conf string, ocr_lang string, parse_norm string, parse_ok string, field_conf string, meets_threshold string, bbox_x1 string, bbox_y1 string, bbox_x2 string, bbox_y2 string"
 CORRECTION_CSV = "bank string, file string, field string, before string, after string, reason string, reviewer_id string, at string"
-TEMPLATE = "bank_id string, template_id string, version string, fields array<struct<name:string,roi_norm:array<double>,region_norm:array<double>,pattern:string,ocr_engine:string,confidence_weight:double>>, anchors array<struct<name:string,region_norm:array<double>,pattern:string>>"
+TEMPLATE = "bank_id string, template_id string, version string, fields array<struct<name:string,roi_norm:array<double>,region_norm:array<double>,pattern:string,ocr_engine:string,confidence_weight:double>>, anchors array<struct<name:string,region_norm:array<double>,pattern:string>>, _corrupt string"
 LOCATED = "bank string, file string, results map<string,struct<bbox:array<int>,confidence:double,method:string,text:string>>, _corrupt string"
-PROFILE = "meta map<string,string>, spans array<struct<name:string,ts:double,dur:double,parent:int>>"
+PROFILE = "meta map<string,string>, spans array<struct<name:string,ts:double,dur:double,parent:int>>, _corrupt string"

@@ -6,20 +6,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkledger import schemas
+from inkledger.functions.text import clean_text, norm_digits
 
 
-def _json(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: str, multi_line: bool, strict: bool = False) -> DataFrame:
+    """Documents of a folder, one a line, or with ``multi_line`` one a file, indented or not. Unreadable ones have ``_corrupt`` set,
+    or with ``strict`` fail the query when they are read. Indented files read line by line would all be unreadable, so they
+    always fail, with a hint."""
     reader = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
-    return reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    docs = reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    bad = F.col("_corrupt").isNotNull() if strict else F.lit(False)
+    hint = F.trim("_corrupt") == "{" if not multi_line else F.lit(False)
+    fail = lambda why: F.raise_error(F.lit(why)).cast("boolean")
+    return docs.filter(F.when(hint, fail("an indented document: read the folder with multi_line=True")).when(bad, fail("unreadable document")).otherwise(True))
 
 
 def scan_audit(spark: SparkSession, path: str, multi_line: bool = False, strict: bool = False) -> DataFrame:
     """Audit documents below a folder with one directory per bank. ``bank_dir`` is the directory's bank, which may differ from
-    the payload's. Unreadable documents are skipped, or with ``strict`` fail the query when they are read."""
-    docs = _json(spark, path, schemas.AUDIT, multi_line)
+    the payload's. Unreadable documents are skipped, or fail with ``strict``."""
+    docs = _json(spark, path, schemas.AUDIT, multi_line, strict)
     docs = docs.withColumn("bank_dir", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", ""))
-    bad = F.col("_corrupt").isNotNull()
-    return docs.filter(~bad | F.raise_error(F.lit("unreadable audit document")).isNotNull() if strict else ~bad).drop("_corrupt")
+    return docs.filter("_corrupt is null").drop("_corrupt")
+
+
+def results_to_lines(results: DataFrame, min_confidence: float = 0.3) -> DataFrame:
+    """Lines of raw recognition results, one row each, with the columns beside ``results`` and ``lang``. results: a JSON text in the
+    newer layout (columns of texts, scores and polygons) or the older one (a nested list of [polygon, [text, score]]). Text of
+    Arabic results is cleaned, digits become ASCII; lines below the confidence are dropped but keep their number."""
+    line = "array<struct<text:string,confidence:double,poly:array<array<double>>>>"
+    new = F.from_json("results", "array<struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<array<array<double>>>>>")
+    pages = F.get(new, F.lit(0))
+    newer = F.zip_with(F.arrays_zip(pages["rec_texts"], pages["rec_scores"]), pages["rec_polys"], lambda a, p: F.struct(a["rec_texts"].alias("text"), a["rec_scores"].alias("confidence"), p.alias("poly")))
+    old = F.get(F.from_json("results", "array<array<array<string>>>"), F.lit(0))
+    read = lambda i: F.from_json(i[1], "array<string>")
+    older = F.transform(old, lambda i: F.struct(read(i)[0].alias("text"), read(i)[1].try_cast("double").alias("confidence"), F.from_json(i[0], "array<array<double>>").alias("poly")))
+    lines = F.when(F.size(pages["rec_texts"]) > 0, newer.cast(line)).otherwise(older.cast(line))
+    keep = [c for c in results.columns if c not in ("results", "lang")]
+    rows = results.select(*keep, "lang", F.posexplode(lines).alias("line_idx", "l")).filter(F.col("l.confidence") >= min_confidence)
+    mean = lambda k: F.aggregate(F.col("l.poly"), F.lit(0.0), lambda t, p: t + p[k]) / F.size("l.poly")
+    text = norm_digits(F.when(F.col("lang") == "ar", clean_text(F.col("l.text"))).otherwise(F.col("l.text")))
+    return rows.select(*keep, "lang", "line_idx", text.alias("text"), F.col("l.text").alias("raw_text"), "l.confidence", mean(0).alias("px"), mean(1).alias("py"), F.col("l.poly").alias("bbox"))
 
 
 def line_position(line: Column, width: Column, height: Column) -> Column:
@@ -56,20 +82,21 @@ def scan_corrections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CORRECTION_CSV).option("header", True).csv(path)
 
 
-def scan_templates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(field rules, anchor rules) of the templates below a folder; positions keep their order."""
-    docs = spark.read.schema(schemas.TEMPLATE).option("recursiveFileLookup", True).json(path)
+def scan_templates(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(field rules, anchor rules) of the templates below a folder; positions keep their order. Unreadable ones are skipped."""
+    docs = _json(spark, path, schemas.TEMPLATE, multi_line).filter("_corrupt is null")
     fields = docs.select("bank_id", "template_id", F.posexplode("fields").alias("pos", "f")).select("bank_id", "template_id", "pos", "f.*")
     anchors = docs.select("bank_id", "template_id", F.posexplode("anchors").alias("pos", "a")).select("bank_id", "template_id", "pos", "a.*")
     return fields, anchors
 
 
-def scan_located(spark: SparkSession, path: str) -> DataFrame:
+def scan_located(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """bank, file, name and box of located fields; unreadable results are skipped."""
-    docs = _json(spark, path, schemas.LOCATED, False).filter("_corrupt is null")
+    docs = _json(spark, path, schemas.LOCATED, multi_line).filter("_corrupt is null")
     return docs.select("bank", "file", F.explode("results").alias("name", "r")).select("bank", "file", "name", "r.*")
 
 
-def scan_spans(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(schemas.PROFILE).json(path)
-    return docs.select(F.col("_metadata.file_name").alias("file"), F.posexplode("spans").alias("idx", "s")).select("file", "idx", "s.*")
+def scan_spans(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """file, meta and the spans of profiles in order; unreadable profiles are skipped."""
+    docs = _json(spark, path, schemas.PROFILE, multi_line).filter("_corrupt is null")
+    return docs.select(F.col("_metadata.file_name").alias("file"), "meta", F.posexplode("spans").alias("idx", "s")).select("file", "meta", "idx", "s.*")

@@ -1,10 +1,14 @@
 """Small goldens of rates, routing, audit documents, extraction, sinks and sources."""
 
+import difflib
+import json
+import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
-from inkledger.operators import audit, extract, kpi, reports, route
+from inkledger.operators import audit, bank_rules, extract, kpi, match, pipeline, reports, route
 from inkledger.sources import readers, writers
 
 
@@ -58,12 +62,89 @@ def test_later_anchor_rule_wins_and_first_line_wins_ties(spark):
     assert extract.anchors(lines, rules.filter("pos = 0")).first().line_idx == 0
 
 
-def test_rules_pick_by_stage(spark):
-    rows = [(1, "CIB", 0, "123456789012", 800, 100, 0.7, "en"), (1, "CIB", 1, "999999999999", 100, 600, 0.99, "en"), (2, "NBE", 0, "CHEQUE", 100, 100, 0.9, "en"), (2, "NBE", 1, "1234567 - 7654321", 300, 100, 0.8, "en"), (3, "FABMISR", 0, "12345678", 1, 1, 0.9, "en"), (3, "FABMISR", 1, "44139123", 1, 1, 0.5, "en")]
-    lines = spark.createDataFrame(rows, LINES)
-    assert extract.rule_cib(lines).first().token == "123456789012"
-    assert (extract.rule_nbe(lines).first().token, extract.rule_nbe(lines).first().stage) == ("12345677654321", 0)
-    assert extract.rule_fab(lines).first().token == "44139123"
+def page(spark, bank, *lines):
+    """Lines of documents: (doc, text, x, y, confidence) with x and y in shares of the page; Arabic text is Arabic."""
+    rows = []
+    for i, (doc, text, x, y, conf) in enumerate(lines):
+        rows.append((doc, bank, i, text, int(x * 1677), int(y * 677), conf, "ar" if any("\u0600" <= c <= "\u06ff" for c in text) else "en"))
+    return spark.createDataFrame(rows, LINES)
+
+
+def tokens(rows):
+    return {r.doc_id: (r.token, r.source) for r in rows.collect()}
+
+
+def test_number_of_the_label_row_and_bands(spark):
+    lines = page(
+        spark, "BANQUE_MISR", (1, "CHEQUE", 0.2, 0.1, 0.9), (1, "12345678", 0.4, 0.15, 0.9), (1, "87654321", 0.3, 0.4, 0.84), (2, "CHEQUE", 0.2, 0.1, 0.9), (2, "12345678", 0.4, 0.15, 0.9), (2, "87654321", 0.3, 0.4, 0.87),
+        (3, "شيك", 0.7, 0.1, 0.9), (3, "11112222", 0.5, 0.12, 0.9), (4, "12345678", 0.8, 0.4, 0.9), (4, "1234 5678", 0.4, 0.4, 0.9), (5, "12345678 123456", 0.4, 0.4, 0.9), (6, "12345678", 0.4, 0.2, 0.7),
+    )
+    none = spark.createDataFrame([], "doc_id long, x1 int, y1 int, x2 int, y2 int")
+    got = tokens(bank_rules.number_bm(lines, none))
+    assert got == {1: ("12345678", "bm_label_row"), 2: ("87654321", "bm_fullband_mid"), 3: ("11112222", "bm_label_row_ar"), 4: ("12345678", "bm_global_8"), 6: ("12345678", "bm_fullband")}
+    box = spark.createDataFrame([(6, 600, 100, 700, 160)], none.schema)
+    assert 6 not in tokens(bank_rules.number_bm(lines, box))
+
+
+def test_numbers_of_other_banks(spark):
+    nbe = page(spark, "NBE", (1, "CHEQUE", 0.1, 0.1, 0.9), (1, "1234567 - 7654321", 0.3, 0.1, 0.8), (2, "11112222333344", 0.5, 0.9, 0.6), (3, "CHEQUE", 0.1, 0.1, 0.9), (3, "11112222333344", 0.3, 0.1, 0.7), (3, "55556666777788", 0.3, 0.9, 0.8))
+    assert tokens(bank_rules.number_nbe(nbe)) == {1: ("12345677654321", "nbe_preselect_cheque"), 2: ("11112222333344", "nbe_final_full_image"), 3: ("55556666777788", "nbe_preselect_cheque")}
+    aaib = page(spark, "AAIB", (1, "909006500", 0.3, 0.1, 0.99), (1, "123456789", 0.3, 0.5, 0.8), (1, "944123456", 0.9, 0.5, 0.7), (2, "Cheque No.", 0.1, 0.5, 0.9), (2, "123456789", 0.3, 0.5, 0.6), (2, "987654321", 0.3, 0.7, 0.7))
+    assert tokens(bank_rules.number_aaib(aaib)) == {1: ("944123456", "aaib_fullimage"), 2: ("123456789", "aaib_fullimage")}
+    fab = page(spark, "FABMISR", (1, "12345678", 0.1, 0.1, 0.9), (1, "44139123", 0.1, 0.1, 0.5), (2, "12345678", 0.1, 0.1, 0.4), (2, "87654321", 0.1, 0.1, 0.9), (3, "A 12345678", 0.1, 0.1, 0.9))
+    assert {k: v[0] for k, v in tokens(bank_rules.number_fab(fab)).items()} == {1: "44139123", 2: "12345678"}
+    cib = page(spark, "CIB", (1, "CHEQUE", 0.2, 0.5, 0.9), (1, "شيك", 0.8, 0.5, 0.9), (1, "123456789012", 0.5, 0.6, 0.7), (1, "999999999999", 0.1, 0.6, 0.99), (2, "123456789012", 0.1, 0.6, 0.5), (2, "1234567", 0.5, 0.1, 0.9), (3, "1234567", 0.5, 0.1, 0.9))
+    assert tokens(bank_rules.number_cib(cib)) == {1: ("123456789012", "bm_preselect_band"), 2: ("123456789012", "bm_final_full_image"), 3: ("1234567", "fallback_candidates")}
+
+
+def test_dates_amounts_payees(spark):
+    aaib = page(spark, "AAIB", (1, "05/JuV/2024", 0.6, 0.2, 0.5), (1, "06/Jan/2024", 0.2, 0.2, 0.9), (2, "Date", 0.1, 0.7, 0.9), (2, "07/Feb/2024", 0.3, 0.7, 0.5), (2, "08/Mar/2024", 0.3, 0.9, 0.9))
+    assert tokens(bank_rules.date_rules(aaib)) == {1: ("05/Jul/2024", "aaib_date_region"), 2: ("07/Feb/2024", "aaib_date_label")}
+    nbe = page(spark, "NBE", (1, "05/lan/2024", 0.6, 0.2, 0.5), (1, "1,234.50", 0.7, 0.4, 0.6), (1, "9,999.00", 0.2, 0.4, 0.99), (1, "شركة فرع", 0.3, 0.35, 0.9), (1, "شركة النيل", 0.3, 0.35, 0.7))
+    assert tokens(bank_rules.date_rules(nbe)) == {1: ("05/Jan/2024", "nbe_date_global")} and tokens(bank_rules.amount_rules(nbe)) == {1: ("1,234.50", "nbe_amount_dec_band")}
+    box = spark.createDataFrame([(1, 400, 200, 700, 300)], "doc_id long, x1 int, y1 int, x2 int, y2 int")
+    assert tokens(bank_rules.payee_rules(nbe, box)) == {1: ("شركة النيل", "nbe_name_roi")}
+
+
+def test_page_to_audit_document(spark, tmp_path):
+    """A whole page: the box of the number is widened, the bank's rules step in where the text does not do, one record a field."""
+    fields = spark.createDataFrame([("NBE", i, n, *box, *box, None) for i, (n, box) in enumerate((("bank_name", (0, 0, 300, 60)), ("date", (1200, 40, 1600, 120)), ("cheque_number", (600, 40, 700, 100)), ("amount_numeric", (1200, 200, 1600, 300)), ("name", (200, 200, 1100, 300))))], "bank_code string, pos int, name string, rx1 int, ry1 int, rx2 int, ry2 int, x1 int, y1 int, x2 int, y2 int, pattern string")
+    anchors = spark.createDataFrame([], "bank_code string, pos int, name string, x1 int, y1 int, x2 int, y2 int, pattern string")
+    lines = spark.createDataFrame([(7, "NBE", i, t, x, y, c, "ar" if t[0] > "z" else "en") for i, (t, x, y, c) in enumerate((("11112222333344", 850, 70, 1.0), ("05/lan/2024", 1300, 500, 1.0), ("1,234.50", 1400, 250, 1.0), ("شركة النيل", 600, 250, 1.0)))], LINES)
+    records = pipeline.extract_fields(lines, fields, anchors)
+    got = {r.name: r for r in records.collect()}
+    assert {n: (r.ocr_text, r.parse_norm, r.parse_ok) for n, r in got.items()} == {
+        "bank_name": ("NBE", None, False), "date": ("05/Jan/2024", "2024-01-05", True), "cheque_number": ("11112222333344", "11112222333344", True), "amount_numeric": ("1,234.50", "1234.50", True), "name": ("شركة النيل", "شركة النيل", True),
+    }
+    assert (got["cheque_number"].x2, got["cheque_number"].source, got["bank_name"].ocr_conf) == (901, "nbe_final_full_image", 1.0)
+    writers.write_audit(pipeline.audit_documents(records, pipeline.decisions(records)), f"{tmp_path}/a")
+    doc = readers.scan_audit(spark, f"{tmp_path}/a").first()
+    assert (doc.bank, doc.file, doc.decision.decision, len(doc.fields)) == ("NBE", "00000007.jpg", "review", 5) and doc.fields["date"].loc_conf == 0.9
+
+
+def test_payee_is_no_line_of_prepositions(spark):
+    rules = spark.createDataFrame([("A", 0, "pay_to_label", 0, 0, 1677, 677, "(?i)pay to")], "bank_code string, pos int, name string, x1 int, y1 int, x2 int, y2 int, pattern string")
+    lines = spark.createDataFrame([(1, "A", 0, "Pay to", 100, 100, 0.9, "en"), (1, "A", 1, "السيد الى فلان", 400, 100, 0.99, "ar"), (1, "A", 2, "شركه البناء", 500, 110, 0.7, "ar")], LINES)
+    at = extract.anchor_points(extract.anchors(lines, rules))
+    assert extract.locate_by(lines, at, extract.payee_way()).first().text == "شركه البناء"
+
+
+def test_names_match_as_by_all_pairs(spark):
+    rng, letters = random.Random(5), "aabcdeefgh "
+    names = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 24))).strip() or "x" for _ in range(120)]
+    other = []
+    for n in names:
+        c = list(n)
+        for _ in range(rng.randint(0, 3)):
+            c[rng.randrange(len(c))] = rng.choice(letters)
+        other.append("".join(c)[rng.randint(0, 1) :] or "y")
+    got = {r.payee: (r.master, r.ratio) for r in match.best_matches(spark.createDataFrame([(n,) for n in other], "payee string"), spark.createDataFrame([(n, i) for i, n in enumerate(names)], "master string, master_pos int")).collect()}
+    for n in set(other):
+        best = max(((round(difflib.SequenceMatcher(None, n, m).ratio(), 6), -i, m) for i, m in enumerate(names)))
+        if best[0] >= 0.85 and len(n) > 1:
+            assert got[n] == (best[2], best[0])
+        elif best[0] < 0.85:
+            assert n not in got
 
 
 def test_rtl_rows(spark):
@@ -100,4 +181,41 @@ def test_templates_and_reports_written(spark, tmp_path):
     fields, anchors = readers.scan_templates(spark, f"{tmp_path}/t")
     assert fields.first().name == "date" and len(fields.first().roi_norm) == 4 and anchors.count() == 0
     writers.write_report(spark.createDataFrame([("f", ["a", "b"], 0.12345)], "file string, low array<string>, conf double"), f"{tmp_path}/r", ("low",), ("conf",))
-    assert next((tmp_path / "r").glob("part-*")).read_text().splitlines()[1] == "f,a;b,0.123"
+    written = [x for f in (tmp_path / "r").glob("part-*") for x in f.read_text().splitlines()]
+    assert set(written) == {"file,low,conf", "f,a;b,0.123"}
+    writers.write_export(spark.createDataFrame([("A", "f", "d", "n", "a", True, 0.5, "more")], "bank string, file string, date string, cheque_number string, amount_numeric string, stp boolean, overall_conf double, other string"), f"{tmp_path}/e")
+    written = [x for f in (tmp_path / "e").glob("part-*") for x in f.read_text().splitlines()]
+    assert set(written) == {"bank,file,date,cheque_number,amount_numeric,stp,overall_conf", "A,f,d,n,a,true,0.5"}
+
+
+def test_indented_documents(spark, tmp_path):
+    """Files with one indented document each are read as such; read line by line they fail instead of vanishing."""
+    box = [0.1, 0.2, 0.3, 0.1]
+    put = lambda folder, name, doc: ((tmp_path / folder).mkdir(parents=True, exist_ok=True), (tmp_path / folder / name).write_text(json.dumps(doc, ensure_ascii=False, indent=2)))
+    put("audit/NBE", "f1.json", {"schema_version": 1, "bank": "NBE", "file": "f1", "decision": {"decision": "review", "stp": False}, "fields": {"date": {"parse_norm": "2024-01-05", "bbox": [1, 2, 3, 4]}}, "corrections": []})
+    put("audit/NBE", "broken.json", {})
+    (tmp_path / "audit/NBE/broken.json").write_text("{\n  \"bank\": ")
+    put("tpl/NBE", "auto.json", {"bank_id": "NBE", "template_id": "auto", "version": "0.1.0", "fields": [{"name": "date", "roi_norm": box, "region_norm": box, "pattern": "x"}, {"name": "name", "roi_norm": box}], "anchors": [{"name": "date_label", "region_norm": box, "pattern": "(?i)date"}]})
+    put("loc", "NBE_f1_loc.json", {"file": "f1", "bank": "NBE", "results": {"date": {"bbox": [1, 2, 3, 4], "confidence": 0.9, "method": "template_roi"}}})
+    put("profile", "p.json", {"schema": 1, "generated_at": 1, "meta": {"bank": "NBE"}, "spans": [{"name": "a", "ts": 1.0, "dur": 0.5}, {"name": "b", "ts": 2.0, "dur": 0.1, "parent": 0}]})
+    put("ocr", "f1.json", {"bank": "NBE", "file": "f1", "image_height": 677, "image_width": 1677, "raw_ocr_results": [{"text": "t", "confidence": 0.5, "pos": [1, 2]}]})
+    one = readers.scan_audit(spark, f"{tmp_path}/audit", True).collect()
+    assert [(r.bank_dir, r.file, r.fields["date"].bbox) for r in one] == [("NBE", "f1", [1, 2, 3, 4])]
+    fields, anchors = readers.scan_templates(spark, f"{tmp_path}/tpl", True)
+    assert [(r.pos, r.name, r.pattern) for r in fields.orderBy("pos").collect()] == [(0, "date", "x"), (1, "name", None)] and anchors.first().pattern == "(?i)date"
+    assert readers.scan_located(spark, f"{tmp_path}/loc", True).first().bbox == [1, 2, 3, 4]
+    assert [(r.meta["bank"], r.idx, r.name, r.parent) for r in readers.scan_spans(spark, f"{tmp_path}/profile", True).orderBy("idx").collect()] == [("NBE", 0, "a", None), ("NBE", 1, "b", 0)]
+    assert readers.scan_ocr_lines(spark, f"{tmp_path}/ocr", True)[0].first().px == 1.0
+    for read in (lambda: readers.scan_audit(spark, f"{tmp_path}/audit"), lambda: readers.scan_templates(spark, f"{tmp_path}/tpl")[0], lambda: readers.scan_spans(spark, f"{tmp_path}/profile")):
+        with pytest.raises(Exception, match="multi_line"):
+            read().collect()
+    with pytest.raises(Exception, match="unreadable"):
+        readers.scan_audit(spark, f"{tmp_path}/audit", True, strict=True).collect()
+
+
+def test_results_in_both_layouts(spark):
+    poly = [[0, 0], [10, 0], [10, 4], [0, 4]]
+    new = json.dumps([{"rec_texts": ["a١", "low"], "rec_scores": [0.9, 0.2], "rec_polys": [poly, poly]}], ensure_ascii=False)
+    old = json.dumps([[[poly, ["أحمد", 0.8]], [poly, ["x", 0.1]]]], ensure_ascii=False)
+    rows = spark.createDataFrame([(1, "en", new), (2, "ar", old), (3, "en", "[]"), (4, "en", None)], "doc_id long, lang string, results string")
+    assert sorted((r.doc_id, r.line_idx, r.text, r.raw_text, r.confidence, r.px, r.py) for r in readers.results_to_lines(rows).collect()) == [(1, 0, "a1", "a١", 0.9, 5.0, 2.0), (2, 0, "احمد", "أحمد", 0.8, 5.0, 2.0)]
