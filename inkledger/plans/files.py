@@ -126,11 +126,28 @@ def uploads(rows: DataFrame) -> DataFrame:
 
 
 REG.add(
-    "stream_sessions", lambda s, d: jobs.stream_sessions(uploads(events(s, d)), work.folder(s, "stream-sessions")),
+    "stream_sessions", lambda s, d: jobs.stream_sessions(uploads(events(s, d)), uploads(table(s, d, "events")), work.folder(s, "stream-sessions")),
     """WITH e AS (SELECT CASE user_id % 5 WHEN 0 THEN 'QNB' WHEN 1 THEN 'FABMISR' WHEN 2 THEN 'CIB' WHEN 3 THEN 'AAIB' ELSE 'NBE' END AS bank, concat('s', user_id) AS key, ts::TIMESTAMP AS t FROM events),
  n AS (SELECT *, CASE WHEN t - lag(t) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY bank, key ORDER BY t)), g AS (SELECT *, sum(new) OVER (PARTITION BY bank, key ORDER BY t ROWS UNBOUNDED PRECEDING) AS grp FROM n)
 SELECT bank, key, min(t) AS started_at, max(t) AS ended_at, count(*) AS uploads, epoch_us(max(t)) // 1000 - epoch_us(min(t)) // 1000 AS processing_ms FROM g GROUP BY bank, key, grp""",
 )
+
+
+def session_events(rows: DataFrame) -> DataFrame:
+    """Uploads and, as every signup, requests to finalize; uploads without a key are sessions of their own."""
+    bank = F.element_at(F.array(*map(F.lit, ["QNB", "FABMISR", "CIB", "AAIB", "NBE"])), (F.col("user_id") % 5 + 1).cast("int"))
+    key = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("event:"), F.col("event_id").cast("string"))).otherwise(sanitize_key(F.concat(F.lit("s/"), F.col("user_id").cast("string"))))
+    return rows.select(bank.alias("bank"), key.alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") == "signup").alias("final"))
+
+
+REG.add(
+    "stream_batches", lambda s, d: jobs.assign_batches(session_events(events(s, d)), work.folder(s, "stream-batches")),
+    """WITH e AS (SELECT bank, CASE WHEN correlation_id = '' THEN concat('event:', s.event_id::VARCHAR) ELSE replace(correlation_id, '/', '') END AS key, s.ts::TIMESTAMP AS t, s.event_id, event_type = 'signup' AS final FROM v_session s JOIN (SELECT event_id AS e_id, event_type FROM events) k ON event_id = e_id),
+ o AS (SELECT bank, key, min(t) AS first_ts, arg_min(event_id, t) AS first_event, count(*) AS uploads FROM e WHERE NOT final GROUP BY 1, 2),
+ n AS (SELECT *, CAST(timezone('Africa/Cairo', timezone('UTC', first_ts)) AS DATE) AS batch_date FROM o), q AS (SELECT *, row_number() OVER (PARTITION BY bank, batch_date ORDER BY first_ts, first_event) AS seq FROM n),
+ f AS (SELECT e.bank, e.key, min(t) AS ended_at FROM e JOIN o ON e.bank = o.bank AND e.key = o.key WHERE final AND t >= first_ts GROUP BY 1, 2)
+SELECT q.bank, batch_date, seq, concat(strftime(batch_date, '%d_%m_%Y'), '_', q.bank, '_', CASE WHEN seq < 10 THEN concat('0', seq) ELSE seq::VARCHAR END) AS batch_name, uploads, first_ts AS started_at, ended_at, epoch_us(ended_at) // 1000 - epoch_us(first_ts) // 1000 AS processing_ms FROM q LEFT JOIN f ON q.bank = f.bank AND q.key = f.key""",
+)
 REG.add("stream_ingest", lambda s, d: jobs.ingest_once(events(s, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), work.folder(s, "stream-ingest"), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
 REG.add(
     "stream_audit", lambda s, d: jobs.latest_documents(events(s, d).select(F.col("event_type").alias("bank"), F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("version"), F.col("props").alias("payload")), work.folder(s, "stream-audit")),

@@ -165,12 +165,13 @@ REG.add(
  (SELECT f.cheque_id, f.name, coalesce(l.after, f.parse_norm) AS v, sum(coalesce(l.n, 0)) OVER (PARTITION BY f.cheque_id) AS n FROM v_full f LEFT JOIN (SELECT cheque_id, field, arg_max(after, struct_pack(a := made_at, b := correction_id)) AS after, count(*) AS n FROM v_correction GROUP BY 1, 2) l ON f.cheque_id = l.cheque_id AND f.name = l.field) x
  ON c.cheque_id = x.cheque_id GROUP BY 1""",
 )
-#: Overrides typed in at export: one for some fields of some documents.
-_OVER = "SELECT cheque_id, name, concat('X', ocr_text) AS value FROM v_full WHERE cheque_id % 9 = 0 AND name IN ('date','cheque_number','amount_numeric','name')"
+#: Overrides typed in at export, one for each exported field of every document: a new value, the recognised one or none.
+_VALUE = "CASE cheque_id % 3 WHEN 0 THEN concat('X', ocr_text) WHEN 1 THEN ocr_text END"
+_OVER = f"SELECT cheque_id, name, {_VALUE} AS value FROM v_full WHERE name IN ('date','cheque_number','amount_numeric','name')"
 
 
 def overrides(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "v_full").filter((F.col("cheque_id") % 9 == 0) & F.col("name").isin([*KPI_FIELDS, "name"])).select("cheque_id", "name", F.concat(F.lit("X"), "ocr_text").alias("value"))
+    return view(s, d, "v_full").filter(F.col("name").isin([*KPI_FIELDS, "name"])).select("cheque_id", "name", F.expr(_VALUE).alias("value"))
 
 
 def overridden(s: SparkSession, d: str) -> DataFrame:
@@ -180,12 +181,12 @@ def overridden(s: SparkSession, d: str) -> DataFrame:
 
 
 REG.add("export_overrides", lambda s, d: overridden(s, d).select("cheque_id", "name", "parse_norm", "ocr_text"), f"SELECT f.cheque_id, f.name, coalesce(o.value, parse_norm) AS parse_norm, CASE WHEN o.value IS NOT NULL AND f.name = 'name' THEN o.value ELSE ocr_text END AS ocr_text FROM v_full f LEFT JOIN ({_OVER}) o ON f.cheque_id = o.cheque_id AND f.name = o.name")
-REG.add("export_corrections", lambda s, d: overridden(s, d).filter("value is not null and name <> 'name' and value is distinct from old").select("cheque_id", F.col("name").alias("field"), F.col("old").alias("before"), F.col("value").alias("after"), F.lit("export").alias("reviewer_id")), f"SELECT f.cheque_id, f.name AS field, {_BEST} AS before, o.value AS after, 'export' AS reviewer_id FROM v_full f JOIN ({_OVER}) o ON f.cheque_id = o.cheque_id AND f.name = o.name WHERE f.name <> 'name' AND o.value IS DISTINCT FROM {_BEST}")
+REG.add("export_corrections", lambda s, d: overridden(s, d).filter("value is not null and name <> 'name' and value is distinct from old").select("cheque_id", F.col("name").alias("field"), F.col("old").alias("before"), F.col("value").alias("after"), F.lit("export").alias("reviewer_id")), f"SELECT f.cheque_id, f.name AS field, {_BEST} AS before, o.value AS after, 'export' AS reviewer_id FROM v_full f JOIN ({_OVER}) o ON f.cheque_id = o.cheque_id AND f.name = o.name WHERE f.name <> 'name' AND o.value IS NOT NULL AND o.value IS DISTINCT FROM {_BEST}")
 
 
-@REG.query("review_export", f"SELECT r.pos, w.bank, w.date, w.cheque_number, w.amount_numeric FROM (SELECT event_id AS pos, user_id AS cheque_id FROM events WHERE event_id % 3 = 0) r JOIN ({WIDE_SQL}) w ON r.cheque_id = w.cheque_id")
+@REG.query("review_export", f"SELECT r.pos, w.bank, w.date, w.cheque_number, w.amount_numeric FROM (SELECT event_id AS pos, user_id AS cheque_id FROM events) r JOIN ({WIDE_SQL}) w ON r.cheque_id = w.cheque_id")
 def review_export(s: SparkSession, d: str) -> DataFrame:
-    asked = s.read.parquet(f"{d}/events.parquet").filter("event_id % 3 = 0").select(F.col("event_id").alias("pos"), F.col("user_id").alias("cheque_id"))
+    asked = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("pos"), F.col("user_id").alias("cheque_id"))
     return audit.wide(docs(s, d)).join(asked, "cheque_id").select("pos", "bank", *audit.EXPORT_FIELDS).orderBy("pos")
 
 

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from inkledger.operators.kpi import BATCH, kpi_batch
+from inkledger.operators.kpi import BATCH, batch_name, business_date, kpi_batch
 
 
 def stream_of(spark: SparkSession, path: str, schema: object, files_per_batch: int = 64) -> DataFrame:
@@ -37,9 +38,11 @@ def refresh_kpis(corrections: DataFrame, cheques: DataFrame, fields: DataFrame,
     def each(new: DataFrame, batch: int) -> None:
         pairs = new.select("cheque_id", F.col("field").alias("name")).distinct()
         pairs.write.mode("overwrite").parquet(f"{root}/corrections/batch={batch}")
-        seen = spark.read.parquet(f"{root}/corrections").filter(F.col("batch") <= batch).select("cheque_id", "name").distinct().withColumn("hit", F.lit(True))
         touched = spark.read.parquet(f"{root}/corrections/batch={batch}").select("cheque_id").distinct().join(cheques, "cheque_id").select(*BATCH).distinct()
         own = cheques.join(touched, BATCH, "left_semi")
+        # of the corrections so far only those of these cheques are told apart
+        seen = spark.read.parquet(f"{root}/corrections").filter(F.col("batch") <= batch).select("cheque_id", "name")
+        seen = seen.join(own.select("cheque_id"), "cheque_id", "left_semi").distinct().withColumn("hit", F.lit(True))
         marked = fields.join(own.select("cheque_id"), "cheque_id", "left_semi").join(seen, ["cheque_id", "name"], "left").withColumn("corrected", F.col("corrected") | F.coalesce("hit", F.lit(False)))
         kpi_batch(own, marked).write.mode("overwrite").parquet(f"{root}/kpi/batch={batch}")
 
@@ -54,18 +57,46 @@ def sessions(uploads: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return out.select("bank", "key", "started_at", "ended_at", "uploads", (F.unix_millis("ended_at") - F.unix_millis("started_at")).alias("processing_ms"))
 
 
-def stream_sessions(uploads: DataFrame, root: str, late: str = "2 hours") -> DataFrame:
-    """Sessions as a stream. Finished sessions leave the state when the watermark passes; update mode rewrites open ones, so
-    the end state is complete and replays are idempotent."""
-    spark = uploads.sparkSession
+def stream_sessions(uploads: DataFrame, now: DataFrame, root: str, gap_minutes: int = 30, late_minutes: int = 120) -> DataFrame:
+    """Sessions as a stream. A session is written once, when the watermark passes its end, and then leaves the state. Those
+    still open come from the table twin ``now``, which reads the uploads of keys that were active within the watermark only."""
+    gap, closed = f"{gap_minutes} minutes", f"{root}/sessions"
 
     def each(new: DataFrame, batch: int) -> None:
-        new.write.mode("overwrite").parquet(f"{root}/sessions/batch={batch}")
+        new.write.mode("overwrite").parquet(f"{closed}/batch={batch}")
 
-    drain(sessions(uploads.withWatermark("ts", late)), f"{root}/checkpoint", each, "complete")
-    rows = spark.read.parquet(f"{root}/sessions")
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.filter(F.col("batch") == last).drop("batch")
+    drain(sessions(uploads.withWatermark("ts", f"{late_minutes} minutes"), gap), f"{root}/checkpoint", each)
+    done = uploads.sparkSession.read.parquet(closed).drop("batch")
+    last = now.agg((F.max("ts") - F.expr(f"INTERVAL {late_minutes + 2 * gap_minutes} MINUTES")).alias("since"))
+    active = now.join(last, F.col("ts") >= F.col("since"), "left_semi").select("bank", "key").distinct()
+    still_open = sessions(now.join(active, ["bank", "key"], "left_semi"), gap)
+    return done.unionByName(still_open.join(done, ["bank", "key", "started_at"], "left_anti").select(*done.columns))
+
+
+def assign_batches(events: DataFrame, root: str) -> DataFrame:
+    """Upload sessions to batches. The first upload of a (bank, key) opens a batch, numbered after those its bank and business date
+    have; every later one joins it, however late. Finalizing sets the end once and may be repeated. events (a stream): bank, key,
+    ts, event_id, final. What was assigned is a table, keyed by (bank, key); every micro-batch adds its own folder to it and reads
+    earlier ones only, so a replay gives the same numbers."""
+    spark = events.sparkSession
+    assigned = "bank string, key string, first_ts timestamp, first_event long, batch_date date, seq long, batch int"
+
+    def each(new: DataFrame, batch: int) -> None:
+        new.write.mode("overwrite").parquet(f"{root}/events/batch={batch}")
+        rows = spark.read.parquet(f"{root}/events/batch={batch}").filter("not final")
+        before = spark.read.schema(assigned).parquet(f"{root}/opened").filter(F.col("batch") < batch) if batch else spark.createDataFrame([], assigned)
+        first = rows.groupBy("bank", "key").agg(F.min(F.struct("ts", "event_id")).alias("f")).join(before, ["bank", "key"], "left_anti")
+        fresh = first.select("bank", "key", F.col("f.ts").alias("first_ts"), F.col("f.event_id").alias("first_event"), business_date(F.col("f.ts")).alias("batch_date"))
+        highest = before.groupBy("bank", "batch_date").agg(F.max("seq").alias("taken"))
+        nth = F.row_number().over(Window.partitionBy("bank", "batch_date").orderBy("first_ts", "first_event"))
+        numbered = fresh.join(highest, ["bank", "batch_date"], "left").withColumn("seq", (F.coalesce("taken", F.lit(0)) + nth).cast("long"))
+        numbered.select("bank", "key", "first_ts", "first_event", "batch_date", "seq").write.mode("overwrite").parquet(f"{root}/opened/batch={batch}")
+
+    drain(events, f"{root}/checkpoint", each)
+    opened, rows = spark.read.schema(assigned).parquet(f"{root}/opened").drop("batch"), spark.read.parquet(f"{root}/events").drop("batch")
+    per_key = rows.join(opened, ["bank", "key"]).groupBy("bank", "key").agg(F.count_if(~F.col("final")).alias("uploads"), F.min(F.when(F.col("final") & (F.col("ts") >= F.col("first_ts")), F.col("ts"))).alias("ended_at"))
+    done = opened.join(per_key, ["bank", "key"])
+    return done.select("bank", "batch_date", "seq", batch_name(F.col("batch_date"), F.col("bank"), F.col("seq")).alias("batch_name"), "uploads", F.col("first_ts").alias("started_at"), "ended_at", (F.unix_millis("ended_at") - F.unix_millis("first_ts")).alias("processing_ms"))
 
 
 def ingest_once(cheques: DataFrame, root: str, keys: list[str], late: str) -> DataFrame:
