@@ -14,7 +14,7 @@ sets is at least 3/4. Equal sets are one class and enter the search once, throug
   near copies becomes a star instead of all its pairs. Estimates obey the triangle inequality, so whatever may be similar to
   one that leaves lies in a band around the centre; those of the band that are not in the centre's component are compared
   with all that leave, in blocks where the node is larger than a task;
-* ``trees`` independent trees repeat the search to raise recall.
+* ``trees`` independent trees repeat the search to raise recall; a pair that several nodes compare whole is nominated by one.
 
 Signatures only nominate pairs. A link counts once the full sets, computed from whole texts, confirm it. The nodes are
 settled twice: first they nominate a spanning forest of the pairs that look similar, then all pairs that might be similar
@@ -53,10 +53,10 @@ class Join:
     percent: int = 75
     trees: int = 8
     early: int = 8
-    tokens: int = 256
+    tokens: int = 512
     leaf: int = 24
     node_rows: int = 4096
-    slack: float = 0.0812
+    slack: float = 0.0574
     near: float = 0.9
     max_levels: int = 16
     seed: int = 11
@@ -138,24 +138,29 @@ def print_of(values: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, p: Join) -> DataFrame:
-    """doc_id, n_shingles, p1, p2 (the set's print), sig (16 bits a token), nodes (the first nodes of each tree)."""
+    """doc_id, n_shingles, p1, p2 (the set's print), sig (8 bits a token), nodes (the first nodes of each tree)."""
     rng = np.random.default_rng(p.seed)
-    flips, odds = rng.integers(0, 1 << 63, p.tokens, dtype=np.uint64), rng.integers(0, 1 << 63, p.tokens, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flips, odds = rng.integers(0, 1 << 32, p.tokens, dtype=np.uint32), rng.integers(0, 1 << 31, p.tokens, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     roots = [(tree, token) for tree in range(p.trees) for token in p.branches(tree)]
+    # signatures are estimates and take 32 bits of a shingle; the first nodes hold what shares 64 bits, however many documents there are
+    root_flips, root_odds = rng.integers(0, 1 << 63, len(roots), dtype=np.uint64), rng.integers(0, 1 << 63, len(roots), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, end, data, starts in chunks(b.column(1)):
                 value, bounds = shingles(data, starts, p.width)
                 full = np.flatnonzero(np.diff(bounds))
-                least = np.zeros((p.tokens, end - first), dtype=np.uint64)
+                least, tops = np.zeros((p.tokens, end - first), dtype=np.uint32), np.zeros((len(roots), end - first), dtype=np.uint64)
                 if len(full):
+                    half = (value >> np.uint64(32)).astype(np.uint32)
                     for k in range(p.tokens):
-                        least[k, full] = np.minimum.reduceat((value ^ flips[k]) * odds[k], bounds[full])
-                nodes = np.stack([mark(mix(least[token] + mix(np.array([(tree << 32) + token + 1], dtype=np.uint64))), tree < p.early) for tree, token in roots], 1)
+                        least[k, full] = np.minimum.reduceat((half ^ flips[k]) * odds[k], bounds[full])
+                    for k in range(len(roots)):
+                        tops[k, full] = np.minimum.reduceat((value ^ root_flips[k]) * root_odds[k], bounds[full])
+                nodes = np.stack([mark(mix(tops[k] + mix(np.array([(tree << 32) + k + 1], dtype=np.uint64))), tree < p.early) for k, (tree, _) in enumerate(roots)], 1)
                 sets = [np.unique(value[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 prints = [print_of(s) for s in sets]
-                sig = np.ascontiguousarray(least.T).astype(np.uint16)
+                sig = np.ascontiguousarray(least.T.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()),
                      pa.array([s.tobytes() for s in sig], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(nodes.view(np.int64).ravel()), len(roots)).cast(pa.list_(pa.int64()))],
@@ -167,18 +172,33 @@ def signatures(docs: DataFrame, p: Join) -> DataFrame:
 
 
 def matrix(column: pa.Array, tokens: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, tokens)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, tokens)
 
 
 class Node:
     """Settles one node within a task. In the first pass it nominates a spanning forest of the pairs that look similar
     enough; in the second, every pair that might be and whose ends lie in different components."""
 
-    def __init__(self, p: Join, ids: np.ndarray, sig: np.ndarray, root: np.ndarray | None):
+    def __init__(self, p: Join, ids: np.ndarray, sig: np.ndarray, root: np.ndarray | None, node: int = 0, whole: bool = False, done: np.ndarray | None = None):
         self.p, self.ids, self.sig, self.root = p, ids, sig, root
+        self.node, self.whole, self.done = node, whole, done
         self.parent, self.found = list(range(len(ids))), []
         self.many = None if root is None else deep_branches(p)
 
+    def flat(self) -> bool:
+        """Branching would save few comparisons here."""
+        a, b = np.random.default_rng(len(self.ids)).integers(0, len(self.ids), (2, 128))
+        return deep_branches(self.p) * (self.sig[a] == self.sig[b]).mean() > 0.8
+
+    def elsewhere(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs that also meet in another node which is compared whole: only the first such node nominates them."""
+        least = np.full(len(a), np.iinfo(np.int64).max)
+        for column in self.done.T:
+            mine = column[a]
+            shared = (mine != 0) & (self.done[b] == mine[:, None]).any(1)
+            least = np.where(shared, np.minimum(least, mine), least)
+        return (least != self.node) & (least != np.iinfo(np.int64).max)
+
     def top(self, x: int) -> int:
         while self.parent[x] != x:
             self.parent[x] = x = self.parent[self.parent[x]]
@@ -187,7 +207,11 @@ class Node:
     def nominate(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> None:
         if self.root is not None:
             keep = (same >= self.p.least) & (self.root[a] != self.root[b])
-            self.found += zip(a[keep].tolist(), b[keep].tolist(), strict=True)
+            a, b = a[keep], b[keep]
+            if self.done is not None and self.done.any():
+                own = ~self.elsewhere(a, b)
+                a, b = a[own], b[own]
+            self.found += zip(a.tolist(), b.tolist(), strict=True)
             return
         keep = np.flatnonzero(same >= self.p.percent / 100)
         for k in keep[np.argsort(-same[keep], kind="stable")]:
@@ -211,10 +235,15 @@ class Node:
         return rows[~leave]
 
     def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Estimates of all pairs of two sides, token by token."""
-        count = np.zeros((len(x), len(y)), np.uint16)
-        for a, b in zip(self.sig[x].T, self.sig[y].T, strict=True):
-            count += a[:, None] == b
+        """Estimates of all pairs of two sides: small ones at once, others token by token, as counts of 255 tokens fit in a byte."""
+        if len(x) * len(y) <= 2048:
+            return np.count_nonzero(self.sig[x][:, None] == self.sig[y][None], axis=2) / self.p.tokens
+        count, a, b = np.zeros((len(x), len(y)), np.uint16), np.ascontiguousarray(self.sig[x].T), np.ascontiguousarray(self.sig[y].T)
+        for k in range(0, self.p.tokens, 255):
+            few = np.zeros(count.shape, np.uint8)
+            for u, v in zip(a[k : k + 255], b[k : k + 255], strict=True):
+                few += (u[:, None] == v).view(np.uint8)
+            count += few
         return count / self.p.tokens
 
     def cross(self, left: np.ndarray, right: np.ndarray, block: int = 256) -> None:
@@ -240,9 +269,7 @@ class Node:
         if self.root is not None:  # only pairs of different components count
             _, which, sizes = np.unique(self.root[rows], return_inverse=True, return_counts=True)
             rest = rows[which != sizes.argmax()]
-            a, b = np.random.default_rng(len(rows)).choice(rows, (2, 128))
-            flat = self.many * (self.sig[a] == self.sig[b]).mean() > 0.8  # branching would save few comparisons
-            if len(rest) * len(rows) <= self.p.pairs or (flat and len(rows) <= 2 * self.p.node_rows):
+            if len(rest) * len(rows) <= self.p.pairs or (self.whole and level == 0):
                 return self.exhaust(rows) if 2 * len(rest) > len(rows) else self.cross(rest, rows)
         if len(rows) > self.p.leaf:
             rows = self.star(rows, node)
@@ -256,40 +283,50 @@ class Node:
 
 
 def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
-    """Pairs (a, b) nominated by nodes. rows: node, id, sig, root, side, with all rows of a node together. Where side is not
-    0, the rows of side 1 are compared with those of side 2."""
+    """Pairs (a, b) nominated by nodes, and in the first pass (node, NULL) for nodes that branching would not thin out, which the
+    second compares whole. rows: node, id, sig, root, side, whole, done, with all rows of a node together. Where side is not 0,
+    the rows of side 1 are compared with those of side 2; done are the nodes of a class that are compared whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         pairs: list[np.ndarray] = []
+        whole: list[int] = []
 
         def close() -> None:
             if held:
-                node, ids, sig, root, side = held[0][0], *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+                node, ids, sig, root, side, own = int(held[0][0]), *(np.concatenate(x) for x in list(zip(*held, strict=True))[1:6])
                 if not second or (root != root[0]).any():
-                    work = Node(p, ids, sig, root if second else None)
+                    done = [x for h in held for x in h[6]] if second else []
+                    table = np.zeros((len(ids), max(map(len, done), default=0)), dtype=np.int64)
+                    for k, x in enumerate(done):
+                        table[k, : len(x)] = x
+                    work = Node(p, ids, sig, root if second else None, node, bool(own[0]), table)
                     if side.any():
                         work.cross(np.flatnonzero(side == 1), np.flatnonzero(side == 2))
                     else:
-                        work.settle(int(node), np.arange(len(ids)))
+                        if not second and p.leaf < len(ids) <= p.node_rows and work.flat():
+                            whole.append(node)
+                        work.settle(node, np.arange(len(ids)))
                     if work.found:
                         pairs.append(np.unique(np.sort(ids[np.array(work.found)], axis=1), axis=0) if len(work.found) > 1 else np.sort(ids[np.array(work.found)], axis=1))
                 held.clear()
 
         def take() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                both = np.concatenate(pairs)
+            if pairs or whole:
+                both = np.concatenate([*pairs, np.zeros((0, 2), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(both[:, 0], np.array(whole, np.int64))), pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(len(whole), pa.int64())])], ["a", "b"])
                 pairs.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                whole.clear()
 
         for b in batches:
-            node, ids, sig, root, side = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), p.tokens), b.column(3).to_numpy(), b.column(4).to_numpy()
+            node, ids, sig, root, side, own = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), p.tokens), b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy(zero_copy_only=False)
+            done = b.column(6).to_pylist() if second else []
             cuts = [0, *(np.flatnonzero(np.diff(node)) + 1), len(node)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and y > x and held[0][0] != node[x]:
                     close()
                 if y > x:
-                    held.append((node[x], ids[x:y], sig[x:y], root[x:y], side[x:y]))
+                    held.append((node[x], ids[x:y], sig[x:y], root[x:y], side[x:y], own[x:y], done[x:y]))
             yield from take()
         close()
         yield from take()
@@ -318,14 +355,14 @@ def branch_nodes(rows: DataFrame, p: Join) -> DataFrame:
 
 
 def grow_trees(reps: DataFrame, p: Join, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of the nodes that fit in a task, and (node, a, b, same) of the classes a in the band around the centre b of
+    """(node, id, n) of the nodes that fit in a task with their size (0 for pairs of blocks), and (node, a, b, same) of the classes a in the band around the centre b of
     larger ones. reps: id, sig, nodes."""
     sigs = reps.select("id", "sig")
     now, small, stars = reps.select(F.explode("nodes").alias("node"), "id"), [], []
     for level in range(p.max_levels + 1):
         sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "node"), "id")).alias("first")).filter("n > 1")
         now = scratch.write(now.join(sizes.select("node", "n", F.col("first.id").alias("centre")), "node"), f"level-{level}")
-        small.append(now.filter(F.col("n") <= p.node_rows).select("node", "id"))
+        small.append(now.filter(F.col("n") <= p.node_rows).select("node", "id", "n"))
         large = now.filter(F.col("n") > p.node_rows)
         if large.isEmpty():
             break
@@ -334,7 +371,7 @@ def grow_trees(reps: DataFrame, p: Join, scratch: Scratch) -> tuple[DataFrame, D
         mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
         block = (large if level == p.max_levels else large.filter(blocks <= p.blocks)).select("node", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         number, early = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")), F.when(F.least("mine", "other") == 0, F.col("node").bitwiseAND(F.lit(1))).otherwise(F.lit(0))
-        small.append(block.select(number.bitwiseAND(F.lit(-2)).bitwiseOR(early).alias("node"), "id"))
+        small.append(block.select(number.bitwiseAND(F.lit(-2)).bitwiseOR(early).alias("node"), "id", F.lit(0).cast("long").alias("n")))
         large = large.filter(blocks > p.blocks)
         if level == p.max_levels or large.isEmpty():
             break
@@ -359,20 +396,25 @@ def band_blocks(stars: DataFrame, p: Join) -> DataFrame:
     return sides[0].union(sides[1])
 
 
-def nominate(trees: tuple[DataFrame, DataFrame], reps: DataFrame, roots: DataFrame | None, p: Join) -> DataFrame:
-    """Distinct candidate pairs (a, b): without roots a forest, with roots (node, root) all between components."""
+def nominate(trees: tuple[DataFrame, DataFrame], reps: DataFrame, roots: DataFrame | None, p: Join, flat: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate pairs (a, b): without roots a forest and, as (node, NULL), the nodes to be compared whole; with roots
+    (node, root) and these nodes (flat) all pairs between components."""
     nodes, stars = trees
-    nodes, sigs = nodes.withColumn("side", F.lit(0)), reps.select("id", "sig")
+    sigs, none = reps.select("id", "sig"), F.array().cast("array<long>")
     if roots is None:
         odd = F.col("node").bitwiseAND(F.lit(1)) == 1
         nodes, sigs, stars = nodes.filter(odd), sigs.withColumn("root", F.col("id")), stars.filter(odd & (F.col("same") >= p.percent / 100))
+        nodes, sigs = nodes.select("node", "id", F.lit(0).alias("side"), F.lit(False).alias("whole")), sigs.withColumn("done", none)
     else:
-        sigs = sigs.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        nodes = nodes.join(flat.withColumn("flat", F.lit(True)), "node", "left").select("node", "id", F.lit(0).alias("side"), F.coalesce("flat", F.lit(False)).alias("whole"), "n")
+        # compared whole by their size or by choice; those of a leaf's size repeat too little to be worth the list
+        done = nodes.filter(F.col("whole") | ((F.col("n") > p.leaf) & (F.col("n") * F.col("n") <= p.pairs))).groupBy("id").agg(F.collect_list("node").alias("done"))
+        sigs = sigs.join(roots.withColumnRenamed("node", "id"), "id", "left").join(done, "id", "left").withColumns({"root": F.coalesce("root", "id"), "done": F.coalesce("done", none)})
         for end in ("a", "b"):
             stars = stars.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         stars = stars.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
-        nodes, stars = nodes.unionByName(band_blocks(stars, p)), stars.filter((F.col("root_a") != F.col("root_b")) & (F.col("same") >= p.least))
-    rows = nodes.join(sigs, "id").select("node", "id", "sig", "root", "side").repartition("node").sortWithinPartitions("node", "id")
+        nodes, stars = nodes.drop("n").unionByName(band_blocks(stars, p).withColumn("whole", F.lit(False))), stars.filter((F.col("root_a") != F.col("root_b")) & (F.col("same") >= p.least))
+    rows = nodes.join(sigs, "id").select("node", "id", "sig", "root", "side", "whole", "done").repartition("node").sortWithinPartitions("node", "id")
     return settle_nodes(rows, p, roots is not None).union(stars.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
@@ -413,9 +455,10 @@ def near_groups(docs: DataFrame, params: Join = Join()) -> DataFrame:
     reps = scratch.write(classes.select("p1", "p2", "id", "s.sig", "s.nodes"), "reps")
 
     trees = grow_trees(reps, params, scratch)
-    first, rounds = None, []
+    first, flat, rounds = None, None, []
     for name in ("forest", "rest"):
-        pairs = scratch.write(nominate(trees, reps, first, params), f"{name}-pairs")
+        found = scratch.write(nominate(trees, reps, first, params, flat), f"{name}-pairs")
+        pairs, flat = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("node"))
         texts = scratch.write(candidate_texts(docs, pairs, reps, params), f"{name}-texts")
         rounds.append(scratch.write(confirm(pairs, texts, params), f"{name}-links"))
         scratch.drop(f"{name}-texts")
