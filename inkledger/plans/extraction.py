@@ -77,8 +77,10 @@ def _right_sql(anchor: str, name: str, rx: str, wide: float, high: float) -> str
     return pick_sql(f"SELECT t.*, '{name}' AS name FROM v_token t JOIN ({area}) a ON t.doc_id = a.d WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AND regexp_matches(text, '{rx}')", "doc_id, name", "confidence DESC, line_idx", "line_idx, text")
 
 
-REG.add("locate_date_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.date_way()).select(*PICK), _right_sql("date_label", "date", r"(?i)(?:^|[^0-9])[0-9]{1,2}\s*[/.\-]?\s*(?:0ct|0ec|[A-Za-z]{3})\s*[/.\-]?\s*[0-9]{2,4}\b", 0.35, 0.22))
-REG.add("locate_amount_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.amount_way()).select(*PICK), _right_sql("egp_label", "amount_numeric", r"\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", 0.40, 0.25))
+_DATE_RIGHT = _right_sql("date_label", "date", r"(?i)(?:^|[^0-9])[0-9]{1,2}\s*[/.\-]?\s*(?:0ct|0ec|[A-Za-z]{3})\s*[/.\-]?\s*[0-9]{2,4}\b", 0.35, 0.22)
+_AMOUNT_RIGHT = _right_sql("egp_label", "amount_numeric", r"\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", 0.40, 0.25)
+REG.add("locate_date_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.date_way()).select(*PICK), _DATE_RIGHT)
+REG.add("locate_amount_label", lambda s, d: ex.locate_by(tok(s, d), POINTS(s, d), ex.amount_way()).select(*PICK), _AMOUNT_RIGHT)
 def scan(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "v_scan")
 
@@ -118,7 +120,20 @@ REG.add(
     "locate_fallback", lambda s, d: ex.locate_fallback(tok(s, d).select("doc_id", "bank_code").distinct(), fields(s, d), ex.locate_pattern(tok(s, d), fields(s, d))),
     f"SELECT doc_id, name, rx1, ry1, rx2, ry2, 0.9::DOUBLE AS confidence, 'template_roi' AS method FROM ({_DOCS}) d JOIN v_tfield f ON d.bank_code = f.bank_code WHERE NOT EXISTS (SELECT 1 FROM ({_HIT.format('v_tfield')}) h WHERE h.doc_id = d.doc_id AND h.name = f.name)",
 )
-REG.add("locate_fields", lambda s, d: ex.locate_fields(tok(s, d), fields(s, d), view(s, d, "v_anchor")))
+_ON_SCAN = lambda sql: sql.replace("v_token", "v_scan")
+_WAYS = [
+    (1, "anchor_payee_scored", PAYEE_SQL), (1, "anchor_cheque_band", f"SELECT * FROM ({CHEQUE_SQL}) WHERE py <= 372"), (2, "region_regex", _ON_SCAN(pick_sql(_HIT.format("v_tfield"), "doc_id, name", "confidence DESC, line_idx", "line_idx"))),
+    (3, "anchor_date_right", _ON_SCAN(_DATE_RIGHT)), (3, "anchor_egp_right", _ON_SCAN(_AMOUNT_RIGHT)),
+]
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, name, line_idx, {stage} AS stage, '{method}' AS method FROM ({q})" for stage, method, q in _WAYS)
+_WIDE, _HIGH = "CASE method WHEN 'anchor_payee_scored' THEN 754 WHEN 'anchor_egp_right' THEN 368 ELSE 335 END", "CASE WHEN method IN ('anchor_payee_scored', 'anchor_egp_right') THEN 67 ELSE 54 END"
+REG.add(
+    "locate_fields", lambda s, d: ex.locate_fields(scan(s, d), fields(s, d), view(s, d, "v_anchor")),
+    f"""WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY stage) AS nth FROM ({_FOUND})) WHERE nth = 1),
+ b AS (SELECT w.doc_id, name, method, confidence, text, greatest(0, px - {_WIDE} // 2) AS x1, greatest(0, py - {_HIGH} // 2) AS y1 FROM w JOIN v_scan t ON w.doc_id = t.doc_id AND w.line_idx = t.line_idx)
+SELECT doc_id, name, method, confidence, text, x1, y1, least(1677, x1 + {_WIDE}) AS x2, least(677, y1 + {_HIGH}) AS y2 FROM b
+UNION ALL SELECT d.doc_id, f.name, 'template_roi' AS method, 0.9 AS confidence, NULL AS text, rx1, ry1, rx2, ry2 FROM (SELECT DISTINCT doc_id, bank_code FROM v_scan) d JOIN v_tfield f ON d.bank_code = f.bank_code WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = d.doc_id AND w.name = f.name)""",
+)
 _UNKNOWN = r"SELECT t.*, 'date' AS name FROM v_token t WHERE regexp_matches(text, '(?i)\b\d{1,2}[/\-][A-Za-z]{3}[/\-]\d{2,4}\b') UNION ALL SELECT t.*, 'amount_numeric' AS name FROM v_token t WHERE regexp_matches(text, '\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b') UNION ALL SELECT t.*, 'cheque_number' AS name FROM v_token t WHERE regexp_matches(text, '\b\d{6,}\b')"
 REG.add("locate_unknown", lambda s, d: ex.locate_unknown(ex.without_template(tok(s, d), fields(s, d))), f"SELECT doc_id, name, text, confidence, 'unknown_regex' AS method FROM ({pick_sql(_UNKNOWN, 'doc_id, name, bank_code', 'confidence DESC, line_idx', 'text, confidence')}) WHERE bank_code = 'AAIB' UNION ALL SELECT DISTINCT doc_id, 'bank_name' AS name, 'UNKNOWN' AS text, 0.5::DOUBLE AS confidence, 'unknown_bank' AS method FROM v_token WHERE bank_code = 'AAIB'")
 

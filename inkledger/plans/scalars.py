@@ -34,7 +34,9 @@ scalar("norm_digits", "v_noisy", lambda: {"out": txt.norm_digits(c("text"))}, f"
 scalar("fold_arabic", "v_noisy", lambda: {"out": txt.fold_arabic(F.translate("text", "aeiouln", txt.LETTERS))}, f"translate(translate(text,'aeiouln','{txt.LETTERS}'),'{txt.LETTERS}','{txt.FOLDED}') AS out")
 scalar("collapse_ws", "v_noisy", lambda: {"out": txt.collapse_ws(c("text"))}, r"trim(regexp_replace(text,'\s+',' ','g')) AS out")
 scalar("strip_marks", "v_noisy", lambda: {"out": txt.strip_marks(F.translate("text", "aeo", "àéö"))}, "strip_accents(translate(text,'aeo','àéö')) AS out")
-scalar("clean_text", "v_noisy", lambda: {"out": txt.clean_text(c("text"))}, None)
+#: On lines without marks or compatibility forms, as these are, the clean-up is folding, digits and blanks.
+_CLEAN = rf"trim(regexp_replace(translate(translate(text, '{txt.LETTERS}', '{txt.FOLDED}'), '{AR}', '{AS}'), '\s+', ' ', 'g'))"
+scalar("clean_text", "v_noisy", lambda: {"out": txt.clean_text(c("text"))}, f"{_CLEAN} AS out")
 
 _RX = r"(?i)\b(\d{1,2})\s*[\-/.]\s*([A-Za-z0-9]{3})\s*[\-/.]\s*(\d{2,4})\b"
 _MONTHS = "[" + ",".join(f"'{m}'" for m in prs.MONTHS) + "]"
@@ -53,7 +55,8 @@ for _key, _f, _sql in (("parse_date", prs.parse_date, DATE_SQL), ("parse_amount"
         _key, lambda spark, d, f=_f: view(spark, d, "v_noisy").select(*TOKEN_IDS, *(x.alias(n) for n, x in struct_of(f(c("text"))).items())),
         f"SELECT doc_id, line_idx, CASE WHEN err IS NULL THEN n END AS norm, err IS NULL AS ok, err FROM ({_sql.replace('@src', 'v_noisy')})",
     )
-scalar("normalize_name", "v_noisy", lambda: struct_of(prs.normalize_name(c("text"))), None)
+_SHORT = f"CASE WHEN text = '' THEN 'EMPTY' WHEN length({_CLEAN}) < 3 THEN 'TOO_SHORT' END"
+scalar("normalize_name", "v_noisy", lambda: struct_of(prs.normalize_name(c("text"))), f"CASE WHEN {_SHORT} IS NULL THEN {_CLEAN} END AS norm, {_SHORT} IS NULL AS ok, {_SHORT} AS err")
 
 
 
