@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,19 +41,40 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """The folder named by spark.checkpoint.dir; only where it is unset in one process (tests), a folder of our own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Rows that pass to Python at once: texts may be long, and a task holds a batch several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which hold whole texts here."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def release() -> None:
+    """Hands what a task no longer holds back to the system, as its worker lives on beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a re-read and not a re-run."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -79,13 +103,19 @@ _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 _powers: dict[int, np.ndarray] = {}
 
 
+#: Bytes of text that a task hashes at once, unless one text is longer.
+PIECE = 1 << 20
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
+    """base^0 .. base^(n-1) modulo 2^64, kept for the next call up to the size of a usual piece."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, PIECE + 64), base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        have = np.cumprod(steps, dtype=np.uint64)
+        if len(have) <= 2 * PIECE + 64:
+            _powers[base] = have
     return have[:n]
 
 
@@ -98,19 +128,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def chunks(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, starts): rows in pieces of about ``limit`` bytes, each text followed by a
-    space. starts has one entry more than rows. Nulls count as empty; a longer text is a piece of its own."""
-    rows = texts.cast(pa.large_binary()).to_pylist()
-    first, held = 0, 0
-    for end in range(1, len(rows) + 1):
-        held += len(rows[end - 1] or b"") + 1
-        if end == len(rows) or held + len(rows[end] or b"") > limit:
-            part = [x or b"" for x in rows[first:end]]
-            starts = np.zeros(len(part) + 1, dtype=np.int64)
-            np.cumsum([len(x) + 1 for x in part], out=starts[1:])
-            yield first, end, np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8), starts
-            first, held = end, 0
+    space. starts has one entry more than rows. Nulls count as empty; a longer text is a piece of its own. Only one piece
+    at a time is copied out of the batch."""
+    texts = texts.cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    held, first = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(held, held[first] + limit, side="right")) - 1)
+        part = [x or b"" for x in texts.slice(first, end - first).to_pylist()]
+        yield first, end, np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8), held[first : end + 1] - held[first]
+        first = end
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:

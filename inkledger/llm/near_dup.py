@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.common import Scratch, chunks, hash_words, mix, segment_ids
+from inkledger.llm.common import Scratch, chunks, hash_words, mix, release
 from inkledger.llm.components import components
 
 
@@ -138,7 +138,7 @@ def print_of(values: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, p: Join) -> DataFrame:
-    """doc_id, n_shingles, p1, p2 (the set's print), sig (8 bits a token), nodes (the first nodes of each tree)."""
+    """doc_id, t (a hash of the text), n_shingles, p1, p2 (the set's print), sig (8 bits a token), nodes (the first nodes of each tree)."""
     rng = np.random.default_rng(p.seed)
     flips, odds = rng.integers(0, 1 << 32, p.tokens, dtype=np.uint32), rng.integers(0, 1 << 31, p.tokens, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     roots = [(tree, token) for tree in range(p.trees) for token in p.branches(tree)]
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, p: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, data, starts in chunks(b.column(1)):
+            for first, end, data, starts in chunks(b.column(2)):
                 value, bounds = shingles(data, starts, p.width)
                 full = np.flatnonzero(np.diff(bounds))
                 least, tops = np.zeros((p.tokens, end - first), dtype=np.uint32), np.zeros((len(roots), end - first), dtype=np.uint64)
@@ -162,13 +162,14 @@ def signatures(docs: DataFrame, p: Join) -> DataFrame:
                 prints = [print_of(s) for s in sets]
                 sig = np.ascontiguousarray(least.T.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()),
+                    [b.column(0).slice(first, end - first), b.column(1).slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in prints], pa.int64()), pa.array([x for _, x in prints], pa.int64()),
                      pa.array([s.tobytes() for s in sig], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(nodes.view(np.int64).ravel()), len(roots)).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "p1", "p2", "sig", "nodes"],
+                    ["doc_id", "t", "n_shingles", "p1", "p2", "sig", "nodes"],
                 )
+        release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, sig binary, nodes array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return rows.mapInArrow(run, "doc_id long, t long, n_shingles long, p1 long, p2 long, sig binary, nodes array<long>")
 
 
 def matrix(column: pa.Array, tokens: int) -> np.ndarray:
@@ -330,6 +331,7 @@ def settle_nodes(rows: DataFrame, p: Join, second: bool) -> DataFrame:
             yield from take()
         close()
         yield from take()
+        release()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -447,8 +449,8 @@ def candidate_texts(docs: DataFrame, pairs: DataFrame, reps: DataFrame, p: Join)
     return rows.mapInArrow(run, "id long, text string").dropDuplicates(["id"])
 
 
-def near_groups(docs: DataFrame, params: Join = Join()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def judged(docs: DataFrame, params: Join) -> DataFrame:
+    """One row per document: doc_id, t (a hash of its text), n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.write(signatures(docs, params), "signed")
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sig", "nodes"), "doc_id").alias("s"))
@@ -468,11 +470,17 @@ def near_groups(docs: DataFrame, params: Join = Join()) -> DataFrame:
 
     home = reps.select("p1", "p2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("p1", "p2", F.coalesce("root", "id").alias("found"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
-    out = signed.select("doc_id", "n_shingles", "p1", "p2").join(home, ["p1", "p2"], "left").withColumn("component_id", own)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = signed.select("doc_id", "t", "n_shingles", "p1", "p2").join(home, ["p1", "p2"], "left").withColumn("component_id", own)
+    return out.select("doc_id", "t", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_groups(docs: DataFrame, params: Join = Join()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, params).drop("t")
 
 
 def drop_near_copies(docs: DataFrame, params: Join = Join()) -> DataFrame:
-    """The rows that stay, one document for each component, with all their columns."""
-    keep = near_groups(docs, params).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows that stay, one document for each component, with all their columns; of rows that repeat an id each goes by its
+    own text."""
+    keep = judged(docs, params).filter("kept").select("doc_id", "t").distinct()
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (F.xxhash64(docs["text"]) == keep["t"]), "left_semi")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkledger.llm.common import Scratch
+from inkledger.llm.common import Scratch, release
 
 #: Up to so many queues are summed one by one; with more, the starts of all queues in a window are kept, in so many numbers.
 FEW_QUEUES, KEPT_STARTS = 64, 1 << 23
@@ -42,7 +42,7 @@ class WordTokens:
     punctuation from the letters before it, words that differ so share their ids. New words of letters are encoded together, as
     each ends with the one token that is marked as a word's end."""
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -206,6 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16,
                     [some.column(0), some.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "queue", "part", "ahead", "n", "ids"],
                 )
+        release()
 
     encoded = scratch.write(rows.mapInArrow(encode, "doc_id long, queue string, part int, ahead long, n long, ids binary"), "encoded")
     counts = encoded.groupBy("part", "queue").agg(F.sum("n").alias("n"))
@@ -218,6 +219,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16,
     number = {k: i for i, (k, _) in enumerate(lanes)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokens.clear()
+        release()
         for b in batches:
             doc_id, lane_of, start, n, blobs = b.column(0), b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4)
             own = np.array([number[x] for x in lane_of], dtype=np.int64)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkledger.llm.common import small_batches
+
 MARK = "\u2581"
 UNKNOWN = 1 << 32
 
@@ -97,4 +99,5 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
                 found = count.batch(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x % UNKNOWN for x in found], pa.int64()), pa.array([x // UNKNOWN for x in found], pa.int64())], ["doc_id", "n_tokens", "n_unknown"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_unknown long")

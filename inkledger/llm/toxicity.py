@@ -4,31 +4,37 @@ Features are words, word pairs and pairs with one word between, as present or no
 FTRL-proximal keeps a learning rate for each coordinate and an L1 term that leaves most weights exactly zero, so what
 travels to the executors is a short list of (coordinate, weight), bounded by 2^bits entries whatever the corpus.
 
-Training reads at most ``max_train`` labelled documents, those with the smallest hash of their id; features are
-computed where the text lies, and one task, bounded by that parameter, runs the passes. Scoring is a narrow map.
+Training reads at most ``max_train`` labelled documents, those with the smallest hash of their id. Features are
+computed where the text lies and dealt into shards of ``shard_rows`` documents. In each pass every shard streams its own
+documents through FTRL from the common state, holding nothing but that state; then the states are averaged by coordinate (iterative
+parameter mixing). The L1 penalty is shared among the shards, as it stands against sums of gradients; with one shard this is
+plain FTRL. Scoring is a narrow map.
 
 Defined results: a null or empty text is scored by the intercept; without labels, or with one class only, every score
 is the smoothed share of toxic labels, 0 if there are none; labels without id or value are ignored and of repeated labels
-the highest counts; a null id is held out; repeated rows are scored each; other columns are carried along or ignored.
+the highest counts; a null id is held out; repeated rows are scored each, and of rows that repeat a labelled id one is learned; a long text is scored
+whole, in a piece of its own; other columns, whatever their names, are carried along or ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.common import _IS_WORD, chunks, crc_fold, hash_words, mix, segment_ids
+from inkledger.llm.common import _IS_WORD, Scratch, chunks, crc_fold, hash_words, mix, release, segment_ids, small_batches
 
 #: Words are runs of anything but white space and ASCII punctuation.
 WORD_BYTES = _IS_WORD.copy()
 WORD_BYTES[[b for b in range(33, 128) if not chr(b).isalnum()]] = False
 FOLDS = 5
 MAX_TRAIN = 50_000
+#: Documents of a shard, and what a change of 1 counts in sums.
+SHARD_ROWS, UNIT = 4096, 1 << 32
 
 
 @dataclass(frozen=True)
@@ -36,11 +42,11 @@ class Ftrl:
     """Hyperparameters: alpha and beta set the rate of a coordinate, l1 and l2 the penalties; positives may weigh more."""
 
     bits: int = 18
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 7.0
+    l1: float = 40.0
     l2: float = 0.1
-    passes: int = 3
+    passes: int = 4
     positive_weight: float = 2.0
 
 
@@ -80,53 +86,106 @@ def feature_lists(texts: pa.Array, bits: int) -> list[np.ndarray]:
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> Model:
-    """FTRL-proximal, one example at a time; the intercept has no penalty."""
-    positive = float(labels.sum())
-    if not len(labels):
-        return Model(p.bits, -np.inf)
-    if positive in (0.0, float(len(labels))):
-        return Model(p.bits, float(np.log((positive + 1) / (len(labels) - positive + 1))))
-    z, n, w = np.zeros(1 << p.bits), np.zeros(1 << p.bits), np.zeros(1 << p.bits)
-    bias, bias_n = float(np.log(positive / (len(labels) - positive))), 0.0
-    for _ in range(p.passes):
-        for x, y in zip(rows, labels, strict=True):
-            g = 1 / (1 + np.exp(-np.clip(bias + w[x].sum(), -35, 35))) - y
-            g *= p.positive_weight if y else 1.0
-            bias_n += g * g
-            bias -= p.alpha * g / (p.beta + np.sqrt(bias_n)) / 10
-            old = n[x]
-            root = np.sqrt(old + g * g)
-            zx = z[x] + g - (root - np.sqrt(old)) / p.alpha * w[x]
-            z[x], n[x] = zx, old + g * g
-            w[x] = np.where(np.abs(zx) <= p.l1, 0.0, (np.sign(zx) * p.l1 - zx) / ((p.beta + root) / p.alpha + p.l2))
-    index = np.flatnonzero(w)
-    return Model(p.bits, bias, index, w[index])
+class Learner:
+    """FTRL-proximal, one example at a time, from a state (z, root); root is the square root of a coordinate's summed squared
+    gradients. The intercept has no penalty."""
+
+    def __init__(self, p: Ftrl, z: np.ndarray, root: np.ndarray, bias: float, bias_n: float):
+        self.p, self.z, self.root, self.bias, self.bias_n = p, z.copy(), root.copy(), bias, bias_n
+        self.w = weights(p, z, root)
+
+    def learn(self, x: np.ndarray, y: int) -> None:
+        p = self.p
+        g = 1 / (1 + np.exp(-np.clip(self.bias + self.w[x].sum(), -35, 35))) - y
+        g *= p.positive_weight if y else 1.0
+        self.bias_n += g * g
+        self.bias -= p.alpha * g / (p.beta + np.sqrt(self.bias_n)) / 10
+        old = self.root[x]
+        root = np.sqrt(old * old + g * g)
+        self.z[x] += g - (root - old) / p.alpha * self.w[x]
+        self.root[x] = root
+        self.w[x] = weights(p, self.z[x], root)
+
+
+def weights(p: Ftrl, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The weights of a state: zero where the penalty is not overcome."""
+    return np.where(np.abs(z) <= p.l1, 0.0, (np.sign(z) * p.l1 - z) / ((p.beta + root) / p.alpha + p.l2))
+
+
+def prior(positive: int, n: int) -> float:
+    return float(np.log(positive / (n - positive)))
+
 
+def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(shard, coordinates, label) in order, one for each document id. Columns: shard, rank, _id, y, x."""
+    last = None
+    for b in batches:
+        shard, ids, y = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+        for k, blob in enumerate(b.column(4)):
+            if (shard[k], ids[k]) != last:
+                last = shard[k], ids[k]
+                yield shard[k], np.frombuffer(blob.as_buffer(), np.int32), y[k]
 
-def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), max_train: int = MAX_TRAIN, target: str = "toxic") -> Model:
+
+def one_pass(table: DataFrame, p: Ftrl, state: tuple[np.ndarray, np.ndarray, float, float]) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Every shard learns from the state on its own; the next state is the mean of theirs. Sums are of integers, so reruns agree."""
+
+    def changes(m: Learner) -> pa.RecordBatch:
+        at = np.flatnonzero(m.root != state[1])
+        dz, droot = (np.rint(x * UNIT).astype(np.int64) for x in (m.z[at] - state[0][at], m.root[at] - state[1][at]))
+        bias = np.rint(np.array([m.bias - state[2], m.bias_n - state[3]]) * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(dz, bias[0])), pa.array(np.append(droot, bias[1]))], ["i", "z", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, m = None, None
+        for shard, x, y in examples(batches):
+            if shard != now:
+                if m:
+                    yield changes(m)
+                now, m = shard, Learner(p, *state)
+            m.learn(x, y)
+        if m:
+            yield changes(m)
+
+    sums = table.mapInArrow(run, "i long, z long, root long").groupBy("i").agg(F.sum("z").alias("z"), F.sum("root").alias("root"), F.count("*").alias("n"))
+    i, dz, droot, n = (c.to_numpy() for c in sums.toArrow().columns)
+    real, last = i >= 0, int(np.argmin(i))
+    z, root, scale = state[0].copy(), state[1].copy(), UNIT * int(n[last])
+    z[i[real]] += dz[real] / scale
+    root[i[real]] += droot[real] / scale
+    return z, root, state[2] + dz[last] / scale, state[3] + droot[last] / scale
+
+
+def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), max_train: int = MAX_TRAIN, target: str = "toxic", shard_rows: int = SHARD_ROWS) -> Model:
     """Learns from labelled documents that are not held out."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(target).cast("int").alias("y")).withColumn("rank", F.xxhash64("_id"))
-    known = known.orderBy("rank", "_id").limit(max_train)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(known), "_id").select("_id", "rank", "y", "text")
+    known = scratch.write(known.orderBy("rank", "_id").limit(max_train), "known")
+    shards = max(1, -(-known.count() // shard_rows))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(known), "_id")
+    rows = rows.select(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(shards)).cast("int").alias("shard"), "rank", "_id", "y", "text")
     bits = params.bits
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(feature_lists(b.column(3), bits), pa.list_(pa.int32()))], ["_id", "rank", "y", "x"])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), b.column(2).to_pylist(), [np.asarray(v.values) for v in b.column(3)], strict=True)]
-        got.sort(key=lambda r: r[:2])
-        m = fit([r[3] for r in got], np.array([r[2] for r in got], dtype=float), params)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1)), pa.array(np.append(m.weight, m.bias))], ["i", "w"])
-
-    features = rows.mapInArrow(featurize, "_id long, rank long, y int, x array<int>").dropDuplicates(["_id"])
-    learned = features.repartition(1).mapInArrow(learn, "i long, w double").toPandas()
-    coordinate, weight = learned["i"].to_numpy(), learned["w"].to_numpy()
-    real = coordinate >= 0
-    return Model(bits, float(weight[~real][0]) if (~real).any() else -np.inf, coordinate[real], weight[real])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([x.tobytes() for x in feature_lists(b.column(4), bits)], pa.binary())], ["shard", "rank", "_id", "y", "x"])
+        release()
+
+    features = rows.mapInArrow(featurize, "shard int, rank long, _id long, y int, x binary")
+    table = scratch.write(features.repartition(shards, "shard").sortWithinPartitions("shard", "rank", "_id", "x"), "features")
+    n, positive = table.select("_id", "y").distinct().agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n:
+        return Model(bits, -np.inf)
+    if positive in (0, n):
+        return Model(bits, float(np.log((positive + 1) / (n - positive + 1))))
+    state, params = (np.zeros(1 << bits), np.zeros(1 << bits), prior(positive, n), 0.0), replace(params, l1=params.l1 / shards)
+    for _ in range(params.passes):
+        state = one_pass(table, params, state)
+    scratch.drop()
+    w = weights(params, state[0], state[1])
+    index = np.flatnonzero(w)
+    return Model(bits, state[2], index, w[index])
 
 
 def score_texts(texts: pa.Array, model: Model, table: np.ndarray) -> np.ndarray:
@@ -148,7 +207,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         table = model.dense()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score_texts(b.column(2), model, table))], ["doc_id", "held_out", "score"])
+        release()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
@@ -161,5 +222,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         table = model.dense()
         for b in batches:
             yield b.filter(pa.array(score_texts(b.column(at), model, table) < threshold))
+        release()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

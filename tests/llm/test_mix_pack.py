@@ -55,9 +55,9 @@ def test_mix_targets_and_reruns(spark):
 
 
 def test_mix_prefers_good_documents(spark):
-    docs = spark.createDataFrame([(i, "one two", "en", "a" if i < 1000 else "b", 0) for i in range(2000)], DOCS)
+    docs = spark.createDataFrame([(i, "one two", "en", "abc"[i // 1000], 0) for i in range(3000)], DOCS)
     weights = mixing.quality_weights(docs, labels_of(spark, [(i, i % 2, 0) for i in range(1000, 2000)]))
-    rows = [r for r in mixing.mix_sources(docs, weights).collect() if r.doc_id >= 1000]
+    rows = [r for r in mixing.mix_sources(docs, weights).collect() if 1000 <= r.doc_id < 2000]
     assert sum(r.taken for r in rows if r.doc_id % 2) > 1.3 * sum(r.taken for r in rows if not r.doc_id % 2)
 
 
