@@ -2,7 +2,8 @@
 
 Lines are those of extract.py. English lines are read before Arabic ones, which decides ties: the earlier line wins. Each rule
 joins a document's labels (one aggregate) to its lines, then keeps the best line of every stage in one aggregate; no line is
-compared with all others. A rule gives doc_id, name, source, token, confidence, line_idx, px, py.
+compared with all others. A rule gives doc_id, name, source, token, confidence, line_idx, px, py. The names of sources are fixed
+values: audit documents carry them.
 """
 
 from __future__ import annotations
