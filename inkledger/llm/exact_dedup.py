@@ -59,13 +59,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """The rows of ``docs`` that stay, one for each group, with all their columns."""
-    winners = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_own": sha256(without_spaces(F.coalesce(F.col(text_col), F.lit("")))), "_points": F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = keyed.join(winners, keyed["_id"].eqNullSafe(F.col("_keep")) & (keyed["_own"] == F.col("_sha")), "left_semi")
+    winners = exact_groups(docs, id_col, text_col, salts).filter("kept").select("doc_id", "text_sha256").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row travels as one column, so its columns may have any names
+    keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), sha256(without_spaces(text)).alias("own"), F.length(text).alias("points"))
+    kept = keyed.join(winners, keyed["doc_id"].eqNullSafe(winners["doc_id"]) & (keyed["own"] == winners["text_sha256"]), "left_semi")
     # rows that share an id and a content: one of the longest, as the winner is
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    best = kept.groupBy("_id", "_own").agg(F.max_by(row, "_points").alias("_row"))
-    return best.select("_row.*")
+    return kept.groupBy("doc_id", "own").agg(F.max_by("row", "points").alias("row")).select("row.*")
 
 
 ORACLE = r"""

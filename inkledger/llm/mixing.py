@@ -8,7 +8,7 @@ Prefix sums are two-level, so a source with a third of all rows is no single tas
 (a monotone function of the key), bucket totals give offsets, and only rows of one (source, bucket) are sorted together.
 
 Defined results: a null text has size 0, and a document or source of size 0 is never taken from; a null source is
-a source of its own, last in order; a null id is hashed as such; rows that repeat an id are documents of their own;
+a source of its own, last in order; a row without id gets its key from its text, so such rows spread as others do; rows that repeat an id are documents of their own;
 other columns are ignored; an empty table gives an empty result. Reruns agree, as keys depend on ids and weights only.
 ``take_mix`` finds the rows by id, source and text where the takes are ``keyed``, and by id and size where they are not;
 rows that are equal in these are dealt their takes one by one.
@@ -34,9 +34,10 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return best.select("doc_id", F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, BAD).otherwise(PLAIN).alias("weight"))
 
 
-def uniform(doc_id: Column) -> Column:
-    """52 bits of the id's md5 as a number strictly between 0 and 1."""
-    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """52 bits of the id's md5, or of the text's where there is no id, as a number strictly between 0 and 1."""
+    known = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(known.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def source_key(source: Column) -> Column:
@@ -68,10 +69,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, limit:
     """One row per document: doc_id, size, source_size, target, taken, and the row's key if ``keyed``."""
     own = ["row_key"] if keyed else []
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"), *(row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias(k) for k in own))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"), uniform(F.col("doc_id"), F.col("text")).alias("u"), *(row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias(k) for k in own))
     sized = sized.join(weights.select(F.col("doc_id").alias("_w_id"), "weight"), F.col("doc_id") == F.col("_w_id"), "left")
     weight = F.coalesce("weight", F.lit(PLAIN))
-    sized = sized.select("doc_id", "size", "source", source_key(F.col("source")).alias("src"), (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"), *own)
+    sized = sized.select("doc_id", "size", "source", source_key(F.col("source")).alias("src"), (-F.log("u") / weight).alias("key"), *own)
     sized = scratch.write(sized, "sized")
 
     totals = scratch.write(sized.groupBy("src", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "totals")
@@ -101,17 +102,16 @@ def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
         theirs, own = F.col("row_key"), row_key(F.col("doc_id"), F.col("source"), F.col("text"))
     else:
         theirs, own = id_and_size(F.col("size")), id_and_size(F.size(words_of(F.col("text"))))
-    nth = lambda order: F.row_number().over(Window.partitionBy("_key").orderBy(order))
-    takes = mixed.filter("taken > 0").withColumn("_key", theirs).withColumn("_nth", nth(F.desc("taken")))
-    takes = takes.select("_key", "_nth", F.expr("cast(taken div size as int)").alias("_whole"), (F.col("taken") % F.col("size")).cast("int").alias("_part"))
-    rows = docs.withColumn("_key", own).withColumn("_nth", nth(F.col("_key"))).join(takes, ["_key", "_nth"])
-    copies = F.flatten(F.array(F.array_repeat(F.lit(-1), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>"))))
-    rows = rows.withColumn("_words", F.explode(copies))
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(words_of(F.col("text")), 1, F.greatest(F.col("_words"), F.lit(0))), " "))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text")))
-    return rows.select(*docs.columns)
+    nth = lambda order: F.row_number().over(Window.partitionBy("key").orderBy(order))
+    takes = mixed.filter("taken > 0").withColumn("key", theirs).withColumn("nth", nth(F.desc("taken")))
+    takes = takes.select("key", "nth", F.expr("cast(taken div size as int)").alias("whole"), (F.col("taken") % F.col("size")).cast("int").alias("part"))
+    # the row travels as one column, so its columns may have any names
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), own.alias("key")).withColumn("nth", nth(F.col("key"))).join(takes, ["key", "nth"])
+    copies = F.flatten(F.array(F.array_repeat(F.lit(-1), F.col("whole")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<int>"))))
+    cut = F.array_join(F.slice(words_of(F.col("row.text")), 1, F.greatest(F.col("words"), F.lit(0))), " ")
+    rows = rows.select("row", F.explode(copies).alias("words")).withColumn("text", F.when(F.col("words") < 0, F.col("row.text")).otherwise(cut))
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("words") < 0, F.col("row")["n_chars"]).otherwise(F.length("text")) if "n_chars" in docs.columns else None}
+    return rows.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = rf"""
@@ -119,7 +119,7 @@ WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS
 sized AS (
   SELECT d.doc_id, d.source,
     len(list_filter(string_split(translate(coalesce(text, ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> ''))::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), concat('null', coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
       / CASE WHEN quality = 1 THEN {GOOD}::DOUBLE WHEN quality = 0 THEN {BAD}::DOUBLE ELSE {PLAIN}::DOUBLE END AS key
   FROM documents d LEFT JOIN best USING (doc_id)),
 totals AS (

@@ -27,7 +27,7 @@ from inkledger.llm.common import SPACES, Scratch, without_spaces, words_of
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Counts of a document by feature; a feature is 1000 * numerator / denominator.
+#: Counts of a document by feature; a feature is 100 * numerator / denominator.
 FEATURES = {"symbols": ("n_symbols", "n_words"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars"), "length": ("word_chars", "n_words")}
 
 
