@@ -42,7 +42,7 @@ class WordTokens:
     punctuation from the letters before it, words that differ so share their ids. New words of letters are encoded together, as
     each ends with the one token that is marked as a word's end."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
