@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkledger.llm.common import SPACES, crc_fold
+from inkledger.llm.common import SPACES, crc_fold, small_batches
 
-FOLDS, HELD = 4, 2
+FOLDS, HELD, SALTS = 4, 2, 64
 
 #: First code point of each block, in order, and its script (0: common).
 SCRIPT_STARTS = [0x0000, 0x0041, 0x0250, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900, 0x0980, 0x0A00, 0x0A80, 0x0B80, 0x0C00, 0x0E00, 0x0E80, 0x1000, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFE70, 0xFF00, 0x20000, 0x30000]
@@ -125,11 +125,14 @@ def gram_words(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, params: Params = Params()) -> Model:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("lang"), "text")
     rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (crc_fold(F.col("_id"), FOLDS) != HELD))
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = rows.select("_id", "lang").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= params.per_lang)
+    # the first of each salt, then the first of all: no task ranks more of a language than its salt or salts * per_lang
+    chosen, order = rows.select("_id", "lang", F.pmod(F.xxhash64("_id", "text"), F.lit(SALTS)).alias("salt")), (F.xxhash64("_id"), F.col("_id"))
+    for keys in (("lang", "salt"), ("lang",)):
+        chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("nth") <= params.per_lang)
     sample = rows.join(F.broadcast(chosen.select("_id").distinct()), "_id").select("lang", "text")
     bits, number = params.bits, {x: i for i, x in enumerate(langs)}
 
@@ -204,6 +207,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score; with ``spans`` also the runs of one language as (start, end, lang) in code points."""
+    small_batches(docs.sparkSession)
     kinds = "doc_id long, held_out boolean, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "text")
 
