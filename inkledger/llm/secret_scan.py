@@ -41,6 +41,7 @@ ADDED = [
 ]
 KINDS = ["assign", "access", "hex", *(k for k, _, _ in ADDED)]
 PLACEHOLDERS = re.compile(r"example|sample|changeme|placeholder|your[_-]?|dummy|test|xxxx|0000|1234|abcdef", re.I)
+SALTS = 16
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("dense", pa.bool_())])
 
 
@@ -118,7 +119,9 @@ def scan_secrets(docs: DataFrame, owner_col: str = "source", many_owners: int =
     scratch = Scratch(docs.sparkSession, "secrets")
     found = scratch.write(find(docs, F.col(owner_col)), "found")
     spans = found.filter(F.size("found") > 0).select("row", "doc_id", "owner", F.explode("found").alias("x")).select("row", "doc_id", "owner", "x.*")
-    held = spans.join(ownership(spans.select("hash", "owner", "doc_id")), "hash").withColumn("live", F.col("dense") & (F.col("owners") < many_owners))
+    # every salt meets its own copy of a hash's counts, so the rows of a widely copied value are many tasks
+    owned = ownership(spans.select("hash", "owner", "doc_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = spans.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(owned, ["hash", "salt"]).withColumn("live", F.col("dense") & (F.col("owners") < many_owners))
     names = F.array(*(F.lit(k) for k in KINDS))
     shown = held.filter((F.col("kind") < 3) | F.col("live"))
     text = F.concat_ws(":", F.element_at(names, F.col("kind") + 1), F.col("start"), F.col("end"))
