@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkledger.llm import exact_dedup, language_id, mixing, near_dup, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from inkledger.llm import exact_dedup, hard_negatives, language_id, mixing, near_dup, nearest, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity, vector_codes
 from inkledger.llm.common import documents
 
 
@@ -57,9 +58,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), noisy, F.col("vec_id") % 100 == 0)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_quality_rules, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_quality_rules, op4_secret_scan, op5_packing, op6_language_id, op7_mix_sources, op8_toxicity, op9_token_counts, op10_suffix_dedup, op11_vector_codes, op12_hard_negatives, op13_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_mix_sources": mixing.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_mix_sources": mixing.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
