@@ -110,7 +110,7 @@ FOUND = "q long, vec_id long, score double"
 def probes(queries: DataFrame, pieces: DataFrame, index: Index) -> int:
     """How many lists hold enough of the true neighbours of some queries: these few are compared with all rows."""
     p, dim = index.p, index.dim
-    asked = queries.orderBy(F.xxhash64("q", "vec_id"), "q").limit(p.tuned).select("q", "vec_id", "vec").collect()
+    asked = queries.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(p.tuned).select("q", "vec_id", "vec").collect()
     bytes_ = pa.array([[bytes(r["vec"]) for r in asked]], pa.list_(pa.binary()))
     own = index.read(bytes_, 0)[0]
     q, own_ids = np.arange(len(asked)), np.array([r["vec_id"] for r in asked])
