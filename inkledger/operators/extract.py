@@ -7,15 +7,19 @@ aggregate (the highest score, the first line on ties), which combines map-side,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as txt
 from inkledger.functions.geometry import HEIGHT, WIDTH, bbox_around
-from inkledger.functions.parse import parse_field
+from inkledger.functions.parse import once, parse_field
 from inkledger.functions.validate import THRESHOLD, field_confidence
+from inkledger.operators import page
 
+SIDES = ("x1", "y1", "x2", "y2")
 LINE = ["line_idx", "text", "px", "py", "confidence"]
 # What a payee's line does not hold (labels of sums and payees, the words for cheque, pay, by, this, order and to).
 PAYEE_NOT = r"(?i)\bthe\s+sum\s+of\b|\begp\b|pay\s+.*this\s+cheque\s+.*order\s+of|\bagainst\s+this\s+cheque\b|\bpay\s*to\b|\bpayto\b"
@@ -97,28 +101,36 @@ def pixel(share: Column, full: int) -> Column:
 Way = tuple[str, int, str, Column, Column]
 
 
-def right_of_label(name: str, anchor: str, pattern: str, wide: float, up: float, high: float, method: str) -> Way:
+#: Where a way finds a line's columns and its document's anchors: in the row, or in a page's line and columns.
+Get = Callable[[str], Column]
+
+
+def anchor_of_row(name: str) -> Column:
+    return F.col("at")[name]
+
+
+def right_of_label(name: str, anchor: str, pattern: str, wide: float, up: float, high: float, method: str, c: Get, at_: Get) -> Way:
     """Lines of a pattern in a rectangle to the right of an anchor, given in shares of the page and rounded as regions are."""
-    at = F.col("at")[anchor]
+    at = at_(anchor)
     x, y = F.least(F.lit(1.0), at["px"] / WIDTH), F.greatest(F.lit(0.0), (at["py"] - up * HEIGHT) / HEIGHT)
     w = F.least(F.lit(wide), 1.0 - at["px"] / WIDTH)
-    inside_x = F.col("px").between(pixel(x, WIDTH), F.rint((x + w) * WIDTH).cast("int"))
-    inside_y = F.col("py").between(pixel(y, HEIGHT), F.least(F.lit(HEIGHT), F.rint((y + high) * HEIGHT).cast("int")))
-    return name, 3, method, inside_x & inside_y & F.col("text").rlike(pattern), F.col("confidence")
+    inside_x = c("px").between(pixel(x, WIDTH), F.rint((x + w) * WIDTH).cast("int"))
+    inside_y = c("py").between(pixel(y, HEIGHT), F.least(F.lit(HEIGHT), F.rint((y + high) * HEIGHT).cast("int")))
+    return name, 3, method, inside_x & inside_y & c("text").rlike(pattern), c("confidence")
 
 
-def date_way() -> Way:
-    return right_of_label("date", "date_label", txt.DATE_ANCHOR, 0.35, 0.10, 0.22, "anchor_date_right")
+def date_way(c: Get = F.col, at: Get = anchor_of_row) -> Way:
+    return right_of_label("date", "date_label", txt.DATE_ANCHOR, 0.35, 0.10, 0.22, "anchor_date_right", c, at)
 
 
-def amount_way() -> Way:
-    return right_of_label("amount_numeric", "egp_label", txt.AMOUNT_PLAIN, 0.40, 0.10, 0.25, "anchor_egp_right")
+def amount_way(c: Get = F.col, at: Get = anchor_of_row) -> Way:
+    return right_of_label("amount_numeric", "egp_label", txt.AMOUNT_PLAIN, 0.40, 0.10, 0.25, "anchor_egp_right", c, at)
 
 
-def payee_way() -> Way:
+def payee_way(c: Get = F.col, at: Get = anchor_of_row) -> Way:
     """Best line beside the pay-to anchors: between both, right of the one, left of the other. Score: confidence, less
     distance from the anchors' row, plus cues of a company name, less shortness and distance from the middle."""
-    en, ar, total = F.col("at")["pay_to_label"], F.col("at")["pay_to_label_ar"], F.col("at")["sum_label"]
+    en, ar, total = at("pay_to_label"), at("pay_to_label_ar"), at("sum_label")
     both = en.isNotNull() & ar.isNotNull()
     margin = int(0.02 * WIDTH)
     row = F.when(both, F.floor((en["py"] + ar["py"]) / 2)).otherwise(F.coalesce(en["py"], ar["py"]))
@@ -126,33 +138,33 @@ def payee_way() -> Way:
     right = F.when(both, F.greatest(en["px"], ar["px"]) - margin).when(en.isNotNull(), WIDTH).otherwise(ar["px"] - margin - 1)
     top = F.greatest(F.lit(0), row - F.when(both, int(0.10 * HEIGHT)).otherwise(int(0.08 * HEIGHT)))
     high = F.when(both, int(0.22 * HEIGHT)).otherwise(int(0.20 * HEIGHT))
-    t, n = F.col("text"), F.length("text")
+    t, n = c("text"), F.length(c("text"))
     arabic = F.length(F.regexp_replace(t, "[^\u0600-\u06ff]", ""))
     label = t.rlike(PAYEE_NOT) | t.rlike(PAYEE_NOT_AR)
-    place = F.col("px").between(left, right) & F.col("py").between(top, top + high) & (total["py"].isNull() | (F.col("py") <= total["py"] - int(0.02 * HEIGHT)))
-    shape = (F.col("confidence") >= 0.6) & ~label & (txt.digit_ratio(t) <= 0.3) & ((arabic >= 6) | ((arabic == 0) & (n >= 6)))
-    score = F.col("confidence") - 0.6 * F.abs(F.col("py") - row) / HEIGHT + F.when(arabic > 0, 0.1).otherwise(0.0) + F.when(t.rlike("شركة|شركه"), 0.2).otherwise(0.0)
-    score = score + F.when(t.rlike(r"(?i)\bcompany\b|\bco\.?\b"), 0.1).otherwise(0.0) - F.when(n < 10, 0.2).otherwise(0.0) - F.when(both, 0.4 * F.abs(F.col("px") - (left + right) / 2) / WIDTH).otherwise(0.0)
+    place = c("px").between(left, right) & c("py").between(top, top + high) & (total["py"].isNull() | (c("py") <= total["py"] - int(0.02 * HEIGHT)))
+    shape = (c("confidence") >= 0.6) & ~label & (txt.digit_ratio(t) <= 0.3) & ((arabic >= 6) | ((arabic == 0) & (n >= 6)))
+    score = c("confidence") - 0.6 * F.abs(c("py") - row) / HEIGHT + F.when(arabic > 0, 0.1).otherwise(0.0) + F.when(t.rlike("شركة|شركه"), 0.2).otherwise(0.0)
+    score = score + F.when(t.rlike(r"(?i)\bcompany\b|\bco\.?\b"), 0.1).otherwise(0.0) - F.when(n < 10, 0.2).otherwise(0.0) - F.when(both, 0.4 * F.abs(c("px") - (left + right) / 2) / WIDTH).otherwise(0.0)
     return "name", 1, "anchor_payee_scored", (en.isNotNull() | ar.isNotNull()) & place & shape, score
 
 
-def cheque_way(fixed: tuple[str, ...] = ("BANQUE_MISR", "CIB", "AAIB")) -> Way:
+def cheque_way(c: Get = F.col, at: Get = anchor_of_row, fixed: tuple[str, ...] = ("BANQUE_MISR", "CIB", "AAIB")) -> Way:
     """Best number between the cheque labels, or beside the one there is. Banks with a fixed place are left to their region.
     Score: confidence, plus half the share of digits over 0.6, less 0.3 for each digit away from the bank's length."""
-    en, ar = F.col("at")["cheque_label"], F.col("at")["cheque_label_ar"]
+    en, ar = at("cheque_label"), at("cheque_label_ar")
     both, margin, up = en.isNotNull() & ar.isNotNull(), int(0.02 * WIDTH), int(0.06 * HEIGHT)
     middle = F.floor((en["py"] + ar["py"]) / 2)
     top = F.when(both, F.least(F.greatest(F.lit(0), middle - up), F.lit(int(0.40 * HEIGHT)))).otherwise(F.greatest(F.lit(0), F.coalesce(en["py"], ar["py"]) - up))
     left = F.when(both, F.least(en["px"], ar["px"]) + margin).when(en.isNotNull(), en["px"]).otherwise(0)
     right = F.when(both, F.greatest(en["px"], ar["px"]) - margin).when(en.isNotNull(), F.least(F.lit(WIDTH), en["px"] + int(0.45 * WIDTH))).otherwise(F.least(ar["px"], F.lit(int(0.48 * WIDTH))))
-    t = F.col("text")
+    t = c("text")
     long = F.regexp_extract_all(t, F.lit(r"(\d{10,16})"), 1)
     groups = F.when(F.size(long) > 0, long).otherwise(F.regexp_extract_all(t, F.lit(r"(\d{6,})"), 1))
-    target = F.when(F.col("bank_code") == "NBE", 14).otherwise(12)
+    target = F.when(c("bank_code") == "NBE", 14).otherwise(12)
     away = F.array_min(F.transform(groups, lambda g: F.abs(F.length(g) - target)))
     share = F.length(txt.digits_of(t)) / F.greatest(F.length(F.regexp_replace(t, r"\s+", "")), F.lit(1))
-    place = ~F.col("bank_code").isin(*fixed) & (en.isNotNull() | ar.isNotNull()) & F.col("px").between(left, right) & F.col("py").between(top, top + int(0.14 * HEIGHT))
-    return "cheque_number", 1, "anchor_cheque_band", place & ~t.rlike('[A-Za-z:"]') & (F.size(groups) > 0), F.col("confidence") + 0.5 * F.greatest(F.lit(0.0), share - 0.6) - 0.3 * away
+    place = ~c("bank_code").isin(*fixed) & (en.isNotNull() | ar.isNotNull()) & c("px").between(left, right) & c("py").between(top, top + int(0.14 * HEIGHT))
+    return "cheque_number", 1, "anchor_cheque_band", place & ~t.rlike('[A-Za-z:"]') & (F.size(groups) > 0), c("confidence") + 0.5 * F.greatest(F.lit(0.0), share - 0.6) - 0.3 * away
 
 
 def too_low(name: Column, line: Column) -> Column:
@@ -177,31 +189,60 @@ def locate_fallback(documents: DataFrame, fields: DataFrame, located: DataFrame)
 BOX = {"region_regex": (0.20, 0.08), "anchor_date_right": (0.20, 0.08), "anchor_cheque_band": (0.20, 0.08), "anchor_egp_right": (0.22, 0.10), "anchor_payee_scored": (0.45, 0.10)}
 
 
+def with_templates(pages: DataFrame, fields: DataFrame, anchor_rules: DataFrame) -> DataFrame:
+    """Pages with the fields and anchor rules of their bank's template, NULL without one. Templates (a few rows for each of a fixed list
+    of banks) are small; the planner broadcasts them by their size."""
+    for name, rules, columns in (("fields", fields, ["name", "rx1", "ry1", "rx2", "ry2", "x1", "y1", "x2", "y2", "pattern"]), ("anchors", anchor_rules, ["name", "x1", "y1", "x2", "y2", "pattern"])):
+        per_bank = rules.groupBy("bank_code").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias(name))
+        pages = pages.join(per_bank, "bank_code", "left")
+    return pages
+
+
+def locate_on_pages(pages: DataFrame) -> DataFrame:
+    """Pages (with their templates) with ``located``: for each field of the template name, method, confidence, text and box, from the first
+    of the ways that finds it. A line meets its bank's patterns within their rectangles only."""
+    hit = lambda x, r: x["px"].between(r["x1"], r["x2"]) & x["py"].between(r["y1"], r["y2"]) & F.rlike(x["text"], r["pattern"])
+    seen = lambda r: F.transform(F.filter("lines", lambda x: hit(x, r)), lambda x: F.struct(r["pos"], x["confidence"], (-x["line_idx"]).alias("i"), r["name"], x["px"], x["py"]))
+    rows = pages.select("*", F.flatten(F.transform("anchors", seen)).alias("_hits"))
+    points = ("pay_to_label", "pay_to_label_ar", "sum_label", "cheque_label", "cheque_label_ar", "date_label", "egp_label")
+    called = lambda n: lambda h: h["name"] == n
+    rows = rows.select("*", *(F.array_max(F.filter("_hits", called(n))).alias(f"_at_{n}") for n in points))
+
+    def way(make: Callable[[Get, Get], Way]) -> tuple[str, int, Column]:
+        kind: list[tuple[str, int]] = []
+
+        def of(x: Column) -> Column:
+            name, stage, method, when, score = make(lambda n: F.col(n) if n == "bank_code" else x[n], lambda n: F.col(f"_at_{n}"))
+            kind.append((name, stage))
+            return F.when(when, candidate(x, score, method))
+
+        found = F.array_max(F.transform("lines", of))
+        return *kind[0], found
+
+    def candidate(x: Column, score: Column, method: str) -> Column:
+        return F.struct(score.cast("double").alias("score"), (-x["line_idx"]).alias("i"), F.lit(method).alias("method"), x["text"].alias("text"), x["px"].alias("px"), x["py"].alias("py"), x["confidence"].alias("confidence"))
+
+    ways = [way(m) for m in (payee_way, cheque_way, date_way, amount_way)]
+    rows = rows.select("*", *(w.alias(f"_way_{n}_{stage}") for n, stage, w in ways))
+    of_name = lambda f, stage: F.coalesce(*(F.when(f["name"] == n, F.col(f"_way_{n}_{stage}")) for n, own, _ in ways if own == stage))
+
+    def one(f: Column) -> Column:
+        labelled = of_name(f, 1)
+        by_rule = F.when(f["pattern"].isNotNull(), page.greatest(lambda x: hit(x, f), lambda x: candidate(x, x["confidence"], "region_regex")))
+        return once(F.coalesce(F.when(~too_low(f["name"], labelled), labelled), by_rule, of_name(f, 3)), lambda w: boxed(f, w))
+
+    def boxed(f: Column, w: Column) -> Column:
+        box = [F.coalesce(*(F.when(w["method"] == m, bbox_around(w["px"], w["py"], wide, high)[i]) for m, (wide, high) in BOX.items()), f[f"r{side}"]).cast("int").alias(side) for i, side in enumerate(SIDES)]
+        return F.struct(f["name"].alias("name"), F.coalesce(w["method"], F.lit("template_roi")).alias("method"), F.coalesce(w["confidence"], F.lit(0.9)).alias("confidence"), w["text"].alias("text"), *box)
+
+    return rows.select(*pages.columns, F.transform("fields", one).alias("located"))
+
+
 def locate_fields(lines: DataFrame, fields: DataFrame, anchor_rules: DataFrame) -> DataFrame:
-    """doc_id, name, method, confidence, text and box of every template field, from the first of the ways that finds it.
-
-    One pass: a line meets its document's anchors and its bank's patterns once, yields a candidate for each way that
-    fits, and one aggregate per field keeps the best line of every stage."""
-    points = anchor_points(anchors(lines, anchor_rules))
-    rule = F.struct("name", "x1", "y1", "x2", "y2", "pattern")
-    rules = fields.filter("pattern is not null").groupBy("bank_code").agg(F.collect_list(rule).alias("rules"))
-    rows = lines.join(points, "doc_id", "left").join(rules, "bank_code", "left")
-
-    def candidate(name: Column, stage: int, method: str, score: Column) -> Column:
-        return F.struct(name.alias("name"), F.lit(stage).alias("stage"), F.lit(method).alias("method"), score.cast("double").alias("score"))
-
-    hits = F.filter("rules", lambda r: F.col("px").between(r["x1"], r["x2"]) & F.col("py").between(r["y1"], r["y2"]) & F.rlike("text", r["pattern"]))
-    by_rule = F.transform(hits, lambda r: candidate(r["name"], 2, "region_regex", F.col("confidence")))
-    by_anchor = F.array_compact(F.array(*(F.when(when, candidate(F.lit(name), stage, method, score)) for name, stage, method, when, score in (payee_way(), cheque_way(), date_way(), amount_way()))))
-    none = F.array().cast("array<struct<name:string,stage:int,method:string,score:double>>")
-    found = rows.select("doc_id", *LINE, F.explode(F.concat(F.coalesce(by_rule, none), by_anchor)).alias("c")).select("doc_id", *LINE, "c.*")
-    order = F.struct(F.col("score").alias("s"), (-F.col("line_idx")).alias("i"))
-    per_stage = found.groupBy("doc_id", "name").agg(*(F.max_by(F.struct(*LINE, "method"), F.when(F.col("stage") == n, order)).alias(f"s{n}") for n in (1, 2, 3)))
-    won = per_stage.select("doc_id", "name", F.coalesce(F.when(~too_low(F.col("name"), F.col("s1")), F.col("s1")), "s2", "s3").alias("w")).filter("w is not null").select("doc_id", "name", "w.*")
-    box = [F.coalesce(*(F.when(F.col("method") == m, bbox_around(F.col("px"), F.col("py"), w, h)[i]) for m, (w, h) in BOX.items())) for i in range(4)]
-    boxed = won.select("doc_id", "name", "method", "confidence", "text", *(b.cast("int").alias(n) for b, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True)))
-    rest = locate_fallback(lines.select("doc_id", "bank_code").distinct(), fields, won)
-    return boxed.unionByName(rest.select("doc_id", "name", "method", "confidence", F.lit(None).cast("string").alias("text"), *(F.col(f"r{n}").cast("int").alias(n) for n in ("x1", "y1", "x2", "y2"))))
+    """doc_id, name, method, confidence, text and box of every template field, from the first of the ways that finds it; all on the
+    document's page, so lines are shuffled once."""
+    rows = locate_on_pages(with_templates(page.pages(lines, {}), fields, anchor_rules))
+    return page.exploded(rows, "located", "doc_id").select("doc_id", "f.*")
 
 
 def without_template(lines: DataFrame, fields: DataFrame) -> DataFrame:

@@ -6,41 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.functions import text as txt
-from inkledger.functions.geometry import WIDTH
-from inkledger.operators import audit, bank_rules, extract, route
+from inkledger.functions.geometry import WIDTH, padded
+from inkledger.functions.parse import once
+from inkledger.functions.validate import REQUIRED
+from inkledger.operators import audit, bank_rules, extract, page, route
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: Fields whose lines are ranked by what they hold.
+RANKED = ("date", "amount_numeric", "cheque_number")
 
 
-def widened(located: DataFrame, wide: float = 0.12) -> DataFrame:
-    """The box of the cheque number reaches further right, as numbers run out of it."""
-    more = F.least(F.lit(WIDTH - 1), F.col("x2") + int(wide * WIDTH))
-    return located.withColumn("x2", F.when(F.col("name") == "cheque_number", more).otherwise(F.col("x2")))
+def chosen(wide: float = 0.12) -> Column:
+    """``located`` with its boxes as they are read, and of the English lines in each the one that suits the field best, nothing if that
+    does not suit. The box of the cheque number reaches further right, as numbers run out of it; the bank's name is the bank."""
 
+    def of(f: Column) -> Column:
+        x2 = F.when(f["name"] == "cheque_number", F.least(F.lit(WIDTH - 1), f["x2"] + int(wide * WIDTH))).otherwise(f["x2"])
+        rank = lambda x: F.coalesce(*(F.when(f["name"] == n, x[f"rank_{n}"]) for n in RANKED), F.lit(0))
+        inside = lambda x: x["english"] & x["px"].between(f["x1"], x2) & x["py"].between(f["y1"], f["y2"])
+        best = page.greatest(inside, lambda x: F.struct((-rank(x)).alias("fit"), x["confidence"], (-x["line_idx"]).alias("i"), x["text"], x["lang"]))
+        return once(F.when(f["name"] != "bank_name", best), lambda w: read(f, x2, w))
 
-def text_in_box(lines: DataFrame, located: DataFrame) -> DataFrame:
-    """doc_id, bank_code, name, loc_conf, box, text, ocr_conf, lang: of the English lines in a field's box the one that suits it
-    best, nothing if that does not suit; the bank's name is the bank. located: doc_id, name, confidence, box."""
-    banks = lines.groupBy("doc_id").agg(F.first("bank_code").alias("bank_code"))
-    boxes = located.select("doc_id", "name", F.col("confidence").alias("loc_conf"), *BOX)
-    inside = lines.filter("lang = 'en'").join(boxes.filter("name <> 'bank_name'"), "doc_id").filter(extract.inside(*BOX)).withColumn("rank", extract.preference(F.col("name"), F.col("text"), True))
-    chosen = extract.accepted(extract.best(inside, ["doc_id", "name"], F.struct((-F.col("rank")).alias("r"), F.col("confidence").alias("c")), [*extract.LINE, "lang", "rank"]))
-    rows = boxes.join(banks, "doc_id").join(chosen, ["doc_id", "name"], "left")
-    own = F.col("name") == "bank_name"
-    return rows.select("doc_id", "bank_code", "name", "loc_conf", *BOX, F.when(own, F.col("bank_code")).otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.when(own, 1.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("ocr_conf"), F.when(own, "en").otherwise(F.coalesce("lang", F.lit(""))).alias("lang"))
+    def read(f: Column, x2: Column, w: Column) -> Column:
+        own, fits = f["name"] == "bank_name", (w["fit"] == 0) | ((f["name"] == "amount_numeric") & (w["fit"] == -1))
+        value = lambda bank, c, none: F.when(own, bank).otherwise(F.coalesce(F.when(fits, c), none))
+        return F.struct(
+            f["name"].alias("name"), f["confidence"].alias("loc_conf"), f["x1"].alias("x1"), f["y1"].alias("y1"), x2.alias("x2"), f["y2"].alias("y2"),
+            value(F.col("bank_code"), w["text"], F.lit("")).alias("text"), value(F.lit(1.0), w["confidence"], F.lit(0.0)).alias("ocr_conf"), value(F.lit("en"), w["lang"], F.lit("")).alias("lang"),
+        )
 
-
-def all_rules(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """What the rules of all banks find. boxes: doc_id, name, box of the located fields."""
-    box = lambda name: boxes.filter(F.col("name") == name).select("doc_id", *BOX)
-    parts = [
-        bank_rules.number_bm(lines, box("amount_numeric")), bank_rules.number_nbe(lines), bank_rules.number_aaib(lines), bank_rules.number_fab(lines), bank_rules.number_cib(lines),
-        bank_rules.date_rules(lines), bank_rules.amount_rules(lines), bank_rules.payee_rules(lines, box("name")),
-    ]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    return rows.select("doc_id", "name", F.col("source").alias("r_source"), F.col("token").alias("r_token"), F.col("confidence").alias("r_conf"))
+    return F.transform("located", of)
 
 
 def steps_in() -> Column:
@@ -65,33 +60,46 @@ def tidied(text: Column) -> Column:
     return F.when((F.col("name") == "cheque_number") & (text != ""), F.coalesce(own, text)).otherwise(text)
 
 
-def with_rules(chosen: DataFrame, rules: DataFrame) -> DataFrame:
-    """The chosen texts after the bank's rules. One bank's number comes from its rules alone; another's amount has decimals or is
-    empty."""
-    rows = chosen.join(rules, ["doc_id", "name"], "left")
+def after_rules(rows: DataFrame) -> DataFrame:
+    """The chosen texts after the bank's rules (r_source, r_token, r_conf, r_box; NULL where none found anything). One bank's number comes
+    from its rules alone; another's amount has decimals or is empty. Where a rule of a kind that looks at lines wins, its line's
+    box, padded by 2 %, replaces the field's."""
     alone = (F.col("bank_code") == "BANQUE_MISR") & (F.col("name") == "cheque_number")
     found = F.col("r_token").isNotNull() & steps_in()
     t = F.when(found, F.col("r_token")).when(alone, "").otherwise(F.col("text"))
     c = F.when(found & ~alone, F.greatest("ocr_conf", "r_conf")).when(alone, F.coalesce("r_conf", F.lit(0.0))).otherwise(F.col("ocr_conf"))
     lang = F.when(found, F.when(F.col("name") == "name", "ar").otherwise("en")).when(alone, "").otherwise(F.col("lang"))
     clear = (F.col("bank_code") == "NBE") & (F.col("name") == "amount_numeric") & ~t.rlike(txt.AMOUNT_DECIMAL)
+    moved = found & F.col("r_source").isin(*bank_rules.BOXED) & F.col("r_box").isNotNull()
+    box = [F.when(moved, side).otherwise(F.col(n)).alias(n) for n, side in zip(BOX, padded(*(F.col("r_box")[n] for n in BOX), 0.02, 0.02), strict=True)]
     return rows.select(
-        "doc_id", "bank_code", "name", "loc_conf", *BOX, F.when(clear, "").otherwise(tidied(t)).alias("text"), F.when(clear, 0.0).otherwise(c).alias("ocr_conf"), F.when(clear, "").otherwise(lang).alias("ocr_lang"),
+        "doc_id", "bank_code", "name", "loc_conf", *box, F.when(clear, "").otherwise(tidied(t)).alias("text"), F.when(clear, 0.0).otherwise(c).alias("ocr_conf"), F.when(clear, "").otherwise(lang).alias("ocr_lang"),
         F.when(found & (F.col("name") == "cheque_number"), F.col("r_source")).alias("source"),
     )
 
 
 def extract_fields(lines: DataFrame, fields: DataFrame, anchors: DataFrame) -> DataFrame:
-    """One record for every document and field of its bank's template."""
-    located = widened(extract.locate_fields(lines, fields, anchors))
-    ready = with_rules(text_in_box(lines, located), all_rules(lines, located.select("doc_id", "name", *BOX)))
+    """One record for every document and field of its bank's template: doc_id, bank_code, box, confidences, texts, parsed values. lines
+    may carry their polygons (bbox: an array of (x, y)).
+
+    A document's lines meet once, as a page; locating, choosing and the rules of all banks work on it, and the records of a
+    document stay in its partition. Documents without a template have no records; lines without text or place are never chosen."""
+    ranks = {f"rank_{n}": extract.preference(F.lit(n), F.col("text"), True) for n in RANKED}
+    rows = extract.with_templates(page.pages(lines, bank_rules.features() | ranks), fields, anchors).filter("fields is not null")
+    rows = extract.locate_on_pages(rows)
+    boxes = lambda name: F.transform(F.filter("located", lambda f: f["name"] == name), lambda f: F.struct(*(f[n] for n in BOX)))
+    rows = bank_rules.found(rows.withColumns({"zones": boxes("amount_numeric"), "payee_box": F.get(boxes("name"), F.lit(0))}))
+    rows = page.exploded(rows, chosen(), "doc_id", "bank_code", "rules")
+    rows = rows.select("doc_id", "bank_code", "f.*", F.get(F.filter("rules", lambda r: r["name"] == F.col("f.name")), F.lit(0))["w"].alias("w"))
+    ready = after_rules(rows.select("*", F.col("w.source").alias("r_source"), F.col("w.token").alias("r_token"), F.col("w.confidence").alias("r_conf"), F.col("w.box").alias("r_box")).drop("w"))
     return extract.field_records(ready, True, ["bank_code", "ocr_conf", "loc_conf", "ocr_lang", "source", *BOX])
 
 
 def decisions(records: DataFrame) -> DataFrame:
-    """doc_id and its route. records: those of extract_fields."""
-    coded = records.select("doc_id", "name", F.col("field_conf").alias("conf"), route.threshold_code(F.col("field_conf")).alias("code"))
-    return route.route(records.select("doc_id").distinct(), coded, key="doc_id")
+    """doc_id and its route. records: those of extract_fields. One aggregate of plain numbers, on the partitions the records are in."""
+    per = records.groupBy("doc_id").agg(*(F.max(F.when(F.col("name") == f, F.col("field_conf"))).alias(f) for f in REQUIRED))
+    rows = per.select("doc_id", *(F.when(F.col(f).isNotNull(), F.struct(F.col(f).alias("conf"), route.threshold_code(F.col(f)).alias("code"))).alias(f) for f in REQUIRED))
+    return route.judged(rows, key="doc_id")
 
 
 def audit_documents(records: DataFrame, decided: DataFrame, source: str = "upload") -> DataFrame:

@@ -22,7 +22,11 @@ def route(keys: DataFrame, fields: DataFrame, required: list[str] = REQUIRED, th
     per = fields.filter(F.col("name").isin(required)).groupBy(key).agg(
         *(F.max(F.when(F.col("name") == f, F.struct("conf", "code"))).alias(f) for f in required)
     )
-    rows = keys.select(key).join(per, key, "left")
+    return judged(keys.select(key).join(per, key, "left"), required, threshold, key)
+
+
+def judged(rows: DataFrame, required: list[str] = REQUIRED, threshold: float = THRESHOLD, key: str = "cheque_id") -> DataFrame:
+    """The routes of rows with a struct (conf, code) for each required field, NULL where it is missing."""
     conf = {f: F.coalesce(F.col(f)["conf"], F.lit(0.0)) for f in required}
     low = {f: conf[f] < threshold for f in required}
     failed = {f: F.coalesce(F.col(f)["code"] != "OK", F.lit(False)) for f in required}

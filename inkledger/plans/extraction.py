@@ -13,6 +13,7 @@ from inkledger.operators import extract as ex
 from inkledger.operators import match, pipeline, reports
 from inkledger.plans.domain import Registry, view
 from inkledger.plans.scalars import parsed_sql
+from inkledger.plans.tables import _route_sql
 from inkledger.sources import readers, work, writers
 
 REG = Registry()
@@ -127,13 +128,11 @@ _WAYS = [
 ]
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, name, line_idx, {stage} AS stage, '{method}' AS method FROM ({q})" for stage, method, q in _WAYS)
 _WIDE, _HIGH = "CASE method WHEN 'anchor_payee_scored' THEN 754 WHEN 'anchor_egp_right' THEN 368 ELSE 335 END", "CASE WHEN method IN ('anchor_payee_scored', 'anchor_egp_right') THEN 67 ELSE 54 END"
-REG.add(
-    "locate_fields", lambda s, d: ex.locate_fields(scan(s, d), fields(s, d), view(s, d, "v_anchor")),
-    f"""WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY stage) AS nth FROM ({_FOUND})) WHERE nth = 1),
+LOCATE_SQL = f"""WITH w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY stage) AS nth FROM ({_FOUND})) WHERE nth = 1),
  b AS (SELECT w.doc_id, name, method, confidence, text, greatest(0, px - {_WIDE} // 2) AS x1, greatest(0, py - {_HIGH} // 2) AS y1 FROM w JOIN v_scan t ON w.doc_id = t.doc_id AND w.line_idx = t.line_idx)
 SELECT doc_id, name, method, confidence, text, x1, y1, least(1677, x1 + {_WIDE}) AS x2, least(677, y1 + {_HIGH}) AS y2 FROM b
-UNION ALL SELECT d.doc_id, f.name, 'template_roi' AS method, 0.9 AS confidence, NULL AS text, rx1, ry1, rx2, ry2 FROM (SELECT DISTINCT doc_id, bank_code FROM v_scan) d JOIN v_tfield f ON d.bank_code = f.bank_code WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = d.doc_id AND w.name = f.name)""",
-)
+UNION ALL SELECT d.doc_id, f.name, 'template_roi' AS method, 0.9 AS confidence, NULL AS text, rx1, ry1, rx2, ry2 FROM (SELECT DISTINCT doc_id, bank_code FROM v_scan) d JOIN v_tfield f ON d.bank_code = f.bank_code WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = d.doc_id AND w.name = f.name)"""
+REG.add("locate_fields", lambda s, d: ex.locate_fields(scan(s, d), fields(s, d), view(s, d, "v_anchor")), LOCATE_SQL)
 _UNKNOWN = r"SELECT t.*, 'date' AS name FROM v_token t WHERE regexp_matches(text, '(?i)\b\d{1,2}[/\-][A-Za-z]{3}[/\-]\d{2,4}\b') UNION ALL SELECT t.*, 'amount_numeric' AS name FROM v_token t WHERE regexp_matches(text, '\b\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b') UNION ALL SELECT t.*, 'cheque_number' AS name FROM v_token t WHERE regexp_matches(text, '\b\d{6,}\b')"
 REG.add("locate_unknown", lambda s, d: ex.locate_unknown(ex.without_template(tok(s, d), fields(s, d))), f"SELECT doc_id, name, text, confidence, 'unknown_regex' AS method FROM ({pick_sql(_UNKNOWN, 'doc_id, name, bank_code', 'confidence DESC, line_idx', 'text, confidence')}) WHERE bank_code = 'AAIB' UNION ALL SELECT DISTINCT doc_id, 'bank_name' AS name, 'UNKNOWN' AS text, 0.5::DOUBLE AS confidence, 'unknown_bank' AS method FROM v_token WHERE bank_code = 'AAIB'")
 
@@ -191,17 +190,18 @@ _LESS = "confidence - 0.10 * abs(px - {0}) / (0.5 * 1677)"
 _EN_CHEQUE, _AR_CHEQUE = r"lang = 'en' AND regexp_matches(text, '(?i)\bcheque\b')", "contains(text, 'شيك')"
 _LABELS = f"en AS ({point_sql(_EN_CHEQUE, 'ex', 'ey')}), ar AS ({point_sql(_AR_CHEQUE, 'ax', 'ay')})"
 _POINTS = "p LEFT JOIN en ON doc_id = d_ex LEFT JOIN ar ON doc_id = d_ax"
-REG.add(
-    "rule_bm", lambda s, d: rules.number_bm(scan(s, d), amount_boxes(s, d)).select(*RULE),
-    staged_sql(
-        "cheque_number", f"p AS ({page_sql('BANQUE_MISR', f', {run_sql(8)} AS token')}), {_LABELS}, q AS (SELECT * FROM {_POINTS} WHERE NOT regexp_matches(text, '[:\"]') AND length(dg) < 12 AND {_ZONE})",
+def bm_sql(zone: str) -> str:
+    return staged_sql(
+        "cheque_number", f"p AS ({page_sql('BANQUE_MISR', f', {run_sql(8)} AS token')}), {_LABELS}, q AS (SELECT * FROM {_POINTS} WHERE NOT regexp_matches(text, '[:\"]') AND length(dg) < 12 AND {zone})",
         [
             ("bm_label_row", 0, _LESS.format("ex"), "q WHERE abs(py - ey) <= 0.08 * 677 AND px >= ex AND px < 0.68 * 1677"), ("bm_label_row_ar", 0, _LESS.format("ax"), "q WHERE abs(py - ay) <= 0.08 * 677 AND px <= ax AND px < 0.78 * 1677"),
             ("bm_fullband_mid", 0, "confidence", "q WHERE py BETWEEN 0.30 * 677 AND 0.55 * 677 AND px < 0.78 * 1677"), ("bm_fullband", 1, "confidence", "q WHERE py BETWEEN 0.01 * 677 AND 0.60 * 677 AND px < 0.78 * 1677"), ("bm_global_8", 2, "confidence", "q WHERE px < 0.90 * 1677"),
         ],
         "NOT (part = 1 AND EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.part = 0 AND o.token IS NOT NULL))",
-    ),
-)
+    )
+
+
+REG.add("rule_bm", lambda s, d: rules.number_bm(scan(s, d), amount_boxes(s, d)).select(*RULE), bm_sql(_ZONE))
 _NBE = f"p AS ({page_sql('NBE', f', coalesce({run_sql(14)}, {join_sql(7)}) AS token, CASE WHEN {run_sql(14)} IS NULL THEN 0.10 ELSE 0.0 END AS less')}), l AS (SELECT doc_id AS ld, min(px) AS lx, min(py) AS ly FROM p WHERE {_EN_CHEQUE} GROUP BY doc_id), q AS (SELECT * FROM p LEFT JOIN l ON doc_id = ld WHERE lang = 'en' AND NOT contains(text, ':') AND length(dg) < 16)"
 _NBE_NEAR = staged_sql("cheque_number", _NBE, [("nbe_preselect_cheque", 0, "confidence - 0.25 * abs(px - lx) / (0.5 * 1677) - 0.35 * abs(py - ly) / (0.06 * 677) - less", "q WHERE px BETWEEN lx AND least(1677, lx + 0.68 * 1677) AND NOT regexp_matches(text, '[A-Za-z]')")])
 _NBE_ALL = staged_sql("cheque_number", _NBE, [("nbe_final_full_image", 0, "confidence - less", "q")])
@@ -214,13 +214,11 @@ REG.add(
         [("aaib_fullimage", 0, "confidence + CASE WHEN py <= 0.22 * 677 THEN 0.2 ELSE 0 END + CASE WHEN px <= 0.55 * 1677 THEN 0.15 ELSE 0 END + CASE WHEN near THEN 0.2 ELSE 0 END + CASE WHEN substr(token, 1, 3) IN ('942', '943', '944', '945') THEN 0.3 ELSE 0 END", "q")],
     ),
 )
-REG.add(
-    "rule_fab", lambda s, d: rules.number_fab(scan(s, d)).select(*RULE),
-    staged_sql(
+_FAB = staged_sql(
         "cheque_number", f"p AS ({page_sql('FABMISR', f', {run_sql(8)} AS token')}), q AS (SELECT *, starts_with(token, '44139') AS usual FROM p WHERE lang = 'en' AND NOT contains(text, ':') AND length(dg) < 16 AND NOT regexp_matches(text, '[A-Za-z]') AND token IS NOT NULL), h AS (SELECT doc_id AS hd, min(ord) AS head FROM q GROUP BY doc_id)",
         [("fabmisr_cheque_clean", 0, "confidence", "q JOIN h ON doc_id = hd WHERE ord = head AND NOT usual"), ("fabmisr_cheque_clean", 0, "confidence + 1.0", "q WHERE usual")],
-    ),
-)
+    )
+REG.add("rule_fab", lambda s, d: rules.number_fab(scan(s, d)).select(*RULE), _FAB)
 _SIDE = "CASE WHEN ex IS NOT NULL AND ax IS NOT NULL THEN {both} WHEN ex IS NOT NULL THEN {en} ELSE {ar} END"
 _LEFT, _RIGHT = _SIDE.format(both="greatest(0.0, least(ex, ax) + 0.02 * 1677)", en="ex", ar="greatest(0.0, ax - 0.5 * 1677)"), _SIDE.format(both="least(1677.0, greatest(ex, ax) - 0.02 * 1677)", en="least(1677.0, ex + 0.5 * 1677)", ar="ax")
 _ZEROS = "(length(token) - length(ltrim(token, '0')))"
@@ -232,7 +230,8 @@ _CIB = staged_sql(
 )
 _NO = r"(regexp_matches(t.text, '\b[nN][oO0]\b') OR EXISTS (SELECT 1 FROM v_scan n WHERE n.bank_code = 'CIB' AND n.doc_id = t.doc_id AND regexp_matches(n.text, '\b[nN][oO0]\b') AND abs(n.py - t.py) <= 0.05 * 677 AND t.px BETWEEN n.px - 0.10 * 1677 AND n.px + 0.40 * 1677))"
 _CIB_REST = rf"SELECT doc_id, line_idx, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN bad THEN 1 ELSE 0 END, CASE WHEN py <= 0.45 * 677 THEN 0 ELSE 1 END, abs(length(token) - 12), round(abs(px - 0.5 * 1677) / (0.5 * 1677), 9), -confidence, line_idx) AS nth FROM (SELECT *, regexp_extract(text, '\b\d{{6,}}\b', 0) AS token, {_NO} AS bad FROM v_scan t WHERE bank_code = 'CIB') WHERE token <> '') WHERE nth = 1"
-REG.add("rule_cib", lambda s, d: rules.number_cib(scan(s, d)).select(*RULE), f"WITH w AS ({_CIB}) SELECT doc_id, name, source, line_idx, token FROM w UNION ALL SELECT doc_id, 'cheque_number' AS name, 'fallback_candidates' AS source, line_idx, token FROM ({_CIB_REST}) r WHERE doc_id NOT IN (SELECT doc_id FROM w)")
+CIB_SQL = f"WITH w AS ({_CIB}) SELECT doc_id, name, source, line_idx, token FROM w UNION ALL SELECT doc_id, 'cheque_number' AS name, 'fallback_candidates' AS source, line_idx, token FROM ({_CIB_REST}) r WHERE doc_id NOT IN (SELECT doc_id FROM w)"
+REG.add("rule_cib", lambda s, d: rules.number_cib(scan(s, d)).select(*RULE), CIB_SQL)
 
 
 def repaired_sql(text: str, pairs: list[tuple[str, str]]) -> str:
@@ -258,11 +257,11 @@ _AMOUNT_FAB = staged_sql("amount_numeric", f"p AS ({page_sql('FABMISR', _DECIMAL
 REG.add("rule_amount", lambda s, d: rules.amount_rules(scan(s, d)).select(*RULE), f"SELECT * FROM ({_AMOUNT_NBE}) UNION ALL SELECT * FROM ({_AMOUNT_FAB})")
 
 
-def payee_sql(bank: str, box: str, label: str) -> str:
+def payee_sql(bank: str, box: str, label: str, own_box: str = "SELECT rx1 AS x1, ry1 AS y1, rx2 AS x2, ry2 AS y2 FROM v_tfield WHERE bank_code = '{0}' AND name = 'name'", where: str = "true") -> str:
     fine = r"NOT regexp_matches(text, '[A-Za-z0-9]') AND NOT contains(text, 'فرع')"
     return staged_sql(
-        "name", f"p AS ({page_sql(bank, ', text AS token')}), l AS (SELECT doc_id AS ld, px AS lx, py AS ly FROM p WHERE text = 'اسم الحساب'), b AS (SELECT rx1 - 33 AS x1, ry1 - 13 AS y1, rx2 + 33 AS x2, ry2 + 13 AS y2 FROM v_tfield WHERE bank_code = '{bank}' AND name = 'name')",
-        [(box, 0, "confidence", f"p, b WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AND {fine}"), (label, 1, _BESIDE.format("0.10"), f"p JOIN l ON doc_id = ld WHERE abs(py - ly) <= 0.06 * 677 AND px >= lx AND {fine}")],
+        "name", f"p AS ({page_sql(bank, ', text AS token')}), l AS (SELECT doc_id AS ld, px AS lx, py AS ly FROM p WHERE text = 'اسم الحساب'), b AS ({own_box.format(bank)})",
+        [(box, 0, "confidence", f"p, b WHERE px BETWEEN x1 - 33 AND x2 + 33 AND py BETWEEN y1 - 13 AND y2 + 13 AND {fine} AND {where}"), (label, 1, _BESIDE.format("0.10"), f"p JOIN l ON doc_id = ld WHERE abs(py - ly) <= 0.06 * 677 AND px >= lx AND {fine}")],
     )
 
 
@@ -292,8 +291,62 @@ def written(s: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return s.read.schema(rows.schema).parquet(path)
 
 
+def scanned(s: SparkSession, d: str) -> DataFrame:
+    """The pages with a polygon around every line, wider for longer texts and slightly turned."""
+    half, corner = 4.5 * F.length("text"), lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y = F.col("px"), F.col("py")
+    return scan(s, d).withColumn("bbox", F.array(corner(x - half, y - 8.5), corner(x + half, y - 6.25), corner(x + half, y + 8.5), corner(x - half, y + 6.25)))
+
+
 def extracted(s: SparkSession, d: str) -> DataFrame:
-    return pipeline.extract_fields(written(s, scan(s, d), "lines"), fields(s, d), view(s, d, "v_anchor"))
+    return pipeline.extract_fields(scanned(s, d), fields(s, d), view(s, d, "v_anchor"))
+
+
+def _extract_sql() -> str:
+    """The whole way in SQL: locate, choose in the box, the bank's rules, the winner's box, tidy, parse, score. AAIB has no template
+    here, so its rules have no field to change."""
+    zone = "NOT EXISTS (SELECT 1 FROM loc e WHERE e.name = 'amount_numeric' AND e.doc_id = p.doc_id AND p.px BETWEEN greatest(0, e.x1 - 100) AND least(1676, e.x2 + 100) AND p.py BETWEEN greatest(0, e.y1 - 33) AND least(676, e.y2 + 33))"
+    payee = payee_sql("NBE", "nbe_name_roi", "nbe_name_label", "SELECT doc_id AS bd, x1, y1, x2, y2 FROM loc WHERE name = 'name'", "p.doc_id = bd")
+    line = lambda rows: f"SELECT r.doc_id, r.name, r.source, r.token, t.confidence AS rc, r.line_idx FROM ({rows}) r JOIN v_scan t ON t.doc_id = r.doc_id AND t.line_idx = r.line_idx"
+    nbe = f"SELECT a.doc_id, a.name, coalesce(n.source, a.source) AS source, a.token, greatest(a.rc, n.rc) AS rc, a.line_idx FROM ({line(_NBE_ALL)}) a LEFT JOIN ({line(_NBE_NEAR)}) n ON a.doc_id = n.doc_id"
+    found = " UNION ALL ".join([nbe, *(line(q) for q in (bm_sql(zone), _FAB, CIB_SQL, _DATES_B, _AMOUNT_NBE, _AMOUNT_FAB, payee))])
+    rank = _RANK_LIVE.replace("CASE name", "CASE b.name").replace("(text,", "(t.text,")
+    inside = f"SELECT t.doc_id, b.name, t.text, t.confidence, t.lang, t.line_idx, {rank} AS rank FROM v_scan t JOIN box b ON t.doc_id = b.doc_id WHERE t.lang = 'en' AND b.name <> 'bank_name' AND t.px BETWEEN x1 AND x2 AND t.py BETWEEN y1 AND y2"
+    fits, own = "(rank = 0 OR (b.name = 'amount_numeric' AND rank = 1))", "b.name = 'bank_name'"
+    decimal, short = r"regexp_matches(text, '\b\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b')", "length(trim(text)) < 3"
+    digits = "length(regexp_replace(text, '[^0-9]', '', 'g'))"
+    noisy = f"({short} OR regexp_matches(text, '[A-Za-z]') OR CASE WHEN bank_code = 'NBE' THEN {digits}::DOUBLE / greatest(length(text), 1) > 0.2 ELSE {digits} > 0 END OR contains(text, 'فرع'))"
+    noise = r"(regexp_matches(text, '(?i)(CAIN|EGP|CASH)') OR regexp_matches(text, '\d+\s+[A-Z]+\s+[A-Z]+\s+\d+'))"
+    steps = f"""CASE name WHEN 'cheque_number' THEN bank_code <> 'FABMISR' OR contains(text, ':') OR {digits} >= 16 OR NOT regexp_matches(text, '(?:^|[^0-9])44139[0-9]{{3}}(?:[^0-9]|$)')
+      WHEN 'date' THEN NOT regexp_matches(text, '{_LOOSE}') WHEN 'amount_numeric' THEN NOT {decimal} OR (bank_code = 'FABMISR' AND {noise})
+      WHEN 'name' THEN CASE WHEN source LIKE '%\\_label' ESCAPE '\\' THEN {short} ELSE {noisy} END ELSE false END"""
+    plain = r"regexp_replace(text, '\s+', '', 'g')"
+    groups = rf"regexp_extract_all({plain}, '\d+')"
+    tail = f"coalesce(list_filter({groups}, lambda x: length(x) = 12)[1], list_sort(list_transform(list_filter({groups}, lambda x: length(x) BETWEEN 10 AND 13), lambda x, i: {{'d': abs(length(x) - 12), 'l': -length(x), 'i': i, 'g': x}}))[1]['g'], text)"
+    run_plain = run_sql(14).replace("(text,", f"({plain},")
+    number = rf"CASE bank_code WHEN 'CIB' THEN {tail} WHEN 'NBE' THEN coalesce({run_plain}, {join_sql(7)}) WHEN 'BANQUE_MISR' THEN coalesce({run_sql(8)}, '') ELSE nullif(regexp_extract({plain}, '\b\d{{6,}}\b', 0), '') END"
+    boxed = ", ".join(f"'{x}'" for x in rules.BOXED)
+    moved = lambda side, new: f"CASE WHEN hit AND source IN ({boxed}) THEN {new} ELSE {side} END AS {side}"
+    clear = f"bank_code = 'NBE' AND name = 'amount_numeric' AND NOT {decimal}"
+    parsed = parsed_sql("SELECT * FROM tidy WHERE name IN ('date', 'amount_numeric', 'cheque_number')")
+    return f"""WITH loc AS MATERIALIZED ({LOCATE_SQL}),
+box AS MATERIALIZED (SELECT d.bank_code, l.doc_id, l.name, l.confidence AS loc_conf, x1, y1, CASE WHEN l.name = 'cheque_number' THEN least(1676, x2 + 201) ELSE x2 END AS x2, y2 FROM loc l JOIN (SELECT DISTINCT doc_id, bank_code FROM v_scan) d ON l.doc_id = d.doc_id),
+best AS MATERIALIZED ({pick_sql(inside, "doc_id, name", "rank, confidence DESC, line_idx", "text, confidence, lang, rank")}),
+chosen AS (SELECT b.*, CASE WHEN {own} THEN bank_code WHEN {fits} THEN text ELSE '' END AS text, CASE WHEN {own} THEN 1.0 WHEN {fits} THEN confidence ELSE 0.0 END AS conf FROM box b LEFT JOIN best c ON b.doc_id = c.doc_id AND b.name = c.name),
+rule AS MATERIALIZED (SELECT f.*, trunc(px - 4.5 * length(text))::INT AS bx1, trunc(py - 8.5)::INT AS by1, trunc(px + 4.5 * length(text))::INT AS bx2, trunc(py + 8.5)::INT AS by2 FROM ({found}) f JOIN v_scan t ON f.doc_id = t.doc_id AND f.line_idx = t.line_idx),
+joined AS (SELECT c.*, r.source, r.token, r.rc, bx1, by1, bx2, by2 FROM chosen c LEFT JOIN rule r ON c.doc_id = r.doc_id AND c.name = r.name),
+step AS (SELECT *, token IS NOT NULL AND {steps} AS hit, bank_code = 'BANQUE_MISR' AND name = 'cheque_number' AS alone FROM joined),
+took AS (SELECT doc_id, bank_code, name, loc_conf, {moved("x1", "greatest(0, bx1 - 33)")}, {moved("y1", "greatest(0, by1 - 13)")}, {moved("x2", "least(1676, bx2 + 33)")}, {moved("y2", "least(676, by2 + 13)")},
+ CASE WHEN hit THEN token WHEN alone THEN '' ELSE text END AS text, CASE WHEN alone THEN coalesce(rc, 0.0) WHEN hit THEN greatest(conf, rc) ELSE conf END AS conf, CASE WHEN hit AND name = 'cheque_number' THEN source END AS source FROM step),
+tidy AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {clear} THEN '' WHEN name = 'cheque_number' AND text <> '' THEN coalesce({number}, text) ELSE text END AS text, CASE WHEN {clear} THEN 0.0 ELSE conf END AS conf) FROM took),
+parsed AS (SELECT *, err IS NULL AS ok FROM ({parsed}) UNION ALL BY NAME
+ SELECT *, CASE WHEN text = '' THEN 'EMPTY' WHEN length(text) < 3 THEN 'TOO_SHORT' END AS err, CASE WHEN length(text) >= 3 THEN text END AS norm, length(text) >= 3 AS ok FROM (SELECT * FROM tidy WHERE name = 'name') UNION ALL BY NAME SELECT *, NULL AS err, NULL AS norm, false AS ok FROM tidy WHERE name = 'bank_name'),
+rec AS MATERIALIZED (SELECT *, round(greatest(0.0, least(1.0, conf)) * greatest(0.0, least(1.0, loc_conf)) * CASE WHEN ok THEN 1.0 ELSE 0.97 END, 6) AS field_conf FROM parsed),
+routes AS ({_route_sql("SELECT doc_id AS cheque_id, name, field_conf AS conf, CASE WHEN field_conf >= 0.995 THEN 'OK' ELSE 'VALIDATION_FAIL' END AS code FROM rec").replace("v_cheque c", "(SELECT DISTINCT doc_id AS cheque_id FROM rec) c")})
+"""
+
+
+EXTRACT_SQL = _extract_sql()
 
 
 def extract_pipeline(s: SparkSession, d: str) -> DataFrame:
@@ -301,19 +354,19 @@ def extract_pipeline(s: SparkSession, d: str) -> DataFrame:
     return pipeline.decisions(extracted(s, d))
 
 
-REG.add("extract_pipeline", extract_pipeline)
+REG.add("extract_pipeline", extract_pipeline, EXTRACT_SQL + "SELECT cheque_id AS doc_id, decision, stp, overall_conf, low_conf_fields, reasons FROM routes")
 
 
 def extract_audit(s: SparkSession, d: str) -> DataFrame:
-    """The same pages as audit documents, written and read back: one row for every field."""
+    """The same pages as audit documents, written and read back: one row for every field, with its box."""
     records = written(s, extracted(s, d), "records")
     path = work.folder(s, "extracted")
     writers.write_audit(pipeline.audit_documents(records, pipeline.decisions(records)), path)
     back = readers.scan_audit(s, path).select("bank", "file", "decision.decision", "decision.stp", F.explode("fields").alias("name", "r"))
-    return back.select("bank", "file", "decision", "stp", "name", "r.ocr_text", "r.parse_norm", "r.parse_ok", "r.field_conf", "r.source")
+    return back.select("bank", "file", "decision", "stp", "name", "r.ocr_text", "r.parse_norm", "r.parse_ok", "r.field_conf", "r.source", *(F.col("r.bbox")[i].alias(n) for i, n in enumerate(ex.SIDES)))
 
 
-REG.add("extract_audit", extract_audit)
+REG.add("extract_audit", extract_audit, EXTRACT_SQL + "SELECT bank_code AS bank, concat(lpad(CAST(doc_id AS VARCHAR), 8, '0'), '.jpg') AS file, decision, stp, name, nullif(text, '') AS ocr_text, norm AS parse_norm, ok AS parse_ok, field_conf, source, x1, y1, x2, y2 FROM rec JOIN routes ON doc_id = cheque_id")
 REG.add("rtl_assembly", lambda s, d: ex.assemble_rtl(tok(s, d).select("doc_id", "line_idx", "text", "px", "py", (F.length("text") * 11.0).alias("width"))))
 
 # ---------------------------------------------------------------- reports

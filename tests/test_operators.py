@@ -8,6 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from inkledger.operators import audit, bank_rules, extract, kpi, match, pipeline, reports, route
 from inkledger.sources import readers, writers
 
@@ -106,6 +107,52 @@ def test_dates_amounts_payees(spark):
     assert tokens(bank_rules.payee_rules(nbe, box)) == {1: ("شركة النيل", "nbe_name_roi")}
 
 
+def test_repaired_date_must_still_be_one(spark, monkeypatch):
+    """A stage whose date is none any more after the repair gives way to the next, which keeps its name; without a next it stays."""
+    monkeypatch.setattr(bank_rules.txt, "REPAIR_A", [("XXX", "Month")])
+    aaib = page(spark, "AAIB", (1, "05/XXX/2024", 0.6, 0.2, 0.5), (1, "06/Jan/2024", 0.2, 0.2, 0.9), (2, "05/XXX/2024", 0.6, 0.2, 0.5))
+    assert tokens(bank_rules.date_rules(aaib)) == {1: ("06/Jan/2024", "aaib_date_region"), 2: ("05/Month/2024", "aaib_date_region")}
+
+
+def boxed_page(spark, bank, *lines):
+    """Lines with a polygon of the given half width and height around their place."""
+    x, y = F.col("px").cast("double"), F.col("py").cast("double")
+    corners = [F.struct((x + i * 40.6).alias("x"), (y + j * 9.7).alias("y")) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    return page(spark, bank, *lines).withColumn("bbox", F.array(*corners))
+
+
+def test_box_of_the_winning_line(spark):
+    """A rule's line replaces the field's box, padded by 2 % and kept on the page; rules of other kinds, and lines without a
+    polygon, leave it."""
+    fields = spark.createDataFrame([("FABMISR", 0, "cheque_number", 10, 10, 100, 50, 10, 10, 100, 50, None), ("NBE", 0, "cheque_number", 10, 10, 100, 50, 10, 10, 100, 50, None)], "bank_code string, pos int, name string, rx1 int, ry1 int, rx2 int, ry2 int, x1 int, y1 int, x2 int, y2 int, pattern string")
+    anchors = spark.createDataFrame([("NBE", 0, "x", 0, 0, 1, 1, "y")], "bank_code string, pos int, name string, x1 int, y1 int, x2 int, y2 int, pattern string")
+    nbe = ("NBE", (1, "11112222333344", 0.5, 0.9, 0.6), (2, "11112222333344", 0.01, 0.01, 0.6))
+    box = lambda r: (r.source, r.x1, r.y1, r.x2, r.y2)
+    got = {r.doc_id: box(r) for r in pipeline.extract_fields(boxed_page(spark, *nbe), fields, anchors).collect()}
+    assert got == {1: ("nbe_final_full_image", 797 - 33, 599 - 13, 878 + 33, 618 + 13), 2: ("nbe_final_full_image", 0, 0, 56 + 33, 15 + 13)}
+    plain = {r.doc_id: box(r) for r in pipeline.extract_fields(page(spark, *nbe), fields, anchors).collect()}
+    assert plain == {d: ("nbe_final_full_image", 10, 10, 100 + 201, 50) for d in (1, 2)}
+    fab = pipeline.extract_fields(boxed_page(spark, "FABMISR", (1, "44139123", 0.5, 0.5, 0.9)), fields, anchors).first()
+    assert box(fab) == ("fabmisr_cheque_clean", 10, 10, 301, 50) and fab.ocr_text == "44139123"
+
+
+def test_pages_of_odd_lines(spark):
+    """Null texts, places, banks and confidences, repeated lines, documents without a template, no lines at all."""
+    fields = spark.createDataFrame([("CIB", 0, "date", 0, 0, 1600, 600, 0, 0, 1600, 600, "[0-9]{2}/"), ("CIB", 1, "bank_name", 0, 0, 9, 9, 0, 0, 9, 9, None)], "bank_code string, pos int, name string, rx1 int, ry1 int, rx2 int, ry2 int, x1 int, y1 int, x2 int, y2 int, pattern string")
+    anchors = spark.createDataFrame([], "bank_code string, pos int, name string, x1 int, y1 int, x2 int, y2 int, pattern string")
+    rows = [(1, "CIB", 0, None, 5, 5, 0.9, "en"), (1, "CIB", 1, "05/Jan/2024", None, None, 0.9, "en"), (1, "CIB", 2, "06/Jan/2024", 5, 5, None, "en"), (1, "CIB", 3, "07/Jan/2024", 5, 5, 0.8, "en"), (1, "CIB", 3, "07/Jan/2024", 5, 5, 0.8, "en"), (2, "OTHER", 0, "08/Jan/2024", 5, 5, 0.9, "en"), (3, None, 0, "09/Jan/2024", 5, 5, 0.9, None), (4, "CIB", 0, "", 5, 5, 0.9, None)]
+    lines = spark.createDataFrame(rows, LINES)
+    got = {(r.doc_id, r.name): (r.ocr_text, r.parse_norm) for r in pipeline.extract_fields(lines, fields, anchors).collect()}
+    assert got == {(1, "date"): ("07/Jan/2024", "2024-01-07"), (1, "bank_name"): ("CIB", None), (4, "date"): ("", None), (4, "bank_name"): ("CIB", None)}
+    assert pipeline.extract_fields(lines.limit(0), fields, anchors).count() == 0
+
+
+def test_one_shuffle_serves_all_rules(spark, sf):
+    """Shuffles and scans of the whole way from lines to routes, templates included."""
+    plan = entry.queries()["extract_pipeline"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 8 and plan.count("FileScan") == 1 and "SortAggregate" not in plan
+
+
 def test_page_to_audit_document(spark, tmp_path):
     """A whole page: the box of the number is widened, the bank's rules step in where the text does not do, one record a field."""
     fields = spark.createDataFrame([("NBE", i, n, *box, *box, None) for i, (n, box) in enumerate((("bank_name", (0, 0, 300, 60)), ("date", (1200, 40, 1600, 120)), ("cheque_number", (600, 40, 700, 100)), ("amount_numeric", (1200, 200, 1600, 300)), ("name", (200, 200, 1100, 300))))], "bank_code string, pos int, name string, rx1 int, ry1 int, rx2 int, ry2 int, x1 int, y1 int, x2 int, y2 int, pattern string")
