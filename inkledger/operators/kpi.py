@@ -29,7 +29,12 @@ def kpi_batch(cheques: DataFrame, fields: DataFrame) -> DataFrame:
         F.count("*").alias("total_cheques"), F.count_if(F.col("incorrect") > 0).alias("cheques_with_errors"),
         F.coalesce(F.sum("n_fields"), F.lit(0)).alias("total_fields"), F.coalesce(F.sum("incorrect"), F.lit(0)).alias("incorrect_fields"),
     )
-    out = out.withColumns({"error_rate_cheques": safe_rate(F.col("cheques_with_errors"), F.col("total_cheques")), "error_rate_fields": safe_rate(F.col("incorrect_fields"), F.col("total_fields"))})
+    return with_rates(out)
+
+
+def with_rates(sums: DataFrame) -> DataFrame:
+    """The rates of batches from their sums."""
+    out = sums.withColumns({"error_rate_cheques": safe_rate(F.col("cheques_with_errors"), F.col("total_cheques")), "error_rate_fields": safe_rate(F.col("incorrect_fields"), F.col("total_fields"))})
     return out.withColumn("flagged", F.coalesce(F.col("cheques_with_errors") / F.nullif("total_cheques", F.lit(0)) > FLAG_RATE, F.lit(False)))
 
 

@@ -102,8 +102,18 @@ def scan_spans(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- streams
+#: Files of a slice of the events, and so of a micro-batch; slices.
+FILES, SLICES = 4, 4
+
+
 def events(s: SparkSession, d: str) -> DataFrame:
-    return jobs.stream_of(s, f"{d}/events*.parquet", table(s, d, "events").schema)
+    """The events as a stream of several micro-batches: they are laid down in the order of their time, a slice after the other."""
+    rows, path = table(s, d, "events"), work.folder(s, "events")
+    low, high = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    nth = F.least(F.lit(SLICES - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * SLICES / F.lit(max(1, high - low + 1))))
+    for i in range(SLICES):
+        rows.filter(F.coalesce(nth, F.lit(0)) == i).repartition(FILES).write.mode("append").parquet(path)
+    return jobs.stream_of(s, path, rows.schema, FILES)
 
 
 def field_of() -> Column:

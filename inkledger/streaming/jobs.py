@@ -6,13 +6,18 @@ overwritten when a batch is replayed, so restarts do not double anything.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from inkledger.operators.kpi import BATCH, batch_name, business_date, kpi_batch
+from inkledger.functions.validate import KPI_FIELDS
+from inkledger.operators.kpi import BATCH, batch_name, business_date, with_rates
 
 
 def stream_of(spark: SparkSession, path: str, schema: object, files_per_batch: int = 64) -> DataFrame:
@@ -24,30 +29,77 @@ def drain(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def latest(spark: SparkSession, path: str, keys: list[str], values: list[str]) -> DataFrame:
-    """The last written row of each key."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
-def refresh_kpis(corrections: DataFrame, cheques: DataFrame, fields: DataFrame, root: str) -> DataFrame:
-    """Rates of the batches that corrections touch, recomputed as the corrections arrive. corrections (a stream): cheque_id,
-    field. Only touched batches are read again; the corrections so far are kept as distinct (cheque, field) pairs."""
+#: Cheque ids of one bucket of the rates' state. Ids grow with time, so corrections of recent cheques touch few buckets.
+BUCKET_IDS = 1 << 20
+RATES = ["total_cheques", "cheques_with_errors", "total_fields", "incorrect_fields"]
+
+
+def _cheque_state(cheques: DataFrame, fields: DataFrame, width: int) -> DataFrame:
+    """One row for each cheque: its bucket and batch, and for each KPI field how many it has (n_) and how many are corrected (bad_)."""
+    own = lambda f: F.col("name") == f
+    counts = [c for f in KPI_FIELDS for c in (F.count_if(own(f)).alias(f"n_{f}"), F.count_if(own(f) & F.col("corrected")).alias(f"bad_{f}"))]
+    rows = cheques.select("cheque_id", *BATCH).join(fields.filter(F.col("name").isin(KPI_FIELDS)).groupBy("cheque_id").agg(*counts), "cheque_id", "left")
+    zero = {f"{k}_{f}": F.coalesce(f"{k}_{f}", F.lit(0)) for f in KPI_FIELDS for k in ("n", "bad")}
+    return rows.withColumns(zero | {"bucket": F.floor(F.col("cheque_id") / width)})
+
+
+def _total(prefix: str) -> Column:
+    return sum((F.col(f"{prefix}_{f}") for f in KPI_FIELDS), F.lit(0))
+
+
+def refresh_kpis(corrections: DataFrame, cheques: DataFrame, fields: DataFrame, root: str, width: int = BUCKET_IDS) -> DataFrame:
+    """Rates of the batches that corrections touch, kept up by differences. corrections (a stream): cheque_id, field.
+
+    The state is one row of counts for each cheque, in buckets of ids, and one row of sums for each batch; it comes from the tables
+    once, when the job first starts. A micro-batch reads the buckets of the cheques it corrects and the sums, and writes both anew
+    under its own number, with an index that tells which version of a bucket is the last. It reads neither earlier corrections nor
+    the field table, so what it reads does not grow with history. A replayed micro-batch starts from the index before it and
+    overwrites its own folders. Corrections of unknown cheques change nothing."""
     spark = corrections.sparkSession
+    at = lambda kind, batch: f"{root}/{kind}/batch={batch}"
 
-    def each(new: DataFrame, batch: int) -> None:
-        pairs = new.select("cheque_id", F.col("field").alias("name")).distinct()
-        pairs.write.mode("overwrite").parquet(f"{root}/corrections/batch={batch}")
-        touched = spark.read.parquet(f"{root}/corrections/batch={batch}").select("cheque_id").distinct().join(cheques, "cheque_id").select(*BATCH).distinct()
-        own = cheques.join(touched, BATCH, "left_semi")
-        # of the corrections so far only those of these cheques are told apart
-        seen = spark.read.parquet(f"{root}/corrections").filter(F.col("batch") <= batch).select("cheque_id", "name")
-        seen = seen.join(own.select("cheque_id"), "cheque_id", "left_semi").distinct().withColumn("hit", F.lit(True))
-        marked = fields.join(own.select("cheque_id"), "cheque_id", "left_semi").join(seen, ["cheque_id", "name"], "left").withColumn("corrected", F.col("corrected") | F.coalesce("hit", F.lit(False)))
-        kpi_batch(own, marked).write.mode("overwrite").parquet(f"{root}/kpi/batch={batch}")
+    def start() -> None:
+        _cheque_state(cheques, fields, width).write.mode("overwrite").partitionBy("bucket").parquet(at("state", -1))
+        state = spark.read.parquet(at("state", -1))
+        sums = state.groupBy(*BATCH).agg(F.count("*").alias("total_cheques"), F.count_if(_total("bad") > 0).alias("cheques_with_errors"), F.sum(_total("n")).cast("long").alias("total_fields"), F.sum(_total("bad")).cast("long").alias("incorrect_fields"))
+        sums.withColumn("touched", F.lit(False)).write.mode("overwrite").parquet(at("rates", -1))
+        state.select("bucket", F.lit(-1).alias("version")).distinct().write.mode("overwrite").parquet(at("index", -1))
 
+    def each(new: DataFrame, batch: int) -> None:
+        hits = new.groupBy("cheque_id").agg(*(F.max(F.col("field") == f).alias(f"hit_{f}") for f in KPI_FIELDS)).withColumn("bucket", F.floor(F.col("cheque_id") / width))
+        hits.write.mode("overwrite").parquet(at("hits", batch))
+        hits, index = spark.read.parquet(at("hits", batch)), spark.read.parquet(at("index", batch - 1))
+        # as many rows as there are buckets, at most
+        versions = index.join(hits.select("bucket").distinct(), "bucket").collect()
+        rates = spark.read.parquet(at("rates", batch - 1))
+        if versions:
+            state = spark.read.option("basePath", f"{root}/state").parquet(*(f"{at('state', r['version'])}/bucket={r['bucket']}" for r in versions)).drop("batch")
+            joined = state.join(hits.drop("bucket"), "cheque_id", "left")
+            now = {f"bad_{f}": F.when(F.col(f"hit_{f}"), F.col(f"n_{f}")).otherwise(F.col(f"bad_{f}")) for f in KPI_FIELDS}
+            changed = joined.withColumns({"before": _total("bad").cast("long"), "touched": F.coalesce(*(F.col(f"hit_{f}").isNotNull() for f in KPI_FIELDS))}).withColumns(now)
+            kept = ["cheque_id", *BATCH, "bucket", "before", "touched", *(f"{k}_{f}" for f in KPI_FIELDS for k in ("n", "bad"))]
+            changed.select(kept).write.mode("overwrite").partitionBy("bucket").parquet(at("state", batch))
+            after = _total("bad")
+            more = spark.read.parquet(at("state", batch)).filter("touched").groupBy(*BATCH).agg(F.sum(after - F.col("before")).alias("d_fields"), F.sum((after > 0).cast("long") - (F.col("before") > 0).cast("long")).alias("d_cheques"))
+            rates = rates.join(more, BATCH, "left").select(
+                *BATCH, "total_cheques", (F.col("cheques_with_errors") + F.coalesce("d_cheques", F.lit(0))).alias("cheques_with_errors"), "total_fields",
+                (F.col("incorrect_fields") + F.coalesce("d_fields", F.lit(0))).alias("incorrect_fields"), (F.col("touched") | F.col("d_fields").isNotNull()).alias("touched"),
+            )
+        rates.write.mode("overwrite").parquet(at("rates", batch))
+        fresh = spark.createDataFrame([(r["bucket"], batch) for r in versions], "bucket long, version int")
+        index.join(fresh.select("bucket"), "bucket", "left_anti").select(fresh.columns).union(fresh).write.mode("overwrite").parquet(at("index", batch))
+
+    if not exists(spark, f"{root}/checkpoint"):
+        start()
     drain(corrections, f"{root}/checkpoint", each)
-    return latest(spark, f"{root}/kpi", BATCH, ["total_cheques", "cheques_with_errors", "total_fields", "incorrect_fields", "error_rate_cheques", "error_rate_fields", "flagged"])
+    last = spark.read.parquet(f"{root}/rates").agg(F.max("batch")).first()[0]
+    return with_rates(spark.read.parquet(at("rates", last)).filter("touched").drop("touched"))
 
 
 def sessions(uploads: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -73,29 +125,73 @@ def stream_sessions(uploads: DataFrame, now: DataFrame, root: str, gap_minutes:
     return done.unionByName(still_open.join(done, ["bank", "key", "started_at"], "left_anti").select(*done.columns))
 
 
-def assign_batches(events: DataFrame, root: str) -> DataFrame:
+#: The state of a (bank, key): its first upload, its last event, when it was finalized, requests that came before any upload.
+SESSION_STATE = "first_ts timestamp, first_event long, last_ts timestamp, ended_at timestamp, early array<timestamp>"
+SESSION_CHANGE = "bank string, key string, first_ts timestamp, first_event long, opened boolean, uploads long, ended_at timestamp"
+
+
+def follow_session(keep_ms: int, key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a micro-batch changes for one (bank, key). The first upload opens its batch, later ones count; the first request to
+    finalize that is not before the first upload ends it, once. When nothing has come for the time the state is kept, the timer
+    ends a batch that nobody finalized, at its last event, and forgets the key. A key of one upload (event:...) is not kept."""
+    if state.hasTimedOut:
+        first_ts, first_event, last_ts, ended, _ = state.get
+        state.remove()
+        if first_ts is not None and ended is None:
+            yield pd.DataFrame([(*key, first_ts, first_event, False, 0, last_ts)], columns=CHANGE_COLUMNS)
+        return
+    first_ts, first_event, last_ts, ended, early = state.get if state.exists else (None, None, None, None, [])
+    ups, finals = [], list(early)
+    for rows in pieces:
+        for ts, event, final in zip((t.to_pydatetime() for t in rows["ts"]), rows["event_id"], rows["final"], strict=True):
+            finals.append(ts) if final else ups.append((ts, int(event)))
+            last_ts = ts if last_ts is None else max(last_ts, ts)
+    opened = first_ts is None and bool(ups)
+    if opened:
+        first_ts, first_event = min(ups)
+    was = ended
+    if first_ts is not None:
+        later = [t for t in finals if t >= first_ts]
+        ended, finals = min([*later, *([ended] if ended else [])], default=None), []
+    if not key[1].startswith("event:"):
+        state.update((first_ts, first_event, last_ts, ended, finals))
+        since = (last_ts - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
+        state.setTimeoutTimestamp(max(since, state.getCurrentWatermarkMs()) + keep_ms)
+    if first_ts is not None and (ups or ended != was):
+        yield pd.DataFrame([(*key, first_ts, first_event, opened, len(ups), ended)], columns=CHANGE_COLUMNS)
+
+
+CHANGE_COLUMNS = ["bank", "key", "first_ts", "first_event", "opened", "uploads", "ended_at"]
+
+
+def assign_batches(events: DataFrame, root: str, late: str = "2 days", keep_days: int = 31) -> DataFrame:
     """Upload sessions to batches. The first upload of a (bank, key) opens a batch, numbered after those its bank and business date
-    have; every later one joins it, however late. Finalizing sets the end once and may be repeated. events (a stream): bank, key,
-    ts, event_id, final. What was assigned is a table, keyed by (bank, key); every micro-batch adds its own folder to it and reads
-    earlier ones only, so a replay gives the same numbers."""
+    have; every later one joins it. Finalizing sets the end once and may be repeated. events (a stream): bank, key, ts, event_id,
+    final; rows later than ``late`` are dropped.
+
+    What a key's first upload was is keyed state (follow_session); a timer expires it when nothing has come for ``keep_days`` and the
+    watermark has passed that. Numbers come from a table of the highest one
+    of each bank and date, which every micro-batch writes anew under its own number. So a micro-batch reads no earlier key, event or
+    folder but that table, and a replay gives the same numbers."""
     spark = events.sparkSession
-    assigned = "bank string, key string, first_ts timestamp, first_event long, batch_date date, seq long, batch int"
+    changes = events.withWatermark("ts", late).groupBy("bank", "key").applyInPandasWithState(partial(follow_session, keep_days * 86_400_000), SESSION_CHANGE, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
     def each(new: DataFrame, batch: int) -> None:
-        new.write.mode("overwrite").parquet(f"{root}/events/batch={batch}")
-        rows = spark.read.parquet(f"{root}/events/batch={batch}").filter("not final")
-        before = spark.read.schema(assigned).parquet(f"{root}/opened").filter(F.col("batch") < batch) if batch else spark.createDataFrame([], assigned)
-        first = rows.groupBy("bank", "key").agg(F.min(F.struct("ts", "event_id")).alias("f")).join(before, ["bank", "key"], "left_anti")
-        fresh = first.select("bank", "key", F.col("f.ts").alias("first_ts"), F.col("f.event_id").alias("first_event"), business_date(F.col("f.ts")).alias("batch_date"))
-        highest = before.groupBy("bank", "batch_date").agg(F.max("seq").alias("taken"))
+        new.write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
+        opened = spark.read.schema(SESSION_CHANGE).parquet(f"{root}/changes/batch={batch}").filter("opened").withColumn("batch_date", business_date(F.col("first_ts")))
+        taken = spark.read.parquet(f"{root}/taken/batch={batch - 1}") if batch else spark.createDataFrame([], "bank string, batch_date date, taken long")
         nth = F.row_number().over(Window.partitionBy("bank", "batch_date").orderBy("first_ts", "first_event"))
-        numbered = fresh.join(highest, ["bank", "batch_date"], "left").withColumn("seq", (F.coalesce("taken", F.lit(0)) + nth).cast("long"))
+        numbered = opened.join(taken, ["bank", "batch_date"], "left").withColumn("seq", (F.coalesce("taken", F.lit(0)) + nth).cast("long"))
         numbered.select("bank", "key", "first_ts", "first_event", "batch_date", "seq").write.mode("overwrite").parquet(f"{root}/opened/batch={batch}")
-
-    drain(events, f"{root}/checkpoint", each)
-    opened, rows = spark.read.schema(assigned).parquet(f"{root}/opened").drop("batch"), spark.read.parquet(f"{root}/events").drop("batch")
-    per_key = rows.join(opened, ["bank", "key"]).groupBy("bank", "key").agg(F.count_if(~F.col("final")).alias("uploads"), F.min(F.when(F.col("final") & (F.col("ts") >= F.col("first_ts")), F.col("ts"))).alias("ended_at"))
-    done = opened.join(per_key, ["bank", "key"])
+        highest = spark.read.parquet(f"{root}/opened/batch={batch}").groupBy("bank", "batch_date").agg(F.max("seq").alias("taken"))
+        taken.unionByName(highest).groupBy("bank", "batch_date").agg(F.max("taken").alias("taken")).write.mode("overwrite").parquet(f"{root}/taken/batch={batch}")
+
+    drain(changes, f"{root}/checkpoint", each)
+    opened = spark.read.parquet(f"{root}/opened").select("bank", "key", "first_event", "first_ts", "batch_date", "seq")
+    changed = spark.read.schema(SESSION_CHANGE).parquet(f"{root}/changes")
+    # a key that was forgotten may open another batch, so its first upload is part of what names it
+    sums = changed.groupBy("bank", "key", "first_event").agg(F.sum("uploads").alias("uploads"), F.min("ended_at").alias("ended_at"))
+    done = opened.join(sums, ["bank", "key", "first_event"])
     return done.select("bank", "batch_date", "seq", batch_name(F.col("batch_date"), F.col("bank"), F.col("seq")).alias("batch_name"), "uploads", F.col("first_ts").alias("started_at"), "ended_at", (F.unix_millis("ended_at") - F.unix_millis("first_ts")).alias("processing_ms"))
 
 

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from inkledger.operators import kpi
 from inkledger.streaming import jobs
 
 EVENTS = "bank string, key string, ts timestamp, event_id long, final boolean"
@@ -32,6 +33,58 @@ def test_first_upload_fixes_the_batch(spark, folder, tmp_path):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got.values()), key=repr)
 
 
+def test_the_timer_ends_and_forgets_idle_keys(spark, folder, tmp_path):
+    """A key is kept for so long after its last event; then its batch ends there, and a later upload opens another."""
+    run = lambda *rows: {(r.seq, r.batch_date.day, r.bank): (r.uploads, r.ended_at) for r in jobs.assign_batches(folder(*rows), f"{tmp_path}/out", "1 day", 3).collect()}
+    run(("A", "k1", at(0), 1, False), ("A", "k1", at(9), 2, False), ("A", "k2", at(1), 3, False), ("A", "k2", at(2), 4, True))
+    assert run(("B", "k", at(0, 6), 5, False))[1, 5, "A"] == (2, None)
+    assert run(("B", "k", at(1, 6), 6, False), ("C", "k", at(0, 20), 9, False))[1, 5, "A"] == (2, at(9))  # the watermark has moved to day 19
+    got = run(("A", "k1", at(0, 21), 7, False), ("A", "k1", at(0, 5), 8, False))  # the last is too late
+    assert got == {(1, 5, "A"): (2, at(9)), (2, 5, "A"): (1, at(2)), (1, 6, "B"): (2, at(1, 6)), (1, 20, "C"): (1, None), (1, 21, "A"): (1, None)}
+
+
+def test_a_request_before_the_first_upload_counts_if_it_is_not_earlier(spark, folder, tmp_path):
+    jobs.assign_batches(folder(("A", "k", at(5), 1, True), ("A", "k", at(1), 2, True)), f"{tmp_path}/out")
+    got = jobs.assign_batches(folder(("A", "k", at(3), 3, False), ("A", "event:4", at(4), 4, False)), f"{tmp_path}/out").collect()
+    assert sorted((r.seq, r.ended_at) for r in got) == [(1, at(5)), (2, None)]
+
+
+def test_rates_by_differences(spark, folder, tmp_path):
+    """Every micro-batch gives the rates that all corrections so far give, and rewrites the buckets it touches only; corrections
+    that repeat, of unknown cheques, of other fields or without a field add nothing."""
+    fields = ["date", "cheque_number", "amount_numeric", "name"]
+    cheques = spark.createDataFrame([(i, "AB"[i // 4], datetime(2025, 1, 1).date()) for i in range(8)], "cheque_id long, bank_code string, batch_date date")
+    rows = [(i, f, i == 1 and f == "date") for i in range(8) for f in fields if i != 3] + [(2, "date", False)]
+    table = spark.createDataFrame(rows, "cheque_id long, name string, corrected boolean")
+    seen = []
+    steps = [[(0, "date"), (0, "date"), (99, "date"), (None, "date")], [(1, "date"), (0, "name"), (2, "date"), (3, "date"), (2, None)], [(0, "date"), (0, "amount_numeric"), (7, "name")], []]
+    for n, step in enumerate(steps):
+        seen += step
+        source = folder(*step, schema="cheque_id long, field string")
+        got = jobs.refresh_kpis(source, cheques, table, f"{tmp_path}/out", width=2)
+        done = {(i, f) for i, f in seen}
+        marked = spark.createDataFrame([(i, f, c or (i, f) in done) for i, f, c in rows], table.schema)
+        banks = {"A", "B"} if n >= 2 else {"A"}
+        want = [r for r in kpi.kpi_batch(cheques, marked).collect() if r.bank_code in banks]
+        assert sorted(map(tuple, got.select(kpi.kpi_batch(cheques, marked).columns).collect())) == sorted(map(tuple, want))
+    kept = lambda batch: sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out/state" / f"batch={batch}").glob("bucket=*"))
+    assert [kept(b) for b in (-1, 0, 1, 2)] == [[0, 1, 2, 3], [0], [0, 1], [0, 3]]
+
+
+def test_a_replayed_batch_of_rates_changes_nothing(spark, folder, tmp_path):
+    """As after a failure between a micro-batch and its commit: the log of commits is cut by one, and the job runs again."""
+    cheques = spark.createDataFrame([(1, "A", datetime(2025, 1, 1).date())], "cheque_id long, bank_code string, batch_date date")
+    table = spark.createDataFrame([(1, "date", False), (1, "amount_numeric", False)], "cheque_id long, name string, corrected boolean")
+    for f in ("date", "amount_numeric"):
+        first = jobs.refresh_kpis(folder((1, f), schema="cheque_id long, field string"), cheques, table, f"{tmp_path}/out").collect()
+    for log in (tmp_path / "out/checkpoint/commits").glob("*1*"):
+        log.unlink()
+    for log in (tmp_path / "out/checkpoint/commits").glob(".1*"):
+        log.unlink()
+    again = jobs.refresh_kpis(folder(schema="cheque_id long, field string"), cheques, table, f"{tmp_path}/out").collect()
+    assert again == first and first[0].incorrect_fields == 2
+
+
 def test_sessions_close_once_and_stay_open_at_the_end(spark, folder, tmp_path):
     schema = "bank string, key string, ts timestamp"
     folder(("A", "k", at(0)), ("A", "k", at(20)), ("A", "k", at(80)), schema=schema)
