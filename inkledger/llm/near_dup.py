@@ -437,15 +437,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
 
 
 def candidate_texts(docs: DataFrame, pairs: DataFrame, reps: DataFrame, p: Join) -> DataFrame:
-    """id, text of the classes in pairs; of rows that repeat an id, one with the class's own set."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "p1"), "id")
+    """id, text of the classes in pairs: a class's text is that of its least document, and of rows that repeat that document's id one
+    with the class's own set."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "p1", "first"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [print_of(s)[0] for s in distinct_sets(b.column(2), p.width)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["id", "text"]).filter(pa.array(np.array(own, dtype=np.int64) == b.column(1).to_numpy()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id").select("id", "p1", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(ids, "first").select("id", "p1", "text")
     return rows.mapInArrow(run, "id long, text string").dropDuplicates(["id"])
 
 
@@ -453,8 +454,9 @@ def judged(docs: DataFrame, params: Join) -> DataFrame:
     """One row per document: doc_id, t (a hash of its text), n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.write(signatures(docs, params), "signed")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("p1", "p2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("sig", "nodes"), "doc_id").alias("s"))
-    reps = scratch.write(classes.select("p1", "p2", "id", "s.sig", "s.nodes"), "reps")
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("p1", "p2").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("sig", "nodes"), "doc_id").alias("s"))
+    # a class has a number of its own, as one document id may stand before texts of several classes
+    reps = scratch.write(classes.select("p1", "p2", "first", F.monotonically_increasing_id().alias("id"), "s.sig", "s.nodes"), "reps")
 
     trees = grow_trees(reps, params, scratch)
     first, flat, rounds = None, None, []
@@ -468,7 +470,11 @@ def judged(docs: DataFrame, params: Join) -> DataFrame:
     more = rounds[1]
     roots = components(more.union(first.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, "second")
 
-    home = reps.select("p1", "p2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("p1", "p2", F.coalesce("root", "id").alias("found"))
+    # components go by their least document
+    members = roots.union(roots.select("root", "root").distinct()).join(reps.select(F.col("id").alias("node"), "first"), "node")
+    named = members.groupBy("root").agg(F.min("first").alias("found"))
+    linked = roots.union(roots.select("root", "root").distinct()).join(named, "root").select(F.col("node").alias("id"), "found")
+    home = reps.select("p1", "p2", "id", "first").join(linked, "id", "left").select("p1", "p2", F.coalesce("found", "first").alias("found"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", "t", "n_shingles", "p1", "p2").join(home, ["p1", "p2"], "left").withColumn("component_id", own)
     return out.select("doc_id", "t", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

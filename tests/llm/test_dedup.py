@@ -115,6 +115,31 @@ def test_near_matches_brute_force(spark, params):
     assert wrong <= len(rows) * 0.02
 
 
+def test_near_links_of_documents_that_share_an_id(spark):
+    """Each of an id's texts keeps its own links: classes do not get mixed up by the id they have in common."""
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    edited = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(5, a), (5, b), (7, edited(b)), (8, edited(a)), (9, c)]
+    for given in (rows, rows[::-1], [(6 if i == 7 else 3 if i == 5 else i, t) for i, t in rows]):
+        got = {(r.doc_id, r.component_id, r.kept) for r in near_dup.near_groups(frame(spark, given)).collect()}
+        first, second = (3, 6) if given[0][0] == 3 else (5, 7)
+        assert got == {(first, first, True), (second, first, False), (8, first, False), (9, 9, True)}
+        kept = near_dup.drop_near_copies(frame(spark, given)).select("doc_id", "text").collect()
+        assert sorted(map(tuple, kept)) == sorted([(first, a), (first, b), (9, c)])
+
+
+@pytest.mark.parametrize("ids", [5, 40])
+def test_near_brute_force_with_repeated_ids(spark, ids):
+    """Many texts for few ids: the links of every text, and of a component the least id of any of its texts."""
+    rng = random.Random(ids)
+    rows = [(rng.randrange(ids), t) for _, t in families(rng, 30, 6)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_groups(frame(spark, rows)).collect())
+    want = sorted(near_brute(rows))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert sum(a != b for a, b in zip(got, want, strict=True)) <= len(rows) * 0.02
+
+
 def test_near_crowd_is_one_component(spark):
     rng = random.Random(3)
     base = prose(rng, 100).split()
