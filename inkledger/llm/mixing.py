@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame functions only.
 
-Each document gets the key -ln(u) / w: u is uniform in (0, 1) and fixed by the document's id, w is its quality weight.
+Each document gets the key -ln(u) / w: u is uniform in (0, 1) and fixed by the document's id and text, w is its quality weight.
 In ascending key order every prefix is a weighted sample without replacement. A source's word budget takes
 whole epochs first; what is left is a prefix of the key order, the last document being taken in part.
 
@@ -8,8 +8,9 @@ Prefix sums are two-level, so a source with a third of all rows is no single tas
 (a monotone function of the key), bucket totals give offsets, and only rows of one (source, bucket) are sorted together.
 
 Defined results: a null text has size 0, and a document or source of size 0 is never taken from; a null source is
-a source of its own, last in order; a row without id gets its key from its text, so such rows spread as others do; rows that repeat an id are documents of their own;
-other columns are ignored; an empty table gives an empty result. Reruns agree, as keys depend on ids and weights only.
+a source of its own, last in order; rows that repeat an id, or have none, are documents of their own with keys of their own, so one
+id is no single task; other columns are ignored; an empty table gives an empty result. Reruns agree, whatever the order of rows: keys
+depend on ids, texts and weights only, and rows that tie are equal in id and text.
 ``take_mix`` finds the rows by id, source and text where the takes are ``keyed``, and by id and size where they are not;
 rows that are equal in these are dealt their takes one by one.
 """
@@ -35,8 +36,8 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def uniform(doc_id: Column, text: Column) -> Column:
-    """52 bits of the id's md5, or of the text's where there is no id, as a number strictly between 0 and 1."""
-    known = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.coalesce(text, F.lit(""))))
+    """52 bits of the md5 of id and text, as a number strictly between 0 and 1."""
+    known = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("|"), F.coalesce(text, F.lit("")))
     return (F.conv(F.substring(F.md5(known.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -86,7 +87,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, share: float = 1.5, limit:
     offsets = sums.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(plan, "src").drop("words")
     offsets = scratch.write(offsets, "offsets")
 
-    within = Window.partitionBy("src", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = keyed.join(offsets, ["src", "bucket"]).withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5) as bigint) div source_size")).otherwise(F.lit(0))
@@ -119,7 +120,7 @@ WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS
 sized AS (
   SELECT d.doc_id, d.source,
     len(list_filter(string_split(translate(coalesce(text, ''), chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> ''))::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), concat('null', coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(concat(coalesce(CAST(d.doc_id AS VARCHAR), 'null'), '|', coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
       / CASE WHEN quality = 1 THEN {GOOD}::DOUBLE WHEN quality = 0 THEN {BAD}::DOUBLE ELSE {PLAIN}::DOUBLE END AS key
   FROM documents d LEFT JOIN best USING (doc_id)),
 totals AS (
@@ -139,7 +140,7 @@ plan AS (
   FROM run, stop),
 ranked AS (
   SELECT doc_id, size, s.source, source_size, target,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead,
     CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
