@@ -53,13 +53,17 @@ class Model:
     allowed: np.ndarray  # scripts x languages
 
 
+#: Code points from here on are no letters in any version of Unicode so far; all count as the last one before.
+LETTER_POINTS = 0x34000
+
+
 class Letters:
     """Lookup tables over code points; built once for each process."""
 
     made = None
 
     def __init__(self) -> None:
-        points = range(0x30000)
+        points = range(LETTER_POINTS)
         text = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in points]
         self.lower = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in text], dtype=np.uint32)
         self.letter = np.array([c.isalpha() for c in text])
