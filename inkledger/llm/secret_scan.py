@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -62,6 +63,19 @@ def looks_live(kind: int, value: str) -> bool:
     return dense(value)
 
 
+def disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def scan(text: str) -> tuple[list[tuple], list[tuple]]:
     """(base spans, candidate spans), each (kind, start, end, value)."""
     base, low = [], text.lower()
@@ -72,11 +86,14 @@ def scan(text: str) -> tuple[list[tuple], list[tuple]]:
         if "AKIA" in text:
             base += [(1, m.start(), m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
         base += [(2, m.start(), m.end(), m[0]) for m in LONG_HEX.finditer(text)]
-    taken = sorted((s, e) for _, s, e, _ in base)
+    taken = [(s, e) for _, s, e, _ in base]
     if "://" in text or "-----BEGIN" in text or max(map(len, text.split()), default=0) >= 20:
         for kind, (_, pattern, group) in enumerate(ADDED, 3):
+            # a kind's own matches never overlap, so each is looked up among the spans of the kinds before it
+            starts, ends = disjoint(taken)
             for m in pattern.finditer(text):
-                if not any(s < m.end() and m.start() < e for s, e in taken):
+                at = bisect_right(ends, m.start())
+                if at == len(starts) or starts[at] >= m.end():
                     more.append((kind, m.start(), m.end(), m[group]))
                     taken.append((m.start(), m.end()))
     return sorted(base, key=lambda x: (x[1], x[0])), sorted(more, key=lambda x: (x[1], x[0]))

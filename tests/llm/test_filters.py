@@ -92,6 +92,28 @@ def test_base_spans(spark, sf):
         assert set(filter(None, joined.split(","))) <= set(filter(None, r.spans.split(",")))
 
 
+def test_texts_of_many_spans():
+    """The added kinds against all spans before them: the same as by comparing each with each, and fast on a key dump."""
+    import time
+
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 36))
+    lines = [f"token = {word()} https://user:{word()[:9]}@host/{word()} {word()}" if i % 3 == 0 else word() for i in range(300)]
+    text = "\n".join(lines)
+    base, more = secret_scan.scan(text)
+    taken = [(s, e) for _, s, e, _ in base]
+    slow = []
+    for kind, (_, pattern, group) in enumerate(secret_scan.ADDED, 3):
+        for m in pattern.finditer(text):
+            if not any(s < m.end() and m.start() < e for s, e in taken):
+                slow.append((kind, m.start(), m.end(), m[group]))
+                taken.append((m.start(), m.end()))
+    assert more == sorted(slow, key=lambda x: (x[1], x[0])) and len(more) > 200
+    began = time.perf_counter()
+    assert len(secret_scan.scan(" ".join(lines[1::3][:90] * 1200))[1]) > 100_000
+    assert time.perf_counter() - began < 20
+
+
 def test_ownership_separates_examples(spark):
     live, copied = "gh" + "p_" + "q9Wz7LmK3xVb5TtYc1RnHd8JsPg2FkUe4Aoi", "gh" + "p_" + "z8Xy6KnJ2wUa4SsXb0QmGc7HrOf1EjTd3Bpq"
     rows = [(1, f"key {live} end", "en", "a", 0), (2, "ſecret=abcdefgh token = short TOKEN: 'abcdef.gh' password=ab", "en", "a", 0)]
@@ -136,6 +158,15 @@ def test_language_spans_and_edges(spark, sf):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_letters_of_the_last_planes_are_letters(spark):
+    """A text of letters beyond U+30000 has a language; one of signs beyond has none."""
+    rows = [(i, "der wind und die welle " * 5 if i % 2 else "the wind and the wave " * 5, "de" if i % 2 else "en", "s", 0) for i in range(40)] + [(100, chr(0x30000) * 20, None, "s", 0), (101, chr(0x3134A) + " " + chr(0x31350), None, "s", 0), (102, chr(0xE0001) * 9 + chr(0x10FFFF), None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert got[100][0] in ("de", "en") and got[101][0] in ("de", "en") and 0 <= got[100][1] <= 1 and got[102] == ("und", 0.0)
+    assert not any(chr(c).isalpha() for c in range(language_id.LETTER_POINTS - 1, 0x110000))
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(1)
     vocabulary = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(80)]
