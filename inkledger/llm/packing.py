@@ -6,7 +6,9 @@ window, so after w windows a queue has been served floor(share * v) tokens, v gr
 until a queue runs dry. That closed form lets every task place its
 own documents: a document's place in its queue follows from the tokens before it in its partition plus a small table of
 tokens per (partition, source), which is how deficits pass from one partition to the next. When a queue runs dry, the
-others share its quantum from the following window on. Every source has a queue of its own, however many there are. Documents are cut where a quantum or a sequence ends, so only the
+others share its quantum from the following window on. Every source has a queue of its own, however many there are: windows grow
+with the queues, and a queue whose share of a window is less than a least piece (512 tokens) saves its deficit until it can pay for
+one, so many sources do not grind documents to single tokens. Documents are cut where a quantum or a sequence ends, so only the
 last sequence has padding.
 
 The text is tokenised once; token ids are written as a table, and pieces come from a narrow pass over it.
@@ -32,6 +34,8 @@ from inkledger.llm.common import Scratch, release
 
 #: Up to so many queues are summed one by one; with more, the starts of all queues in a window are kept, in so many numbers.
 FEW_QUEUES, KEPT_STARTS = 64, 1 << 23
+#: Tokens of a window for each queue, at least, and the least that a queue is paid if its share of a window is smaller.
+SHARE, LEAST = 64, 512
 #: ASCII punctuation.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
@@ -108,10 +112,12 @@ class Rounds:
     """How many tokens of each queue the first w windows hold, and the reverse. Queues without a weight are served alike
     once all others are dry. Phases are pairs of numbers, so memory is in proportion to the queues."""
 
-    def __init__(self, totals: list[int], weights: list[float], window: int):
+    def __init__(self, totals: list[int], weights: list[float], window: int, least: int = 1):
         self.totals, share = np.array(totals, dtype=np.int64), np.array(weights, dtype=float)
         self.late = ~(share > 0)
         self.share = np.where(self.late, 1.0, share)
+        per_window = self.share * window / max(self.share[(self.totals > 0) & ~self.late].sum() or self.share.sum(), 1e-300)
+        self.unit = np.where(per_window < least, least, 1)  # what a queue is paid in: single tokens, or a least piece at a time
         first, self.starts = 0, {}
         self.phases: list[np.ndarray] = []  # for queues with and without a weight: first window, v there, step of v
         for late in (False, True):
@@ -128,7 +134,8 @@ class Rounds:
         self.windows = first
 
     def reached(self, queue: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.minimum(np.floor(self.share[queue] * v * (1 + 1e-13) + 1e-9).astype(np.int64), self.totals[queue])
+        paid, total, unit = np.floor(self.share[queue] * v * (1 + 1e-13) + 1e-9).astype(np.int64), self.totals[queue], self.unit[queue]
+        return np.where(paid >= total, total, paid // unit * unit)
 
     def served(self, queue: np.ndarray, windows: np.ndarray) -> np.ndarray:
         v = np.zeros(len(windows))
@@ -184,9 +191,10 @@ def cut(rounds: Rounds, queue: int, start: np.ndarray, end: np.ndarray, length:
     return doc[piece], x + shift, y + shift, x
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16, end_id: int = 1, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16, end_id: int = 1, weights: dict[str | None, float] | None = None, least: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``weights`` are target
-    proportions of tokens by source; without them every window gets the corpus's own proportions."""
+    proportions of tokens by source; without them windows get the corpus's own proportions. ``least`` is what a queue is paid at a
+    time if its share of a window is smaller: 512 tokens; given weights hold in every window to the token, unless it is given too."""
     scratch = Scratch(docs.sparkSession, "pack")
     queue = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text")
@@ -215,7 +223,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, window: int = 16,
     lanes = sorted((r[0], r[1]) for r in offsets.groupBy("queue").agg(F.sum("n")).collect())
     totals = [n for _, n in lanes]
     named = {("null" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
-    rounds = Rounds(totals, [float(named.get(k, 0.0)) for k, _ in lanes] if weights else [float(n) for n in totals], window * length)
+    # a window grows with the queues, so that working out where its parts start costs less than its tokens
+    least = min(length, least or (1 if weights else LEAST))
+    tokens = max(window * length, SHARE * len(lanes) if least > 1 else 0)
+    rounds = Rounds(totals, [float(named.get(k, 0.0)) for k, _ in lanes] if weights else [float(n) for n in totals], tokens, least)
     number = {k: i for i, (k, _) in enumerate(lanes)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,53 @@ def test_many_sources_keep_their_weights(spark):
     assert all(abs(sum(p.length for p in pieces if p.doc_id == i and p.sequence_id < 80) - (60 if i % 2 else 20)) <= 2 for i in range(1100))
 
 
+@pytest.mark.parametrize("queues", [50, 700, 10_000])
+def test_many_sources_are_not_ground_to_tokens(queues):
+    """However many sources there are, and however uneven, pieces stay long, every token has one place, and a source is never
+    further from its share than the least piece it waits for."""
+    rng = np.random.default_rng(queues)
+    totals = np.maximum(1, (rng.pareto(1.2, queues) * 8000).astype(int))
+    rounds = packing.Rounds(totals.tolist(), totals.astype(float).tolist(), max(16 * 2048, packing.SHARE * queues), packing.LEAST)
+    some = np.arange(queues) if queues <= 700 else rng.permutation(queues)[:200]
+    parts = [packing.cut(rounds, int(q), np.array([0]), np.array([totals[q]]), 2048) for q in some]
+    spans = np.concatenate([np.stack([at, end - first]) for _, first, end, at in parts], axis=1)
+    assert spans[1].sum() == totals[some].sum() and spans[1].min() > 0
+    assert totals[some].sum() / spans.shape[1] > 256
+    spans = spans[:, np.argsort(spans[0])]
+    assert (spans[0, 1:] >= spans[0, :-1] + spans[1, :-1]).all()
+    if queues <= 700:
+        assert spans[0, 0] == 0 and (spans[0, 1:] == spans[0, :-1] + spans[1, :-1]).all()
+    share, every = totals / totals.sum(), np.arange(queues)
+    for w in range(1, rounds.windows, max(1, rounds.windows // 20)):
+        served = rounds.served(every, np.full(queues, w))
+        due = np.minimum(share * w * max(16 * 2048, packing.SHARE * queues), totals)
+        assert (np.abs(served - due) <= packing.LEAST + 1).all()
+
+
+def test_many_sources_of_the_table(spark):
+    """The same through the operator: 400 sources of one long and many short documents."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["and", "river", "stone", "light"]) for _ in range(rng.choice([5, 300, 4000]))), "en", f"s{i % 400}", 0) for i in range(800)]
+    pieces = packing.pack(spark.createDataFrame(rows, DOCS), tokenizer_path()).collect()
+    layout(pieces, 2048)
+    assert sum(p.length for p in pieces) / len(pieces) > 256
+
+
+def test_mix_of_one_id_does_not_depend_on_the_order_of_rows(spark):
+    """600 documents that share an id, some of them equal, in three orders."""
+    rng = random.Random(8)
+    rows = [(5, " ".join("w" for _ in range(rng.randint(0, 40))) + f" {i % 550}", "en", rng.choice(["a", "b", "c"]), 0) for i in range(600)]
+    seen = set()
+    for turn in range(3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, DOCS).repartition(turn + 1)
+        mixed = mixing.mix_sources(docs, mixing.quality_weights(docs, labels_of(spark)), bucket_rows=50, keyed=True)
+        seen.add(tuple(sorted(map(tuple, mixed.collect()))))
+    assert len(seen) == 1
+    taken = [r[4] / r[1] for r in seen.pop()]
+    assert len(set(taken)) > 1  # the fractional rest is a prefix of an order that the texts give
+
+
 # ---------------------------------------------------------------- pipeline
 
 
