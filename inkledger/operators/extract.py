@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +57,16 @@ def preference(field: Column, text: Column, live: bool) -> Column:
 
 
 def best_text(lines: DataFrame, fields: list[str], live: bool) -> DataFrame:
-    """doc_id, name and the chosen line of every document and field."""
-    rows = lines.withColumn("name", F.explode(F.array(*map(F.lit, fields))))
-    rows = rows.withColumn("rank", preference(F.col("name"), F.col("text"), live))
-    return best(rows, ["doc_id", "name"], F.struct((-F.col("rank")).alias("r"), F.col("confidence").alias("c")), [*LINE, "lang", "rank"])
+    """doc_id, name and the chosen line of every document and field. A page's lines are ranked for all fields at once, without a
+    row for each line and field and without sorting."""
+    ranks = {f"rank_{i}": preference(F.lit(f), F.col("text"), live) for i, f in enumerate(fields)}
+
+    def pick(i: int, f: str) -> Column:
+        chosen = page.greatest(lambda x: F.lit(True), lambda x: F.struct((-x[f"rank_{i}"]).alias("r"), x["confidence"].alias("c"), (-x["line_idx"]).alias("i"), *(x[k].alias(k) for k in (*LINE, "lang"))))
+        return once(chosen, lambda w: F.struct(F.lit(f).alias("name"), *(w[k].alias(k) for k in (*LINE, "lang")), (-w["r"]).alias("rank")))
+
+    rows = page.pages(lines, ranks)
+    return page.exploded(rows, F.array(*(pick(i, f) for i, f in enumerate(fields))), "doc_id").select("doc_id", "f.*")
 
 
 def accepted(chosen: DataFrame) -> DataFrame:
@@ -317,22 +322,51 @@ def field_records(chosen: DataFrame, names: bool = False, keep: list[str] = [])
     return parsed.select("doc_id", *keep, "name", F.col("text").alias("ocr_text"), F.col("p.norm").alias("parse_norm"), F.col("p.ok").alias("parse_ok"), conf.alias("field_conf"), (conf >= THRESHOLD).alias("meets_threshold"))
 
 
+ROW_NEAR = 0.05 * HEIGHT
+
+
+def banded(lines: Column) -> Column:
+    """Lines (in order of py) with their bands: a line joins the first band whose mean so far is near, else it opens one. Gives bands
+    (sum of py, lines) and rows (band, line)."""
+    none = F.struct(F.array().cast("array<struct<sum:double,n:int>>").alias("bands"), F.array().cast("array<struct<band:int,line:struct<py:double,line_idx:bigint,px:double,width:double,text:string>>>").alias("rows"))
+
+    def add(acc: Column, x: Column) -> Column:
+        near = F.array_position(F.transform(acc["bands"], lambda b: F.abs(x["py"] - b["sum"] / b["n"]) <= ROW_NEAR), True).cast("int")
+        return once(F.when(near > 0, near).otherwise(F.size(acc["bands"]) + 1), lambda band: joined(acc, x, band))
+
+    def joined(acc: Column, x: Column, band: Column) -> Column:
+        own = F.struct(x["py"].alias("sum"), F.lit(1).alias("n"))
+        grown = F.transform(acc["bands"], lambda b, i: F.when(i + 1 == band, F.struct((b["sum"] + x["py"]).alias("sum"), (b["n"] + 1).alias("n"))).otherwise(b))
+        bands = F.when(band > F.size(acc["bands"]), F.array_append(acc["bands"], own)).otherwise(grown)
+        return F.struct(bands.alias("bands"), F.array_append(acc["rows"], F.struct(band.alias("band"), x.alias("line"))).alias("rows"))
+
+    return F.aggregate(lines, none, add)
+
+
+def middle(values: Column, none: float) -> Column:
+    """The upper median."""
+    return F.coalesce(F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")), F.lit(none))
+
+
+def spaced(row: Column) -> Column:
+    """The texts of fragments in reading order, with a space where the gap to the one before is wide for this page."""
+    rest = F.slice(row, 2, F.greatest(F.size(row) - 1, F.lit(0)))
+    gaps = F.zip_with(F.slice(row, 1, F.greatest(F.size(row) - 1, F.lit(0))), rest, lambda a, b: (a["px"] - a["width"] / 2) - (b["px"] + b["width"] / 2))
+    widths = F.filter(F.transform(row, lambda x: x["width"]), lambda w: w > 0)
+    limit = F.greatest(0.5 * middle(widths, 1.0), 1.5 * middle(gaps, 0.0))
+    text = lambda m: F.concat(F.get(row, F.lit(0))["text"], F.array_join(F.zip_with(m["gaps"], rest, lambda g, x: F.concat(F.when(g > m["limit"], " ").otherwise(""), x["text"])), ""))
+    return F.when(F.size(row) > 0, once(F.struct(gaps.alias("gaps"), limit.alias("limit")), text)).otherwise("")
+
+
 def assemble_rtl(lines: DataFrame) -> DataFrame:
-    """doc_id, text: fragments put together right to left within rows, rows top to bottom. Rows are banded greedily against
-    the mean of the band so far, which depends on the order of all before; so each document, a page of lines at most, is
-    put together in Python. lines: doc_id, line_idx, text, px, py, width."""
-
-    def together(page: pd.DataFrame) -> pd.DataFrame:
-        bands: list[list[tuple]] = []
-        for line in sorted(page.itertuples(index=False), key=lambda r: (r.py, r.line_idx)):
-            home = next((b for b in bands if abs(line.py - sum(x.py for x in b) / len(b)) <= 0.05 * HEIGHT), None)
-            bands.append([line]) if home is None else home.append(line)
-        bands.sort(key=lambda b: sum(x.py for x in b) / len(b))
-        row = [x for b in bands for x in sorted(b, key=lambda x: (-x.px, x.line_idx)) if (x.text or "").strip()]
-        left, right = [x.px - x.width / 2 for x in row], [x.px + x.width / 2 for x in row]
-        widths, gaps = sorted(x.width for x in row if x.width > 0), [left[i - 1] - right[i] for i in range(1, len(row))]
-        limit = max(0.5 * (widths[len(widths) // 2] if widths else 1.0), 1.5 * (sorted(gaps)[len(gaps) // 2] if gaps else 0.0))
-        text = "".join((" " if i and gaps[i - 1] > limit else "") + x.text.strip() for i, x in enumerate(row))
-        return pd.DataFrame({"doc_id": [page["doc_id"].iloc[0]], "text": [text]})
-
-    return lines.groupBy("doc_id").applyInPandas(together, "doc_id long, text string")
+    """doc_id, text: fragments put together right to left within rows, rows top to bottom. Rows are banded greedily against the mean of
+    the band so far, which depends on all lines before: a fold over the page's sorted lines, all in built-in functions. lines:
+    doc_id, line_idx, text, px, py, width. Blank and null texts take a place in their band and are not written; a page of these
+    only is ''. Ties go by line_idx."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    line = F.struct(F.col("py").cast("double").alias("py"), F.col("line_idx").cast("long").alias("line_idx"), F.col("px").cast("double").alias("px"), F.col("width").cast("double").alias("width"), bare.alias("text"))
+    folded = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines")).select("doc_id", banded(F.col("lines")).alias("f"))
+    mean = lambda band: once(F.get("f.bands", band - 1), lambda b: b["sum"] / b["n"])
+    place = lambda r: F.struct(mean(r["band"]).alias("mean"), r["band"].alias("band"), (-r["line"]["px"]).alias("right"), r["line"]["line_idx"].alias("i"), r["line"]["px"].alias("px"), r["line"]["width"].alias("width"), r["line"]["text"].alias("text"))
+    rows = folded.select("doc_id", F.filter(F.array_sort(F.transform("f.rows", place)), lambda x: x["text"] != "").alias("row"))
+    return rows.select("doc_id", spaced(F.col("row")).alias("text"))

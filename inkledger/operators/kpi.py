@@ -38,6 +38,11 @@ def with_rates(sums: DataFrame) -> DataFrame:
     return out.withColumn("flagged", F.coalesce(F.col("cheques_with_errors") / F.nullif("total_cheques", F.lit(0)) > FLAG_RATE, F.lit(False)))
 
 
+def flagged_only(batches: DataFrame, flagged: bool | None) -> DataFrame:
+    """Batches that are flagged, that are not, or (None) all."""
+    return batches if flagged is None else batches.filter(F.col("flagged") == flagged)
+
+
 def kpi_bank(cheques: DataFrame, fields: DataFrame, corrections: DataFrame, muted: str = "name") -> DataFrame:
     """Audit rates of a bank: all fields but the muted one; a cheque with a correction on such a field is in error; distinct
     corrected fields are incorrect. Rates are 0 on nothing and not rounded."""

@@ -78,6 +78,8 @@ FROM events""",
     "v_region": """
 SELECT * FROM (VALUES ('QNB','date',900,40,1600,300,'[0-9]{2}/[A-Z]'), ('FABMISR','amount_numeric',700,100,1500,420,'[0-9],[0-9]{3}'), ('CIB','cheque_number',300,10,1300,360,'[0-9]{12}'),
  ('AAIB','cheque_number',100,50,1200,500,'[0-9]{9}'), ('NBE','date',500,20,1650,400,'[A-Z][a-z]{2}')) AS t(bank_code, name, x1, y1, x2, y2, pattern)""",
+    # batches of a day hold few cheques, so some are in error as a whole
+    "v_daily": "SELECT cheque_id, bank_code, file_id, CAST(created_at AS DATE) AS batch_date, created_at, decision, stp FROM v_cheque",
     "v_batch": """
 SELECT bank_code, batch_date, min(created_at) AS created_at, max(created_at) AS started_at, count(*) AS n,
  CAST(row_number() OVER (PARTITION BY bank_code, batch_date ORDER BY min(created_at)) AS BIGINT) AS seq

@@ -119,7 +119,17 @@ def generated_range(s: SparkSession, d: str) -> DataFrame:
 
 
 REG.add("batches_range", lambda s, d: view(s, d, "v_batch").filter(F.col("batch_date").between("1994-01-01", "1995-06-30")).select("bank_code", "batch_date", "n"), "SELECT bank_code, batch_date, n FROM v_batch WHERE batch_date BETWEEN DATE '1994-01-01' AND DATE '1995-06-30'")
-REG.add("batches_flagged", lambda s, d: REG.queries["kpi_batch"](s, d).filter("flagged").select("bank_code", "batch_date", "total_cheques"), f"SELECT bank_code, batch_date, total_cheques FROM ({KPI_BATCH_SQL}) WHERE flagged")
+DAILY_SQL = f"SELECT bank_code, batch_date, total_cheques, flagged FROM ({KPI_BATCH_SQL.replace('v_cheque', 'v_daily')})"
+
+
+@REG.query("batches_flagged", f"WITH k AS ({DAILY_SQL}) SELECT 'all' AS wanted, * FROM k UNION ALL SELECT 'flagged', * FROM k WHERE flagged UNION ALL SELECT 'clear', * FROM k WHERE NOT flagged")
+def batches_flagged(s: SparkSession, d: str) -> DataFrame:
+    """Batches of a day by each state of the filter."""
+    daily = kpi.kpi_batch(view(s, d, "v_daily"), view(s, d, "v_field")).select("bank_code", "batch_date", "total_cheques", "flagged")
+    states = [kpi.flagged_only(daily, state).select(F.lit(name).alias("wanted"), "*") for name, state in (("all", None), ("flagged", True), ("clear", False))]
+    return states[0].union(states[1]).union(states[2])
+
+
 REG.add("lines_min_conf", lambda s, d: view(s, d, "v_token").filter(F.col("confidence") >= 0.93).select("doc_id", "line_idx", "text"), "SELECT doc_id, line_idx, text FROM v_token WHERE confidence >= 0.93")
 REG.add("review_items", lambda s, d: view(s, d, "v_cheque").select(F.col("bank_code").alias("bank"), F.regexp_replace("file_id", r"\.[^.]*$", "").alias("stem")).orderBy("bank", "stem"), r"SELECT bank_code AS bank, regexp_replace(file_id, '\.[^.]*$', '') AS stem FROM v_cheque")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from inkledger.operators import audit, bank_rules, extract, kpi, match, pipeline, reports, route
+from inkledger.plans import extraction
 from inkledger.sources import readers, writers
 
 
@@ -199,6 +200,37 @@ def test_rtl_rows(spark):
     assert extract.assemble_rtl(spark.createDataFrame(rows, "doc_id long, line_idx long, text string, px int, py int, width double")).first().text == "abc"
 
 
+def assembled(page_lines):
+    """One page line by line: what the fold must give."""
+    bands = []
+    for line in sorted(page_lines, key=lambda r: (r[3], r[0])):
+        home = next((b for b in bands if abs(line[3] - sum(x[3] for x in b) / len(b)) <= 0.05 * 677), None)
+        bands.append([line]) if home is None else home.append(line)
+    bands.sort(key=lambda b: sum(x[3] for x in b) / len(b))
+    row = [x for b in bands for x in sorted(b, key=lambda x: (-x[2], x[0])) if (x[1] or "").strip()]
+    left, right = [x[2] - x[4] / 2 for x in row], [x[2] + x[4] / 2 for x in row]
+    widths, gaps = sorted(x[4] for x in row if x[4] > 0), [left[i - 1] - right[i] for i in range(1, len(row))]
+    limit = max(0.5 * (widths[len(widths) // 2] if widths else 1.0), 1.5 * (sorted(gaps)[len(gaps) // 2] if gaps else 0.0))
+    return "".join((" " if i and gaps[i - 1] > limit else "") + x[1].strip() for i, x in enumerate(row))
+
+
+def test_rtl_fold_is_the_loop(spark, sf):
+    """Random pages with ties, blanks and nulls, and the query's own table."""
+    rng = random.Random(6)
+    pages = {d: [(i, rng.choice(["ab", " c ", "\u00a0d", "", " ", None, "شيك"]), rng.randrange(0, 600, 20), rng.randrange(0, 300, 7), float(rng.choice([0, 11, 30, 55]))) for i in range(rng.randint(1, 25))] for d in range(200)}
+    df = spark.createDataFrame([(d, *x) for d, rows in pages.items() for x in rows], "doc_id long, line_idx long, text string, px int, py int, width double").repartition(3)
+    assert {r.doc_id: r.text for r in extract.assemble_rtl(df).collect()} == {d: assembled(rows) for d, rows in pages.items()}
+    table = {}
+    for r in extraction.tok(spark, sf).collect():
+        table.setdefault(r.doc_id, []).append((r.line_idx, r.text, r.px, r.py, len(r.text) * 11.0))
+    assert {r.doc_id: r.text for r in entry.queries()["rtl_assembly"](spark, sf).collect()} == {d: assembled(rows) for d, rows in table.items()}
+
+
+def test_no_sorting_for_winners(spark, sf):
+    for key in ("best_text", "locate_fields", "rule_bm", "rule_cib"):
+        assert "SortAggregate" not in entry.queries()[key](spark, sf)._jdf.queryExecution().executedPlan().toString(), key
+
+
 def test_refine_two_samples(spark):
     boxes = spark.createDataFrame([("A", "date", 0, 0, 1677, 677)] * 2, "bank_code string, name string, x1 int, y1 int, x2 int, y2 int")
     assert reports.refine_template(boxes).first().roi_w == 1.0
