@@ -106,13 +106,19 @@ def scan_spans(s: SparkSession, d: str) -> DataFrame:
 FILES, SLICES = 4, 4
 
 
+def slices(rows: DataFrame) -> list[DataFrame]:
+    """The rows in order of their time, in equal spans."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    nth = F.least(F.lit(SLICES - 1), F.floor((at - F.lit(low)) * SLICES / F.lit(max(1, high - low + 1)))) if low is not None else F.lit(0)
+    return [rows.filter(F.coalesce(nth, F.lit(0)) == i) for i in range(SLICES)]
+
+
 def events(s: SparkSession, d: str) -> DataFrame:
     """The events as a stream of several micro-batches: they are laid down in the order of their time, a slice after the other."""
     rows, path = table(s, d, "events"), work.folder(s, "events")
-    low, high = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    nth = F.least(F.lit(SLICES - 1), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * SLICES / F.lit(max(1, high - low + 1))))
-    for i in range(SLICES):
-        rows.filter(F.coalesce(nth, F.lit(0)) == i).repartition(FILES).write.mode("append").parquet(path)
+    for part in slices(rows):
+        part.repartition(FILES).write.mode("append").parquet(path)
     return jobs.stream_of(s, path, rows.schema, FILES)
 
 
@@ -159,9 +165,20 @@ REG.add(
 SELECT q.bank, batch_date, seq, concat(strftime(batch_date, '%d_%m_%Y'), '_', q.bank, '_', CASE WHEN seq < 10 THEN concat('0', seq) ELSE seq::VARCHAR END) AS batch_name, uploads, first_ts AS started_at, ended_at, epoch_us(ended_at) // 1000 - epoch_us(first_ts) // 1000 AS processing_ms FROM q LEFT JOIN f ON q.bank = f.bank AND q.key = f.key""",
 )
 REG.add("stream_ingest", lambda s, d: jobs.ingest_once(events(s, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), work.folder(s, "stream-ingest"), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
+def stream_audit(s: SparkSession, d: str) -> DataFrame:
+    """An audit directory that grows by snapshots of its documents, followed as a stream: the last version of each."""
+    path = work.folder(s, "audit-stream")
+    for part in slices(table(s, d, "events")):
+        docs = part.groupBy(F.col("event_type").alias("bank"), F.col("user_id").cast("string").alias("file")).agg(F.max_by("props", "event_id").alias("correlation_id"))
+        writers.write_audit(docs.withColumn("schema_version", F.lit(1)).repartition(FILES, "bank"), path)
+    last = jobs.latest_documents(readers.stream_audit(s, path, files_per_batch=FILES), work.folder(s, "stream-audit"), every=2)
+    return last.select("bank", "file", F.col("payload.correlation_id").alias("payload"))
+
+
 REG.add(
-    "stream_audit", lambda s, d: jobs.latest_documents(events(s, d).select(F.col("event_type").alias("bank"), F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("version"), F.col("props").alias("payload")), work.folder(s, "stream-audit")),
-    "SELECT event_type AS bank, user_id::VARCHAR AS file, arg_max(props, event_id) AS payload, max(event_id) AS version FROM events GROUP BY 1, 2",
+    "stream_audit", stream_audit,
+    f"""WITH t AS (SELECT *, epoch_us(ts::TIMESTAMP) AS us FROM events), n AS (SELECT *, least({SLICES - 1}, floor((us - min(us) OVER ()) * {SLICES} / greatest(1, max(us) OVER () - min(us) OVER () + 1))) AS slice FROM t)
+SELECT bank, file, payload FROM (SELECT event_type AS bank, user_id::VARCHAR AS file, props AS payload, row_number() OVER (PARTITION BY event_type, user_id ORDER BY slice DESC, event_id DESC) AS nth FROM n) WHERE nth = 1""",
 )
 REG.add(
     "stream_corrections", lambda s, d: jobs.append_log(events(s, d).select("event_id", F.col("user_id").alias("cheque_id"), field_of().alias("field")), work.folder(s, "stream-log")),

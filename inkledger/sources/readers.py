@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
+from pyspark.sql.streaming import DataStreamReader
 
 from inkledger import schemas
 from inkledger.functions.text import clean_text, norm_digits
 
 
-def _json(spark: SparkSession, path: str, schema: str, multi_line: bool, strict: bool = False) -> DataFrame:
+def _json(reader: DataFrameReader | DataStreamReader, path: str, schema: str, multi_line: bool, strict: bool = False) -> DataFrame:
     """Documents of a folder, one a line, or with ``multi_line`` one a file, indented or not. Unreadable ones have ``_corrupt`` set,
     or with ``strict`` fail the query when they are read. Indented files read line by line would all be unreadable, so they
     always fail, with a hint."""
-    reader = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
+    reader = reader.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
     docs = reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
     bad = F.col("_corrupt").isNotNull() if strict else F.lit(False)
     hint = F.trim("_corrupt") == "{" if not multi_line else F.lit(False)
@@ -24,9 +26,21 @@ def _json(spark: SparkSession, path: str, schema: str, multi_line: bool, strict:
 def scan_audit(spark: SparkSession, path: str, multi_line: bool = False, strict: bool = False) -> DataFrame:
     """Audit documents below a folder with one directory per bank. ``bank_dir`` is the directory's bank, which may differ from
     the payload's. Unreadable documents are skipped, or fail with ``strict``."""
-    docs = _json(spark, path, schemas.AUDIT, multi_line, strict)
-    docs = docs.withColumn("bank_dir", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", ""))
-    return docs.filter("_corrupt is null").drop("_corrupt")
+    return _audits(_json(spark.read, path, schemas.AUDIT, multi_line, strict))
+
+
+def _audits(docs: DataFrame, *more: Column) -> DataFrame:
+    directory = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")
+    return docs.select("*", directory.alias("bank_dir"), *more).filter("_corrupt is null").drop("_corrupt")
+
+
+def stream_audit(spark: SparkSession, path: str, multi_line: bool = False, strict: bool = False, files_per_batch: int = 64) -> DataFrame:
+    """The same folder as a stream of bank, file, version and payload (the whole document): every file that comes is read once, its
+    modification time is the version of its documents. A document without a bank is of its directory's. As with every folder that
+    Spark follows, a file that comes more than a week (maxFileAge) after newer ones is not read."""
+    docs = _audits(_json(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path, schemas.AUDIT, multi_line, strict), F.col("_metadata.file_modification_time").alias("changed"))
+    own = [c for c in docs.columns if c not in ("changed", "bank_dir")]
+    return docs.select(F.coalesce("bank", "bank_dir").alias("bank"), "file", F.col("changed").alias("version"), F.struct(*own).alias("payload"))
 
 
 def results_to_lines(results: DataFrame, min_confidence: float = 0.3) -> DataFrame:
@@ -61,7 +75,7 @@ def line_position(line: Column, width: Column, height: Column) -> Column:
 def scan_ocr_lines(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(lines, errors): one row per line with a place, whatever the layout; documents that are unreadable or have no size are
     error rows. Lines without a place are dropped."""
-    docs = _json(spark, path, schemas.OCR_DOCUMENT, multi_line)
+    docs = _json(spark.read, path, schemas.OCR_DOCUMENT, multi_line)
     docs = docs.withColumns({"height": F.coalesce("image_metadata.height", "image_height"), "width": F.coalesce("image_metadata.width", "image_width")})
     error = F.when(F.col("_corrupt").isNotNull(), "unreadable").when(F.col("height").isNull() | F.col("width").isNull(), "size missing")
     lines = docs.filter(error.isNull()).select("bank", "file", "height", "width", F.posexplode(F.coalesce("lines", "raw_ocr_results")).alias("line_idx", "l"))
@@ -84,7 +98,7 @@ def scan_corrections(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_templates(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(field rules, anchor rules) of the templates below a folder; positions keep their order. Unreadable ones are skipped."""
-    docs = _json(spark, path, schemas.TEMPLATE, multi_line).filter("_corrupt is null")
+    docs = _json(spark.read, path, schemas.TEMPLATE, multi_line).filter("_corrupt is null")
     fields = docs.select("bank_id", "template_id", F.posexplode("fields").alias("pos", "f")).select("bank_id", "template_id", "pos", "f.*")
     anchors = docs.select("bank_id", "template_id", F.posexplode("anchors").alias("pos", "a")).select("bank_id", "template_id", "pos", "a.*")
     return fields, anchors
@@ -92,11 +106,11 @@ def scan_templates(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 def scan_located(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """bank, file, name and box of located fields; unreadable results are skipped."""
-    docs = _json(spark, path, schemas.LOCATED, multi_line).filter("_corrupt is null")
+    docs = _json(spark.read, path, schemas.LOCATED, multi_line).filter("_corrupt is null")
     return docs.select("bank", "file", F.explode("results").alias("name", "r")).select("bank", "file", "name", "r.*")
 
 
 def scan_spans(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """file, meta and the spans of profiles in order; unreadable profiles are skipped."""
-    docs = _json(spark, path, schemas.PROFILE, multi_line).filter("_corrupt is null")
+    docs = _json(spark.read, path, schemas.PROFILE, multi_line).filter("_corrupt is null")
     return docs.select(F.col("_metadata.file_name").alias("file"), "meta", F.posexplode("spans").alias("idx", "s")).select("file", "meta", "idx", "s.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
+def numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers in the names (kind=number) of a folder's folders."""
+    if not exists(spark, path):
+        return []
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(there)
+    names = [x.getPath().getName() for x in found]
+    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 #: Cheque ids of one bucket of the rates' state. Ids grow with time, so corrections of recent cheques touch few buckets.
 BUCKET_IDS = 1 << 20
 RATES = ["total_cheques", "cheques_with_errors", "total_fields", "incorrect_fields"]
@@ -203,15 +219,34 @@ def ingest_once(cheques: DataFrame, root: str, keys: list[str], late: str) -> Da
     return cheques.sparkSession.read.schema(cheques.schema).parquet(f"{root}/rows")
 
 
-def latest_documents(snapshots: DataFrame, root: str) -> DataFrame:
-    """The last version of every audit document in a stream of snapshots. snapshots: bank, file, version, payload."""
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("bank", "file").agg(F.max_by("payload", "version").alias("payload"), F.max("version").alias("version"))
+
+
+def latest_documents(snapshots: DataFrame, root: str, every: int = 16) -> DataFrame:
+    """The last version of every audit document in a stream of snapshots. snapshots: bank, file, version, payload.
+
+    A micro-batch adds a folder with its own last versions; every so many of them are folded into one table, and what was folded
+    before the table's predecessor goes. So a reader opens one table and fewer than ``every`` folders, however long the job has run,
+    and a replayed micro-batch still finds what it folds."""
     spark = snapshots.sparkSession
+    part, table = (lambda n: f"{root}/latest/batch={n}"), (lambda n: f"{root}/folded/upto={n}")
+
+    def up_to(last: int, before: int) -> DataFrame:
+        """All documents after micro-batch ``last``, from the newest table made before micro-batch ``before``."""
+        made = max((n for n in numbers(spark, f"{root}/folded") if n < before), default=-1)
+        parts = [spark.read.parquet(part(n)) for n in numbers(spark, f"{root}/latest") if made < n <= last]
+        return _newest(reduce(DataFrame.unionByName, parts + ([spark.read.parquet(table(made))] if made >= 0 else [])))
 
     def each(new: DataFrame, batch: int) -> None:
-        new.groupBy("bank", "file").agg(F.max_by("payload", "version").alias("payload"), F.max("version").alias("version")).write.mode("overwrite").parquet(f"{root}/latest/batch={batch}")
+        _newest(new).write.mode("overwrite").parquet(part(batch))
+        if batch % every == every - 1:
+            up_to(batch, batch).write.mode("overwrite").parquet(table(batch))
+            remove(spark, *(part(n) for n in numbers(spark, f"{root}/latest") if n <= batch - every), *(table(n) for n in numbers(spark, f"{root}/folded") if n < batch - every))
 
     drain(snapshots, f"{root}/checkpoint", each)
-    return spark.read.parquet(f"{root}/latest").groupBy("bank", "file").agg(F.max_by("payload", "version").alias("payload"), F.max("version").alias("version"))
+    last = max([*numbers(spark, f"{root}/latest"), *numbers(spark, f"{root}/folded")], default=-1)
+    return up_to(last, last + 1) if last >= 0 else spark.createDataFrame([], snapshots.schema).select("bank", "file", "payload", "version")
 
 
 def append_log(corrections: DataFrame, root: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Streams over several micro-batches: numbering goes on, replays change nothing, sessions close once."""
 
+import json
+import os
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkledger.operators import kpi
+from inkledger.sources import readers, writers
 from inkledger.streaming import jobs
 
 EVENTS = "bank string, key string, ts timestamp, event_id long, final boolean"
@@ -85,6 +89,38 @@ def test_a_replayed_batch_of_rates_changes_nothing(spark, folder, tmp_path):
     assert again == first and first[0].incorrect_fields == 2
 
 
+def audit(path, bank, name, file, text, indent=None, age=0):
+    folder = path / f"bank_code={bank}"
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(json.dumps({"schema_version": 1, "bank": bank, "file": file, "correlation_id": text, "decision": {"stp": True}}, indent=indent))
+    os.utime(folder / name, (1_700_000_000 + age, 1_700_000_000 + age))
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_an_audit_directory_is_followed(spark, tmp_path, indent):
+    """Files that come later but are older lose; unreadable ones are passed over; folders are folded, and their number stays."""
+    root, seen = tmp_path / "out", {}
+    for n in range(9):
+        audit(tmp_path / "in", "A", f"{n}.json", "same", f"a{n}", indent, age=10 * (n if n != 5 else 1))
+        audit(tmp_path / "in", "B", f"{n}.json", f"b{n % 4}", f"b{n}", indent, age=10 * n)
+        seen |= {"same": f"a{n}" if n != 5 else "a4", f"b{n % 4}": f"b{n}"}
+        if n == 3:
+            bad = tmp_path / "in" / "bank_code=A" / "bad.json"
+            bad.write_text('{"bank": ')
+            os.utime(bad, (1_700_000_035, 1_700_000_035))
+        rows = jobs.latest_documents(readers.stream_audit(spark, str(tmp_path / "in"), multi_line=indent is not None), str(root), every=3)
+        assert {r.file: (r.payload.correlation_id, r.payload.decision.stp) for r in rows.collect()} == {k: (v, True) for k, v in seen.items()}
+    assert len(list((root / "latest").glob("batch=*"))) <= 6 and len(list((root / "folded").glob("upto=*"))) <= 2
+
+
+def test_an_audit_directory_as_it_is_written(spark, tmp_path):
+    docs = spark.createDataFrame([("A", "f1", "x"), ("B", "f2", "y")], "bank string, file string, correlation_id string")
+    for n, rows in enumerate((docs, docs.filter("bank = 'B'").withColumn("correlation_id", F.lit("z")))):
+        writers.write_audit(rows, f"{tmp_path}/in")
+        got = jobs.latest_documents(readers.stream_audit(spark, f"{tmp_path}/in"), f"{tmp_path}/out").collect()
+        assert {(r.bank, r.file): r.payload.correlation_id for r in got} == {("A", "f1"): "x", ("B", "f2"): "z" if n else "y"}
+
+
 def test_sessions_close_once_and_stay_open_at_the_end(spark, folder, tmp_path):
     schema = "bank string, key string, ts timestamp"
     folder(("A", "k", at(0)), ("A", "k", at(20)), ("A", "k", at(80)), schema=schema)
