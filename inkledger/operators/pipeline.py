@@ -96,7 +96,8 @@ def extract_fields(lines: DataFrame, fields: DataFrame, anchors: DataFrame) -> D
 
 
 def decisions(records: DataFrame) -> DataFrame:
-    """doc_id and its route. records: those of extract_fields. One aggregate of plain numbers, on the partitions the records are in."""
+    """doc_id and its route. records: those of extract_fields. One hash aggregate of plain numbers; names pass through Arrow
+    before it, which hides that a document's records are together, so the partial maxima are exchanged."""
     per = records.groupBy("doc_id").agg(*(F.max(F.when(F.col("name") == f, F.col("field_conf"))).alias(f) for f in REQUIRED))
     rows = per.select("doc_id", *(F.when(F.col(f).isNotNull(), F.struct(F.col(f).alias("conf"), route.threshold_code(F.col(f)).alias("code"))).alias(f) for f in REQUIRED))
     return route.judged(rows, key="doc_id")
