@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkledger import schemas
 from inkledger.functions.text import sanitize_key
 from inkledger.operators import extract
 from inkledger.plans.domain import TEMPLATE_BANKS, Registry, table, view
 from inkledger.plans.tables import KPI_IN, docs
-from inkledger.sources import readers, work, writers
+from inkledger.sources import fold, readers, work, writers
 from inkledger.streaming import jobs
 
 REG = Registry()
@@ -65,6 +66,36 @@ def scan_corrections(s: SparkSession, d: str) -> DataFrame:
     return readers.scan_corrections(s, path).select("bank", "file", "field", "before", "after", "reviewer_id", F.col("at").alias("logged"))
 
 
+#: Parts of a bank's audit directory in the query of the fold.
+SHARDS = 4
+
+
+def audit_fold_files(s: SparkSession, d: str) -> DataFrame:
+    """Corrections folded into an audit directory in place: those of every other reviewer, the others, and these once more."""
+    path = work.folder(s, "audit-fold")
+    writers.write_audit(docs(s, d).drop("cheque_id", "created_at"), path, shards=SHARDS)
+    k = view(s, d, "v_correction").join(view(s, d, "v_cheque").select("cheque_id", F.col("bank_code").alias("bank"), F.col("file_id").alias("file")), "cheque_id")
+    at = F.concat(F.date_format("made_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.format_string(" %019d", "correction_id"))
+    rows = k.select("bank", "file", "field", "after", F.lit(None).cast("string").alias("reason"), "reviewer_id", at.alias("at"))
+    for part in (0, 1, 1):
+        fold.fold_audit(s, path, rows.filter(F.col("reviewer_id").cast("int") % 2 == part), SHARDS)
+    text = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"]["parse_norm"], F.lit(""))))
+    history = F.transform(F.coalesce("corrections", F.array().cast(f"array<{schemas.CORRECTION}>")), lambda c: F.concat_ws("|", c["field"], F.coalesce(c["before"], F.lit("-")), c["after"]))
+    return readers.scan_audit(s, path).select("bank_dir", "file", F.size(history).cast("long").alias("n_corrections"), F.array_join(history, ";").alias("history"), F.array_join(text, ";").alias("fields"))
+
+
+REG.add(
+    "audit_fold_files", audit_fold_files,
+    """WITH f AS (SELECT x.cheque_id, name, parse_norm FROM v_full x JOIN v_cheque c ON x.cheque_id = c.cheque_id),
+ k AS (SELECT v.cheque_id, field, after, parse_norm, reviewer_id::INT % 2 AS part, made_at, correction_id, lag(after) OVER w AS earlier, row_number() OVER w AS nth FROM v_correction v JOIN f ON v.cheque_id = f.cheque_id AND v.field = f.name
+  WINDOW w AS (PARTITION BY v.cheque_id, field ORDER BY reviewer_id::INT % 2, made_at, correction_id)),
+ h AS (SELECT cheque_id, count(*) AS n, string_agg(concat(field, '|', coalesce(CASE WHEN nth = 1 THEN parse_norm ELSE earlier END, '-'), '|', after), ';' ORDER BY part, made_at, correction_id) AS history FROM k GROUP BY 1),
+ l AS (SELECT cheque_id, field, arg_max(after, nth) AS after FROM k GROUP BY 1, 2),
+ v AS (SELECT f.cheque_id, string_agg(concat(name, '=', coalesce(l.after, parse_norm, '')), ';' ORDER BY name) AS fields FROM f LEFT JOIN l ON f.cheque_id = l.cheque_id AND f.name = l.field GROUP BY 1)
+SELECT bank_code AS bank_dir, file_id AS file, coalesce(n, 0) AS n_corrections, coalesce(history, '') AS history, coalesce(fields, '') AS fields FROM v_cheque c LEFT JOIN h ON c.cheque_id = h.cheque_id LEFT JOIN v ON c.cheque_id = v.cheque_id""",
+)
+
+
 @REG.query("template_rules", f"SELECT bank_code AS bank_id, name, count(*) AS lines FROM v_tfield f JOIN (SELECT bank_code AS b FROM v_token) t ON t.b = f.bank_code WHERE bank_code IN ({', '.join(repr(b) for b in TEMPLATE_BANKS)}) GROUP BY 1, 2")
 def template_rules(s: SparkSession, d: str) -> DataFrame:
     """Templates written and read as documents; how many lines each field rule meets. Banks without a template meet none."""

@@ -30,7 +30,8 @@ def scan_audit(spark: SparkSession, path: str, multi_line: bool = False, strict:
 
 
 def _audits(docs: DataFrame, *more: Column) -> DataFrame:
-    directory = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")
+    above = F.regexp_replace(F.regexp_replace("_metadata.file_path", "/[^/]*$", ""), "/shard=[^/]*$", "")
+    directory = F.regexp_replace(F.element_at(F.split(above, "/"), -1), "^[^=]*=", "")
     return docs.select("*", directory.alias("bank_dir"), *more).filter("_corrupt is null").drop("_corrupt")
 
 

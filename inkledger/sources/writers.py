@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkledger.sources.fold import shard_of
+
 EXPORT_HEADERS = ["bank", "file", "date", "cheque_number", "amount_numeric", "stp", "overall_conf"]
 REVIEW_HEADERS = ["Bank", "date", "cheque number", "amount"]
 BOM = "﻿"
 
 
-def write_audit(docs: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON document per line in one directory per bank; members that are NULL are written. docs: bank and the document's
-    other members."""
-    docs.withColumn("bank_code", F.col("bank")).write.mode(mode).option("ignoreNullFields", False).partitionBy("bank_code").json(path)
+def write_audit(docs: DataFrame, path: str, mode: str = "append", shards: int = 0) -> None:
+    """One JSON document per line in one directory per bank, with ``shards`` in that many parts of it by the hash of the file's
+    name, so that folding corrections opens and rewrites few; members that are NULL are written. docs: bank, file and the
+    document's other members."""
+    rows = docs.withColumn("bank_code", F.col("bank"))
+    rows = rows.withColumn("shard", shard_of(F.col("file"), shards)) if shards else rows
+    rows.write.mode(mode).option("ignoreNullFields", False).partitionBy("bank_code", *(["shard"] if shards else [])).json(path)
 
 
 def write_ocr_lines(lines: DataFrame, path: str, mode: str = "append") -> None:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from inkledger.functions.validate import KPI_FIELDS
 from inkledger.operators.kpi import BATCH, batch_name, business_date, with_rates
+from inkledger.sources.store import exists, names, remove
 
 
 def stream_of(spark: SparkSession, path: str, schema: object, files_per_batch: int = 64) -> DataFrame:
@@ -29,26 +30,9 @@ def drain(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], Non
     rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, in whatever store it names."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-
-
 def numbers(spark: SparkSession, path: str) -> list[int]:
     """The numbers in the names (kind=number) of a folder's folders."""
-    if not exists(spark, path):
-        return []
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(there)
-    names = [x.getPath().getName() for x in found]
-    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    return sorted(int(n.split("=")[1]) for n in names(spark, path) if "=" in n)
 
 
 #: Cheque ids of one bucket of the rates' state. Ids grow with time, so corrections of recent cheques touch few buckets.
