@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,7 @@ from inkledger.functions.validate import BANKS, KPI_FIELDS, THRESHOLD
 from inkledger.operators import audit, kpi, route
 from inkledger.plans.domain import Registry, view
 from inkledger.plans.scalars import parsed_sql
+from inkledger.sources import versions, work
 
 REG = Registry()
 KPI_IN = "('date','cheque_number','amount_numeric')"
@@ -223,6 +226,20 @@ REG.add("session_batches", lambda s, d: kpi.session_batches(view(s, d, "v_sessio
 REG.add("new_banks", lambda s, d: kpi.missing_keys(view(s, d, "v_cheque"), view(s, d, "v_region"), ["bank_code"]), "SELECT DISTINCT bank_code FROM v_cheque WHERE bank_code NOT IN (SELECT bank_code FROM v_region)")
 _HAVE = "SELECT bank_code, batch_date FROM v_batch WHERE month(batch_date) % 2 = 0"
 REG.add("upsert_batches", lambda s, d: kpi.missing_keys(view(s, d, "v_cheque"), view(s, d, "v_batch").filter(F.month("batch_date") % 2 == 0), ["bank_code", "batch_date"]), f"SELECT DISTINCT bank_code, batch_date FROM v_cheque EXCEPT ({_HAVE})")
+
+
+@REG.query("create_batches", f"SELECT bank_code, batch_date, concat(strftime(batch_date, '%d_%m_%Y'), '_', bank_code, '_01') AS name, CASE WHEN month(batch_date) % 2 = 0 THEN n ELSE 0 END AS n FROM v_batch")
+def create_batches(s: SparkSession, d: str) -> DataFrame:
+    """Two uploads at once ask for the batches of overlapping months; each batch is there once. Then counts
+    are put in for those of every other month."""
+    root, keys = work.folder(s, "batches"), ["bank_code", "name"]
+    batches = view(s, d, "v_batch").select("bank_code", "batch_date", kpi.batch_name(F.col("batch_date"), F.col("bank_code"), F.lit(1)).alias("name"), "n")
+    halves = [batches.filter(F.month("batch_date") <= 8), batches.filter(F.month("batch_date") >= 5)]
+    with ThreadPoolExecutor(len(halves)) as pool:
+        list(pool.map(lambda h: versions.get_or_create(s, root, h.withColumn("n", F.lit(0).cast("long")), keys), halves))
+    return versions.upsert(s, root, batches.filter(F.month("batch_date") % 2 == 0), keys)
+
+
 REG.add(
     "batch_detail", lambda s, d: view(s, d, "v_batch").select("bank_code", "batch_date", "seq").join(view(s, d, "v_cheque"), ["bank_code", "batch_date"]).select("bank_code", "batch_date", "seq", "cheque_id", "file_id", (F.row_number().over(Window.partitionBy("bank_code", "batch_date").orderBy("created_at", "cheque_id")) - 1).cast("long").alias("idx")),
     "SELECT c.bank_code, c.batch_date, b.seq, cheque_id, file_id, row_number() OVER (PARTITION BY c.bank_code, c.batch_date ORDER BY c.created_at, cheque_id) - 1 AS idx FROM v_cheque c JOIN v_batch b ON c.bank_code = b.bank_code AND c.batch_date = b.batch_date",

@@ -3,10 +3,14 @@
 import json
 import os
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
-from inkledger.sources import fold, readers, writers
+from inkledger.operators import kpi
+from inkledger.plans.domain import view
+from inkledger.sources import fold, readers, relational, versions, writers
 
 FIXES = "bank string, file string, field string, after string, reason string, reviewer_id string, at string"
 
@@ -72,3 +76,98 @@ def test_a_fold_that_was_cut_short_goes_on(spark, tmp_path):
     put(tmp_path / "_fold" / "bank_code=B", "half")
     assert fold.fold_audit(spark, str(tmp_path), spark.createDataFrame([("B", "f1", "date", "v", None, "r", "1")], FIXES)) == 1
     assert json.loads(lines_of(tmp_path / "bank_code=B")[0])["fields"]["date"]["parse_norm"] == "v"
+
+
+BATCH = "bank string, name string, seq long"
+
+
+def together(*jobs):
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
+def test_writers_race_for_batches(spark, tmp_path):
+    """Each writer gets the rows that are stored; a key exists once, whoever was first, and no row is lost."""
+    root = f"{tmp_path}/t"
+    wanted = [spark.createDataFrame([("A", f"b{i}", w) for i in range(w, w + 4)] + [(None, "b", w)], BATCH) for w in range(4)]
+    got = together(*(lambda w=w: versions.get_or_create(spark, root, w, ["bank", "name"]).collect() for w in wanted))
+    table = versions.current(spark, root, BATCH)[1].collect()
+    assert sorted((r.bank or "", r.name) for r in table) == [("", "b"), *(("A", f"b{i}") for i in range(7))]
+    for w, rows in enumerate(got):
+        assert sorted((r.bank or "", r.name) for r in rows) == [("", "b"), *(("A", f"b{i}") for i in range(w, w + 4))]
+        assert set(rows) <= set(table)
+    assert versions.get_or_create(spark, root, wanted[0].limit(0), ["bank", "name"]).count() == 0
+    twice = spark.createDataFrame([("B", "x", 2), ("B", "x", 1)], BATCH)
+    assert [r.seq for r in versions.get_or_create(spark, root, twice, ["bank", "name"]).collect()] == [1]
+
+
+def test_a_beaten_writer_works_its_change_out_again(spark, tmp_path, monkeypatch):
+    """Another writer commits between reading and claiming: its row stays, ours is not added beside it."""
+    root, real, beaten = f"{tmp_path}/t", versions._claim, []
+
+    def claim(s, path, text):
+        if not beaten:
+            beaten.append(path)
+            versions.get_or_create(spark, root, spark.createDataFrame([("A", "x", 7)], BATCH), ["bank", "name"])
+        return real(s, path, text)
+
+    monkeypatch.setattr(versions, "_claim", claim)
+    ours = versions.get_or_create(spark, root, spark.createDataFrame([("A", "x", 1), ("A", "y", 1)], BATCH), ["bank", "name"]).collect()
+    assert sorted(map(tuple, ours)) == [("A", "x", 7), ("A", "y", 1)] and versions.current(spark, root, BATCH)[1].count() == 2
+
+
+def test_upserts_race_and_old_versions_go(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), BATCH)
+    versions.upsert(spark, root, rows(("A", "x", 0), ("A", "y", 0)), ["bank", "name"])
+    together(lambda: versions.upsert(spark, root, rows(("A", "x", 1), ("B", "n", 1)), ["bank", "name"]), lambda: versions.upsert(spark, root, rows(("A", "y", 2)), ["bank", "name"]))
+    want = [("A", "x", 1), ("A", "y", 2), ("B", "n", 1)]
+    assert sorted(map(tuple, versions.current(spark, root, BATCH)[1].collect())) == want
+    with pytest.raises(ValueError):
+        versions.upsert(spark, root, rows(("A", "x", 1), ("A", "x", 2)), ["bank", "name"])
+    monkeypatch.setattr(versions, "MAX_FOLDERS", 2)
+    for i in range(3):
+        versions.get_or_create(spark, root, rows(("C", f"c{i}", i)), ["bank", "name"])
+    assert len(versions._folders(spark, root, versions.current(spark, root, BATCH)[0])) <= 2
+    assert versions.vacuum(spark, root, keep=1) > 0
+    assert sorted(map(tuple, versions.current(spark, root, BATCH)[1].collect())) == [*want, *(("C", f"c{i}", i) for i in range(3))]
+
+
+@pytest.fixture(scope="module")
+def url(spark):
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.method", "java.io.OutputStream.nullOutputStream")
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+    return "jdbc:derby:memory:ink;create=true"
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def test_rates_from_a_database(spark, sf, url):
+    """Tables of a database give the rates that files give; filters and columns reach the database, ranges split the reads."""
+    frames = {n: view(spark, sf, n) for n in ("v_cheque", "v_field")}
+    for n, frame in frames.items():
+        types = ", ".join(f"{f.name} varchar(40)" for f in frame.schema if f.dataType.simpleString() == "string")
+        relational.append_table(frame, url, n, types=types, **DERBY)
+    cheques = relational.read_table(spark, url, "v_cheque", "cheque_id", 4, **DERBY)
+    fields = relational.read_table(spark, url, "v_field", "cheque_id", 4, **DERBY)
+    assert cheques.rdd.getNumPartitions() == 4 and cheques.count() == frames["v_cheque"].count()
+    want = kpi.kpi_batch(frames["v_cheque"], frames["v_field"])
+    assert sorted(map(tuple, kpi.kpi_batch(cheques, fields).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plan = cheques.filter("bank_code = 'CIB'").select("cheque_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*IsNotNull(bank_code), *EqualTo(bank_code,CIB)]" in plan and "ReadSchema: struct<cheque_id:bigint>" in plan
+
+
+def test_upserts_into_a_database(spark, url):
+    schema = "id long, name string, n long"
+    put = lambda *rows: relational.upsert_table(spark.createDataFrame(list(rows), schema), url, "ups", ["id"], **DERBY)
+    relational.append_table(spark.createDataFrame([(1, "a", 1), (2, "b", None)], schema), url, "ups", **DERBY)
+    for _ in range(2):
+        put((2, "b2", 5), (3, None, 3))
+    put()
+    back = relational.read_table(spark, url, "ups", "id", 2, **DERBY)
+    assert sorted(map(tuple, back.collect()), key=str) == [(1, "a", 1), (2, "b2", 5), (3, None, 3)]
+    assert relational.read_table(spark, url, "ups", **DERBY).filter("id > 2").count() == 1
+    empty = spark.createDataFrame([], schema)
+    relational.append_table(empty, url, "vacant", **DERBY)
+    assert relational.read_table(spark, url, "vacant", "id", 2, **DERBY).count() == 0
