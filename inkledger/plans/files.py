@@ -195,7 +195,7 @@ REG.add(
  f AS (SELECT e.bank, e.key, min(t) AS ended_at FROM e JOIN o ON e.bank = o.bank AND e.key = o.key WHERE final AND t >= first_ts GROUP BY 1, 2)
 SELECT q.bank, batch_date, seq, concat(strftime(batch_date, '%d_%m_%Y'), '_', q.bank, '_', CASE WHEN seq < 10 THEN concat('0', seq) ELSE seq::VARCHAR END) AS batch_name, uploads, first_ts AS started_at, ended_at, epoch_us(ended_at) // 1000 - epoch_us(first_ts) // 1000 AS processing_ms FROM q LEFT JOIN f ON q.bank = f.bank AND q.key = f.key""",
 )
-REG.add("stream_ingest", lambda s, d: jobs.ingest_once(events(s, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), work.folder(s, "stream-ingest"), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
+REG.add("stream_ingest", lambda s, d: jobs.ingest_once(events(s, d).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), work.folder(s, "stream-ingest"), ["user_id", "event_type"], "2 days").select("user_id", "event_type"), "SELECT DISTINCT user_id, event_type FROM events")
 def stream_audit(s: SparkSession, d: str) -> DataFrame:
     """An audit directory that grows by snapshots of its documents, followed as a stream: the last version of each."""
     path = work.folder(s, "audit-stream")

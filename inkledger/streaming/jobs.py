@@ -196,11 +196,18 @@ def assign_batches(events: DataFrame, root: str, late: str = "2 days", keep_days
 
 
 def ingest_once(cheques: DataFrame, root: str, keys: list[str], late: str) -> DataFrame:
-    """The first arrival of each key; repeats within the watermark are dropped."""
-    once = cheques.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    """The cheques that came, each key once. cheques (a stream): ts, the time of arrival, and other columns.
+
+    Repeats within ``late`` of the first arrival are dropped by keyed state, which forgets a key after that; so what the state
+    holds does not grow with history. A repeat that comes later is stored once more and dropped when the rows are read, where the
+    earliest of each key stays. Rows that arrive out of order by more than ``late`` are dropped, as are those without a time.
+    Nulls in keys are equal."""
+    once = cheques.filter("ts is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
     query = once.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return cheques.sparkSession.read.schema(cheques.schema).parquet(f"{root}/rows")
+    stored = cheques.sparkSession.read.schema(cheques.schema).parquet(f"{root}/rows")
+    rest = ["ts", *(c for c in stored.columns if c not in ("ts", *keys))]
+    return stored.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("first")).select(*keys, "first.*").select(stored.columns)
 
 
 def _newest(rows: DataFrame) -> DataFrame:

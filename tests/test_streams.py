@@ -128,3 +128,18 @@ def test_sessions_close_once_and_stay_open_at_the_end(spark, folder, tmp_path):
     now = spark.read.parquet(f"{tmp_path}/in")
     got = sorted((r.bank, r.started_at, r.uploads, r.processing_ms) for r in jobs.stream_sessions(source, now, f"{tmp_path}/out").collect())
     assert got == [("A", at(0), 2, 1_200_000), ("A", at(80), 1, 0), ("A", at(0, 6), 2, 600_000), ("B", at(5, 6), 1, 0)]
+
+
+def test_ingest_forgets_keys_and_still_stores_each_once(spark, folder, tmp_path):
+    """Repeats in a micro-batch, in the next one and after the state has forgotten the key; late rows and rows without a time go."""
+    schema = "bank string, file string, ts timestamp, size long"
+    run = lambda *rows: sorted(jobs.ingest_once(folder(*rows, schema=schema), f"{tmp_path}/out", ["bank", "file"], "1 day").collect(), key=repr)
+    run(("A", "f1", at(0), 1), ("A", "f1", at(1), 1), ("A", None, at(2), 2), ("A", "f2", None, 3))
+    run(("A", "f1", at(3), 9), ("B", "f1", at(4), 4), ("A", None, at(5), 9))
+    run(("C", "f1", at(0, 9), 5))
+    run(("A", "f1", at(0, 10), 9), ("D", "f1", at(0, 5), 6))
+    got = run()
+    assert [(r.bank, r.file, r.size) for r in got] == [("A", "f1", 1), ("A", None, 2), ("B", "f1", 4), ("C", "f1", 5)]
+    assert spark.read.parquet(f"{tmp_path}/out/rows").filter("bank = 'A' and file = 'f1'").count() == 2
+    state = spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint")
+    assert state.count() == 2  # C, and A's repeat
