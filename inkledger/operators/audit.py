@@ -79,6 +79,21 @@ def current_values(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("cheque_id", "field").agg(last.alias("last"), F.count("*").alias("n")).select("cheque_id", "field", "last.after", "last.reviewer_id", "last.made_at", "n")
 
 
+def values_between(cheques: DataFrame, fields: DataFrame, corrections: DataFrame, first: str, last: str) -> DataFrame:
+    """Current value and number of corrections of each field of the batches between two days, both included. cheques also has the
+    day's month as a number, so that a table stored by month is pruned. Everything meets on the cheque, corrections as a
+    map of its fields: tables stored in buckets by cheque need no exchange. Corrections of fields a cheque lacks are left out."""
+    number = lambda day: F.year(F.lit(day).cast("date")) * 100 + F.month(F.lit(day).cast("date"))
+    asked = cheques.filter(F.col("month").between(number(first), number(last)) & F.col("batch_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    newest = F.struct(F.max_by("after", F.struct("made_at", "correction_id")).alias("after"), F.count("*").alias("n")).alias("now")
+    named = corrections.filter("field is not null").groupBy("cheque_id", "field").agg(newest)
+    known = named.groupBy("cheque_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "now"))).alias("known"))
+    own = asked.select("cheque_id", "bank_code", "batch_date").join(fields.select("cheque_id", "name", "parse_norm"), "cheque_id")
+    now = F.col("known")[F.col("name")]
+    value, n = F.coalesce(now["after"], "parse_norm"), F.coalesce(now["n"], F.lit(0)).cast("long")
+    return own.join(known, "cheque_id", "left").select("cheque_id", "bank_code", "batch_date", "name", value.alias("value"), n.alias("n_corrections"))
+
+
 def apply_corrections(fields: DataFrame, corrections: DataFrame, cheques: DataFrame, muted: str = "name") -> DataFrame:
     """The field table after corrections: values, flags and last_corrected_at; corrections without an effect (muted field,
     value equal to the one before) are skipped; missing fields are created; corrections of unknown cheques are ignored.

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from inkledger import schemas
 from inkledger.functions.text import sanitize_key
-from inkledger.operators import extract
+from inkledger.operators import audit, extract
 from inkledger.plans.domain import TEMPLATE_BANKS, Registry, table, view
 from inkledger.plans.tables import KPI_IN, docs
-from inkledger.sources import fold, readers, work, writers
+from inkledger.sources import fold, layout, readers, work, writers
 from inkledger.streaming import jobs
 
 REG = Registry()
@@ -96,6 +96,24 @@ SELECT bank_code AS bank_dir, file_id AS file, coalesce(n, 0) AS n_corrections,
 )
 
 
+#: Buckets of the stored tables in the query of corrected fields.
+BUCKETS = 8
+
+
+def stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cheques (by month as well), fields and corrections as tables in buckets by cheque."""
+    put = lambda rows, name, by=None: layout.store(rows, layout.new_name(name), "cheque_id", BUCKETS, by)
+    cheques = view(s, d, "v_cheque").select("*", layout.month())
+    return put(cheques, "cheques", "month"), put(view(s, d, "v_full"), "fields"), put(view(s, d, "v_correction"), "corrections")
+
+
+@REG.query("stored_corrections", "SELECT c.cheque_id, c.bank_code, c.batch_date, f.name, coalesce(l.after, f.parse_norm) AS value, coalesce(l.n, 0) AS n_corrections FROM v_cheque c JOIN v_full f ON c.cheque_id = f.cheque_id LEFT JOIN (SELECT cheque_id, field, arg_max(after, struct_pack(a := made_at, b := correction_id)) AS after, count(*) AS n FROM v_correction GROUP BY 1, 2) l ON f.cheque_id = l.cheque_id AND f.name = l.field WHERE c.batch_date BETWEEN DATE '1994-01-01' AND DATE '1995-06-30'")
+def stored_corrections(s: SparkSession, d: str) -> DataFrame:
+    """Current values of the fields of a range of batches, over stored tables: no exchange but those that stored them."""
+    cheques, fields, corrections = stored(s, d)
+    return audit.values_between(cheques, fields, corrections, "1994-01-01", "1995-06-30")
+
+
 @REG.query("template_rules", f"SELECT bank_code AS bank_id, name, count(*) AS lines FROM v_tfield f JOIN (SELECT bank_code AS b FROM v_token) t ON t.b = f.bank_code WHERE bank_code IN ({', '.join(repr(b) for b in TEMPLATE_BANKS)}) GROUP BY 1, 2")
 def template_rules(s: SparkSession, d: str) -> DataFrame:
     """Templates written and read as documents; how many lines each field rule meets. Banks without a template meet none."""

@@ -8,7 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from inkledger.operators import kpi
+from inkledger.operators import audit, kpi
+from inkledger.plans import files
 from inkledger.plans.domain import view
 from inkledger.sources import fold, readers, relational, versions, writers
 
@@ -171,3 +172,18 @@ def test_upserts_into_a_database(spark, url):
     empty = spark.createDataFrame([], schema)
     relational.append_table(empty, url, "vacant", **DERBY)
     assert relational.read_table(spark, url, "vacant", "id", 2, **DERBY).count() == 0
+
+
+def test_stored_tables_join_without_exchange_and_prune(spark, sf):
+    cheques, fields, corrections = files.stored(spark, sf)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = audit.values_between(cheques, fields, corrections, "1994-01-01", "1995-06-30")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+    assert "(month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    months = {r.month for r in cheques.select("month").distinct().collect()}
+    asked = cheques.filter("month between 199401 and 199506")
+    assert len(months) > 18 and asked.select(F.input_file_name()).distinct().count() < cheques.select(F.input_file_name()).distinct().count() / 2
