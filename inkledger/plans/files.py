@@ -14,6 +14,8 @@ from inkledger.sources import fold, layout, readers, work, writers
 from inkledger.streaming import jobs
 
 REG = Registry()
+#: Text that a query writes and reads back is compressed; a file is no larger than what one task writes, so it need not be split.
+CODEC = "gzip"
 
 
 @REG.query("scan_audit", "SELECT bank_code AS bank_dir, bank_code AS bank, file_id AS file, decision, stp, count(f.name) AS n_fields FROM v_cheque c LEFT JOIN v_full f ON c.cheque_id = f.cheque_id GROUP BY ALL")
@@ -73,12 +75,12 @@ SHARDS = 4
 def audit_fold_files(s: SparkSession, d: str) -> DataFrame:
     """Corrections folded into an audit directory in place: those of every other reviewer, the others, and these once more."""
     path = work.folder(s, "audit-fold")
-    writers.write_audit(docs(s, d).drop("cheque_id", "created_at"), path, shards=SHARDS)
+    writers.write_audit(docs(s, d).drop("cheque_id", "created_at"), path, shards=SHARDS, compression=CODEC)
     k = view(s, d, "v_correction").join(view(s, d, "v_cheque").select("cheque_id", F.col("bank_code").alias("bank"), F.col("file_id").alias("file")), "cheque_id")
     at = F.concat(F.date_format("made_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.format_string(" %019d", "correction_id"))
     rows = k.select("bank", "file", "field", "after", F.lit(None).cast("string").alias("reason"), "reviewer_id", at.alias("at"))
     for part in (0, 1, 1):
-        fold.fold_audit(s, path, rows.filter(F.col("reviewer_id").cast("int") % 2 == part), SHARDS)
+        fold.fold_audit(s, path, rows.filter(F.col("reviewer_id").cast("int") % 2 == part), SHARDS, CODEC)
     text = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"]["parse_norm"], F.lit(""))))
     history = F.transform(F.coalesce("corrections", F.array().cast(f"array<{schemas.CORRECTION}>")), lambda c: F.concat_ws("|", c["field"], F.coalesce(c["before"], F.lit("-")), c["after"]))
     return readers.scan_audit(s, path).select("bank_dir", "file", F.size(history).cast("long").alias("n_corrections"), F.array_join(history, ";").alias("history"), F.array_join(text, ";").alias("fields"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkledger.sources.store import exists, remove
+from inkledger.sources.store import exists, names, remove, replace
 
 #: What a correction is known by: one that a document's history holds already is not folded again.
 KNOWN_BY = ["field", "after", "reviewer_id", "at"]
@@ -32,12 +32,17 @@ def _fold(state: Column, fix: Column) -> Column:
     return F.when(F.coalesce(F.map_contains_key(state["fields"], fix["field"]), F.lit(False)), done).otherwise(state)
 
 
+def _fresh(doc: Column, fixes: Column) -> Column:
+    """The corrections that the document's history does not hold."""
+    key = lambda x: F.struct(*(F.coalesce(x[c], F.lit("")).alias(c) for c in KNOWN_BY))
+    known = F.transform(F.coalesce(doc["corrections"], F.array().cast("array<struct<reviewer_id:string,field:string,after:string,at:string>>")), key)
+    return F.filter(fixes, lambda x: ~F.array_contains(known, key(x)))
+
+
 def corrected(line: Column, doc: Column, fixes: Column) -> Column:
     """The text of a document with corrections folded in; every other member stays as it is, also those no schema names. A line
     whose corrections are all known, or of fields it lacks, stays the text it was."""
-    key = lambda x: F.struct(*(F.coalesce(x[c], F.lit("")).alias(c) for c in KNOWN_BY))
-    known = F.transform(F.coalesce(doc["corrections"], F.array().cast("array<struct<reviewer_id:string,field:string,after:string,at:string>>")), key)
-    fresh = F.filter(fixes, lambda x: ~F.array_contains(known, key(x)))
+    fresh = _fresh(doc, fixes)
     none = F.struct(doc["fields"].alias("fields"), F.array().cast(f"array<{_ENTRY}>").alias("added"))
     state = F.aggregate(fresh, none, _fold)
     members = F.from_json(line, "map<string,variant>")
@@ -49,44 +54,79 @@ def corrected(line: Column, doc: Column, fixes: Column) -> Column:
     return F.when(F.size(state["added"]) > 0, text).otherwise(line)
 
 
-def fold_audit(spark: SparkSession, path: str, corrections: DataFrame, shards: int = 0) -> int:
+def _moves(doc: Column, fixes: Column) -> Column:
+    """Whether some correction is neither known nor of a field that the document lacks."""
+    return F.coalesce(F.exists(_fresh(doc, fixes), lambda x: F.coalesce(F.map_contains_key(doc["fields"], x["field"]), F.lit(False))), F.lit(False))
+
+
+#: Words of the filter of named documents, of 64 bits each: its table is broadcast and has no more rows than this.
+WORDS = 1 << 20
+
+
+def _place(bank: Column, file: Column) -> tuple[Column, Column]:
+    """The word and the bit of a document in the filter."""
+    at = F.pmod(F.xxhash64(bank, file), F.lit(WORDS * 64))
+    return F.shiftright(at, 6).cast("int").alias("word"), (at % 64).cast("int").alias("bit")
+
+
+def _may_be_named(rows: DataFrame, fixes: DataFrame) -> DataFrame:
+    """The rows (bank, file) with ``maybe``: false is certain, so only the others need to meet the corrections."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    words = fixes.select(*_place(F.col("bank"), F.col("file"))).groupBy("word").agg(F.bit_or(bit).alias("bits"))
+    placed = rows.select("*", *_place(F.col("bank"), F.col("file"))).join(F.broadcast(words), "word", "left")
+    return placed.withColumn("maybe", F.coalesce(F.getbit("bits", F.col("bit")) == 1, F.lit(False))).drop("word", "bit", "bits")
+
+
+def fold_audit(spark: SparkSession, path: str, corrections: DataFrame, shards: int = 0, compression: str = "none") -> int:
     """Folds corrections into the audit directory that writers.write_audit wrote (one document a line), and returns how many of its
-    partitions it wrote. corrections: bank, file, field, after, reason, reviewer_id, at, in the order of ``at`` within a
-    document; those without a value, of unknown documents or fields, or known already (KNOWN_BY; so also repeats) change nothing.
-
-    A first scan finds the partitions of documents that corrections name; with ``shards`` (as the directory was written) it opens
-    only the shards that such documents can lie in. Then these partitions alone are read and overwritten dynamically: other files
-    are not touched, and lines in between, unreadable ones as well, stay what they are. Spark removes a partition before it moves the
-    new one in, so the new ones are first written to ``_fold`` in the directory, where a run that finds some goes on. Folding the
-    same corrections again changes nothing. One fold at a time: another that runs beside it is not guarded against."""
+    partitions hold documents that they name. corrections: bank, file, field, after, reason, reviewer_id, at, in the order of ``at``
+    within a document; those without a value, of unknown documents or fields, or known already (KNOWN_BY; so also repeats) change nothing.
+
+    A first scan finds the partitions in which a line changes; with ``shards`` (as the directory was written) it opens
+    only the shards that such documents can lie in. Then these partitions alone are read and written anew; other files
+    are not touched, and lines in between, unreadable ones as well, stay what they are. A filter of bits tells most lines that no
+    correction names, and these are written where they are read, without an exchange. The new partitions are first written to
+    ``_fold`` in the directory and then renamed into place, where a run that finds some goes on. Folding the same corrections again
+    writes nothing. One fold at a time: another that runs beside it is not guarded against."""
     by = ["bank_code", "shard"] if shards else ["bank_code"]
-    pending = f"{path}/_fold"
+    pending, asked = f"{path}/_fold", f"{path}/_fixes"
     _finish(spark, path, pending, by)
     fix = F.struct("at", *(c for c in ("field", "after", "reviewer_id", "reason")))
     fixes = corrections.filter("after is not null and field is not null and bank is not null and file is not null").select("bank", "file", fix.alias("fix")).distinct()
-    per_doc = fixes.groupBy("bank", "file").agg(F.array_sort(F.collect_list("fix")).alias("fixes"))
+    fixes.groupBy("bank", "file").agg(F.array_sort(F.collect_list("fix")).alias("fixes")).write.mode("overwrite").parquet(asked)
+    per_doc = spark.read.parquet(asked)
     lines = spark.read.schema(f"value string, {', '.join(f'{c} {t}' for c, t in zip(by, ('string', 'int')))}").text(path)
     if shards:
         # as many rows as there are shards, at most
-        lines = lines.filter(F.col("shard").isin([r[0] for r in fixes.select(shard_of(F.col("file"), shards)).distinct().collect()]))
-    named = lines.withColumn("doc", F.from_json("value", "struct<bank:string,file:string>"))
-    name = [F.coalesce("doc.bank", "bank_code").alias("bank"), F.col("doc.file").alias("file")]
+        lines = lines.filter(F.col("shard").isin([r[0] for r in per_doc.select(shard_of(F.col("file"), shards)).distinct().collect()]))
+
+    def read(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn("name", F.from_json("value", "struct<bank:string,file:string>"))
+        return _may_be_named(named.select("value", *by, F.coalesce("name.bank", "bank_code").alias("bank"), F.col("name.file").alias("file")), per_doc)
+
+    document = F.from_json("value", _DOCUMENT)
     # as many rows as there are partitions, at most
-    touched = named.select(*by, *name).join(per_doc.select("bank", "file"), ["bank", "file"], "left_semi").select(*by).distinct().collect()
-    if not touched:
-        return 0
-    parts = F.struct(*by).isin([F.struct(*(F.lit(v) for v in r)) for r in touched])
-    docs = lines.filter(parts).withColumn("doc", F.from_json("value", _DOCUMENT)).select("value", *by, "doc", *name)
-    out = docs.join(per_doc, ["bank", "file"], "left")
-    text = F.when(F.col("fixes").isNull(), F.col("value")).otherwise(corrected(F.col("value"), F.col("doc"), F.col("fixes")))
-    out.select(text.alias("value"), *by).write.mode("overwrite").partitionBy(*by).text(pending)
-    _finish(spark, path, pending, by)
-    return len(touched)
+    docs = read(lines).filter("maybe").select(*by, "bank", "file", document.alias("doc")).join(per_doc, ["bank", "file"])
+    named = docs.groupBy(*by).agg(F.max(_moves(F.col("doc"), F.col("fixes"))).alias("moves")).collect()
+    touched = [r for r in named if r["moves"]]
+    if touched:
+        rows = read(lines.filter(F.struct(*by).isin([F.struct(*(F.lit(r[c]) for c in by)) for r in touched])))
+        met = rows.filter("maybe").join(per_doc, ["bank", "file"], "left").select("value", *by, "fixes", document.alias("doc"))
+        text = F.when(F.col("fixes").isNull(), F.col("value")).otherwise(corrected(F.col("value"), F.col("doc"), F.col("fixes")))
+        out = met.select(text.alias("value"), *by).unionByName(rows.filter("not maybe").select("value", *by))
+        out.write.mode("overwrite").option("compression", compression).partitionBy(*by).text(pending)
+        _finish(spark, path, pending, by)
+    remove(spark, asked)
+    return len(named)
 
 
 def _finish(spark: SparkSession, path: str, pending: str, by: list[str]) -> None:
-    """Moves what a fold has written whole into its place, as often as it takes; what was not written whole goes."""
+    """Moves the partitions that a fold has written whole into their places, one after the other: what still lies in ``_fold`` is whole,
+    and takes the place of what is there. What was not written whole goes."""
     if exists(spark, f"{pending}/_SUCCESS"):
-        rows = spark.read.schema(f"value string, {', '.join(f'{c} {t}' for c, t in zip(by, ('string', 'int')))}").text(pending)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(path)
+        folders = [""]
+        for _ in by:
+            folders = [f"{f}/{n}" for f in folders for n in names(spark, f"{pending}{f}") if "=" in n]
+        for f in folders:
+            replace(spark, f"{pending}{f}", f"{path}{f}")
     remove(spark, pending)

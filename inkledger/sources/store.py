@@ -27,3 +27,13 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, there = opened(spark, path)
         fs.delete(there, True)
+
+
+def replace(spark: SparkSession, path: str, there: str) -> None:
+    """Moves a folder to a place where another may lie, which goes."""
+    fs, new = opened(spark, path)
+    old = opened(spark, there)[1]
+    fs.delete(old, True)
+    fs.mkdirs(old.getParent())
+    if not fs.rename(new, old):
+        raise OSError(f"cannot move {path} to {there}")

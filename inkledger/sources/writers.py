@@ -12,13 +12,13 @@ REVIEW_HEADERS = ["Bank", "date", "cheque number", "amount"]
 BOM = "﻿"
 
 
-def write_audit(docs: DataFrame, path: str, mode: str = "append", shards: int = 0) -> None:
+def write_audit(docs: DataFrame, path: str, mode: str = "append", shards: int = 0, compression: str = "none") -> None:
     """One JSON document per line in one directory per bank, with ``shards`` in that many parts of it by the hash of the file's
     name, so that folding corrections opens and rewrites few; members that are NULL are written. docs: bank, file and the
-    document's other members."""
+    document's other members. Every reader here also reads files that are compressed."""
     rows = docs.withColumn("bank_code", F.col("bank"))
     rows = rows.withColumn("shard", shard_of(F.col("file"), shards)) if shards else rows
-    rows.write.mode(mode).option("ignoreNullFields", False).partitionBy("bank_code", *(["shard"] if shards else [])).json(path)
+    rows.write.mode(mode).options(ignoreNullFields=False, compression=compression).partitionBy("bank_code", *(["shard"] if shards else [])).json(path)
 
 
 def write_ocr_lines(lines: DataFrame, path: str, mode: str = "append") -> None:

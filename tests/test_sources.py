@@ -64,6 +64,24 @@ def test_a_fold_opens_the_shards_it_needs(spark, tmp_path):
     assert [r.file for r in got if r.parse_norm == "y"] == ["f7"]
 
 
+def test_a_fold_writes_no_more_than_it_changes(spark, tmp_path):
+    """Corrections that are known, or of unknown fields, write nothing; compressed files stay compressed; lines that no correction names
+    need not meet them."""
+    docs = spark.range(40).select(F.lit("A").alias("bank"), F.format_string("f%d", "id").alias("file"), F.create_map(F.lit("date"), F.struct(F.lit("x").alias("parse_norm"))).alias("fields"))
+    writers.write_audit(docs, f"{tmp_path}/a", shards=2, compression="gzip")
+    run = lambda *rows: fold.fold_audit(spark, f"{tmp_path}/a", spark.createDataFrame(list(rows), FIXES), 2, "gzip")
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "a").rglob("part*")}
+    fixes = [("A", f"f{i}", "date", f"y{i}", None, "r", "1") for i in range(3)]
+    assert run(*fixes) > 0 and all(f.name.endswith(".gz") for f in files())
+    before = files()
+    assert run(*fixes) > 0 and run(("A", "f9", "gone", "y", None, "r", "1")) == 1
+    assert files() == before and not list((tmp_path / "a").glob("_f*"))
+    got = {r.file: r.v for r in readers.scan_audit(spark, f"{tmp_path}/a").select("file", F.col("fields.date.parse_norm").alias("v")).collect()}
+    assert got == {f"f{i}": f"y{i}" if i < 3 else "x" for i in range(40)}
+    maybe = fold._may_be_named(docs.select("bank", "file"), spark.createDataFrame([r[:2] for r in fixes], "bank string, file string"))
+    assert {r.file for r in maybe.filter("maybe").collect()} == {"f0", "f1", "f2"}
+
+
 def test_a_fold_that_was_cut_short_goes_on(spark, tmp_path):
     """Lost between writing and moving, when a partition may be gone: the next run moves it; a half-written one goes."""
     put(tmp_path / "bank_code=A", {"bank": "A", "file": "f1", "fields": {"date": {}}})
