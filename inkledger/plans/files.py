@@ -21,7 +21,7 @@ CODEC = "gzip"
 @REG.query("scan_audit", "SELECT bank_code AS bank_dir, bank_code AS bank, file_id AS file, decision, stp, count(f.name) AS n_fields FROM v_cheque c LEFT JOIN v_full f ON c.cheque_id = f.cheque_id GROUP BY ALL")
 def scan_audit(s: SparkSession, d: str) -> DataFrame:
     path = work.folder(s, "audit")
-    writers.write_audit(docs(s, d).drop("cheque_id").withColumn("generated_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("created_at"), path)
+    writers.write_audit(docs(s, d).drop("cheque_id").withColumn("generated_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).drop("created_at"), path, compression=CODEC)
     return readers.scan_audit(s, path).select("bank_dir", "bank", "file", "decision.decision", "decision.stp", F.size("fields").cast("long").alias("n_fields"))
 
 
@@ -36,7 +36,7 @@ def scan_ocr_lines(s: SparkSession, d: str) -> DataFrame:
     sized = F.col("doc_id") % 11 != 0
     pages = pages.select(F.col("bank_code").alias("bank"), F.col("doc_id").cast("string").alias("file"), F.when(sized & (kind < 2), F.struct(F.lit(677).alias("height"), F.lit(1677).alias("width"))).alias("image_metadata"), F.when(sized, 677).alias("image_height"), F.when(sized, 1677).alias("image_width"), F.when(kind != 1, F.col("lines")).alias("lines"), F.when(kind == 1, F.col("lines")).alias("raw_ocr_results"))
     path = work.folder(s, "ocr")
-    pages.write.json(path)
+    pages.write.json(path, compression=CODEC)
     lines, _ = readers.scan_ocr_lines(s, path)
     return lines.select("bank", "file", F.col("line_idx").cast("long").alias("line_idx"), "text", "confidence", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
@@ -47,7 +47,7 @@ def scan_field_csv(s: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.lit(c).cast("string")
     rows = one.select(F.when(F.col("cheque_id") % 7 != 0, F.col("cheque_id").cast("string")).alias("file"), "bank", F.col("name").alias("field"), text("m").alias("method"), F.col("loc_conf").cast("string").alias("loc_conf"), "ocr_text", F.when(F.col("cheque_id") % 5 == 0, "n/a").otherwise(F.col("ocr_conf").cast("string")).alias("ocr_conf"), text("en").alias("ocr_lang"), text("").alias("parse_norm"), F.when(F.col("parse_ok"), " TRUE ").otherwise("no").alias("parse_ok"), text("0").alias("field_conf"), text("false").alias("meets_threshold"), *(text("0").alias(f"bbox_{c}") for c in ("x1", "y1", "x2", "y2")))
     path = work.folder(s, "fields")
-    rows.write.option("header", True).csv(path)
+    rows.write.option("header", True).csv(path, compression=CODEC)
     return readers.scan_field_csv(s, path).select("file", "field", F.round("ocr_conf", 6).alias("ocr_conf"), "parse_ok")
 
 
@@ -123,7 +123,7 @@ def template_rules(s: SparkSession, d: str) -> DataFrame:
     share = lambda a, b, c, e: F.array(F.col(a) / 1677, F.col(b) / 677, (F.col(c) - F.col(a)) / 1677, (F.col(e) - F.col(b)) / 677)
     rule = F.struct("pos", "name", share("rx1", "ry1", "rx2", "ry2").alias("roi_norm"), share("x1", "y1", "x2", "y2").alias("region_norm"), "pattern")
     path = work.folder(s, "templates")
-    f.groupBy(F.col("bank_code").alias("bank_id")).agg(F.array_sort(F.collect_list(rule)).alias("fields")).withColumn("template_id", F.lit("default")).write.json(path)
+    f.groupBy(F.col("bank_code").alias("bank_id")).agg(F.array_sort(F.collect_list(rule)).alias("fields")).withColumn("template_id", F.lit("default")).write.json(path, compression=CODEC)
     rules, _ = readers.scan_templates(s, path)
     per_bank = view(s, d, "v_token").groupBy(F.col("bank_code").alias("bank_id")).agg(F.count("*").alias("lines"))
     return rules.join(per_bank, "bank_id").select("bank_id", "name", "lines")
@@ -139,7 +139,7 @@ def scan_located(s: SparkSession, d: str) -> DataFrame:
     hits = extract.locate_pattern(lines, view(s, d, "v_tfield")).join(lines.groupBy("doc_id").agg(F.first("bank_code").alias("bank")), "doc_id")
     record = F.struct(F.array("px", "py", F.col("px") + 335, F.col("py") + 54).alias("bbox"), "confidence", "method", "text")
     path = work.folder(s, "located")
-    hits.groupBy("bank", F.col("doc_id").cast("string").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("name", record))).alias("results")).write.json(path)
+    hits.groupBy("bank", F.col("doc_id").cast("string").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("name", record))).alias("results")).write.json(path, compression=CODEC)
     return readers.scan_located(s, path).select("bank", "file", "name", "method", "text", F.col("bbox")[0].cast("long").alias("x1"))
 
 
@@ -148,7 +148,7 @@ def scan_spans(s: SparkSession, d: str) -> DataFrame:
     """Profiles, one document for each user with its spans, written and read back."""
     span = F.struct(F.col("event_type").alias("name"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ts"), F.col("value").alias("dur"), (F.col("event_id") % 3).cast("int").alias("parent"))
     path = work.folder(s, "spans")
-    table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(span), lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).otherwise(0)).alias("spans")).select(F.create_map(F.lit("image"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("meta"), "spans").write.json(path)
+    table(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(span), lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).otherwise(0)).alias("spans")).select(F.create_map(F.lit("image"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("meta"), "spans").write.json(path, compression=CODEC)
     return readers.scan_spans(s, path).select(F.col("meta")["image"].alias("image"), "name", F.round("dur", 6).alias("dur"), F.col("parent").cast("long").alias("parent"))
 
 
@@ -221,7 +221,7 @@ def stream_audit(s: SparkSession, d: str) -> DataFrame:
     path = work.folder(s, "audit-stream")
     for part in slices(table(s, d, "events")):
         docs = part.groupBy(F.col("event_type").alias("bank"), F.col("user_id").cast("string").alias("file")).agg(F.max_by("props", "event_id").alias("correlation_id"))
-        writers.write_audit(docs.withColumn("schema_version", F.lit(1)).repartition(FILES, "bank"), path)
+        writers.write_audit(docs.withColumn("schema_version", F.lit(1)).repartition(FILES, "bank"), path, compression=CODEC)
     last = jobs.latest_documents(readers.stream_audit(s, path, files_per_batch=FILES), work.folder(s, "stream-audit"), every=2)
     return last.select("bank", "file", F.col("payload.correlation_id").alias("payload"))
 
