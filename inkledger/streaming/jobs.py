@@ -133,7 +133,7 @@ SESSION_CHANGE = "bank string, key string, first_ts timestamp, first_event long,
 def follow_session(keep_ms: int, key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """What a micro-batch changes for one (bank, key). The first upload opens its batch, later ones count; the first request to
     finalize that is not before the first upload ends it, once. When nothing has come for the time the state is kept, the timer
-    ends a batch that nobody finalized, at its last event, and forgets the key. A key of one upload (event:...) is not kept."""
+    ends a batch that nobody finalized, at its last event, and forgets the key."""
     if state.hasTimedOut:
         first_ts, first_event, last_ts, ended, _ = state.get
         state.remove()
@@ -153,10 +153,9 @@ def follow_session(keep_ms: int, key: tuple, pieces: Iterator[pd.DataFrame], sta
     if first_ts is not None:
         later = [t for t in finals if t >= first_ts]
         ended, finals = min([*later, *([ended] if ended else [])], default=None), []
-    if not key[1].startswith("event:"):
-        state.update((first_ts, first_event, last_ts, ended, finals))
-        since = (last_ts - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
-        state.setTimeoutTimestamp(max(since, state.getCurrentWatermarkMs()) + keep_ms)
+    state.update((first_ts, first_event, last_ts, ended, finals))
+    since = (last_ts - datetime(1970, 1, 1)) // timedelta(milliseconds=1)
+    state.setTimeoutTimestamp(max(since, state.getCurrentWatermarkMs()) + keep_ms)
     if first_ts is not None and (ups or ended != was):
         yield pd.DataFrame([(*key, first_ts, first_event, opened, len(ups), ended)], columns=CHANGE_COLUMNS)
 
@@ -164,20 +163,39 @@ def follow_session(keep_ms: int, key: tuple, pieces: Iterator[pd.DataFrame], sta
 CHANGE_COLUMNS = ["bank", "key", "first_ts", "first_event", "opened", "uploads", "ended_at"]
 
 
+#: The keys of uploads that have none: one for each, so nothing that comes later can join them.
+ALONE = "event:"
+
+
+def alone_or_followed(rows: DataFrame) -> DataFrame:
+    """What a micro-batch changes, one row for each key. rows: what follow_session found (``final`` is NULL), and the events of keys of
+    one upload as they came (time and id as first_ts and first_event), which need no state."""
+    final = F.col("final")
+    own = F.first(F.when(final.isNull(), F.struct(*CHANGE_COLUMNS[2:])), ignorenulls=True)
+    first = F.min(F.when(~final, F.struct("first_ts", "first_event")))
+    per = rows.groupBy("bank", "key").agg(own.alias("own"), first.alias("first"), F.count_if(~final).alias("n"), F.collect_list(F.when(final, F.col("first_ts"))).alias("ends"))
+    ended = F.array_min(F.filter("ends", lambda t: t >= F.col("first.first_ts")))
+    made = F.when(F.col("first").isNotNull(), F.struct("first.first_ts", "first.first_event", F.lit(True).alias("opened"), F.col("n").alias("uploads"), ended.alias("ended_at")))
+    return per.select("bank", "key", F.coalesce("own", made).alias("c")).filter("c is not null").select("bank", "key", "c.*")
+
+
 def assign_batches(events: DataFrame, root: str, late: str = "2 days", keep_days: int = 31) -> DataFrame:
     """Upload sessions to batches. The first upload of a (bank, key) opens a batch, numbered after those its bank and business date
     have; every later one joins it. Finalizing sets the end once and may be repeated. events (a stream): bank, key, ts, event_id,
-    final; rows later than ``late`` are dropped.
+    final; rows later than ``late`` are dropped, but for keys of one upload (ALONE).
 
-    What a key's first upload was is keyed state (follow_session); a timer expires it when nothing has come for ``keep_days`` and the
+    Keys of one upload pass by the state. What another key's first upload was is keyed state (follow_session); a timer expires it when nothing has come for ``keep_days`` and the
     watermark has passed that. Numbers come from a table of the highest one
     of each bank and date, which every micro-batch writes anew under its own number. So a micro-batch reads no earlier key, event or
     folder but that table, and a replay gives the same numbers."""
     spark = events.sparkSession
-    changes = events.withWatermark("ts", late).groupBy("bank", "key").applyInPandasWithState(partial(follow_session, keep_days * 86_400_000), SESSION_CHANGE, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    alone = F.coalesce(F.col("key").startswith(ALONE), F.lit(False))
+    followed = events.filter(~alone).withWatermark("ts", late).groupBy("bank", "key").applyInPandasWithState(partial(follow_session, keep_days * 86_400_000), SESSION_CHANGE, SESSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    ones = events.filter(alone).select("bank", "key", F.col("ts").alias("first_ts"), F.col("event_id").alias("first_event"), "final")
+    changes = followed.withColumn("final", F.lit(None).cast("boolean")).unionByName(ones, allowMissingColumns=True)
 
     def each(new: DataFrame, batch: int) -> None:
-        new.write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
+        alone_or_followed(new).write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
         opened = spark.read.schema(SESSION_CHANGE).parquet(f"{root}/changes/batch={batch}").filter("opened").withColumn("batch_date", business_date(F.col("first_ts")))
         taken = spark.read.parquet(f"{root}/taken/batch={batch - 1}") if batch else spark.createDataFrame([], "bank string, batch_date date, taken long")
         nth = F.row_number().over(Window.partitionBy("bank", "batch_date").orderBy("first_ts", "first_event"))

@@ -89,6 +89,14 @@ def test_a_replayed_batch_of_rates_changes_nothing(spark, folder, tmp_path):
     assert again == first and first[0].incorrect_fields == 2
 
 
+def test_keys_of_one_upload_pass_by_the_state(spark, folder, tmp_path):
+    """They open batches, also late ones, end by a request of their own that is not earlier, and leave nothing in the state."""
+    jobs.assign_batches(folder(("A", "k", at(0, 9), 1, False), ("A", "event:2", at(1, 9), 2, False), ("A", "event:2", at(0, 9), 3, True), ("A", "event:2", at(4, 9), 4, True), ("A", "event:5", at(2, 9), 5, True)), f"{tmp_path}/out")
+    got = jobs.assign_batches(folder(("A", "event:6", at(0, 9), 6, False), ("A", "event:7", at(0, 1), 7, False), ("A", "k", at(9, 9), 8, False)), f"{tmp_path}/out").collect()
+    assert sorted((r.started_at, r.seq, r.uploads, r.ended_at) for r in got) == [(at(0, 1), 1, 1, None), (at(0, 9), 1, 2, None), (at(0, 9), 3, 1, None), (at(1, 9), 2, 1, at(4, 9))]
+    assert spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint").count() == 1
+
+
 def audit(path, bank, name, file, text, indent=None, age=0):
     folder = path / f"bank_code={bank}"
     folder.mkdir(parents=True, exist_ok=True)
