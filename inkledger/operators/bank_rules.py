@@ -81,7 +81,8 @@ def features(denied: tuple[str, ...] = DENIED) -> dict[str, Column]:
         "exact": by_bank(CIB=F.when(F.trim(line).rlike(r"^\d{12}$"), F.trim(line))),
         "loose": by_bank(CIB=found_in(line, txt.NUMBER)),
         "usual": by_bank(AAIB=F.exists(all_of(9), lambda t: F.substring(t, 1, 3).isin(*NINE_STARTS))),
-        "date": by_bank(AAIB=txt.repair(found_in(line, txt.DATE_LOOSE), txt.REPAIR_A), NBE=txt.repair(found_in(txt.repair(line, txt.REPAIR_B), txt.DATE_LOOSE), txt.REPAIR_B)),
+        # a date has letters and digits, and no repair adds any to a line without
+        "date": by_bank(AAIB=txt.repair(found_in(line, txt.DATE_LOOSE), txt.REPAIR_A), NBE=F.when(letters & line.rlike(r"\d"), txt.repair(found_in(txt.repair(line, txt.REPAIR_B), txt.DATE_LOOSE), txt.REPAIR_B))),
         "amount": by_bank(NBE=F.when(en, found_in(line, txt.AMOUNT_DECIMAL)), FABMISR=F.when(en & ~txt.amount_noise(line), found_in(line, txt.AMOUNT_DECIMAL))),
         # a line that is nothing but a label wins its stage and then gives way to the next
         "payee": by_bank(**{b: F.when(~line.rlike(r"[A-Za-z\d]") & ~line.contains(BRANCH), F.coalesce(F.nullif(txt.payee_clean(line), F.lit("")), F.lit(""))) for b in ("NBE", "AAIB")}),

@@ -213,7 +213,7 @@ def locate_on_pages(pages: DataFrame) -> DataFrame:
     called = lambda n: lambda h: h["name"] == n
     rows = rows.select("*", *(F.array_max(F.filter("_hits", called(n))).alias(f"_at_{n}") for n in points))
 
-    def way(make: Callable[[Get, Get], Way]) -> tuple[str, int, Column]:
+    def way(make: Callable[[Get, Get], Way], *anchors: str) -> tuple[str, int, Column]:
         kind: list[tuple[str, int]] = []
 
         def of(x: Column) -> Column:
@@ -221,13 +221,14 @@ def locate_on_pages(pages: DataFrame) -> DataFrame:
             kind.append((name, stage))
             return F.when(when, candidate(x, score, method))
 
-        found = F.array_max(F.transform("lines", of))
+        # a page without the way's anchors has no candidates, so its lines are not looked at
+        found = F.when(F.coalesce(*(F.col(f"_at_{n}.px") for n in anchors)).isNotNull(), F.array_max(F.transform("lines", of)))
         return *kind[0], found
 
     def candidate(x: Column, score: Column, method: str) -> Column:
         return F.struct(score.cast("double").alias("score"), (-x["line_idx"]).alias("i"), F.lit(method).alias("method"), x["text"].alias("text"), x["px"].alias("px"), x["py"].alias("py"), x["confidence"].alias("confidence"))
 
-    ways = [way(m) for m in (payee_way, cheque_way, date_way, amount_way)]
+    ways = [way(payee_way, "pay_to_label", "pay_to_label_ar"), way(cheque_way, "cheque_label", "cheque_label_ar"), way(date_way, "date_label"), way(amount_way, "egp_label")]
     rows = rows.select("*", *(w.alias(f"_way_{n}_{stage}") for n, stage, w in ways))
     of_name = lambda f, stage: F.coalesce(*(F.when(f["name"] == n, F.col(f"_way_{n}_{stage}")) for n, own, _ in ways if own == stage))
 

@@ -82,3 +82,13 @@ def test_batch_names(spark):
     assert one(spark, kpi.seq_from_name(F.col("t"), F.lit("BANQUE_MISR"), day), t="23_09_2025_BANQUE_MISR_12") == 12
     assert one(spark, kpi.seq_from_name(F.col("t"), F.lit("QNB"), day), t="23_09_2025_CIB_12") is None
     assert str(one(spark, kpi.business_date(F.to_timestamp(F.lit("2025-09-23T22:30:00Z"))), t="")) == "2025-09-24"
+
+
+def test_clean_text_meets_python_once(spark):
+    """One pass, without plain ASCII texts, gives what the steps one by one give."""
+    rows = spark.createDataFrame([(x,) for x in ("a \t b", "", None, "ئؤ إبـى", "é ﬁ", "١٢ x", "‎yَ", "\U0001d400")], "t string")
+    folded = F.translate(text.norm_digits(text.fold_arabic(text.nfkc(F.col("t")))), text.TATWEEL, "")
+    steps = text.collapse_ws(F.translate(text.strip_marks(folded), text.CONTROLS, ""))
+    got = rows.select(text.clean_text(F.col("t")).alias("c"))
+    assert [r.c for r in got.collect()] == [r.c for r in rows.select(steps.alias("c")).collect()]
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
