@@ -361,7 +361,7 @@ def extract_audit(s: SparkSession, d: str) -> DataFrame:
     """The same pages as audit documents, written and read back: one row for every field, with its box."""
     records = written(s, extracted(s, d), "records")
     path = work.folder(s, "extracted")
-    writers.write_audit(pipeline.audit_documents(records, pipeline.decisions(records)), path)
+    writers.write_audit(pipeline.audit_documents(records, pipeline.decisions(records)), path, compression="gzip")
     back = readers.scan_audit(s, path).select("bank", "file", "decision.decision", "decision.stp", F.explode("fields").alias("name", "r"))
     return back.select("bank", "file", "decision", "stp", "name", "r.ocr_text", "r.parse_norm", "r.parse_ok", "r.field_conf", "r.source", *(F.col("r.bbox")[i].alias(n) for i, n in enumerate(ex.SIDES)))
 
