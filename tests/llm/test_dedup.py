@@ -265,5 +265,25 @@ def test_block_sort_ties(spark):
             assert again.tolist() == [seen[x[k : k + length]] > 1 for k in range(len(x) - length + 1)]
 
 
+def test_passages_leave_texts_and_spans(spark):
+    """The texts that are left, byte for byte, and what was cut; copies of a row keep a row each, a halved character is shown as such."""
+    rng = random.Random(8)
+    shared = prose(rng, 30)
+    rows = [(1, "head " + shared + " tail"), (2, shared), (3, "other"), (3, "other"), (4, shared + "x"), (4, shared + "x"), (None, None), (5, "é" + "b" * 90), (6, "ũ" + "b" * 90)]
+    got = suffix_dedup.cut_repeats(frame(spark, rows), 80, 16).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    digest = lambda r: hashlib.sha256(bytes(r.kept)).hexdigest()
+    brute = passages_brute(rows, 80)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, len(raw[r.doc_id]), sum(s.end - s.start for s in r.spans), len(r.spans), digest(r)) for r in got) == brute
+    for r in got:
+        left = raw[r.doc_id]
+        for s in reversed(r.spans):
+            left = left[: s.start] + left[s.end :]
+        assert left == bytes(r.kept)
+    texts = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(frame(spark, rows), 80, 16).collect()}
+    assert shared not in texts[1] and texts[3] == "other" and texts[4] == "" and texts[None] == "" and texts[5] == "�"
+
+
 def test_passages_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
