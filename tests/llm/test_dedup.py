@@ -285,5 +285,19 @@ def test_passages_leave_texts_and_spans(spark):
     assert shared not in texts[1] and texts[3] == "other" and texts[4] == "" and texts[None] == "" and texts[5] == "�"
 
 
+def test_passages_of_over_50_words(spark, tmp_path):
+    """Planted in two documents each: all that reach 400 bytes go, shorter ones stay however many words they have, documents without one stay whole."""
+    rng = random.Random(11)
+    planted = {i: prose(rng, 400)[:size] for i, size in enumerate((250, 399, 400, 401, 900))}
+    rows = [(10 * i + k, f"{prose(rng, 90)} {k}{p}{k} {prose(rng, 90)}") for i, p in planted.items() for k in (1, 2)] + [(100 + i, prose(rng, 300)) for i in range(20)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        p = planted.get(i // 10, "")
+        assert i >= 100 or len(p.split()) > 50
+        assert (got[i].n_removed, got[i].text) == ((len(p), t.replace(p, "")) if len(p) >= 400 else (0, t))
+
+
 def test_passages_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
