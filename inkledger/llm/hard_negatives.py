@@ -6,6 +6,7 @@ out where for some split point no distance in its range lets it reach the annulu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,27 +108,31 @@ class Gnat:
         tree = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[tuple[int, int, int], tuple[float, float]] = {}
+            # of each node: points and, as the last line, squared lengths; by child
+            low, high = ([np.full((len(n.points) + 1, len(n.points)), x) for n in tree.nodes] for x in (np.inf, -np.inf))
             for b in batches:
                 mat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32).reshape(-1, dim).astype(np.float64)
                 size = (mat * mat).sum(axis=1)
                 for at, own, away, home in tree.visits(mat):
                     if at < 0:
                         continue
-                    for j in np.unique(home):
-                        part = home == j
-                        for i, values in ((-1, size[own[part]]), *enumerate(away[part].T)):
-                            low, high = seen.get((at, i, int(j)), (np.inf, -np.inf))
-                            seen[at, i, int(j)] = min(low, float(values.min())), max(high, float(values.max()))
-            if seen:
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in seen], pa.int32()) for i in range(3)), *(pa.array([v[i] for v in seen.values()], pa.float64()) for i in range(2))], ["node", "point", "child", "low", "high"])
-
-        found = rows.select("vec").mapInArrow(run, "node int, point int, child int, low double, high double").groupBy("node", "point", "child").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        for r in found.collect():
-            if r["point"] < 0:
-                self.short[r["node"]][r["child"]], self.long[r["node"]][r["child"]] = r["low"], r["high"]
+                    order = np.argsort(home, kind="stable")
+                    values = np.concatenate([away[order], size[own[order], None]], axis=1)
+                    kids, starts = np.unique(home[order], return_index=True)
+                    low[at][:, kids] = np.minimum(low[at][:, kids], np.minimum.reduceat(values, starts, axis=0).T)
+                    high[at][:, kids] = np.maximum(high[at][:, kids], np.maximum.reduceat(values, starts, axis=0).T)
+            for at, (least, most) in enumerate(zip(low, high, strict=True)):
+                point, child = np.nonzero(most > -np.inf)
+                if len(point):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(point), at, np.int32)), *(pa.array(x.astype(np.int32)) for x in (point, child)), *(pa.array(x[point, child]) for x in (least, most))], ["node", "point", "child", "low", "high"])
+
+        with vectors.batches_of(rows.sparkSession, max(256, min(8192, (1 << 20) // dim))):
+            found = rows.select("vec").mapInArrow(run, "node int, point int, child int, low double, high double").groupBy("node", "point", "child").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        for node, point, child, low, high in zip(*(found.column(c).to_numpy() for c in ("node", "point", "child", "low", "high")), strict=True):
+            if point == len(self.nodes[node].points):
+                self.short[node][child], self.long[node][child] = low, high
             else:
-                self.low[r["node"]][r["point"], r["child"]], self.high[r["node"]][r["point"], r["child"]] = r["low"], r["high"]
+                self.low[node][point, child], self.high[node][point, child] = low, high
 
     def reach(self, queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(leaf, places of the queries) where a row's score may lie in one of the query's windows [low, high] (query, window)."""
@@ -157,49 +162,111 @@ def query_blocks(rows: DataFrame) -> DataFrame:
     return vectors.pack(rows.withColumn("salt", F.lit(0)), ["cell", "salt"], vectors.PIECE_QUERIES)
 
 
-def windows(column: pa.Array, row: int) -> np.ndarray:
-    lists = column[row].values
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+#: Whole numbers below this are exact in single precision, sums of products too where the lengths' product is below it.
+SINGLE = 1 << 24
 
 
-def search(queries: DataFrame, pieces: DataFrame, many: dict[int, int], tree: Gnat, dim: int, same_label: bool, k: int, scratch: Scratch, name: str) -> DataFrame:
+@dataclass
+class Leaf:
+    """The rows of a leaf that a task holds, by label."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    mat: np.ndarray  # single precision, which holds integers up to LIMIT exactly
+    longest: float
+
+    def of(self, label: int) -> tuple[int, int]:
+        return int(np.searchsorted(self.labels, label, "left")), int(np.searchsorted(self.labels, label, "right"))
+
+
+def leaves(cells: dict[int, vectors.Block], dim: int) -> dict[int, Leaf]:
+    out = {}
+    for cell, rows in cells.items():
+        order = np.argsort(rows["label"], kind="stable")
+        mat = vectors.unpack(rows["vec"], np.int32, dim)[order].astype(np.float32)
+        size = np.einsum("ij,ij->i", mat, mat, dtype=np.float64)
+        out[cell] = Leaf(rows["vec_id"][order], rows["label"][order], mat, float(np.sqrt(size.max())))
+    return out
+
+
+def compare(held: dict[int, Leaf], c: vectors.Block, asked: dict[int, np.ndarray], dim: int, same_label: bool, k: int) -> Iterator[pa.RecordBatch]:
+    """q, w, vec_id, score: the k best rows of the leaves in each window of each query. The k-th score so far lifts a window."""
+    order = np.argsort(c["label"], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    q, own, labels, low, high = (c[n][order] for n in ("q", "vec_id", "label", "low", "high"))
+    whole = vectors.unpack(c["vec"], np.int32, dim)[order].astype(np.float64)
+    longest, many, best = float(np.sqrt((whole * whole).sum(axis=1).max())), low.shape[1], vectors.Best(low.size, k)
+
+    def floors() -> np.ndarray:
+        """Below these scores no window of a query is open."""
+        floor = np.where(low <= high, np.maximum(low, -best.edge.reshape(low.shape)), np.inf).min(axis=1)
+        return floor if exact is np.float64 else np.clip(np.ceil(floor), -SINGLE, SINGLE).astype(exact)
+
+    for cell, places in asked.items():
+        leaf = held[cell]
+        exact = np.float32 if longest * leaf.longest < SINGLE else np.float64
+        mine, floor = whole.astype(exact), floors()
+        at = np.sort(place[places])
+        runs = np.flatnonzero(np.diff(labels[at], prepend=labels[at[0]] - 1))
+        runs = [(int(a), int(b), *leaf.of(labels[at[a]])) for a, b in zip(runs, [*runs[1:], len(at)], strict=True)]
+        # of the query's label: for each label its queries and rows; of other labels: all of them without these
+        for first, end, start, stop in runs if same_label else [(0, len(at), 0, len(leaf.ids))]:
+            part = at[first:end]
+            step = max(1, vectors.STEP_PAIRS // len(part))
+            for j0 in range(start, stop, step):
+                j1 = min(j0 + step, stop)
+                score = mine[part] @ leaf.mat[j0:j1].astype(exact, copy=False).T
+                if not same_label:
+                    for a, b, x, y in runs:
+                        score[a:b, max(x - j0, 0) : max(y - j0, 0)] = -np.inf
+                hit = np.flatnonzero(score >= floor[part, None])
+                if not len(hit):
+                    continue
+                i, j = part[hit // (j1 - j0)], hit % (j1 - j0) + j0
+                points = score.reshape(-1)[hit].astype(np.float64)
+                fits = (points > -np.inf) & ((own[i] != leaf.ids[j]) | (leaf.ids[j] == vectors.NO_ID))
+                i, ids, points, moved = i[fits], leaf.ids[j[fits]], points[fits], False
+                for w in range(many):
+                    good = (points >= low[i, w]) & (points <= high[i, w]) & (points >= -best.edge[i * many + w])
+                    moved |= best.add(i[good] * many + w, ids[good], -points[good])
+                if moved:
+                    floor = floors()
+    key, ids, points = best.settle()
+    if len(key):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[key // many], (key % many).astype(np.int32), ids, -points.astype(np.int64))], ["q", "w", "vec_id", "score"])
+
+
+def search(queries: DataFrame, pieces: DataFrame, groups: vectors.Groups, tree: Gnat, dim: int, same_label: bool, k: int, scratch: Scratch, name: str) -> DataFrame:
     """q, w, vec_id, score, rank: for each query and each of its windows the k rows of highest score within it, of the query's label
     or of other labels; rows with the query's id are not its results. queries: cell, q, vec_id, label, vec, low, high.
 
-    First one piece of the query's own leaf lifts the lower ends of its windows to the k-th score there; then it goes to all leaves
-    that the tree cannot exclude, where the k best are exact."""
-
-    def kernel(c: dict[str, pa.Array], row: int) -> Iterator[pa.RecordBatch]:
-        mine, theirs = (vectors.unpack(c[n], row, np.int32, dim).astype(np.float64) for n in ("vec", "x_vec"))
-        low, high, ids = windows(c["low"], row), windows(c["high"], row), vectors.longs(c["x_vec_id"], row)
-        q, own, labels = (vectors.longs(c[n], row) for n in ("q", "vec_id", "label"))
-        score = mine @ theirs.T
-        fits = (labels[:, None] == vectors.longs(c["x_label"], row)) == same_label
-        fits &= (own[:, None] != ids) | (ids == vectors.NO_ID)
-        out = []
-        for w in range(low.shape[1]):
-            good = fits & (score >= low[:, w, None]) & (score <= high[:, w, None])
-            for i in np.flatnonzero(good.any(axis=1)):
-                at = np.flatnonzero(good[i])
-                at = at[vectors.firsts(-score[i, at], ids[at], k)]
-                out.append((np.full(len(at), q[i]), np.full(len(at), w, np.int32), ids[at], score[i, at].astype(np.int64)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in range(4)], ["q", "w", "vec_id", "score"])
-
-    def reached(b: pa.RecordBatch, row: int) -> Iterator[tuple[int, np.ndarray]]:
-        column = lambda n: b.column(b.schema.get_field_index(n))
-        yield from tree.reach(vectors.unpack(column("vec"), row, np.int32, dim).astype(np.float64), windows(column("low"), row), windows(column("high"), row))
+    First one piece of the query's own leaf lifts the lower ends of its windows to the k-th score there, then a share of the groups
+    does, then it goes to the other groups; of each it sees all leaves that the tree cannot exclude, where the k best are exact."""
+
+    def hold(cells: dict[int, vectors.Block]) -> dict[int, Leaf]:
+        return leaves(cells, dim)
+
+    def ask(held: dict[int, Leaf], c: vectors.Block, asked: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield from compare(held, c, asked, dim, same_label, k)
+
+    def reached(c: vectors.Block) -> Iterator[tuple[int, np.ndarray]]:
+        yield from tree.reach(vectors.unpack(c["vec"], np.int32, dim).astype(np.float64), c["low"], c["high"])
+
+    def lifted(queries: DataFrame, found: DataFrame) -> DataFrame:
+        edge = vectors.ranked(found, ["q", "w"], F.desc("score"), k).filter(F.col("rank") == k).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("score").cast("double").alias("s")))).alias("edge"))
+        return queries.join(edge, "q", "left").withColumn("low", F.transform("low", lambda x, i: F.greatest(x, F.try_element_at("edge", i.cast("int"))))).drop("edge")
 
     schema = "q long, w int, vec_id long, score long"
     with vectors.batches_of(queries.sparkSession, vectors.PIECES):
         heads = scratch.write(query_blocks(queries), f"{name}-heads")
-        first = scratch.write(vectors.meet(heads, pieces.filter("salt = 0"), kernel, schema), f"{name}-first")
-        edge = vectors.ranked(first, ["q", "w"], F.desc("score"), k).filter(F.col("rank") == k).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("score").cast("double").alias("s")))).alias("edge"))
-        lifted = queries.join(edge, "q", "left").withColumn("low", F.transform("low", lambda x, i: F.greatest(x, F.try_element_at("edge", i.cast("int"))))).drop("edge")
-        blocks = scratch.write(query_blocks(lifted), f"{name}-blocks")
-        sent = vectors.spread_queries(blocks, reached, many)
-        found = scratch.write(vectors.meet(sent, pieces, kernel, schema), f"{name}-found")
-    return vectors.ranked(found, ["q", "w"], F.desc("score"), k)
+        more, found = scratch.write(vectors.meet(heads, pieces.filter("salt = 0"), hold, ask, schema), f"{name}-first"), []
+        for n, wanted in enumerate(groups.rounds()):
+            queries = scratch.write(lifted(queries, more), f"{name}-lifted-{n}")
+            blocks = scratch.write(query_blocks(queries), f"{name}-blocks-{n}")
+            more = scratch.write(vectors.pass_by(pieces, vectors.spread_queries(blocks, reached, groups, wanted), groups, wanted, hold, ask, schema), f"{name}-found-{n}")
+            found.append(more)
+    return vectors.ranked(functools.reduce(DataFrame.unionByName, found), ["q", "w"], F.desc("score"), k)
 
 
 def mine(df: DataFrame, label: Column, anchors: Column, positives: int = 5, negatives: int = 10, scale: int = 256, least: int = 30, most: int = 90) -> DataFrame:
@@ -217,24 +284,24 @@ def mine(df: DataFrame, label: Column, anchors: Column, positives: int = 5, nega
     if dim is None:
         return spark.createDataFrame([], result)
     rows = vectors.of_dimension(rows, dim)
-    tree = Gnat(integers(vectors.sample(rows, dim), scale).astype(np.float64), -(-total // LEAF_ROWS))
+    tree = Gnat(integers(vectors.sample(rows, dim, total), scale).astype(np.float64), -(-total // LEAF_ROWS))
     # the label travels with the anchor's mark in its last bit
     marked = rows.withColumn("label", F.shiftleft("label", 1) + F.col("is_anchor").cast("int"))
     placed = scratch.write(vectors.assign(marked, dim, lambda m: tree.placed(integers(m, scale))), "placed")
     tree.measure(placed, dim)
     plain = placed.withColumn("label", F.shiftright("label", 1))
-    many = vectors.salts(placed)
+    groups = vectors.groups(placed, 4 * dim)
     with vectors.batches_of(spark, 4096):
-        pieces = scratch.write(vectors.pack(vectors.salted(plain, many), ["cell", "salt"], vectors.PIECE_ROWS), "pieces")
+        pieces = scratch.write(vectors.pack(vectors.salted(plain, groups.salts), ["cell", "salt"], vectors.PIECE_ROWS), "pieces")
     ends = lambda x: F.array(F.lit(x).cast("double"))
     queries = scratch.write(placed.filter("label % 2 <> 0").withColumns({"label": F.shiftright("label", 1), "q": F.monotonically_increasing_id(), "low": ends("-Infinity"), "high": ends("Infinity")}), "anchors")
-    same = scratch.write(search(queries, pieces, many, tree, dim, True, positives, scratch, "same"), "positives")
+    same = scratch.write(search(queries, pieces, groups, tree, dim, True, positives, scratch, "same"), "positives")
     # least * p <= 100 * n <= most * p: a quotient of whole numbers below 2^53 falls on the right side of every whole score
     p = F.col("score")
     best = same.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
     bound = lambda share: F.concat(F.transform("scores", lambda s: share * s / F.lit(100.0)), F.array_repeat(F.lit(float("nan")), F.lit(positives) - F.size("scores")))
     asked = scratch.write(queries.drop("low", "high").join(best, "q").withColumns({"low": bound(float(least)), "high": bound(float(most))}).drop("scores"), "windows")
-    other = search(asked, pieces, many, tree, dim, False, negatives, scratch, "other")
+    other = search(asked, pieces, groups, tree, dim, False, negatives, scratch, "other")
     pairs = same.select("q", (F.col("rank") - 1).alias("w"), F.col("vec_id").alias("positive_id"), p.alias("positive_score"))
     named = lambda c: F.nullif(F.col(c), F.lit(vectors.NO_ID)).alias(c)
     joined = other.withColumnsRenamed({"vec_id": "negative_id", "score": "negative_score"}).join(pairs, ["q", "w"]).join(queries.select("q", F.col("vec_id").alias("anchor_id")), "q")

@@ -2,10 +2,15 @@
 
 Vectors are rotated at random, so that a few coordinates of a difference estimate its length. A probed list is scanned in blocks of
 coordinates; after each block a hypothesis test compares the partial distance with the query's k-th distance so far and abandons
-the candidates that are too far with high confidence. What survives all blocks is measured on the original vectors."""
+the candidates that are too far with high confidence. What survives all blocks is measured on the original vectors.
+
+A product of matrices takes as many blocks at once as leave few pairs: those that can pass the last of these tests and are no farther
+than the k-th row found since. They go through all tests all the same, against the k-th distance that the query set out with, so
+what is found depends neither on how many blocks the product took nor on the order in which lists are scanned."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,40 +64,108 @@ class Index:
     def __init__(self, rows: np.ndarray, many: int, dim: int, exact: type, p: Search):
         self.dim, self.exact, self.p = dim, exact, p
         self.turn, self.centres = rotation(dim), centres(rows, many)
+        self.seen = dim  # coordinates of a task's next product
 
     def placed(self, mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The list of each vector, and its bytes: the vector itself, then its rotation."""
+        """The list of each vector, and the vector."""
         with np.errstate(over="ignore", invalid="ignore"):
             cells = squares(mat, self.centres).argmin(axis=1) if len(mat) else np.zeros(0)
-            own, turned = np.ascontiguousarray(mat.astype(self.exact)), np.ascontiguousarray(mat @ self.turn)
-        return cells.astype(np.int32), np.concatenate([own.view(np.uint8).reshape(len(mat), -1), turned.view(np.uint8).reshape(len(mat), -1)], axis=1)
+        return cells.astype(np.int32), np.ascontiguousarray(mat.astype(self.exact))
 
-    def read(self, column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors, rotated vectors) of a piece."""
-        first = self.dim * np.dtype(self.exact).itemsize
-        data = vectors.unpack(column, row, np.uint8, first + 8 * self.dim)
-        own, turned = np.ascontiguousarray(data[:, :first]), np.ascontiguousarray(data[:, first:])
-        return own.view(self.exact).astype(np.float64), turned.view(np.float64)
+    def read(self, data: bytes) -> np.ndarray:
+        return vectors.unpack(data, self.exact, self.dim).astype(np.float64)
 
     def order(self, queries: np.ndarray) -> np.ndarray:
         """For each query all lists, nearest centre first."""
         return np.argsort(squares(queries, self.centres), axis=1, kind="stable")
 
-    def scan(self, mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray], fits: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, distance) of the pairs that no test abandons; edge holds the squared k-th distances so far."""
-        (q, turned_q), (x, turned_x) = mine, theirs
-        slack = 1e-9 * ((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1))  # of the partial sums, against an edge of 0
-        cut = min(self.p.block, self.dim)
-        limit = lambda seen: seen / self.dim * (1.0 + (self.p.epsilon / np.sqrt(seen) if seen < self.dim else 0.0)) ** 2
-        part = squares(turned_q[:, :cut], turned_x[:, :cut])
-        i, j = np.nonzero(fits & (part <= edge[:, None] * limit(cut) + slack))
-        part = part[i, j]
-        while cut < self.dim and len(i):
-            end = min(cut + self.p.block, self.dim)
-            part = part + ((turned_q[i, cut:end] - turned_x[j, cut:end]) ** 2).sum(axis=1)
-            stay = part <= edge[i] * limit(end) + slack[i, j]
-            i, j, part, cut = i[stay], j[stay], part[stay], end
-        return i, j, np.sqrt(((q[i] - x[j]) ** 2).sum(axis=1))
+    def limit(self, seen: int) -> float:
+        """The share of the squared k-th distance that the partial distance over so many coordinates may reach."""
+        return seen / self.dim * (1.0 + (self.p.epsilon / np.sqrt(seen) if seen < self.dim else 0.0)) ** 2
+
+    def hold(self, cells: dict[int, vectors.Block]) -> dict[int, List]:
+        return {cell: List(self, cell, rows) for cell, rows in cells.items()}
+
+    def rotated(self, mat: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rotated differences to a point, in single precision where squares stay within its range, and their squared lengths."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            turned = (mat - origin) @ self.turn
+            size = (turned * turned).sum(axis=1)
+        return turned.astype(np.float32 if size.max() < 1e30 else np.float64), size
+
+    def scan(self, held: dict[int, List], c: vectors.Block, asked: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """q, vec_id, score: the k nearest of the pairs that no test abandons, for each query. edge holds the squared distances that the
+        tests are against, near the squared k-th distances so far."""
+        q, ids, best = self.read(c["vec"]), c["vec_id"], vectors.Best(len(c["q"]), self.p.k)
+        for cell, places in asked.items():
+            own, step = held[cell], max(1, vectors.STEP_PAIRS // len(places))
+            near = Near(self, own, q[places], c["edge"][places])
+            for start in range(0, len(own.ids), step):
+                i, j = near.pairs(slice(start, start + step), np.minimum(c["near"], best.edge * best.edge * WIDER)[places])
+                i, fits = places[i], (ids[places[i]] != own.ids[j]) | (own.ids[j] == vectors.NO_ID)
+                i, j = i[fits], j[fits]
+                away = np.sqrt(((q[i] - own.data[j]) ** 2).sum(axis=1))
+                good = away <= best.edge[i]
+                best.add(i[good], own.ids[j[good]], away[good])
+        key, found, away = best.settle()
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["q"][key], found, away)], ["q", "vec_id", "score"])
+
+
+class List:
+    """The rows of a list that a task holds: as they are, and as rotated differences to the list's centre."""
+
+    def __init__(self, index: Index, cell: int, rows: vectors.Block):
+        self.ids, self.data, self.origin = rows["vec_id"], vectors.unpack(rows["vec"], index.exact, index.dim), index.centres[cell]
+        self.turned, self.size = index.rotated(self.data.astype(np.float64), self.origin)
+        self.wide: tuple[int, type, np.ndarray] = (0, object, self.turned)
+
+    def augmented(self, seen: int, kind: type, slack: float) -> np.ndarray:
+        """The first coordinates, and one more that is half their squares less what rounding may take."""
+        if self.wide[:2] != (seen, kind):
+            head = self.turned[:, :seen]
+            lift = ((head.astype(np.float64) ** 2).sum(axis=1) - 2 * slack * self.size) / 2
+            self.wide = seen, kind, np.concatenate([head, lift[:, None]], axis=1, dtype=kind)
+        return self.wide[2]
+
+
+class Near:
+    """Queries against the rows of a list."""
+
+    def __init__(self, index: Index, own: List, q: np.ndarray, edge: np.ndarray):
+        self.index, self.own, self.edge = index, own, edge
+        self.turned, self.size = index.rotated(q, own.origin)
+        self.kind = np.float32 if self.turned.dtype == own.turned.dtype == np.float32 else np.float64
+        #: Rounding is within this share of the squared lengths.
+        self.slack = (1e-5 if self.kind is np.float32 else 1e-9) * max(1.0, index.dim / 64)
+
+    def product(self, part: slice, seen: int, near: np.ndarray) -> np.ndarray:
+        """The places (query, row) of the pairs that can pass the test after so many coordinates and can be as near as ``near``."""
+        head, edge = self.turned[:, :seen], np.minimum(self.edge * self.index.limit(seen), near)
+        bound = ((head.astype(np.float64) ** 2).sum(axis=1) - edge - 2 * self.slack * self.size) / 2
+        bound = np.where(np.isnan(bound), -np.inf, bound).astype(self.kind)
+        reached = np.concatenate([head, np.full((len(head), 1), -1)], axis=1, dtype=self.kind) @ self.own.augmented(seen, self.kind, self.slack)[part].T
+        return np.flatnonzero(~(reached < bound[:, None]))
+
+    def pairs(self, part: slice, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of the pairs that pass every test, without those that are farther than ``near`` (squared)."""
+        index, own, block, last = self.index, self.own, self.index.p.block, self.index.dim
+        rows = len(own.ids[part])
+        with np.errstate(over="ignore", invalid="ignore"):
+            hit = self.product(part, index.seen, near)
+            while len(hit) * 256 > len(near) * rows and index.seen < last:
+                index.seen = min((index.seen // block + 1) * block, last)
+                hit = self.product(part, index.seen, near)
+            if len(hit) * 4096 < len(near) * rows and index.seen > block:
+                index.seen = (index.seen - 1) // block * block
+            i, j = hit // rows, hit % rows + part.start
+            partial, at = np.zeros(len(i)), 0
+            while at < last and len(i):
+                end = min(at + block, last)
+                partial = partial + ((self.turned[i, at:end].astype(np.float64) - own.turned[j, at:end]) ** 2).sum(axis=1)
+                stay = ~(partial > self.edge[i] * index.limit(end) + self.slack * (self.size[i] + own.size[j]))
+                i, j, partial, at = i[stay], j[stay], partial[stay], end
+        return i, j
 
 
 def _best(i: np.ndarray, j: np.ndarray, away: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, *more: np.ndarray) -> pa.RecordBatch:
@@ -105,20 +178,21 @@ def _best(i: np.ndarray, j: np.ndarray, away: np.ndarray, q: np.ndarray, ids: np
 
 
 FOUND = "q long, vec_id long, score double"
+#: A squared distance times this is not below the square that it was taken from.
+WIDER = 1 + 1e-12
 
 
 def probes(queries: DataFrame, pieces: DataFrame, index: Index) -> int:
     """How many lists hold enough of the true neighbours of some queries: these few are compared with all rows."""
     p, dim = index.p, index.dim
     asked = queries.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(p.tuned).select("q", "vec_id", "vec").collect()
-    bytes_ = pa.array([[bytes(r["vec"]) for r in asked]], pa.list_(pa.binary()))
-    own = index.read(bytes_, 0)[0]
+    own = index.read(b"".join(bytes(r["vec"]) for r in asked))
     q, own_ids = np.arange(len(asked)), np.array([r["vec_id"] for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                x, ids = index.read(b.column(1), row)[0], vectors.longs(b.column(2), row)
+                x, ids = index.read(b.column(1)[row].as_py()), b.column(2)[row].values.to_numpy(zero_copy_only=False)
                 fits = (own_ids[:, None] != ids) | (ids == vectors.NO_ID)
                 away = np.where(fits, squares(own, x), np.inf)
                 edge = np.partition(away, min(p.k, len(ids)) - 1, axis=1)[:, min(p.k, len(ids)) - 1]
@@ -147,34 +221,38 @@ def nearest(df: DataFrame, queries: Column, p: Search = Search()) -> DataFrame:
     rows = vectors.of_dimension(rows, dim)
     kind = df.schema["embedding"].dataType
     exact = np.float32 if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else np.float64
-    index = Index(vectors.sample(rows, dim), min(p.max_lists, -(-total // p.list_rows)), dim, exact, p)
+    index = Index(vectors.sample(rows, dim, total), min(p.max_lists, -(-total // p.list_rows)), dim, exact, p)
     placed = scratch.write(vectors.assign(rows, dim, index.placed), "placed")
-    many = vectors.salts(placed)
+    groups = vectors.groups(placed, dim * np.dtype(exact).itemsize)
+    with vectors.batches_of(spark, 4096):
+        pieces = scratch.write(vectors.pack(vectors.salted(placed.drop("label"), groups.salts), ["cell", "salt"], vectors.PIECE_ROWS), "pieces")
+        asked = scratch.write(placed.filter("label = 1").drop("label").withColumns({"q": F.monotonically_increasing_id(), "edge": F.lit(float("inf")), "near": F.lit(float("inf"))}), "queries")
 
-    def kernel(c: dict[str, pa.Array], row: int) -> Iterator[pa.RecordBatch]:
-        ids, own = vectors.longs(c["x_vec_id"], row), vectors.longs(c["vec_id"], row)
-        i, j, away = index.scan(index.read(c["vec"], row), index.read(c["x_vec"], row), (own[:, None] != ids) | (ids == vectors.NO_ID), vectors.longs(c["edge"], row))
-        if len(i):
-            yield _best(i, j, away, vectors.longs(c["q"], row), ids, p.k)
+    def blocks(rows: DataFrame) -> DataFrame:
+        return vectors.pack(rows.withColumn("salt", F.lit(0)), ["cell", "salt"], vectors.PIECE_QUERIES)
+
+    def nearer(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+        kth = vectors.ranked(found, ["q"], F.col("score"), p.k).filter(F.col("rank") == p.k).select("q", (F.col("score") * F.col("score") * WIDER).alias("kth"))
+        return rows.join(kth, "q", "left").withColumns({c: F.least("kth", c) for c in columns}).select(*rows.columns)
 
-    with vectors.batches_of(spark, 4096):
-        pieces = scratch.write(vectors.pack(vectors.salted(placed.drop("label"), many), ["cell", "salt"], vectors.PIECE_ROWS), "pieces")
-        asked = scratch.write(placed.filter("label = 1").drop("label").withColumns({"q": F.monotonically_increasing_id(), "edge": F.lit(float("inf")), "salt": F.lit(0)}), "queries")
     with vectors.batches_of(spark, vectors.PIECES):
         lists = probes(asked, pieces, index)
-        heads = scratch.write(vectors.pack(asked, ["cell", "salt"], vectors.PIECE_QUERIES), "heads")
-        # one piece of a query's own list gives the first k-th distance
-        first = scratch.write(vectors.meet(heads, pieces.filter("salt = 0"), kernel, FOUND), "first")
-        edge = vectors.ranked(first, ["q"], F.col("score"), p.k).filter(F.col("rank") == p.k).select("q", (F.col("score") * F.col("score") * (1 + 1e-12)).alias("kth"))
-        known = asked.join(edge, "q", "left").withColumn("edge", F.coalesce("kth", "edge")).drop("kth").select(*asked.columns)
-        blocks = scratch.write(vectors.pack(known, ["cell", "salt"], vectors.PIECE_QUERIES), "blocks")
-
-        def probed(b: pa.RecordBatch, row: int) -> Iterator[tuple[int, np.ndarray]]:
-            order = index.order(index.read(b.column(b.schema.get_field_index("vec")), row)[0])[:, :lists]
-            for cell in np.unique(order):
-                yield int(cell), np.flatnonzero((order == cell).any(axis=1))
-
-        found = scratch.write(vectors.meet(vectors.spread_queries(blocks, probed, many), pieces, kernel, FOUND), "found")
+
+        def probed(c: vectors.Block) -> Iterator[tuple[int, np.ndarray]]:
+            order = index.order(index.read(c["vec"]))[:, :lists]
+            at = np.argsort(order, axis=None, kind="stable")
+            cells, starts = np.unique(order.reshape(-1)[at], return_index=True)
+            for cell, places in zip(cells, np.split(at // order.shape[1], starts[1:]), strict=True):
+                yield int(cell), places
+
+        # one piece of a query's own list gives the k-th distance that tests are against, a share of the groups a nearer one
+        heads = scratch.write(blocks(asked), "heads")
+        now, more, found = asked, scratch.write(vectors.meet(heads, pieces.filter("salt = 0"), index.hold, index.scan, FOUND), "first"), []
+        for n, wanted in enumerate(groups.rounds()):
+            now = scratch.write(nearer(now, more, "near") if n else nearer(now, more, "edge", "near"), f"known-{n}")
+            sent = vectors.spread_queries(scratch.write(blocks(now), f"blocks-{n}"), probed, groups, wanted)
+            more = scratch.write(vectors.pass_by(pieces, sent, groups, wanted, index.hold, index.scan, FOUND), f"found-{n}")
+            found.append(more)
     named = lambda c, to: F.nullif(F.col(c), F.lit(vectors.NO_ID)).alias(to)
-    best = vectors.ranked(found, ["q"], F.col("score"), p.k)
+    best = vectors.ranked(functools.reduce(DataFrame.unionByName, found), ["q"], F.col("score"), p.k)
     return best.join(asked.select("q", F.col("vec_id").alias("asked_id")), "q").select(named("asked_id", "query_id"), "rank", named("vec_id", "vec_id"), "score")

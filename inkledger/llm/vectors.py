@@ -1,13 +1,14 @@
 """What the vector operators share: which rows count, bounded samples, and blocks of vectors that meet blocks of queries.
 
 An index assigns every row a cell. Rows of a cell are packed into pieces of at most ``PIECE_ROWS`` vectors, and a cell with many
-rows is spread over salts, so no task gathers a cell. Queries are packed likewise; what an index says of a query block is which
-(cell, salt) keys it must see, and an equi-join on that key brings the blocks together."""
+rows is spread over salts, so no task gathers a cell. Consecutive pieces form groups of about equal size. A task holds one group and
+the queries that have to see it pass by in blocks, so a query travels once for each group and not for each piece."""
 
 from __future__ import annotations
 
 import contextlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,12 @@ PIECE_ROWS, PIECE_QUERIES = 2048, 256
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 1 << 23
 #: Packed pieces that pass to Python at once.
 PIECES = 16
+#: Groups that rows are dealt into (fewer than that many pieces: one each), more where a group's vectors would exceed these bytes.
+GROUPS, GROUP_BYTES = 64, 1 << 26
+#: Of four times so many groups or more, the first round takes every ROUND-th: what it finds bounds the round over the others.
+ROUND = 8
+#: Pairs that are compared at once, and queries.
+STEP_PAIRS, STEP_QUERIES = 1 << 19, 512
 
 
 @contextlib.contextmanager
@@ -55,11 +62,23 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def sample(rows: DataFrame, dim: int) -> np.ndarray:
-    """The vectors of at most SAMPLE_ROWS rows (fewer for long vectors), by the least hashes of their ids and components."""
+def sample(rows: DataFrame, dim: int, total: int) -> np.ndarray:
+    """The vectors of at most SAMPLE_ROWS of ``total`` rows (fewer for long vectors), by the least hashes of their ids and components.
+
+    Only rows below a bound on the hash are sent, copies as one with their number, so the driver gets little more than the sample
+    from however many tasks; the bound is raised while too few rows lie below it."""
     n = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // max(1, dim)))
-    found = rows.select("embedding", F.xxhash64("vec_id", "embedding").alias("h")).orderBy("h").limit(n).select("embedding").collect()
-    return np.array([r[0] for r in found], dtype=np.float64).reshape(len(found), dim)
+    keyed, share = rows.select("embedding", F.xxhash64("vec_id", "embedding").alias("h")), 1.25 * n / max(1, total)
+    while True:
+        below = keyed.filter(F.col("h") < int((share - 0.5) * 2.0**64)) if share < 1 else keyed
+        found = below.groupBy("h").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n")).toArrow().combine_chunks()
+        h, many = (found.column(c).to_numpy() for c in ("h", "n"))
+        if share >= 1 or many.sum() >= n:
+            break
+        share *= 2
+    order = np.argsort(h)
+    ahead = np.cumsum(many[order]) - many[order]
+    return np.repeat(matrix(found.column("embedding").combine_chunks(), dim)[order], np.clip(n - ahead, 0, many[order]), axis=0)
 
 
 def binary(mat: np.ndarray) -> pa.Array:
@@ -81,20 +100,43 @@ def assign(rows: DataFrame, dim: int, place: Callable[[np.ndarray], tuple[np.nda
     return ready.mapInArrow(run, "cell int, vec_id long, label long, vec binary")
 
 
-def salts(rows: DataFrame) -> dict[int, int]:
-    """The pieces each cell needs. An index has a bounded number of cells."""
-    return {r["cell"]: -(-r["n"] // PIECE_ROWS) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+@dataclass(frozen=True)
+class Groups:
+    """The pieces of the cells, and the groups of consecutive pieces."""
+
+    many: int
+    salts: dict[int, int]  # cell: its pieces
+    places: list[tuple[int, int, int]]  # cell, salt, group
+    cells: list[list[int]]  # of each group
+
+    def rounds(self) -> list[list[int]]:
+        every = list(range(self.many))
+        return [every[::ROUND], [g for g in every if g % ROUND]] if self.many >= 4 * ROUND else [every]
+
+
+def groups(rows: DataFrame, wide: int) -> Groups:
+    """Pieces and groups of rows (cell) with vectors of ``wide`` bytes. An index has a bounded number of cells."""
+    count = sorted((r["cell"], r["n"]) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())
+    total, salts = sum(n for _, n in count), {cell: -(-n // PIECE_ROWS) for cell, n in count}
+    many = max(min(GROUPS, sum(salts.values())), -(-total * wide // GROUP_BYTES), 1)
+    places, cells, before = [], [set() for _ in range(many)], 0
+    for cell, n in count:
+        for salt in range(salts[cell]):
+            places.append((cell, salt, (before * salts[cell] + n * salt) * many // (total * salts[cell])))
+            cells[places[-1][2]].add(cell)
+        before += n
+    return Groups(many, salts, places, [sorted(c) for c in cells])
 
 
 def salted(rows: DataFrame, many: dict[int, int]) -> DataFrame:
     """Rows with a salt below their cell's number of pieces."""
-    table = rows.sparkSession.createDataFrame(list(many.items()), "cell int, m int")
+    table = rows.sparkSession.createDataFrame(pa.table({"cell": pa.array(list(many), pa.int32()), "m": pa.array(list(many.values()), pa.int32())}))
     return rows.join(F.broadcast(table), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), F.col("m")).cast("int")).drop("m")
 
 
 def pack(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """The rows of equal keys in pieces of at most ``size``: keys (ints) and for every other column the list of its values. A task
-    holds one piece and one batch, however many rows share a key."""
+    """The rows of equal keys in pieces of at most ``size``: keys (ints), vec (the bytes of all vectors in one) and for every other
+    column the list of its values. A task holds one piece and one batch, however many rows share a key."""
     columns = [c for c in rows.columns if c not in keys]
     spread = rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *(c for c in columns if c == "vec_id"))
 
@@ -103,7 +145,7 @@ def pack(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
 
         def piece() -> pa.RecordBatch:
             whole = pa.concat_batches(held)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), c) for c in whole.columns]
+            lists = [pa.array([b"".join(c.to_pylist())], pa.binary()) if n == "vec" else pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), c) for n, c in zip(columns, whole.columns, strict=True)]
             return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in now), *lists], [*keys, *columns])
 
         for b in batches:
@@ -128,57 +170,171 @@ def pack(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
             yield piece()
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return spread.mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), *(f"{c} array<{kinds[c]}>" for c in columns)]))
+    return spread.mapInArrow(run, ", ".join([*(f"{k} int" for k in keys), *(f"{c} binary" if c == "vec" else f"{c} array<{kinds[c]}>" for c in columns)]))
 
 
-def unpack(column: pa.Array, row: int, dtype: type, wide: int) -> np.ndarray:
-    """The matrix of a piece whose rows were packed as bytes."""
-    return np.frombuffer(b"".join(column[row].values.to_pylist()), dtype=dtype).reshape(-1, wide)
+def unpack(data: bytes, dtype: type, wide: int) -> np.ndarray:
+    """The matrix of vectors whose rows were packed as bytes."""
+    return np.frombuffer(data, dtype=dtype).reshape(-1, wide)
 
 
-def longs(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False)
+def lists(values: pa.Array) -> np.ndarray:
+    """The matrix of lists of equal lengths."""
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def spread_queries(queries: DataFrame, keep: Callable[[pa.RecordBatch, int], Iterator[tuple[int, np.ndarray]]], many: dict[int, int]) -> DataFrame:
-    """cell, salt and the part of each packed query block that has to see it. keep gives for a block the cells and the places of the
-    queries in question."""
+Block = dict[str, np.ndarray | bytes]
+
+
+def block(b: pa.RecordBatch, columns: list[str]) -> Block:
+    """The values of several pieces, one after the other: vec as bytes, numbers as arrays, lists as matrices."""
+    out: Block = {}
+    for c in columns:
+        column = b.column(b.schema.get_field_index(c))
+        if c == "vec":
+            out[c] = b"".join(column.to_pylist())
+        else:
+            values = column.flatten()
+            out[c] = lists(values) if pa.types.is_list(values.type) else values.to_numpy(zero_copy_only=False)
+    return out
+
+
+def spread_queries(queries: DataFrame, keep: Callable[[Block], Iterator[tuple[int, np.ndarray]]], all_: Groups, wanted: list[int]) -> DataFrame:
+    """Query blocks for each group that they have to see: grp, cells (those asked for), asked (for each of these cells the queries that
+    ask for it, in bits) and the queries' columns. keep gives for a block the cells and the places of the queries in question."""
     columns = [c for c in queries.columns if c not in ("cell", "salt")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [b.column(b.schema.get_field_index(c)) for c in columns]
-            for row in range(b.num_rows):
-                for cell, places in keep(b, row):
-                    own = [pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), c[row].values.take(pa.array(places))) for c in lists]
-                    for salt in range(many.get(cell, 0)):
-                        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([salt], pa.int32()), *own], ["cell", "salt", *columns])
+            values = [b.column(b.schema.get_field_index(c)) for c in columns]
+            whole = block(b, columns)
+            many = len(whole["q"])
+            wide, asked = len(whole["vec"]) // max(1, many), {}
+            for cell, places in keep(whole):
+                asked[cell] = np.zeros(many, bool)
+                asked[cell][places] = True
+            data, flat = np.frombuffer(whole["vec"], np.uint8).reshape(many, wide), [None if c == "vec" else v.flatten() for c, v in zip(columns, values, strict=True)]
+            for g in wanted:
+                own = [c for c in all_.cells[g] if c in asked]
+                if not own:
+                    continue
+                bits = np.stack([asked[c] for c in own])
+                at = np.flatnonzero(bits.any(axis=0))
+                if not len(at):
+                    continue
+                taken = [pa.array([data[at].tobytes()], pa.binary()) if v is None else pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), v.take(pa.array(at))) for v in flat]
+                head = [pa.array([g], pa.int32()), pa.array([own], pa.list_(pa.int32())), pa.array([np.packbits(bits[:, at], axis=1).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*head, *taken], ["grp", "cells", "asked", *columns])
 
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
-    return queries.mapInArrow(run, ", ".join(["cell int, salt int", *(f"{c} {kinds[c]}" for c in columns)]))
-
-
-def meet(queries: DataFrame, pieces: DataFrame, kernel: Callable[[dict[str, pa.Array], int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What the kernel finds for each pair of a query block and a piece with the same (cell, salt). The piece's columns have the
-    prefix ``x_``."""
-    named = pieces.withColumnsRenamed({c: f"x_{c}" for c in pieces.columns if c not in ("cell", "salt")})
+    return queries.repartition(all_.many, "cell").mapInArrow(run, ", ".join(["grp int, cells array<int>, asked binary", *(f"{c} {kinds[c]}" for c in columns)]))
+
+
+Hold = Callable[[dict[int, Block]], object]
+Ask = Callable[[object, Block, dict[int, np.ndarray]], Iterator[pa.RecordBatch]]
+
+
+def pass_by(pieces: DataFrame, sent: DataFrame, all_: Groups, wanted: list[int], hold: Hold, ask: Ask, schema: str) -> DataFrame:
+    """What ``ask`` finds for the query blocks (of spread_queries) in the groups that are wanted. A task gets the pieces of one group first,
+    which ``hold`` makes ready by cells, then the queries of the group; ask gets these with the places of those that ask for each cell."""
+    mine, theirs = [c for c in pieces.columns if c not in ("cell", "salt")], [c for c in sent.columns if c not in ("grp", "cells", "asked")]
+    chosen = set(wanted)
+    placed = np.array([p for p in all_.places if p[2] in chosen], np.int32).reshape(-1, 3)
+    place = pieces.sparkSession.createDataFrame(pa.table({n: pa.array(placed[:, i]) for i, n in enumerate(("cell", "salt", "grp"))}))
+    rows = pieces.join(F.broadcast(place), ["cell", "salt"]).drop("salt").withColumn("kind", F.lit(0))
+    both = rows.unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def asked(waiting: list[tuple[Block, list[int], np.ndarray]], ready: object) -> Iterator[pa.RecordBatch]:
+        whole: Block = {c: b"".join(w[0][c] for w in waiting) if c == "vec" else np.concatenate([w[0][c] for w in waiting]) for c in theirs}
+        many, at = len(whole["q"]), 0
+        masks: dict[int, np.ndarray] = {}
+        for values, cells, bits in waiting:
+            end = at + len(values["q"])
+            for cell, own in zip(cells, bits, strict=True):
+                masks.setdefault(cell, np.zeros(many, bool))[at:end] = own
+            at = end
+        wide = len(whole["vec"]) // many
+        for start in range(0, many, STEP_QUERIES):
+            part = slice(start, start + STEP_QUERIES)
+            own = {c: v[start * wide : (start + STEP_QUERIES) * wide] if c == "vec" else v[part] for c, v in whole.items()}
+            yield from ask(ready, own, {c: places for c in sorted(masks) if len(places := np.flatnonzero(masks[c][part]))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready, waiting, many = None, {}, None, [], 0
         for b in batches:
-            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for row in range(b.num_rows):
-                yield from kernel(columns, row)
-
-    return queries.join(named, ["cell", "salt"]).mapInArrow(run, schema)
-
+                one, grp = b.slice(row, 1), column["grp"][row].as_py()
+                if grp != now:
+                    if waiting:
+                        yield from asked(waiting, ready)
+                    now, held, ready, waiting, many = grp, {}, None, [], 0
+                if column["kind"][row].as_py() == 0:
+                    held.setdefault(column["cell"][row].as_py(), []).append(block(one, mine))
+                    continue
+                if ready is None:
+                    ready = hold({cell: {c: b"".join(p[c] for p in held[cell]) if c == "vec" else np.concatenate([p[c] for p in held[cell]]) for c in mine} for cell in sorted(held)})
+                    held = {}
+                values, cells = block(one, theirs), column["cells"][row].as_py()
+                bits = np.unpackbits(np.frombuffer(column["asked"][row].as_py(), np.uint8).reshape(len(cells), -1), axis=1, count=len(values["q"])).astype(bool)
+                waiting.append((values, cells, bits))
+                many += len(values["q"])
+                if many >= STEP_QUERIES:
+                    yield from asked(waiting, ready)
+                    waiting, many = [], 0
+        if waiting:
+            yield from asked(waiting, ready)
+
+    return both.repartitionById(all_.many, "grp").sortWithinPartitions("grp", "kind").mapInArrow(run, schema)
+
+
+def meet(queries: DataFrame, pieces: DataFrame, hold: Hold, ask: Ask, schema: str) -> DataFrame:
+    """The same for pairs of a query block and a piece with the same (cell, salt)."""
+    mine, theirs = [c for c in pieces.columns if c not in ("cell", "salt")], [c for c in queries.columns if c not in ("cell", "salt")]
+    named = pieces.withColumnsRenamed({c: f"x_{c}" for c in mine})
 
-def firsts(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k smallest scores, ties by smaller id, in order."""
-    if len(score) > 4 * k:
-        edge = np.partition(score, k - 1)[k - 1]
-        near = np.flatnonzero(score <= edge)
-        return near[np.lexsort((ids[near], score[near]))[:k]]
-    return np.lexsort((ids, score))[:k]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                one = b.slice(row, 1)
+                own, rows = block(one, theirs), block(one, [f"x_{c}" for c in mine if c != "vec"])
+                rows = {c.removeprefix("x_"): v for c, v in rows.items()} | {"vec": b.column(b.schema.get_field_index("x_vec"))[row].as_py()}
+                cell = b.column(b.schema.get_field_index("cell"))[row].as_py()
+                yield from ask(hold({cell: rows}), own, {cell: np.arange(len(own["q"]))})
+
+    # a merge, as the blocks must not be gathered for a broadcast
+    return queries.hint("merge").join(named, ["cell", "salt"]).mapInArrow(run, schema)
+
+
+class Best:
+    """The first k rows of each of ``many`` keys, by score and then id, as rows come."""
+
+    def __init__(self, many: int, k: int):
+        self.k, self.edge = k, np.full(many, np.inf)  # of each key the k-th score, once there are k
+        self.rows = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, key: np.ndarray, ids: np.ndarray, score: np.ndarray) -> bool:
+        """Whether the edges may have moved."""
+        self.new.append((key, ids, score))
+        self.waiting += len(key)
+        if self.waiting > max(1 << 14, len(self.rows[0])):
+            self.settle()
+            return True
+        return False
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, ids, score = (np.concatenate(c) for c in zip(self.rows, *self.new, strict=True))
+        order = np.lexsort((ids, score, key))
+        key = key[order]
+        heads = np.flatnonzero(np.diff(key, prepend=-1))
+        nth = np.arange(len(key)) - np.repeat(heads, np.diff([*heads, len(key)]))
+        last = nth == self.k - 1
+        self.edge[key[last]] = score[order[last]]
+        order = order[nth < self.k]
+        self.rows, self.new, self.waiting = (key[nth < self.k], ids[order], score[order]), [], 0
+        return self.rows
 
 
 def ranked(found: DataFrame, keys: list[str], score: Column, k: int) -> DataFrame:
