@@ -87,7 +87,8 @@ class Index:
         return {cell: List(self, cell, rows) for cell, rows in cells.items()}
 
     def rotated(self, mat: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rotated differences to a point, in single precision where squares stay within its range, and their squared lengths."""
+        """Rotated differences to a point, in single precision where their squares stay within its range, and their squared lengths. The
+        differences come first, so that all rounding is in proportion to them."""
         with np.errstate(over="ignore", invalid="ignore"):
             turned = (mat - origin) @ self.turn
             size = (turned * turned).sum(axis=1)

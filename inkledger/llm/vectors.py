@@ -27,7 +27,7 @@ GROUPS, GROUP_BYTES = 64, 1 << 26
 #: Of four times so many groups or more, the first round takes every ROUND-th: what it finds bounds the round over the others.
 ROUND = 8
 #: Pairs that are compared at once, and queries.
-STEP_PAIRS, STEP_QUERIES = 1 << 19, 512
+STEP_PAIRS, STEP_QUERIES = 1 << 18, 256
 
 
 @contextlib.contextmanager

@@ -1,9 +1,10 @@
 """What the vector operators send: the sample, groups of pieces, and the queries that pass by them."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inkledger.llm import hard_negatives, vectors
+from inkledger.llm import hard_negatives, nearest, vectors
 
 
 def sent_to_driver(spark, run):
@@ -107,3 +108,27 @@ def test_windows_are_exact_in_single_and_double_precision():
                 for w in range(3):
                     fit = [(-int(score[q, i]), int(i)) for i in ids if i != q and (labels[i] == labels[q]) == same and low[q, w] <= score[q, i] <= high[q, w]]
                     assert got.get((q, w), []) == sorted(fit)[:3]
+
+
+def test_scan_finds_what_the_tests_leave_whatever_the_product_took():
+    rng = np.random.default_rng(8)
+    for dim, far in ((40, 1.0), (64, 1.0), (16, 1e20), (24, 1e-3)):
+        rows, p = rng.standard_normal((900, dim)) * far, nearest.Search(epsilon=0.3)  # loses a part
+        index = nearest.Index(rows[:300], 3, dim, np.float64, p)
+        cells, _ = index.placed(rows)
+        held = index.hold({int(c): {"vec_id": np.flatnonzero(cells == c), "vec": rows[cells == c].tobytes()} for c in np.unique(cells)})
+        q = rows[:40]
+        away = ((q[:, None] - rows[None]) ** 2).sum(axis=2)
+        away[np.arange(40), np.arange(40)] = np.inf
+        edge = np.sort(away, axis=1)[:, 60]
+        turned, left = (q[:, None] - rows[None]) @ index.turn, away < np.inf
+        for seen in [*range(p.block, dim, p.block), dim]:
+            left &= (turned[:, :, :seen] ** 2).sum(axis=2) <= edge[:, None] * index.limit(seen)
+        want = [sorted((away[i, j], int(j)) for j in np.flatnonzero(left[i]))[: p.k] for i in range(40)]
+        block = {"q": np.arange(40), "vec_id": np.arange(40), "vec": q.tobytes(), "edge": edge, "near": np.full(40, np.inf)}
+        assert 0 < left.sum() < (away <= edge[:, None]).sum()
+        for seen in [*range(p.block, dim, p.block), dim]:
+            index.seen = seen
+            got = pa.Table.from_batches(list(index.scan(held, block, {c: np.arange(40) for c in held}))).to_pydict()
+            for i in range(40):
+                assert [v for k, v in zip(got["q"], got["vec_id"], strict=True) if k == i] == [j for _, j in want[i]]
